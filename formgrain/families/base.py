@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.structs import with_fields
 from ..functions.text import blank, message_of
 from ..operators.lines import with_rows
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.checks import id_number_codes
 from ..functions.text import after_mark, blank, compact, contains_any, non_empty, pick, strip
-from .base import Family, issue, issue_list, issues_for_codes
+from .base import Family, issue, issue_list, issues_for_codes, with_fields
 
 FIELDS = [
     "document_side", "name", "gender", "ethnicity", "birth_date", "address",
@@ -74,19 +74,19 @@ def extract_china_id(docs: DataFrame) -> DataFrame:
     lines, back = F.col("_lines"), F.col("_back")
     front = lambda c: F.when(~back, c)
     valid_from, valid_to = _validity(lines)
-    fields = F.struct(
-        F.when(back, F.lit("back")).otherwise(F.lit("front")).alias("document_side"),
-        front(_marked(lines, "姓名")).alias("name"),
-        front(_last(lines, lambda t: pick(t, rules.ID_GENDER, 1))).alias("gender"),
-        front(_last(lines, lambda t: pick(t, rules.ID_ETHNICITY, 1))).alias("ethnicity"),
-        front(_marked(lines, "出生")).alias("birth_date"),
-        front(_address(lines)).alias("address"),
-        front(F.upper(_first(lines, lambda t: pick(t, rules.ID_NUMBER)))).alias("id_number"),
-        F.when(back, _marked(lines, "签发机关")).alias("issuing_authority"),
-        F.when(back, valid_from).alias("valid_from"),
-        F.when(back, valid_to).alias("valid_to"),
-    )
-    return staged.withColumn("fields", fields).drop("_lines", "_back")
+    fields = {
+        "document_side": F.when(back, F.lit("back")).otherwise(F.lit("front")),
+        "name": front(_marked(lines, "姓名")),
+        "gender": front(_last(lines, lambda t: pick(t, rules.ID_GENDER, 1))),
+        "ethnicity": front(_last(lines, lambda t: pick(t, rules.ID_ETHNICITY, 1))),
+        "birth_date": front(_marked(lines, "出生")),
+        "address": front(_address(lines)),
+        "id_number": front(F.upper(_first(lines, lambda t: pick(t, rules.ID_NUMBER)))),
+        "issuing_authority": F.when(back, _marked(lines, "签发机关")),
+        "valid_from": F.when(back, valid_from),
+        "valid_to": F.when(back, valid_to),
+    }
+    return with_fields(staged, fields).drop("_lines", "_back")
 
 
 def id_number_issues(id_number: Column, as_of: Column) -> Column:

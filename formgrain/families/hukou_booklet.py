@@ -9,7 +9,7 @@ from .. import rules
 from ..functions.checks import birth_date_in_id, birth_digits_in_id, id_number_codes
 from ..functions.text import blank, booklet_gender, contains_any, iso_date, pick_or_keep, strip
 from ..operators.labels import first_value, labelled_values
-from .base import Family, issue, issue_list, issues_for_codes, missing, no_issues
+from .base import Family, issue, issue_list, issues_for_codes, missing, no_issues, with_fields
 
 
 def _marked_household_id(rows: Column) -> Column:
@@ -36,18 +36,18 @@ def extract_hukou_booklet(docs: DataFrame, aliases=None) -> DataFrame:
     read = lambda name: first_value(F.col("_found"), name)
     staged = staged.withColumn("_id", pick_or_keep(read("id_number"), rules.BOOKLET_ID_NUMBER))
     rows = F.col("rows")
-    fields = F.struct(
-        F.lit("hukou_booklet").alias("doc_type"),
-        F.coalesce(pick_or_keep(read("household_id"), rules.HOUSEHOLD_ID), _marked_household_id(rows)).alias("household_id"),
-        read("householder_name").alias("householder_name"),
-        F.coalesce(read("address"), _line_below_address(rows)).alias("address"),
-        read("member_name").alias("member_name"),
-        read("relation_to_head").alias("relation_to_head"),
-        booklet_gender(read("gender")).alias("gender"),
-        F.coalesce(iso_date(read("birth_date")), birth_date_in_id(F.col("_id"))).alias("birth_date"),
-        F.col("_id").alias("id_number"),
-    )
-    return staged.withColumn("fields", fields).drop("_found", "_id")
+    fields = {
+        "doc_type": F.lit("hukou_booklet"),
+        "household_id": F.coalesce(pick_or_keep(read("household_id"), rules.HOUSEHOLD_ID), _marked_household_id(rows)),
+        "householder_name": read("householder_name"),
+        "address": F.coalesce(read("address"), _line_below_address(rows)),
+        "member_name": read("member_name"),
+        "relation_to_head": read("relation_to_head"),
+        "gender": booklet_gender(read("gender")),
+        "birth_date": F.coalesce(iso_date(read("birth_date")), birth_date_in_id(F.col("_id"))),
+        "id_number": F.col("_id"),
+    }
+    return with_fields(staged, fields).drop("_found", "_id")
 
 
 def hukou_booklet_rules(fields: Column, as_of: Column, relations=None) -> Column:

@@ -9,7 +9,7 @@ from .. import rules
 from ..functions.text import age_text, iso_date, record_gender, split_items
 from ..operators.labels import first_value, labelled_values
 from ..operators.lines import joined_text
-from .base import Family, issue_list, missing
+from .base import Family, issue_list, missing, with_fields
 
 
 def extract_medical_record(docs: DataFrame, aliases=None) -> DataFrame:
@@ -18,20 +18,20 @@ def extract_medical_record(docs: DataFrame, aliases=None) -> DataFrame:
     rows = F.col("rows")
     heading = F.get(F.filter(F.slice(rows, 1, 3), lambda r: F.contains(r["text"], F.lit("医院"))), 0)["text"]
     dated = read("visit_date")
-    fields = F.struct(
-        F.lit("medical_record").alias("doc_type"),
-        F.coalesce(read("hospital_name"), heading).alias("hospital_name"),
-        read("patient_name").alias("patient_name"),
-        record_gender(read("gender")).alias("gender"),
-        age_text(read("age")).alias("age"),
+    fields = {
+        "doc_type": F.lit("medical_record"),
+        "hospital_name": F.coalesce(read("hospital_name"), heading),
+        "patient_name": read("patient_name"),
+        "gender": record_gender(read("gender")),
+        "age": age_text(read("age")),
         # The whole text is searched only when no line is labelled as the date.
-        F.when(dated.isNotNull(), iso_date(dated)).otherwise(iso_date(joined_text(rows))).alias("visit_date"),
-        read("department").alias("department"),
-        split_items(read("diagnosis")).alias("diagnosis"),
-        split_items(read("medications")).alias("medications"),
-        read("notes").alias("notes"),
-    )
-    return staged.withColumn("fields", fields).drop("_found")
+        "visit_date": F.when(dated.isNotNull(), iso_date(dated)).otherwise(iso_date(joined_text(rows))),
+        "department": read("department"),
+        "diagnosis": split_items(read("diagnosis")),
+        "medications": split_items(read("medications")),
+        "notes": read("notes"),
+    }
+    return with_fields(staged, fields).drop("_found")
 
 
 def medical_record_rules(fields: Column, as_of: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.checks import mrz_check_digit, mrz_values
 from ..functions.text import comparable, compact, non_empty
-from .base import Family, issue, issue_list
+from .base import Family, issue, issue_list, with_fields
 
 MRZ_FIELDS = [
     "document_code", "issuing_country", "surname", "given_names", "passport_number",
@@ -63,13 +63,13 @@ def extract_passport(docs: DataFrame) -> DataFrame:
     staged = docs.withColumn("_pair", mrz_pair(F.col("rows")))
     pair = F.col("_pair")
     staged = staged.withColumn("_mrz", F.when(F.size(pair) == 2, mrz_record(F.get(pair, 0), F.get(pair, 1))))
-    fields = F.struct(
-        F.lit("passport").alias("document_variant"),
-        pair.alias("mrz_lines"),
-        F.col("_mrz").alias("mrz_fields"),
-        *[F.col("_mrz")[f].alias(f) for f in MRZ_FIELDS],
-    )
-    return staged.withColumn("fields", fields).drop("_pair", "_mrz")
+    fields = {
+        "document_variant": F.lit("passport"),
+        "mrz_lines": pair,
+        "mrz_fields": F.col("_mrz"),
+        **{f: F.col("_mrz")[f] for f in MRZ_FIELDS},
+    }
+    return with_fields(staged, fields).drop("_pair", "_mrz")
 
 
 def mrz_codes(first: Column, second: Column) -> Column:

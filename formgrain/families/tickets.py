@@ -9,7 +9,7 @@ from .. import rules
 from ..functions.text import contains_any, pick
 from ..operators.lines import joined_text
 from ..operators.places import anchor_box, nearest_name, places_in_order
-from .base import Family, issue, issue_list, missing
+from .base import Family, issue, issue_list, missing, with_fields
 
 
 def _absent() -> Column:
@@ -25,18 +25,18 @@ def extract_boarding_pass(docs: DataFrame, airports=None) -> DataFrame:
         .withColumn("_anchor", anchor_box(rows))
     )
     text, places = F.col("_text"), F.col("_places")
-    fields = F.struct(
-        F.lit("boarding_pass").alias("document_variant"),
-        nearest_name(rows, F.col("_anchor"), rules.BOARDING_STOPWORDS + airports).alias("passenger_name"),
-        F.translate(pick(text, rules.FLIGHT_NUMBER, 1), " ", "").alias("flight_number"),
-        pick(text, rules.TICKET_NUMBER, 1).alias("ticket_number"),
-        pick(text, rules.FLIGHT_DATE).alias("departure_date"),
-        F.get(places, 0).alias("departure_airport"),
-        F.get(places, 1).alias("arrival_airport"),
-        pick(text, rules.GATE).alias("gate"),
-        _absent().alias("seat_no"),
-    )
-    return staged.withColumn("fields", fields).drop("_text", "_places", "_anchor")
+    fields = {
+        "document_variant": F.lit("boarding_pass"),
+        "passenger_name": nearest_name(rows, F.col("_anchor"), rules.BOARDING_STOPWORDS + airports),
+        "flight_number": F.translate(pick(text, rules.FLIGHT_NUMBER, 1), " ", ""),
+        "ticket_number": pick(text, rules.TICKET_NUMBER, 1),
+        "departure_date": pick(text, rules.FLIGHT_DATE),
+        "departure_airport": F.get(places, 0),
+        "arrival_airport": F.get(places, 1),
+        "gate": pick(text, rules.GATE),
+        "seat_no": _absent(),
+    }
+    return with_fields(staged, fields).drop("_text", "_places", "_anchor")
 
 
 def _train_number(rows: Column) -> Column:
@@ -61,21 +61,20 @@ def extract_train_ticket(docs: DataFrame, stations=None, airports=None) -> DataF
         F.when(F.col("_flying"), places_in_order(rows, airports)).otherwise(places_in_order(rows, stations)),
     ).withColumn("_anchor", anchor_box(rows))
     text, flying, places = F.col("_text"), F.col("_flying"), F.col("_places")
-    fields = F.struct(
-        F.when(flying, F.lit("boarding_pass_like")).otherwise(F.lit("train_ticket")).alias("document_variant"),
-        pick(text, rules.TICKET_NUMBER, 1).alias("ticket_number"),
-        nearest_name(rows, F.col("_anchor"), rules.TRAIN_STOPWORDS + airports + stations).alias("passenger_name"),
-        F.when(flying, F.translate(pick(text, rules.FLIGHT_NUMBER, 1), " ", ""))
-        .otherwise(_train_number(rows))
-        .alias("train_number"),
-        F.get(places, 0).alias("departure_station"),
-        F.get(places, 1).alias("arrival_station"),
-        pick(text, rules.TRAIN_DEPARTURE).alias("departure_time"),
-        _absent().alias("seat_no"),
-        _absent().alias("fare"),
-        pick(text, rules.GATE).alias("gate"),
-    )
-    return staged.withColumn("fields", fields).drop("_text", "_flying", "_places", "_anchor")
+    fields = {
+        "document_variant": F.when(flying, F.lit("boarding_pass_like")).otherwise(F.lit("train_ticket")),
+        "ticket_number": pick(text, rules.TICKET_NUMBER, 1),
+        "passenger_name": nearest_name(rows, F.col("_anchor"), rules.TRAIN_STOPWORDS + airports + stations),
+        "train_number": F.when(flying, F.translate(pick(text, rules.FLIGHT_NUMBER, 1), " ", ""))
+        .otherwise(_train_number(rows)),
+        "departure_station": F.get(places, 0),
+        "arrival_station": F.get(places, 1),
+        "departure_time": pick(text, rules.TRAIN_DEPARTURE),
+        "seat_no": _absent(),
+        "fare": _absent(),
+        "gate": pick(text, rules.GATE),
+    }
+    return with_fields(staged, fields).drop("_text", "_flying", "_places", "_anchor")
 
 
 def boarding_pass_rules(fields: Column, as_of: Column) -> Column:

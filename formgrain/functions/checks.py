@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .text import ascii_digits
+from .text import ascii_digits, let
 
 
 def _total(values: Column) -> Column:
@@ -57,9 +57,13 @@ def birth_digits_in_id(id_number: Column) -> Column:
 
 def id_number_codes(id_number: Column, as_of: Column) -> Column:
     """Codes of everything wrong with a non-empty, normalised identity number, in rule order."""
+    return let(id_number, lambda v: _id_number_codes(v, as_of))
+
+
+def _id_number_codes(id_number: Column, as_of: Column) -> Column:
     birth = compact_date(ascii_digits(F.substring(id_number, 7, 8)))
     region_bad = ~F.substring(id_number, 1, 2).isin(rules.PROVINCE_CODES) | (F.substring(id_number, 1, 6) == "000000")
-    birth_bad = birth.isNull() | (birth > as_of)
+    birth_bad = F.coalesce(birth > as_of, F.lit(True))
     check_bad = F.substring(id_number, 18, 1) != id_check_char(ascii_digits(id_number))
     deep = F.array(
         F.when(region_bad, F.lit("region_code_invalid")),

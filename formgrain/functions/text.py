@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .. import rules
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(rules.WHITESPACE))
 
@@ -46,7 +51,7 @@ def pick(c: Column, pattern: str, group: int = 0) -> Column:
 
 def pick_or_keep(c: Column, pattern: str) -> Column:
     """Upper-cased first match in the text without blanks, else the stripped text."""
-    return F.coalesce(F.upper(pick(F.translate(c, " ", ""), pattern)), strip(c))
+    return let(c, lambda v: F.coalesce(F.upper(pick(F.translate(v, " ", ""), pattern)), strip(v)))
 
 
 def after_mark(c: Column, mark: str) -> Column:
@@ -68,11 +73,10 @@ def ascii_digits(c: Column) -> Column:
 
 def iso_date(c: Column) -> Column:
     """First date-like text as zero-padded ISO text. It is not checked against the calendar."""
-    part = lambda group: ascii_digits(F.regexp_extract(c, rules.DATE_TEXT, group))
-    return F.when(
-        F.regexp_like(c, F.lit(rules.DATE_TEXT)),
-        F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")),
-    )
+    found = pick(c, rules.DATE_TEXT)
+    numbers = lambda v: F.split(F.btrim(F.regexp_replace(v, "[^0-9]", " ")), " ")
+    padded = lambda v: F.transform(numbers(v), lambda n: F.lpad(n, F.greatest(F.length(n), F.lit(2)), F.lit("0")))
+    return let(ascii_digits(found), lambda v: F.array_join(padded(v), "-"))
 
 
 def split_items(c: Column) -> Column:
@@ -82,29 +86,28 @@ def split_items(c: Column) -> Column:
 
 
 def booklet_gender(c: Column) -> Column:
-    value = strip(c)
-    upper = F.upper(value)
-    return (
-        F.when(F.contains(upper, F.lit("FEMALE")) | (value == "女"), F.lit("女"))
-        .when(F.contains(upper, F.lit("MALE")) | (value == "男"), F.lit("男"))
-        .otherwise(value)
+    return let(
+        strip(c),
+        lambda v: F.when(F.contains(F.upper(v), F.lit("FEMALE")) | (v == "女"), F.lit("女"))
+        .when(F.contains(F.upper(v), F.lit("MALE")) | (v == "男"), F.lit("男"))
+        .otherwise(v),
     )
 
 
 def record_gender(c: Column) -> Column:
     """Gender mentioned anywhere in the value; FEMALE is looked for before the MALE it contains."""
-    upper = F.upper(c)
-    return (
-        F.when(F.contains(c, F.lit("男")), F.lit("男"))
-        .when(F.contains(c, F.lit("女")), F.lit("女"))
-        .when(F.contains(upper, F.lit("FEMALE")), F.lit("女"))
-        .when(F.contains(upper, F.lit("MALE")), F.lit("男"))
-        .otherwise(strip(c))
+    return let(
+        c,
+        lambda v: F.when(F.contains(v, F.lit("男")), F.lit("男"))
+        .when(F.contains(v, F.lit("女")), F.lit("女"))
+        .when(F.contains(F.upper(v), F.lit("FEMALE")), F.lit("女"))
+        .when(F.contains(F.upper(v), F.lit("MALE")), F.lit("男"))
+        .otherwise(strip(v)),
     )
 
 
 def age_text(c: Column) -> Column:
-    return F.coalesce(pick(c, rules.AGE_YEARS, 1), pick(c, r"(?U)\d+"), strip(c))
+    return let(c, lambda v: F.coalesce(pick(v, rules.AGE_YEARS, 1), pick(v, r"(?U)\d+"), strip(v)))
 
 
 def comparable(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import BBOX_TYPE, bounding_box
+from ..functions.structs import unfold
 from ..functions.text import split_lines, strip
 
 LINES_TYPE = "array<struct<box:array<array<double>>,text:string,score:double>>"
@@ -63,14 +64,13 @@ def joined_text(rows: Column) -> Column:
 def explode_lines(docs: DataFrame, *keep: str) -> DataFrame:
     """One row per line with its 1-based position, plus the kept document columns."""
     return (
-        with_rows(docs)
-        .select(*(keep or ("doc_id",)), F.posexplode("rows").alias("pos", "row"))
+        unfold(with_rows(docs), "rows", *(keep or ("doc_id",)), numbered=True)
         .select(
             *(keep or ("doc_id",)),
             (F.col("pos") + 1).alias("line_no"),
-            F.col("row.text").alias("text"),
-            F.col("row.score").alias("score"),
-            F.col("row.bbox").alias("bbox"),
+            F.col("item.text").alias("text"),
+            F.col("item.score").alias("score"),
+            F.col("item.bbox").alias("bbox"),
         )
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.structs import with_fields
 
 
 def override_maps(overrides: DataFrame) -> DataFrame:
@@ -31,14 +32,14 @@ def apply_overrides(docs: DataFrame, overrides: DataFrame | None) -> DataFrame:
     if overrides is None:
         return docs
     joined = docs.join(override_maps(overrides), "doc_id", "left")
-    merged = []
+    merged = {}
     for f in docs.schema["fields"].dataType.fields:
         given = F.try_element_at("overrides", F.lit(f.name))
         if f.dataType.typeName() != "string":
             given = F.from_json(given, f.dataType)
         has = F.coalesce(F.map_contains_key("overrides", F.lit(f.name)), F.lit(False))
-        merged.append(F.when(has, given).otherwise(F.col("fields")[f.name]).alias(f.name))
-    return joined.withColumn("fields", F.struct(*merged)).drop("overrides")
+        merged[f.name] = F.when(has, given).otherwise(F.col("fields")[f.name])
+    return with_fields(joined, merged).drop("overrides")
 
 
 def merge_fields(parsed: DataFrame, provided: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.structs import unfold
+
 CRITICAL_FIELDS = [
     "id_number", "mrz_lines", "passport_number", "passenger_name", "ticket_number",
     "departure_station", "arrival_station", "diagnosis", "visit_date",
@@ -70,7 +72,7 @@ def totals(scored: DataFrame) -> DataFrame:
 
 def field_rows(compared: DataFrame) -> DataFrame:
     keep = [c for c in ("doc_id", "plugin") if c in compared.columns]
-    return compared.select(*keep, F.explode("outcome").alias("o")).select(*keep, "o.*")
+    return unfold(compared, "outcome", *keep).select(*keep, "item.*")
 
 
 def evaluation_report(compared: DataFrame, needs_review: Column) -> DataFrame:

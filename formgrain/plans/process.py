@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import families
+from ..functions.structs import unfold
 from ..functions.text import file_stem
 from ..operators.annotate import annotate
 from ..operators.lines import LINES_TYPE, line_stats
@@ -67,7 +68,7 @@ def process(
 
 
 def issue_rows(processed: DataFrame) -> DataFrame:
-    return processed.select("doc_id", "plugin", F.explode("issues").alias("i")).select("doc_id", "plugin", "i.*")
+    return unfold(processed, "issues", "doc_id", "plugin").select("doc_id", "plugin", "item.*")
 
 
 def decisions(processed: DataFrame) -> DataFrame:

@@ -301,7 +301,7 @@ def oracle_sql() -> dict[str, str]:
         "id_back_fields": """
             WITH s AS (SELECT s_suppkey AS k, s_name, DATE '2001-01-01' + CAST(s_suppkey % 5000 AS INTEGER) AS d FROM supplier)
             SELECT k AS doc_id, 'back' AS document_side, replace(s_name, ' ', '') AS issuing_authority,
-                   strftime(d, ['%Y.%m.%d','%Y%m%d','%Y'][k % 3 + 1]) AS valid_from, ['2030.01.01','长期','2031'][k % 3 + 1] AS valid_to
+                   [strftime(d, '%Y.%m.%d'), strftime(d, '%Y%m%d'), strftime(d, '%Y')][k % 3 + 1] AS valid_from, ['2030.01.01','长期','2031'][k % 3 + 1] AS valid_to
             FROM s""",
         "id_number_issues": q("id_issues", listed("id_issues")),
         "id_decisions": q("id_issues", """

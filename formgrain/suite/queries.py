@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import families, rules
 from ..families import passport
 from ..functions.geometry import bounding_box
+from ..functions.structs import unfold
 from ..functions.text import file_stem, iso_date
 from ..operators import annotate as annotating
 from ..operators import labels, lines, merging, places, splitting
@@ -58,9 +59,9 @@ def _payloads(spark, sf) -> DataFrame:
 
 def payload_lines(spark, sf):
     done = ocr.normalize_payloads(_payloads(spark, sf))
-    return done.select("doc_id", F.posexplode("lines").alias("pos", "l")).select(
-        "doc_id", (F.col("pos") + 1).alias("line_no"), F.col("l.text").alias("text"), F.col("l.score").alias("score"),
-        bounding_box(F.col("l.box"))["x2"].alias("right_edge"),
+    return unfold(done, "lines", "doc_id", numbered=True).select(
+        "doc_id", (F.col("pos") + 1).alias("line_no"), F.col("item.text").alias("text"), F.col("item.score").alias("score"),
+        bounding_box(F.col("item.box"))["x2"].alias("right_edge"),
     )
 
 
@@ -182,8 +183,8 @@ def intake_verdicts(spark, sf):
 
 def annotation_fields(spark, sf):
     notes = annotating.annotate(render.text_results(spark, sf))
-    return notes.select("sample_id", F.explode("fields").alias("f")).select(
-        "sample_id", "f.field_name", "f.region_id", "f.value", F.round("f.confidence", 9).alias("confidence")
+    return unfold(notes, "fields", "sample_id").select(
+        "sample_id", "item.field_name", "item.region_id", "item.value", F.round("item.confidence", 9).alias("confidence")
     )
 
 
@@ -324,7 +325,7 @@ def train_issues(spark, sf):
 def label_values(spark, sf):
     docs = lines.with_rows(render.booklets(spark, sf))
     found = labels.labelled_values(F.col("rows"), rules.BOOKLET_ALIASES)
-    return docs.select("doc_id", F.explode(found).alias("v")).select("doc_id", "v.field", "v.value")
+    return unfold(docs, found, "doc_id").select("doc_id", "item.field", "item.value")
 
 
 def label_values_of_lines(spark, sf):
@@ -376,14 +377,12 @@ def merged_fields(spark, sf):
 def _compared(spark, sf) -> DataFrame:
     """Golden booklet fields against extracted ones; the golden number is always the right one."""
     k = F.col("doc_id")
-    born = F.when(k % 11 == 4, F.lit("19990230")).otherwise(F.date_format(render.birth_day(k), "yyyyMMdd"))
-    body = F.concat(render.choose(render.REGIONS, k), born, render.digits(k % 1000, 3))
-    golden = render.customers(spark, sf).select(
+    golden = render.numbered_customers(spark, sf).select(
         "doc_id",
         F.create_map(
             F.lit("member_name"), F.concat(F.lit("M"), k.cast("string")),
             F.lit("gender"), F.get(F.array(F.lit("女"), F.lit("男"), F.lit(None)), (F.floor(k / 3) % 3).cast("int")),
-            F.lit("id_number"), F.concat(body, render.id_check_char(body)),
+            F.lit("id_number"), F.col("right_idn"),
             F.lit("birth_date"), F.date_format(render.birth_day(k), "yyyy-MM-dd"),
             F.lit("spouse"), F.lit(None).cast("string"),
         ).alias("expected"),
@@ -509,24 +508,19 @@ def review_queue(spark, sf):
 def _numbered(spark, sf) -> DataFrame:
     """Identity cards with a label line, weaker in score, and the right number again on a stronger line."""
     k = F.col("doc_id")
-    body = F.concat(
-        render.choose(render.REGIONS, k),
-        F.when(k % 11 == 4, F.lit("19990230")).otherwise(F.date_format(render.birth_day(k), "yyyyMMdd")),
-        render.digits(k % 1000, 3),
-    )
-    docs = render.customers(spark, sf).withColumn("idn", render.id_number(k)).select(
+    docs = render.numbered_customers(spark, sf).select(
         "doc_id",
         render.lines(
             F.when(k % 17 != 9, render.line(F.concat(F.lit("身份证号: "), F.lower("idn")), 0.5)),
-            render.line(F.concat(F.lit("no "), body, render.id_check_char(body)), 0.9),
+            render.line(F.concat(F.lit("no "), F.col("right_idn")), 0.9),
         ).alias("lines"),
     )
     return review.choose_candidate(review.number_candidates(lines.with_rows(docs), as_of()))
 
 
 def number_candidates(spark, sf):
-    return _numbered(spark, sf).select("doc_id", F.explode("candidates").alias("c")).select(
-        "doc_id", "c.value", "c.labelled", F.round("c.score", 9).alias("score")
+    return unfold(_numbered(spark, sf), "candidates", "doc_id").select(
+        "doc_id", "item.value", "item.labelled", F.round("item.score", 9).alias("score")
     )
 
 

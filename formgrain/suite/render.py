@@ -59,15 +59,6 @@ def birth_day(k: Column) -> Column:
     return days_from("1950-01-01", (k * 37) % 20000)
 
 
-def id_number(k: Column) -> Column:
-    """Identity number of a key; one in five carries a wrong check character."""
-    born = F.when(k % 11 == 4, F.lit("19990230")).otherwise(F.date_format(birth_day(k), "yyyyMMdd"))
-    body = F.concat(choose(REGIONS, k), born, digits(k % 1000, 3))
-    good = id_check_char(body)
-    wrong = F.when(good == "1", F.lit("0")).otherwise(F.lit("1"))
-    return F.concat(body, F.when(k % 5 == 0, wrong).otherwise(good))
-
-
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("doc_id"), "c_name", F.col("c_nationkey").alias("nation"),
@@ -75,9 +66,21 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def numbered_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a right identity number and the written one: one in five has a wrong check character."""
+    k = F.col("doc_id")
+    born = F.when(k % 11 == 4, F.lit("19990230")).otherwise(F.date_format(birth_day(k), "yyyyMMdd"))
+    body = customers(spark, sf_dir).withColumn("body", F.concat(choose(REGIONS, k), born, digits(k % 1000, 3)))
+    checked = body.withColumn("good", id_check_char(F.col("body")))
+    wrong = F.when(F.col("good") == "1", F.lit("0")).otherwise(F.lit("1"))
+    return checked.withColumn("right_idn", F.concat("body", "good")).withColumn(
+        "idn", F.concat("body", F.when(k % 5 == 0, wrong).otherwise(F.col("good")))
+    )
+
+
 def id_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    return customers(spark, sf_dir).withColumn("idn", id_number(k)).select(
+    return numbered_customers(spark, sf_dir).select(
         "doc_id", "segment", F.lit("china_id").alias("plugin"),
         lines(
             line("中华人民共和国居民身份证"),
@@ -184,7 +187,7 @@ def booklets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(k % 3 == 2, line(value)),
         ]
 
-    return customers(spark, sf_dir).withColumn("idn", id_number(k)).select(
+    return numbered_customers(spark, sf_dir).select(
         "doc_id", "segment", F.lit("hukou_booklet").alias("plugin"),
         F.filter(
             F.array(
