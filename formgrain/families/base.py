@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.structs import with_fields
+from ..functions.structs import built_once, pinned
 from ..functions.text import blank, message_of
 from ..operators.lines import with_rows
 
@@ -88,11 +88,18 @@ def extract(docs: DataFrame, family: Family) -> DataFrame:
     return family.extract(with_rows(docs))
 
 
-def validate(docs: DataFrame, family: Family, as_of: Column | None = None) -> DataFrame:
-    """Add ``issues``, ``accepted`` and ``score``. A family without rules accepts everything."""
-    as_of = F.current_date() if as_of is None else as_of
-    raw = family.rules(F.col("fields"), as_of) if family.rules else no_issues()
-    out = docs.withColumn("issues", numbered(raw))
+@built_once
+def _issues(family_rules: Callable | None, as_of: str | None) -> Column:
+    today = F.current_date() if as_of is None else F.lit(as_of).cast("date")
+    return numbered(family_rules(F.col("fields"), today) if family_rules else no_issues())
+
+
+def validate(docs: DataFrame, family: Family, as_of: str | None = None) -> DataFrame:
+    """Add ``issues``, ``accepted`` and ``score``. A family without rules accepts everything.
+
+    ``as_of`` (ISO text) is the day birth dates may not lie after; by default today.
+    """
+    out = pinned(docs, {"issues": _issues(family.rules, as_of)})
     out = out.withColumn("accepted", ~has_severity(F.col("issues"), "error"))
     score = family.score or strict_score
     return out.withColumn("score", score(F.col("accepted"), F.col("issues")))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.checks import id_number_codes
+from ..functions.structs import built_once, with_fields
 from ..functions.text import after_mark, blank, compact, contains_any, non_empty, pick, strip
-from .base import Family, issue, issue_list, issues_for_codes, with_fields
+from .base import Family, issue, issue_list, issues_for_codes
 
 FIELDS = [
     "document_side", "name", "gender", "ethnicity", "birth_date", "address",
@@ -67,14 +68,17 @@ def _validity(lines: Column) -> tuple[Column, Column]:
     )
 
 
-def extract_china_id(docs: DataFrame) -> DataFrame:
-    staged = docs.withColumn("_lines", F.transform("rows", lambda r: compact(r["text"]))).withColumn(
-        "_back", is_back(F.col("rows"))
-    )
+@built_once
+def _stages() -> dict[str, Column]:
+    return {"_lines": F.transform("rows", lambda r: compact(r["text"])), "_back": is_back(F.col("rows"))}
+
+
+@built_once
+def _fields() -> dict[str, Column]:
     lines, back = F.col("_lines"), F.col("_back")
     front = lambda c: F.when(~back, c)
     valid_from, valid_to = _validity(lines)
-    fields = {
+    return {
         "document_side": F.when(back, F.lit("back")).otherwise(F.lit("front")),
         "name": front(_marked(lines, "姓名")),
         "gender": front(_last(lines, lambda t: pick(t, rules.ID_GENDER, 1))),
@@ -86,7 +90,10 @@ def extract_china_id(docs: DataFrame) -> DataFrame:
         "valid_from": F.when(back, valid_from),
         "valid_to": F.when(back, valid_to),
     }
-    return with_fields(staged, fields).drop("_lines", "_back")
+
+
+def extract_china_id(docs: DataFrame) -> DataFrame:
+    return with_fields(docs.withColumns(_stages()), _fields()).drop("_lines", "_back")
 
 
 def id_number_issues(id_number: Column, as_of: Column) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.checks import birth_date_in_id, birth_digits_in_id, id_number_codes
+from ..functions.structs import built_once, with_fields
 from ..functions.text import blank, booklet_gender, contains_any, iso_date, pick_or_keep, strip
 from ..operators.labels import first_value, labelled_values
-from .base import Family, issue, issue_list, issues_for_codes, missing, no_issues, with_fields
+from .base import Family, issue, issue_list, issues_for_codes, missing, no_issues
 
 
 def _marked_household_id(rows: Column) -> Column:
@@ -30,13 +31,17 @@ def _line_below_address(rows: Column) -> Column:
     return F.get(F.filter(below, lambda t: t.isNotNull()), 0)
 
 
-def extract_hukou_booklet(docs: DataFrame, aliases=None) -> DataFrame:
-    aliases = aliases or rules.BOOKLET_ALIASES
-    staged = docs.withColumn("_found", labelled_values(F.col("rows"), aliases))
-    read = lambda name: first_value(F.col("_found"), name)
-    staged = staged.withColumn("_id", pick_or_keep(read("id_number"), rules.BOOKLET_ID_NUMBER))
+@built_once
+def _stages(aliases) -> tuple[Column, Column]:
+    found = labelled_values(F.col("rows"), aliases or rules.BOOKLET_ALIASES)
+    return found, pick_or_keep(first_value(F.col("_found"), "id_number"), rules.BOOKLET_ID_NUMBER)
+
+
+@built_once
+def _fields() -> dict[str, Column]:
     rows = F.col("rows")
-    fields = {
+    read = lambda name: first_value(F.col("_found"), name)
+    return {
         "doc_type": F.lit("hukou_booklet"),
         "household_id": F.coalesce(pick_or_keep(read("household_id"), rules.HOUSEHOLD_ID), _marked_household_id(rows)),
         "householder_name": read("householder_name"),
@@ -47,7 +52,12 @@ def extract_hukou_booklet(docs: DataFrame, aliases=None) -> DataFrame:
         "birth_date": F.coalesce(iso_date(read("birth_date")), birth_date_in_id(F.col("_id"))),
         "id_number": F.col("_id"),
     }
-    return with_fields(staged, fields).drop("_found", "_id")
+
+
+def extract_hukou_booklet(docs: DataFrame, aliases=None) -> DataFrame:
+    found, number = _stages(aliases)
+    staged = docs.withColumn("_found", found).withColumn("_id", number)
+    return with_fields(staged, _fields()).drop("_found", "_id")
 
 
 def hukou_booklet_rules(fields: Column, as_of: Column, relations=None) -> Column:

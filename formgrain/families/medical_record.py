@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.structs import built_once, with_fields
 from ..functions.text import age_text, iso_date, record_gender, split_items
 from ..operators.labels import first_value, labelled_values
 from ..operators.lines import joined_text
-from .base import Family, issue_list, missing, with_fields
+from .base import Family, issue_list, missing
 
 
-def extract_medical_record(docs: DataFrame, aliases=None) -> DataFrame:
-    staged = docs.withColumn("_found", labelled_values(F.col("rows"), aliases or rules.RECORD_ALIASES))
+@built_once
+def _found(aliases) -> Column:
+    return labelled_values(F.col("rows"), aliases or rules.RECORD_ALIASES)
+
+
+@built_once
+def _fields() -> dict[str, Column]:
     read = lambda name: first_value(F.col("_found"), name)
     rows = F.col("rows")
     heading = F.get(F.filter(F.slice(rows, 1, 3), lambda r: F.contains(r["text"], F.lit("医院"))), 0)["text"]
     dated = read("visit_date")
-    fields = {
+    return {
         "doc_type": F.lit("medical_record"),
         "hospital_name": F.coalesce(read("hospital_name"), heading),
         "patient_name": read("patient_name"),
@@ -31,7 +37,10 @@ def extract_medical_record(docs: DataFrame, aliases=None) -> DataFrame:
         "medications": split_items(read("medications")),
         "notes": read("notes"),
     }
-    return with_fields(staged, fields).drop("_found")
+
+
+def extract_medical_record(docs: DataFrame, aliases=None) -> DataFrame:
+    return with_fields(docs.withColumn("_found", _found(aliases)), _fields()).drop("_found")
 
 
 def medical_record_rules(fields: Column, as_of: Column) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.checks import mrz_check_digit, mrz_values
+from ..functions.structs import built_once, with_fields
 from ..functions.text import comparable, compact, non_empty
-from .base import Family, issue, issue_list, with_fields
+from .base import Family, issue, issue_list
 
 MRZ_FIELDS = [
     "document_code", "issuing_country", "surname", "given_names", "passport_number",
@@ -59,17 +60,26 @@ def mrz_record(first: Column, second: Column) -> Column:
     )
 
 
-def extract_passport(docs: DataFrame) -> DataFrame:
-    staged = docs.withColumn("_pair", mrz_pair(F.col("rows")))
+@built_once
+def _stages() -> tuple[Column, Column]:
     pair = F.col("_pair")
-    staged = staged.withColumn("_mrz", F.when(F.size(pair) == 2, mrz_record(F.get(pair, 0), F.get(pair, 1))))
-    fields = {
+    return mrz_pair(F.col("rows")), F.when(F.size(pair) == 2, mrz_record(F.get(pair, 0), F.get(pair, 1)))
+
+
+@built_once
+def _fields() -> dict[str, Column]:
+    return {
         "document_variant": F.lit("passport"),
-        "mrz_lines": pair,
+        "mrz_lines": F.col("_pair"),
         "mrz_fields": F.col("_mrz"),
         **{f: F.col("_mrz")[f] for f in MRZ_FIELDS},
     }
-    return with_fields(staged, fields).drop("_pair", "_mrz")
+
+
+def extract_passport(docs: DataFrame) -> DataFrame:
+    pair, record = _stages()
+    staged = docs.withColumn("_pair", pair).withColumn("_mrz", record)
+    return with_fields(staged, _fields()).drop("_pair", "_mrz")
 
 
 def mrz_codes(first: Column, second: Column) -> Column:

@@ -6,28 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.structs import built_once, with_fields
 from ..functions.text import contains_any, pick
 from ..operators.lines import joined_text
 from ..operators.places import anchor_box, nearest_name, places_in_order
-from .base import Family, issue, issue_list, missing, with_fields
+from .base import Family, issue, issue_list, missing
 
 
 def _absent() -> Column:
     return F.lit(None).cast("string")
 
 
-def extract_boarding_pass(docs: DataFrame, airports=None) -> DataFrame:
-    airports = list(airports or rules.AIRPORTS)
+@built_once
+def _boarding_stages(airports: tuple[str, ...]) -> dict[str, Column]:
     rows = F.col("rows")
-    staged = (
-        docs.withColumn("_text", joined_text(rows))
-        .withColumn("_places", places_in_order(rows, airports))
-        .withColumn("_anchor", anchor_box(rows))
-    )
-    text, places = F.col("_text"), F.col("_places")
-    fields = {
+    return {"_text": joined_text(rows), "_places": places_in_order(rows, airports), "_anchor": anchor_box(rows)}
+
+
+@built_once
+def _boarding_fields(airports: tuple[str, ...]) -> dict[str, Column]:
+    rows, text, places = F.col("rows"), F.col("_text"), F.col("_places")
+    return {
         "document_variant": F.lit("boarding_pass"),
-        "passenger_name": nearest_name(rows, F.col("_anchor"), rules.BOARDING_STOPWORDS + airports),
+        "passenger_name": nearest_name(rows, F.col("_anchor"), rules.BOARDING_STOPWORDS + list(airports)),
         "flight_number": F.translate(pick(text, rules.FLIGHT_NUMBER, 1), " ", ""),
         "ticket_number": pick(text, rules.TICKET_NUMBER, 1),
         "departure_date": pick(text, rules.FLIGHT_DATE),
@@ -36,7 +37,13 @@ def extract_boarding_pass(docs: DataFrame, airports=None) -> DataFrame:
         "gate": pick(text, rules.GATE),
         "seat_no": _absent(),
     }
-    return with_fields(staged, fields).drop("_text", "_places", "_anchor")
+
+
+def extract_boarding_pass(docs: DataFrame, airports=None) -> DataFrame:
+    airports = tuple(airports or rules.AIRPORTS)
+    return with_fields(docs.withColumns(_boarding_stages(airports)), _boarding_fields(airports)).drop(
+        "_text", "_places", "_anchor"
+    )
 
 
 def _train_number(rows: Column) -> Column:
@@ -49,22 +56,22 @@ def _train_number(rows: Column) -> Column:
     return F.array_max(lettered)["value"]
 
 
-def extract_train_ticket(docs: DataFrame, stations=None, airports=None) -> DataFrame:
-    airports = list(airports or rules.AIRPORTS)
-    stations = list(stations or rules.TRAIN_STATIONS)
-    rows = F.col("rows")
-    staged = docs.withColumn("_text", joined_text(rows))
-    flying = contains_any(F.upper("_text"), ["BOARDING", "FLIGHT"]) | F.contains(F.col("_text"), F.lit("登机牌"))
-    staged = staged.withColumn("_flying", flying)
-    staged = staged.withColumn(
-        "_places",
-        F.when(F.col("_flying"), places_in_order(rows, airports)).otherwise(places_in_order(rows, stations)),
-    ).withColumn("_anchor", anchor_box(rows))
-    text, flying, places = F.col("_text"), F.col("_flying"), F.col("_places")
-    fields = {
+@built_once
+def _train_stages(stations: tuple[str, ...], airports: tuple[str, ...]) -> list[dict[str, Column]]:
+    rows, text = F.col("rows"), F.col("_text")
+    flying = contains_any(F.upper(text), ["BOARDING", "FLIGHT"]) | F.contains(text, F.lit("登机牌"))
+    named = F.when(F.col("_flying"), places_in_order(rows, airports)).otherwise(places_in_order(rows, stations))
+    return [{"_text": joined_text(rows), "_anchor": anchor_box(rows)}, {"_flying": flying}, {"_places": named}]
+
+
+@built_once
+def _train_fields(stations: tuple[str, ...], airports: tuple[str, ...]) -> dict[str, Column]:
+    rows, text, flying, places = F.col("rows"), F.col("_text"), F.col("_flying"), F.col("_places")
+    excluded = [*rules.TRAIN_STOPWORDS, *airports, *stations]
+    return {
         "document_variant": F.when(flying, F.lit("boarding_pass_like")).otherwise(F.lit("train_ticket")),
         "ticket_number": pick(text, rules.TICKET_NUMBER, 1),
-        "passenger_name": nearest_name(rows, F.col("_anchor"), rules.TRAIN_STOPWORDS + airports + stations),
+        "passenger_name": nearest_name(rows, F.col("_anchor"), excluded),
         "train_number": F.when(flying, F.translate(pick(text, rules.FLIGHT_NUMBER, 1), " ", ""))
         .otherwise(_train_number(rows)),
         "departure_station": F.get(places, 0),
@@ -74,7 +81,13 @@ def extract_train_ticket(docs: DataFrame, stations=None, airports=None) -> DataF
         "fare": _absent(),
         "gate": pick(text, rules.GATE),
     }
-    return with_fields(staged, fields).drop("_text", "_flying", "_places", "_anchor")
+
+
+def extract_train_ticket(docs: DataFrame, stations=None, airports=None) -> DataFrame:
+    stations, airports = tuple(stations or rules.TRAIN_STATIONS), tuple(airports or rules.AIRPORTS)
+    for stage in _train_stages(stations, airports):
+        docs = docs.withColumns(stage)
+    return with_fields(docs, _train_fields(stations, airports)).drop("_text", "_flying", "_places", "_anchor")
 
 
 def boarding_pass_rules(fields: Column, as_of: Column) -> Column:

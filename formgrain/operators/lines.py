@@ -11,12 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import BBOX_TYPE, bounding_box
-from ..functions.structs import unfold
-from ..functions.text import split_lines, strip
+from ..functions.structs import built_once, unfold
+from ..functions.text import let, split_lines, strip
 
 LINES_TYPE = "array<struct<box:array<array<double>>,text:string,score:double>>"
 
 
+def _text_rows(text: Column) -> Column:
+    return F.transform(
+        F.filter(F.transform(split_lines(text), strip), lambda t: t != ""),
+        lambda t: F.struct(t.alias("text"), F.lit(0.0).alias("score"), F.lit(None).cast(BBOX_TYPE).alias("bbox")),
+    )
+
+
+def _no_rows() -> Column:
+    return F.array().cast(f"array<struct<text:string,score:double,bbox:{BBOX_TYPE}>>")
+
+
 def rows_of(lines: Column, text: Column) -> Column:
     """Non-blank lines in reading order; the document text split into lines when there are none."""
     recognised = F.filter(
@@ -30,31 +41,19 @@ def rows_of(lines: Column, text: Column) -> Column:
         ),
         lambda r: r["text"] != "",
     )
-    from_text = F.transform(
-        F.filter(F.transform(split_lines(text), strip), lambda t: t != ""),
-        lambda t: F.struct(
-            t.alias("text"), F.lit(0.0).alias("score"), F.lit(None).cast(BBOX_TYPE).alias("bbox")
-        ),
-    )
-    empty = F.array().cast(f"array<struct<text:string,score:double,bbox:{BBOX_TYPE}>>")
-    return F.when(F.size(recognised) > 0, recognised).otherwise(F.coalesce(from_text, empty))
+    return let(recognised, lambda r: F.when(F.size(r) > 0, r).otherwise(F.coalesce(_text_rows(text), _no_rows())))
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
     """Add ``rows``, the cleaned lines of each document. ``text`` or ``lines`` may be absent."""
     have = set(docs.columns)
-    lines = F.col("lines") if "lines" in have else F.lit(None).cast(LINES_TYPE)
-    text = F.col("text") if "text" in have else F.lit(None).cast("string")
-    if "lines" not in have:
-        cleaned = F.filter(F.transform(split_lines(text), strip), lambda t: t != "")
-        rows = F.transform(
-            cleaned,
-            lambda t: F.struct(
-                t.alias("text"), F.lit(0.0).alias("score"), F.lit(None).cast(BBOX_TYPE).alias("bbox")
-            ),
-        )
-        return docs.withColumn("rows", rows)
-    return docs.withColumn("rows", rows_of(lines, text))
+    return docs.withColumn("rows", _rows("lines" in have, "text" in have))
+
+
+@built_once
+def _rows(has_lines: bool, has_text: bool) -> Column:
+    text = F.col("text") if has_text else F.lit(None).cast("string")
+    return rows_of(F.col("lines"), text) if has_lines else F.coalesce(_text_rows(text), _no_rows())
 
 
 def joined_text(rows: Column) -> Column:

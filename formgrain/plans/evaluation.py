@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.structs import unfold
+from ..functions.structs import pinned, unfold
 
 CRITICAL_FIELDS = [
     "id_number", "mrz_lines", "passport_number", "passenger_name", "ticket_number",
@@ -38,7 +38,7 @@ def compare(golden: DataFrame, predicted: DataFrame) -> DataFrame:
             e["value"].eqNullSafe(F.try_element_at("field_values", e["key"])).alias("matched"),
         ),
     )
-    return joined.withColumn("outcome", outcome).drop("field_values", "expected")
+    return pinned(joined, {"outcome": outcome}).drop("field_values", "expected")
 
 
 def document_scores(compared: DataFrame) -> DataFrame:

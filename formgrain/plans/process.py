@@ -29,7 +29,7 @@ def unroutable(results: DataFrame) -> DataFrame:
     return results.where(F.col("plugin").isNull() | ~F.col("plugin").isin(families.names()))
 
 
-def family_job(results: DataFrame, name: str, overrides: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
+def family_job(results: DataFrame, name: str, overrides: DataFrame | None = None, as_of: str | None = None) -> DataFrame:
     """Typed result of one family: ``fields`` struct, ``issues``, ``accepted`` and ``score``."""
     family = families.get(name)
     docs = families.extract(results.where(F.col("plugin") == name), family)
@@ -39,7 +39,7 @@ def family_job(results: DataFrame, name: str, overrides: DataFrame | None = None
 def process(
     results: DataFrame,
     overrides: DataFrame | None = None,
-    as_of: Column | None = None,
+    as_of: str | None = None,
     only: list[str] | None = None,
 ) -> DataFrame:
     """All families over one table of recognition results, one row per document.
@@ -104,7 +104,7 @@ def run(
     out: str,
     run_id: str,
     overrides: DataFrame | None = None,
-    as_of: Column | None = None,
+    as_of: str | None = None,
 ) -> DataFrame:
     """Process once into a table under ``out`` and derive every other output from that table.
 

@@ -14,6 +14,8 @@ def get_session(app_name: str = "formgrain", master: str | None = None, **conf:
         builder = builder.master(master)
     defaults = {
         "spark.sql.session.timeZone": "UTC",
+        # Call sites of single column calls are not worth a stack walk each.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
     }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.structs import pinned
 from ..functions.text import strip
 
 NODE_TYPE = "struct<open:boolean,raw:string,node:variant>"
@@ -120,18 +121,14 @@ def flatten_layout(df: DataFrame, payload: str = "payload", max_depth: int | Non
         measured = df.agg(F.max(nesting_depth(F.col(payload))).alias("d")).first()["d"]
         max_depth = max(measured or 1, 1)
     root = F.try_parse_json(F.col(payload))
-    out = df.withColumn("_nodes", F.array(_node(F.col(payload), root, True)))
+    out = pinned(df, {"_nodes": F.array(_node(F.col(payload), root, True))})
     for _ in range(max_depth):
-        out = out.withColumn(
+        opened = F.transform(
             "_nodes",
-            F.flatten(
-                F.transform(
-                    "_nodes",
-                    lambda n: F.when(n["open"], F.concat(F.array(_node(n["raw"], n["node"], False)), _children(n)))
-                    .otherwise(F.array(n)),
-                )
-            ),
+            lambda n: F.when(n["open"], F.concat(F.array(_node(n["raw"], n["node"], False)), _children(n)))
+            .otherwise(F.array(n)),
         )
+        out = pinned(out, {"_nodes": F.flatten(opened)})
 
     def facts(n: Column) -> Column:
         node = n["node"]
@@ -162,7 +159,7 @@ def flatten_layout(df: DataFrame, payload: str = "payload", max_depth: int | Non
             ).alias("pair"),
         )
 
-    out = out.withColumn("_facts", F.transform("_nodes", facts))
+    out = pinned(out, {"_facts": F.transform("_nodes", facts)})
     facts_col = F.col("_facts")
     layout = F.filter(F.transform(facts_col, lambda f: f["entry"]), lambda e: e.isNotNull())
     pairs = F.filter(F.transform(facts_col, lambda f: f["pair"]), lambda p: p.isNotNull())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.structs import pinned
+
 OCR_SCHEMA = (
     "doc_id string, plugin string, engine string, text string, "
     "lines array<struct<box:array<array<double>>,text:string,score:double>>, confidence double"
@@ -94,11 +96,12 @@ def normalize_payloads(df: DataFrame, payload: str = "payload", engine: str = "p
     Both payload shapes are handled in place, row by row; nothing is exploded or shuffled.
     Text that is no JSON gives no lines and ``payload_ok`` false.
     """
-    staged = df.withColumn("_raw", F.try_parse_json(F.col(payload))).withColumn("_list", _items(F.col("_raw")))
+    staged = pinned(df, {"_raw": F.try_parse_json(F.col(payload))})
+    staged = pinned(staged, {"_list": _items(F.col("_raw"))})
     raw = F.col("_list")
     empty = F.array().cast("array<struct<box:array<array<double>>,text:string,score:double>>")
     lines = F.coalesce(F.when(_is_object(F.get(raw, 0)), _paged(raw)).otherwise(_listed(raw)), empty)
-    staged = staged.withColumn("lines", lines)
+    staged = pinned(staged, {"lines": lines})
     total = F.aggregate("lines", F.lit(0.0), lambda acc, l: acc + l["score"])
     count = F.size("lines")
     return (

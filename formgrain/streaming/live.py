@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,7 +19,7 @@ def read_results_stream(spark: SparkSession, path: str, fmt: str = "json", files
     return reader.format(fmt).load(path)
 
 
-def process_stream(results: DataFrame, as_of: Column | None = None, only: list[str] | None = None) -> DataFrame:
+def process_stream(results: DataFrame, as_of: str | None = None, only: list[str] | None = None) -> DataFrame:
     """The batch job's projections need no state, so a stream takes them as they are."""
     return process(results, as_of=as_of, only=only)
 

@@ -205,7 +205,10 @@ def q(names: str, body: str) -> str:
 
     for name in names.split():
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + body
+    parts = ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
+    body = body.strip()
+    # A body may name further parts of its own.
+    return f"WITH {parts},\n{body[5:]}" if body.startswith("WITH ") else f"WITH {parts}\n{body}"
 
 
 def listed(source: str) -> str:
@@ -410,10 +413,9 @@ def oracle_sql() -> dict[str, str]:
                         SELECT 'week ' || (CAST(split_part(doc_id, '/', 2) AS BIGINT) % 4) AS period, plugin, unnest(issues).code AS code FROM all_issues)
                     GROUP BY ALL)) WHERE rank <= 5"""),
         "decisions": q("judged", "SELECT plugin, decision, count(*) AS num_documents FROM judged GROUP BY plugin, decision"),
-        "review_queue": q("book_judged books", """
-            SELECT j.doc_id, list_count([household_id, householder_name, address, member_name, relation_to_head, gender, birth_date, id_number]) + 1 AS num_fields,
-                   0 AS num_errors
-            FROM book_judged j JOIN books b ON j.doc_id = b.k WHERE decision = 'review'"""),
+        "review_queue": q("cust", """
+            SELECT k AS doc_id, CASE WHEN k % 3 = 2 THEN 12 ELSE 13 END AS num_fields, 1 AS num_errors
+            FROM cust WHERE k % 8 = 3 AND k % 9 <> 4 AND k % 6 NOT IN (1, 2)"""),
         "number_candidates": q("ids", """
             WITH c AS (SELECT k, idn, body || good AS fixed FROM ids)
             SELECT k AS doc_id, f.value AS value, f.labelled AS labelled, round(f.score, 9) AS score FROM (
@@ -424,7 +426,7 @@ def oracle_sql() -> dict[str, str]:
                 FROM (SELECT k, idn, fixed,
                         CASE WHEN good_place AND idn = fixed THEN 0.4 ELSE 0.0 END AS valid, CASE WHEN good_place THEN 0.4 ELSE 0.0 END AS valid_fixed
                       FROM (SELECT *, k % 7 < 5 AND k % 11 <> 4 AS good_place FROM c)))
-            WHERE f.value IS NOT NULL""").replace(")\n            WITH c AS", "),\n            c AS", 1),
+            WHERE f.value IS NOT NULL"""),
         "chosen_numbers": q("ids", """
             SELECT k AS doc_id, CASE WHEN k % 17 = 9 THEN body || good
                    WHEN idn <> body || good AND k % 7 < 5 AND k % 11 <> 4 THEN CASE WHEN 0.5 >= 0.58 THEN idn ELSE body || good END
@@ -444,7 +446,7 @@ def oracle_sql() -> dict[str, str]:
                     {'f': 'id_number', 'v': NULL}, {'f': 'train_number', 'v': train_number}, {'f': 'departure_station', 'v': departure_station},
                     {'f': 'arrival_station', 'v': arrival_station}, {'f': 'departure_time', 'v': departure_time}, {'f': 'seat_no', 'v': NULL}, {'f': 'fare', 'v': NULL}]) FROM trains)
             SELECT plugin, x.f AS field, count(*) AS num_documents, count(x.v) AS num_present, round(1 - count(x.v) / count(*), 9) AS missing_rate
-            FROM f GROUP BY ALL""").replace(")\n            WITH f AS", "),\n            f AS", 1),
+            FROM f GROUP BY ALL"""),
         "quality_routes": """
             WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 10 AS blur, l_tax * 10 AS glare, CAST(l_quantity AS DOUBLE) / 50 AS shadow,
                        ['boarding_pass','hukou_booklet','passport'][l_linenumber % 3 + 1] AS plugin FROM lineitem),
@@ -459,7 +461,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT k % 400 AS case_id, min(k) AS front_id, count(*) AS n FROM ids GROUP BY 1) f
             FULL JOIN (SELECT s_suppkey * 5 AS case_id, min(s_suppkey) AS back_id, count(*) AS n FROM supplier GROUP BY 1) b ON f.case_id = b.case_id"""),
         "source_selection": """
-            WITH r AS (SELECT o_custkey AS doc_id, o_orderstatus AS field, o_orderkey || '' AS value, o_totalprice / 1e6 AS confidence,
+            WITH r AS (SELECT o_custkey AS doc_id, o_orderstatus AS field, o_orderkey || '' AS value, (o_orderkey % 1000) / 1000.0::DOUBLE AS confidence,
                        o_orderkey % 5 + 1 AS rank, ['vlm_fallback','barcode','template_ocr','mrz','manual'][o_orderkey % 5 + 1] AS source FROM orders)
             SELECT doc_id, field, value, source, round(confidence, 9) AS confidence, round(m, 9) AS mean_confidence, n AS num_results FROM (
                 SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY rank DESC, confidence DESC, value DESC) AS rn,

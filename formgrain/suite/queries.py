@@ -218,7 +218,7 @@ def _fields(docs: DataFrame, name: str, *columns: str, keep: tuple[str, ...] = (
 
 
 def _judged(docs: DataFrame, name: str, overrides: DataFrame | None = None) -> DataFrame:
-    return process.family_job(docs, name, overrides, as_of())
+    return process.family_job(docs, name, overrides, render.AS_OF)
 
 
 def _issues(docs: DataFrame, name: str, overrides: DataFrame | None = None) -> DataFrame:
@@ -387,7 +387,7 @@ def _compared(spark, sf) -> DataFrame:
             F.lit("spouse"), F.lit(None).cast("string"),
         ).alias("expected"),
     )
-    booklets = process.process(render.booklets(spark, sf), as_of=as_of(), only=["hukou_booklet"])
+    booklets = process.process(render.booklets(spark, sf), as_of=render.AS_OF, only=["hukou_booklet"])
     predicted = review.with_decision(booklets).select("doc_id", "plugin", "field_values", "accepted", "decision")
     return evaluation.compare(golden, predicted)
 
@@ -465,7 +465,7 @@ def mixed_results(spark, sf) -> DataFrame:
 
 
 def _decided(spark, sf) -> DataFrame:
-    return review.with_decision(process.process(mixed_results(spark, sf), as_of=as_of()))
+    return review.with_decision(process.process(mixed_results(spark, sf), as_of=render.AS_OF))
 
 
 def processed_documents(spark, sf):
@@ -499,8 +499,10 @@ def decisions(spark, sf):
 
 
 def review_queue(spark, sf):
-    booklets = process.process(render.booklets(spark, sf), as_of=as_of(), only=["hukou_booklet"])
-    return review.review_queue(review.with_decision(booklets)).select(
+    done = process.process(
+        render.passports(spark, sf), render.passport_overrides(spark, sf), render.AS_OF, only=["passport"]
+    )
+    return review.review_queue(review.with_decision(done)).select(
         "doc_id", F.size("evidence").alias("num_fields"), F.size("errors").alias("num_errors")
     )
 
@@ -530,7 +532,7 @@ def chosen_numbers(spark, sf):
 
 def completeness(spark, sf):
     kinds = list(rules.EXPECTED_FIELDS)
-    done = review.completeness(process.process(mixed_results(spark, sf), as_of=as_of(), only=kinds))
+    done = review.completeness(process.process(mixed_results(spark, sf), as_of=render.AS_OF, only=kinds))
     return done.withColumn("missing_rate", F.round("missing_rate", 9))
 
 
@@ -562,7 +564,7 @@ def source_selection(spark, sf):
     k = F.col("o_orderkey")
     results = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("field"), k.cast("string").alias("value"),
-        (F.col("o_totalprice") / 1e6).alias("confidence"), render.choose(rules.SOURCE_PRIORITY, k).alias("source"),
+        ((k % 1000) / 1000.0).alias("confidence"), render.choose(rules.SOURCE_PRIORITY, k).alias("source"),
     )
     return _rounded(merging.select_by_source(results), "confidence", "mean_confidence")
 
@@ -637,7 +639,7 @@ def _stored_results(spark, sf) -> str:
 
 def live_decisions(spark, sf):
     stream = live.read_results_stream(spark, _stored_results(spark, sf), "parquet")
-    done = live.process_stream(stream, as_of=as_of()).select(
+    done = live.process_stream(stream, as_of=render.AS_OF).select(
         "doc_id", "plugin", "accepted", "score", F.size("issues").alias("num_issues")
     )
     return _finished(spark, done, "live-decisions")
@@ -646,7 +648,7 @@ def live_decisions(spark, sf):
 def live_dead_letters(spark, sf):
     stream = live.read_results_stream(spark, _stored_results(spark, sf), "parquet")
     base = shared_dir(spark, "live-letters")
-    live.dead_letter_stream(live.process_stream(stream, as_of=as_of()), f"{base}/out", f"{base}/state", once=True).awaitTermination()
+    live.dead_letter_stream(live.process_stream(stream, as_of=render.AS_OF), f"{base}/out", f"{base}/state", once=True).awaitTermination()
     stored = spark.read.schema(
         "doc_id string, issues array<struct<code:string>>, run_id string, plugin string"
     ).json(f"{base}/out")

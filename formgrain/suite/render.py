@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checks import id_check_char, mrz_check_digit, mrz_values
+from ..functions.structs import built_once
 
 AS_OF = "2026-01-01"
 
@@ -78,9 +79,10 @@ def numbered_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def id_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+@built_once
+def _id_cards_columns() -> list:
     k = F.col("doc_id")
-    return numbered_customers(spark, sf_dir).select(
+    return [
         "doc_id", "segment", F.lit("china_id").alias("plugin"),
         lines(
             line("中华人民共和国居民身份证"),
@@ -91,10 +93,15 @@ def id_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
             line(F.concat(F.lit("No "), F.col("nation").cast("string"))),
             F.when(k % 17 != 9, line(F.concat(F.lit("公民身份号码 "), F.lower("idn")))),
         ).alias("lines"),
-    )
+    ]
 
 
-def id_backs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def id_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered_customers(spark, sf_dir).select(*_id_cards_columns())
+
+
+@built_once
+def _id_backs_columns() -> list:
     k = F.col("s_suppkey")
     start = days_from("2001-01-01", k % 5000)
     span = (
@@ -102,14 +109,18 @@ def id_backs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 3 == 1, F.concat(F.date_format(start, "yyyyMMdd"), F.lit("至长期")))
         .otherwise(F.concat(F.date_format(start, "yyyy"), F.lit("-2031")))
     )
-    return table(spark, sf_dir, "supplier").select(
+    return [
         k.alias("doc_id"), F.lit("china_id").alias("plugin"),
         lines(
             line("中华人民共和国居民身份证"),
             line(F.concat(F.lit("签发机关: "), F.col("s_name"))),
             line(F.concat(F.lit("有效期限 "), span)),
         ).alias("lines"),
-    )
+    ]
+
+
+def id_backs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(*_id_backs_columns())
 
 
 # --- passports -------------------------------------------------------------------------------
@@ -175,7 +186,8 @@ def passport_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELATIONS = ["之子", "之女", "邻居", "配偶"]
 
 
-def booklets(spark: SparkSession, sf_dir: str) -> DataFrame:
+@built_once
+def _booklets_columns() -> list:
     k = F.col("doc_id")
 
     def pair(label: str, value: Column) -> list[Column]:
@@ -187,7 +199,7 @@ def booklets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(k % 3 == 2, line(value)),
         ]
 
-    return numbered_customers(spark, sf_dir).select(
+    return [
         "doc_id", "segment", F.lit("hukou_booklet").alias("plugin"),
         F.filter(
             F.array(
@@ -203,16 +215,21 @@ def booklets(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
             lambda l: l.isNotNull(),
         ).alias("lines"),
-    )
+    ]
+
+
+def booklets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered_customers(spark, sf_dir).select(*_booklets_columns())
 
 
 # --- medical records -------------------------------------------------------------------------
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+@built_once
+def _records_columns() -> list:
     k = F.col("p_partkey")
     day = days_from("2024-01-01", k % 700)
-    return table(spark, sf_dir, "part").select(
+    return [
         k.alias("doc_id"), F.lit("medical_record").alias("plugin"),
         lines(
             line(F.concat(F.lit("市第"), k.cast("string"), F.lit("医院"))),
@@ -227,7 +244,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
             line("备注"),
             line(F.concat(F.lit("price "), F.col("p_size").cast("string"))),
         ).alias("lines"),
-    )
+    ]
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(*_records_columns())
 
 
 # --- tickets ---------------------------------------------------------------------------------
@@ -249,10 +270,11 @@ def _name_lines(k: Column) -> list[Column]:
     ]
 
 
-def boarding_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+@built_once
+def _boarding_passes_columns() -> list:
     k = F.col("o_orderkey")
     date = F.concat(F.date_format("o_orderdate", "dd"), choose(MONTHS, F.month("o_orderdate") - 1))
-    return table(spark, sf_dir, "orders").select(
+    return [
         k.alias("doc_id"), F.lit("boarding_pass").alias("plugin"),
         lines(
             line("BOARDING PASS", 0.99, quad(F.lit(0), F.lit(0))),
@@ -266,12 +288,17 @@ def boarding_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(k % 8 != 3, line(F.concat(F.lit("etkt "), digits(k, 13), F.lit("/1")), 0.99, quad(F.lit(0), F.lit(80)))),
             line(F.concat(F.lit("G"), (k % 100).cast("string")), 0.99, quad(F.lit(150), F.lit(20))),
         ).alias("lines"),
-    )
+    ]
 
 
-def train_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def boarding_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(*_boarding_passes_columns())
+
+
+@built_once
+def _train_tickets_columns() -> list:
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    return [
         k.alias("doc_id"), F.lit("train_ticket").alias("plugin"),
         lines(
             line("中国铁路客票", 0.99, quad(F.lit(0), F.lit(0))),
@@ -285,7 +312,11 @@ def train_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
             *_name_lines(k),
             F.when(k % 8 != 3, line(F.concat(F.lit("ETKT "), digits(k, 13)), 0.95, quad(F.lit(0), F.lit(120)))),
         ).alias("lines"),
-    )
+    ]
+
+
+def train_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(*_train_tickets_columns())
 
 
 # --- texts -----------------------------------------------------------------------------------

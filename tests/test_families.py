@@ -11,7 +11,7 @@ def read(make_docs, plugin, body, as_of="2026-01-01", patch=None):
     docs = families.extract(make_docs([("d", plugin, body)]), family)
     for name, value in (patch or {}).items():
         docs = docs.withColumn("fields", F.col("fields").withField(name, F.lit(value)))
-    row = families.validate(docs, family, F.lit(as_of).cast("date")).collect()[0]
+    row = families.validate(docs, family, as_of).collect()[0]
     return row.fields.asDict(), [i.code for i in row.issues], row
 
 
