@@ -9,7 +9,7 @@ from .. import rules
 from ..functions.structs import built_once, with_fields
 from ..functions.text import contains_any, pick
 from ..operators.lines import joined_text
-from ..operators.places import anchor_box, nearest_name, places_in_order
+from ..operators.places import anchor_box, line_tokens, nearest_name, places_in_order
 from .base import Family, issue, issue_list, missing
 
 
@@ -18,9 +18,12 @@ def _absent() -> Column:
 
 
 @built_once
-def _boarding_stages(airports: tuple[str, ...]) -> dict[str, Column]:
-    rows = F.col("rows")
-    return {"_text": joined_text(rows), "_places": places_in_order(rows, airports), "_anchor": anchor_box(rows)}
+def _boarding_stages(airports: tuple[str, ...]) -> list[dict[str, Column]]:
+    rows, tokens = F.col("rows"), F.col("_tokens")
+    return [
+        {"_tokens": line_tokens(rows)},
+        {"_text": joined_text(rows), "_places": places_in_order(tokens, airports), "_anchor": anchor_box(rows, tokens)},
+    ]
 
 
 @built_once
@@ -41,9 +44,9 @@ def _boarding_fields(airports: tuple[str, ...]) -> dict[str, Column]:
 
 def extract_boarding_pass(docs: DataFrame, airports=None) -> DataFrame:
     airports = tuple(airports or rules.AIRPORTS)
-    return with_fields(docs.withColumns(_boarding_stages(airports)), _boarding_fields(airports)).drop(
-        "_text", "_places", "_anchor"
-    )
+    for stage in _boarding_stages(airports):
+        docs = docs.withColumns(stage)
+    return with_fields(docs, _boarding_fields(airports)).drop("_tokens", "_text", "_places", "_anchor")
 
 
 def _train_number(rows: Column) -> Column:
@@ -58,10 +61,14 @@ def _train_number(rows: Column) -> Column:
 
 @built_once
 def _train_stages(stations: tuple[str, ...], airports: tuple[str, ...]) -> list[dict[str, Column]]:
-    rows, text = F.col("rows"), F.col("_text")
+    rows, text, tokens = F.col("rows"), F.col("_text"), F.col("_tokens")
     flying = contains_any(F.upper(text), ["BOARDING", "FLIGHT"]) | F.contains(text, F.lit("登机牌"))
-    named = F.when(F.col("_flying"), places_in_order(rows, airports)).otherwise(places_in_order(rows, stations))
-    return [{"_text": joined_text(rows), "_anchor": anchor_box(rows)}, {"_flying": flying}, {"_places": named}]
+    named = F.when(F.col("_flying"), places_in_order(tokens, airports)).otherwise(places_in_order(tokens, stations))
+    return [
+        {"_text": joined_text(rows), "_tokens": line_tokens(rows)},
+        {"_flying": flying, "_anchor": anchor_box(rows, tokens)},
+        {"_places": named},
+    ]
 
 
 @built_once
@@ -87,7 +94,9 @@ def extract_train_ticket(docs: DataFrame, stations=None, airports=None) -> DataF
     stations, airports = tuple(stations or rules.TRAIN_STATIONS), tuple(airports or rules.AIRPORTS)
     for stage in _train_stages(stations, airports):
         docs = docs.withColumns(stage)
-    return with_fields(docs, _train_fields(stations, airports)).drop("_text", "_flying", "_places", "_anchor")
+    return with_fields(docs, _train_fields(stations, airports)).drop(
+        "_text", "_tokens", "_flying", "_places", "_anchor"
+    )
 
 
 def boarding_pass_rules(fields: Column, as_of: Column) -> Column:

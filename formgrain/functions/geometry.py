@@ -6,26 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import FAR_AWAY
-
-BBOX_TYPE = "struct<x1:double,y1:double,x2:double,y2:double>"
-
+from .text import let
 
 def bounding_box(quad: Column) -> Column:
     """Axis-aligned box around four corner points; null for anything else."""
-    whole = (F.size(quad) == 4) & F.forall(quad, lambda p: F.get(p, 0).isNotNull() & F.get(p, 1).isNotNull())
-    xs = F.transform(quad, lambda p: F.get(p, 0))
-    ys = F.transform(quad, lambda p: F.get(p, 1))
-    return F.when(
-        whole,
-        F.struct(
-            F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"),
-            F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"),
+    axis = lambda j: F.array_compact(F.transform(quad, lambda p: F.get(p, j)))
+    box = let(
+        F.struct(axis(0).alias("xs"), axis(1).alias("ys")),
+        lambda a: F.when(
+            (F.size(a["xs"]) == 4) & (F.size(a["ys"]) == 4),
+            F.struct(
+                F.array_min(a["xs"]).alias("x1"), F.array_min(a["ys"]).alias("y1"),
+                F.array_max(a["xs"]).alias("x2"), F.array_max(a["ys"]).alias("y2"),
+            ),
         ),
     )
+    return F.when(F.size(quad) == 4, box)
 
 
 def centre_distance(a: Column, b: Column) -> Column:
     """Manhattan distance of box centres; very far when either box is missing."""
-    dx = (a["x1"] + a["x2"]) / 2 - (b["x1"] + b["x2"]) / 2
-    dy = (a["y1"] + a["y2"]) / 2 - (b["y1"] + b["y2"]) / 2
-    return F.coalesce(F.abs(dx) + F.abs(dy), F.lit(FAR_AWAY))
+
+    def apart(p: Column) -> Column:
+        dx = (p["x1"] + p["x2"]) / 2 - (b["x1"] + b["x2"]) / 2
+        dy = (p["y1"] + p["y2"]) / 2 - (b["y1"] + b["y2"]) / 2
+        return F.coalesce(F.abs(dx) + F.abs(dy), F.lit(FAR_AWAY))
+
+    return let(a, apart)

@@ -23,13 +23,16 @@ def compact(c: Column) -> Column:
 
 
 def squeeze_upper(c: Column) -> Column:
-    """Upper case, inner white space runs as one blank, no outer white space."""
-    return strip(F.regexp_replace(F.upper(c), r"(?U)[\s\x1c-\x1f]+", " "))
+    """Upper case of stripped text with every run of white space as one blank.
+
+    The pattern passes over single blanks, so most texts are left as they are.
+    """
+    return F.regexp_replace(F.upper(c), rules.LOOSE_BLANKS, " ")
 
 
 def unspaced_upper(c: Column) -> Column:
     """Upper case without ASCII blanks: the form gazetteers and anchors are compared in."""
-    return F.translate(F.upper(c), " ", "")
+    return F.replace(F.upper(c), F.lit(" "), F.lit(""))
 
 
 def blank(c: Column) -> Column:

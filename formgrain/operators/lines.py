@@ -10,33 +10,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import BBOX_TYPE, bounding_box
+from ..functions.geometry import bounding_box
 from ..functions.structs import built_once, unfold
 from ..functions.text import let, split_lines, strip
 
+BOX_TYPE = "array<array<double>>"
 LINES_TYPE = "array<struct<box:array<array<double>>,text:string,score:double>>"
 
 
 def _text_rows(text: Column) -> Column:
     return F.transform(
         F.filter(F.transform(split_lines(text), strip), lambda t: t != ""),
-        lambda t: F.struct(t.alias("text"), F.lit(0.0).alias("score"), F.lit(None).cast(BBOX_TYPE).alias("bbox")),
+        lambda t: F.struct(t.alias("text"), F.lit(0.0).alias("score"), F.lit(None).cast(BOX_TYPE).alias("box")),
     )
 
 
 def _no_rows() -> Column:
-    return F.array().cast(f"array<struct<text:string,score:double,bbox:{BBOX_TYPE}>>")
+    return F.array().cast(f"array<struct<text:string,score:double,box:{BOX_TYPE}>>")
 
 
 def rows_of(lines: Column, text: Column) -> Column:
-    """Non-blank lines in reading order; the document text split into lines when there are none."""
+    """Non-blank lines in reading order; the document text split into lines when there are none.
+
+    Boxes stay as they came: only the few lines a rule compares by place get a bounding box.
+    """
     recognised = F.filter(
         F.transform(
             lines,
             lambda l: F.struct(
                 strip(l["text"]).alias("text"),
                 F.coalesce(l["score"], F.lit(0.0)).alias("score"),
-                bounding_box(l["box"]).alias("bbox"),
+                l["box"].alias("box"),
             ),
         ),
         lambda r: r["text"] != "",
@@ -69,7 +73,7 @@ def explode_lines(docs: DataFrame, *keep: str) -> DataFrame:
             (F.col("pos") + 1).alias("line_no"),
             F.col("item.text").alias("text"),
             F.col("item.score").alias("score"),
-            F.col("item.bbox").alias("bbox"),
+            bounding_box(F.col("item.box")).alias("bbox"),
         )
     )
 

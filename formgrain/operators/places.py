@@ -8,29 +8,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.geometry import centre_distance
-from ..functions.text import contains_any, squeeze_upper, unspaced_upper
+from ..functions.geometry import bounding_box, centre_distance
+from ..functions.text import contains_any, let, squeeze_upper, unspaced_upper
 
 
-def places_in_order(rows: Column, names: Sequence[str]) -> Column:
+def line_tokens(rows: Column) -> Column:
+    """Every line in the form that gazetteers and anchors are compared in."""
+    return F.transform(rows, lambda r: unspaced_upper(r["text"]))
+
+
+def places_in_order(tokens: Column, names: Sequence[str]) -> Column:
     """Distinct gazetteer names that fill a whole line, first seen first."""
-    tokens = F.transform(rows, lambda r: unspaced_upper(r["text"]))
     return F.array_distinct(F.filter(tokens, lambda t: t.isin(list(names))))
 
 
-def anchor_box(rows: Column, anchors: Sequence[str] = tuple(rules.NAME_ANCHORS)) -> Column:
+def anchor_box(rows: Column, tokens: Column, anchors: Sequence[str] = tuple(rules.NAME_ANCHORS)) -> Column:
     """Box of the first line that mentions an anchor word."""
     keys = [a.replace(" ", "") for a in anchors]
-    hits = F.filter(rows, lambda r: contains_any(unspaced_upper(r["text"]), keys))
-    return F.get(hits, 0)["bbox"]
+    at = F.array_position(F.transform(tokens, lambda t: contains_any(t, keys)), True).cast("int")
+    # Position 0 stands for no such line; there is no element before the first.
+    return let(F.get(rows, at - 1)["box"], bounding_box)
 
 
 def name_candidates(rows: Column, anchor: Column, excluded: Sequence[str]) -> Column:
     """Lines that read like a Latin person name, as (distance to anchor, negative score, text)."""
+    latin = F.filter(rows, lambda r: F.regexp_like(F.upper(r["text"]), F.lit(rules.LATIN_LINE)))
     shaped = F.transform(
-        rows,
+        latin,
         lambda r: F.struct(
-            centre_distance(r["bbox"], anchor).alias("distance"),
+            centre_distance(bounding_box(r["box"]), anchor).alias("distance"),
             (-r["score"]).alias("penalty"),
             squeeze_upper(r["text"]).alias("text"),
         ),

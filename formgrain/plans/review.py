@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.checks import id_number_codes
+from ..functions.geometry import bounding_box
 from ..functions.text import blank, pick
 from ..families.base import has_severity
 from ..operators.labels import labelled_values
@@ -59,7 +60,7 @@ def review_queue(decided: DataFrame) -> DataFrame:
         lambda e: F.struct(
             e["key"].alias("field"), e["value"].alias("value"),
             F.filter(
-                F.transform("rows", lambda r, i: F.struct((i + 1).alias("line_no"), r["text"].alias("text"), r["bbox"].alias("bbox"))),
+                F.transform("rows", lambda r, i: F.struct((i + 1).alias("line_no"), r["text"].alias("text"), bounding_box(r["box"]).alias("bbox"))),
                 lambda r: F.contains(r["text"], e["value"]),
             ).alias("candidates"),
         ),

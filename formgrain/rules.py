@@ -13,6 +13,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+LOOSE_BLANKS = r"(?U)(?: [\s\x1c-\x1f]|[\s\x1c-\x1f&&[^ ]])[\s\x1c-\x1f]*"
 LABEL_PADDING = " :："
 FULLWIDTH_DIGITS = "０１２３４５６７８９"
 
@@ -91,6 +92,7 @@ GATE = r"(?U)\bG\d{1,2}\b"
 FLIGHT_DATE = r"(?U)\b\d{2}[A-Z]{3}\b"
 TRAIN_DEPARTURE = r"(?U)\b\d{2}[A-Z]{3}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{2}:\d{2}\b"
 TRAIN_NUMBER = r"(?U)\b([GDCZTKYLSP]?\d{1,4})\b"
+LATIN_LINE = r"(?U)^[A-Z][A-Z\s\x1c-\x1f]{4,}\z"
 PERSON_NAME = r"^[A-Z][A-Z ]{4,24}\z"
 AIRPORTS = ["TAIYUAN", "FUZHOU", "SHANGHAI", "HANGZHOU", "BEIJING", "GUANGZHOU"]
 TRAIN_STATIONS = ["SHANGHAI", "HANGZHOU", "BEIJING", "GUANGZHOU", "NANJING", "SUZHOU", "WUHAN"]

@@ -420,9 +420,9 @@ def oracle_sql() -> dict[str, str]:
             WITH c AS (SELECT k, idn, body || good AS fixed FROM ids)
             SELECT k AS doc_id, f.value AS value, f.labelled AS labelled, round(f.score, 9) AS score FROM (
                 SELECT k, unnest([
-                    {'value': CASE WHEN k % 17 <> 9 THEN idn END, 'labelled': true, 'score': 0.4 + valid + 0.1},
-                    {'value': CASE WHEN k % 17 <> 9 THEN idn END, 'labelled': false, 'score': valid + 0.1},
-                    {'value': fixed, 'labelled': false, 'score': valid_fixed + 0.18}]) AS f
+                    {'value': CASE WHEN k % 17 <> 9 THEN idn END, 'labelled': true, 'score': CAST(0.4 + valid + 0.1 AS DOUBLE)},
+                    {'value': CASE WHEN k % 17 <> 9 THEN idn END, 'labelled': false, 'score': CAST(valid + 0.1 AS DOUBLE)},
+                    {'value': fixed, 'labelled': false, 'score': CAST(valid_fixed + 0.18 AS DOUBLE)}]) AS f
                 FROM (SELECT k, idn, fixed,
                         CASE WHEN good_place AND idn = fixed THEN 0.4 ELSE 0.0 END AS valid, CASE WHEN good_place THEN 0.4 ELSE 0.0 END AS valid_fixed
                       FROM (SELECT *, k % 7 < 5 AND k % 11 <> 4 AS good_place FROM c)))
