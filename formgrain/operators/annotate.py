@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import bounding_box
 from ..functions.text import file_stem
+from .lines import LINES_TYPE
 
 RELATIONS_TYPE = "array<struct<from_id:string,to_id:string,relation_type:string>>"
 TAGS_TYPE = "array<struct<tag:string,score:double,note:string>>"
@@ -16,8 +17,9 @@ def annotate(docs: DataFrame, sample_id: Column | None = None) -> DataFrame:
     """One annotation per document. Every raw line, blank or not, is a region and a field."""
     sample_id = file_stem(F.col("doc_id").cast("string")) if sample_id is None else sample_id
     number = lambda i: (i + 1).cast("string")
+    lines = F.coalesce("lines", F.array().cast(LINES_TYPE))
     regions = F.transform(
-        "lines",
+        lines,
         lambda l, i: F.struct(
             F.concat(F.lit("r"), number(i)).alias("region_id"),
             F.lit("ocr_line").alias("label"),
@@ -28,7 +30,7 @@ def annotate(docs: DataFrame, sample_id: Column | None = None) -> DataFrame:
         ),
     )
     fields = F.transform(
-        "lines",
+        lines,
         lambda l, i: F.struct(
             F.concat(F.lit("ocr_line_"), number(i)).alias("field_name"),
             l["text"].alias("value"),
@@ -40,8 +42,8 @@ def annotate(docs: DataFrame, sample_id: Column | None = None) -> DataFrame:
     return docs.select(
         sample_id.alias("sample_id"),
         F.col("plugin").alias("doc_type"),
-        F.coalesce(regions, F.slice(regions, 1, 0)).alias("regions"),
-        F.coalesce(fields, F.slice(fields, 1, 0)).alias("fields"),
+        regions.alias("regions"),
+        fields.alias("fields"),
         none(RELATIONS_TYPE).alias("relations"),
         none(TAGS_TYPE).alias("quality_tags"),
     )

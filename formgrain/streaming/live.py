@@ -12,10 +12,13 @@ from ..sources.ocr import OCR_SCHEMA
 SALTS = 32
 
 
-def read_results_stream(spark: SparkSession, path: str, fmt: str = "json", files_per_trigger: int = 1000) -> DataFrame:
+def read_results_stream(
+    spark: SparkSession, path: str, fmt: str = "json", files_per_trigger: int = 1000, multi_line: bool = True
+) -> DataFrame:
+    """Result files as they arrive: by default one JSON document per file, else one per line."""
     reader = spark.readStream.schema(OCR_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
     if fmt == "json":
-        reader = reader.option("multiLine", True)
+        reader = reader.option("multiLine", multi_line)
     return reader.format(fmt).load(path)
 
 
