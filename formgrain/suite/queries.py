@@ -54,7 +54,7 @@ def _payloads(spark, sf) -> DataFrame:
         F.lit('],"dt_polys":[],"rec_polys":['), box, F.lit(']},{"rec_texts":["'), F.col("p_type"), F.lit('"]}]'),
     )
     wrapped = F.when(k % 4 == 1, F.concat(F.lit("["), listed, F.lit("]"))).otherwise(listed)
-    return table(spark, sf, "part").select(k.alias("doc_id"), F.when(k % 2 == 1, wrapped).otherwise(paged).alias("payload"))
+    return render.spread(table(spark, sf, "part")).select(k.alias("doc_id"), F.when(k % 2 == 1, wrapped).otherwise(paged).alias("payload"))
 
 
 def payload_lines(spark, sf):
@@ -79,7 +79,7 @@ def layout_fields(spark, sf):
             F.struct(F.col("role").alias("key"), F.col("text").alias("value")).alias("pair"),
         )
     )
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", payload.alias("payload"))
+    turns = render.spread(table(spark, sf, "conversations")).select("conv_id", "turn", payload.alias("payload"))
     return layout.flatten_layout(turns).select(
         "conv_id", "turn", "text", F.get(F.map_keys("kv"), 0).alias("kv_key"), F.get(F.map_values("kv"), 0).alias("kv_value"),
         F.size("layout").alias("num_entries"), "confidence", "complete",

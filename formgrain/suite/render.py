@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan has fewer splits than there are cores.
+
+    Extraction is heavy per row, and a table of one small file would otherwise keep one core
+    busy. A table of many files is left as it is scanned.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def line(text: Column | str, score: Column | float = 0.9, box: Column | None = None) -> Column:
     text = F.lit(text) if isinstance(text, str) else text
     score = F.lit(score) if isinstance(score, float) else score
@@ -61,7 +71,7 @@ def birth_day(k: Column) -> Column:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer")).select(
         F.col("c_custkey").alias("doc_id"), "c_name", F.col("c_nationkey").alias("nation"),
         F.col("c_mktsegment").alias("segment"),
     )
@@ -120,7 +130,7 @@ def _id_backs_columns() -> list:
 
 
 def id_backs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(*_id_backs_columns())
+    return spread(table(spark, sf_dir, "supplier")).select(*_id_backs_columns())
 
 
 # --- passports -------------------------------------------------------------------------------
@@ -248,7 +258,7 @@ def _records_columns() -> list:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(*_records_columns())
+    return spread(table(spark, sf_dir, "part")).select(*_records_columns())
 
 
 # --- tickets ---------------------------------------------------------------------------------
@@ -292,7 +302,7 @@ def _boarding_passes_columns() -> list:
 
 
 def boarding_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(*_boarding_passes_columns())
+    return spread(table(spark, sf_dir, "orders")).select(*_boarding_passes_columns())
 
 
 @built_once
@@ -316,19 +326,19 @@ def _train_tickets_columns() -> list:
 
 
 def train_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(*_train_tickets_columns())
+    return spread(table(spark, sf_dir, "orders")).select(*_train_tickets_columns())
 
 
 # --- texts -----------------------------------------------------------------------------------
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source")
 
 
 def text_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as recognition results: every line of the text, blank ones too, with a score by its length."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", "lang", "source", "text", F.lit("plain").alias("plugin"),
         F.transform(
             F.split("text", "\n"),
