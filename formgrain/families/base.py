@@ -27,7 +27,7 @@ class Family:
     score: Callable[[Column, Column], Column] | None = None
     version: str = "0.1.0"
     description: str = ""
-    backbones: tuple[str, ...] = ("paddleocr", "paddleocr_vl")
+    backbones: tuple[str, ...] = ()
     tags: tuple[str, ...] = ("document-plugin",)
     config: dict = field(default_factory=dict)
 

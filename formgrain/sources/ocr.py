@@ -90,7 +90,7 @@ def _listed(raw: Column) -> Column:
     return F.filter(F.transform(items, line), lambda x: x.isNotNull())
 
 
-def normalize_payloads(df: DataFrame, payload: str = "payload", engine: str = "paddleocr") -> DataFrame:
+def normalize_payloads(df: DataFrame, payload: str = "payload", engine: str = "unknown") -> DataFrame:
     """Turn raw engine output (JSON text) into ``lines``, ``text`` and ``confidence``.
 
     Both payload shapes are handled in place, row by row; nothing is exploded or shuffled.

@@ -478,6 +478,11 @@ def oracle_sql() -> dict[str, str]:
             FROM events GROUP BY ALL""",
         "first_uploads": """
             SELECT user_id AS sample_id, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""",
+        "live_rates": """
+            SELECT date_trunc('hour', ts) AS window_start, event_type AS plugin, count(*) AS num_documents,
+                   count(*) FILTER (WHERE value >= 10) AS num_accepted, count(*) FILTER (WHERE value < 10 AND value >= 5) AS num_review
+            FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""",
+        "live_uploads": "SELECT DISTINCT user_id AS sample_id FROM events",
         "live_decisions": q("judged", "SELECT doc_id, plugin, accepted, score, CAST(num_issues AS INTEGER) AS num_issues FROM judged WHERE plugin IN ('china_id', 'hukou_booklet', 'medical_record', 'passport', 'boarding_pass', 'train_ticket')"),
         "live_dead_letters": q("judged", "SELECT doc_id, plugin, CAST(num_issues AS INTEGER) AS num_issues FROM judged WHERE NOT accepted"),
     }

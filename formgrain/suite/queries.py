@@ -122,7 +122,7 @@ def _files(spark, sf) -> DataFrame:
     """The labelled documents stand for the files that exist."""
     present = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     return present.select(
-        _path(F.col("doc_id")).alias("path"), F.octet_length("text").alias("size_bytes"), F.encode("text", "UTF-8").alias("content")
+        _path(F.col("doc_id")).alias("path"), F.octet_length("text").cast("bigint").alias("size_bytes"), F.encode("text", "UTF-8").alias("content")
     )
 
 
