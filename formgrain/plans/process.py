@@ -61,7 +61,7 @@ def process(
                 "issues", "accepted", "score",
                 F.coalesce("confidence", mean).alias("confidence"),
                 count.alias("num_lines"),
-                "lines", "rows",
+                "text", "lines",
             )
         )
     return reduce(DataFrame.unionByName, branches)

@@ -13,6 +13,7 @@ from ..functions.geometry import bounding_box
 from ..functions.text import blank, pick
 from ..families.base import has_severity
 from ..operators.labels import labelled_values
+from ..operators.lines import with_rows
 
 # Root cause of an issue code, by the way the code ends or starts; the first that fits counts.
 CAUSE_PATTERNS = [
@@ -65,7 +66,7 @@ def review_queue(decided: DataFrame) -> DataFrame:
             ).alias("candidates"),
         ),
     )
-    return decided.where(F.col("decision") == "review").select(
+    return with_rows(decided.where(F.col("decision") == "review")).select(
         "doc_id", "plugin", "confidence", evidence.alias("evidence"),
         F.filter("issues", lambda i: i["severity"] == "error").alias("errors"),
         F.col("rows").alias("lines"),
