@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -59,7 +59,8 @@ def place_route_of_lines(lines: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """First and second distinct gazetteer name per document of a line table.
 
     ``gazetteer(token)`` is joined on the token; whether it is broadcast is left to its size.
-    Two combined minima replace a ranking window, so no document is gathered in one task.
+    Lines are reduced to one row per document and name before the shuffle, and the ranking keeps
+    two rows per document in every task before it moves any, so no document is gathered whole.
     """
     tokens = lines.select("doc_id", "line_no", unspaced_upper(F.col("text")).alias("token"))
     seen = (
@@ -67,12 +68,11 @@ def place_route_of_lines(lines: DataFrame, gazetteer: DataFrame) -> DataFrame:
         .groupBy("doc_id", "token")
         .agg(F.min("line_no").alias("line_no"))
     )
-    # A document names few distinct places: at most the gazetteer's length.
-    firsts = seen.groupBy("doc_id").agg(F.min(F.struct("line_no", "token")).alias("first"))
-    later = seen.join(firsts, "doc_id").where(F.col("token") != F.col("first.token"))
-    seconds = later.groupBy("doc_id").agg(F.min(F.struct("line_no", "token")).alias("second"))
-    return firsts.join(seconds, "doc_id", "left").select(
-        "doc_id", F.col("first.token").alias("departure"), F.col("second.token").alias("arrival")
+    order = Window.partitionBy("doc_id").orderBy("line_no", "token")
+    ranked = seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2)
+    return ranked.groupBy("doc_id").agg(
+        F.max(F.when(F.col("rank") == 1, F.col("token"))).alias("departure"),
+        F.max(F.when(F.col("rank") == 2, F.col("token"))).alias("arrival"),
     )
 
 

@@ -79,30 +79,50 @@ def evaluation_report(compared: DataFrame, needs_review: Column) -> DataFrame:
     """Per family and per field within it: exact match, F1 and support; per family also the
     share of documents with all fields right and the share sent to review.
 
-    Two combined aggregates over few keys, one on field rows and one on documents.
+    One pass: every document gives a row per expected field and one row for itself, and all are
+    reduced to counts per family and field before anything moves. The rollup then adds up counts.
     """
-    rows = field_rows(compared)
-    right = F.count(F.when(F.col("matched") & F.col("expected").isNotNull(), 1))
-    per_field = rows.rollup("plugin", "field").agg(
-        F.grouping("field").alias("_all_fields"), F.grouping("plugin").alias("_all_plugins"),
-        F.count(F.lit(1)).alias("support"),
-        (F.count(F.when(F.col("matched"), 1)) / F.count(F.lit(1))).alias("exact_match"),
-        (2 * right / F.nullif(F.count("expected") + F.count("predicted"), F.lit(0))).alias("f1"),
-    ).where(F.col("_all_plugins") == 0)
-    per_family = document_scores(compared).groupBy("plugin").agg(
-        F.avg((F.col("status") == "pass").cast("int")).alias("document_success_rate"),
-        F.avg(needs_review.cast("int")).alias("review_rate"),
+    whole = F.forall("outcome", lambda o: o["matched"]) & (F.size("outcome") > 0)
+    parts = F.transform(
+        "outcome",
+        lambda o: F.struct(
+            o["field"].alias("field"), o["matched"].alias("matched"),
+            o["expected"].isNotNull().alias("asked"), o["predicted"].isNotNull().alias("given"),
+            F.lit(None).cast("boolean").alias("passed"), F.lit(None).cast("boolean").alias("review"),
+        ),
     )
-    # One row per family: small by the number of registered families.
-    return (
-        per_field.join(F.broadcast(per_family), "plugin", "left")
-        .select(
-            "plugin", F.when(F.col("_all_fields") == 0, F.col("field")).alias("field"),
-            "exact_match", "f1", "support",
-            F.when(F.col("_all_fields") == 1, F.col("document_success_rate")).alias("document_success_rate"),
-            F.when(F.col("_all_fields") == 1, F.col("review_rate")).alias("review_rate"),
+    nothing = F.lit(None).cast("boolean")
+    itself = F.struct(
+        F.lit(None).cast("string").alias("field"), nothing.alias("matched"), nothing.alias("asked"),
+        nothing.alias("given"), whole.alias("passed"), needs_review.alias("review"),
+    )
+    number = lambda c: F.count(F.when(c, 1))
+    item = lambda name: F.col(f"item.{name}")
+    counts = (
+        unfold(compared, F.concat(parts, F.array(itself)), "plugin")
+        .groupBy("plugin", item("field").alias("field"))
+        .agg(
+            F.count(item("matched")).alias("support"), number(item("matched")).alias("hits"),
+            number(item("matched") & item("asked")).alias("right"),
+            (number(item("asked")) + number(item("given"))).alias("values"),
+            F.count(item("passed")).alias("documents"), number(item("passed")).alias("passed"),
+            number(item("review")).alias("review"),
         )
     )
+    added = counts.rollup("plugin", "field").agg(
+        F.grouping("plugin").alias("_no_plugin"), F.grouping("field").alias("_no_field"),
+        *[F.sum(c).alias(c) for c in ("support", "hits", "right", "values", "documents", "passed", "review")],
+    )
+    share = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    overall = F.col("_no_field") == 1
+    return added.where((F.col("_no_plugin") == 0) & (overall | F.col("field").isNotNull())).select(
+        "plugin", "field",
+        share("hits", "support").alias("exact_match"),
+        (2 * share("right", "values")).alias("f1"),
+        "support",
+        F.when(overall, share("passed", "documents")).alias("document_success_rate"),
+        F.when(overall, share("review", "documents")).alias("review_rate"),
+    )
 
 
 def quality_metrics(compared: DataFrame, critical: list[str] | None = None) -> DataFrame:
