@@ -126,9 +126,11 @@ def joined(blobs: list[bytes]) -> list[np.ndarray]:
 
 def split_by(keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Rows with equal keys together: (key, columns)."""
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+    cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     columns = [c[order] for c in columns]
     for a, b in zip(cuts, np.r_[cuts[1:], len(keys)], strict=True):
         yield int(keys[a]), [c[a:b] for c in columns]
@@ -175,22 +177,28 @@ def by_key(rows: DataFrame, n: int, key: str = "key") -> DataFrame:
     return rows.repartition(n, key).sortWithinPartitions(key)
 
 
-def share_documents(batches: Iterator[pa.RecordBatch], shares: int) -> Iterator[pa.RecordBatch]:
+def row_ids(ids: list, texts: list) -> np.ndarray:
+    """One number for a row's id and text together; equal rows have the same."""
+    return np.array([xxhash.xxh3_64_intdigest(t or b"", (0 if i is None else i + 1) % (1 << 64)) for i, t in zip(ids, texts, strict=True)], np.uint64).astype(np.int64)
+
+
+def share_documents(batches: Iterator[pa.RecordBatch], shares: int, by_row: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
-        known = np.asarray(ids.fill_null(0)).astype(np.int64)
+        known = row_ids(ids.to_pylist(), batch.column(1).to_pylist()) if by_row else np.asarray(ids.fill_null(0)).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(targets(known, shares)), pa.array(np.ones(len(batch), np.int8)), ids, batch.column(1), pa.nulls(len(batch), pa.binary())],
             names=["key", "kind", "doc_id", "text", "note"],
         )
 
 
-def with_notes(documents: DataFrame, notes: DataFrame, shares: int, n: int) -> DataFrame:
+def with_notes(documents: DataFrame, notes: DataFrame, shares: int, n: int, by_row: bool = False) -> DataFrame:
     """Documents (doc_id, text) and notes on them (key, note), both dealt by the document's share, notes first.
+    The share follows from the doc_id, or with ``by_row`` from ``row_ids``.
 
     One exchange brings a text to the notes of its share, so that no row is made per document and note.
     """
-    dealt = documents.mapInArrow(lambda b: share_documents(b, shares), "key int, kind byte, doc_id long, text binary, note binary")
+    dealt = documents.mapInArrow(lambda b: share_documents(b, shares, by_row), "key int, kind byte, doc_id long, text binary, note binary")
     noted = notes.select("key", F.lit(0).cast("byte").alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text"), "note")
     return dealt.unionByName(noted).repartition(n, "key").sortWithinPartitions("key", "kind")
 

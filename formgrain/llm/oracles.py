@@ -68,6 +68,7 @@ FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_
 
 SQL: dict[str, str] = {
     "op3_substring_dedup": OP3,
+    "op5_suffix_dedup": OP5,
     "op7_decontamination": OP7,
     "op10_near_duplicates": OP10,
 }
