@@ -116,6 +116,29 @@ def score(documents: DataFrame, weights: np.ndarray) -> DataFrame:
     return common.texts_of(documents).mapInArrow(lambda b: scored(b, held, slots), "doc_id long, score double")
 
 
+def good_rows(batches: Iterator[pa.RecordBatch], weights, slots: int, cut: float) -> Iterator[pa.RecordBatch]:
+    w = weights.value
+    for batch in batches:
+        good = []
+        for text in batch.column("text").to_pylist():
+            at, values = features(text or "", slots)
+            good.append(1 / (1 + np.exp(-float(w[at] @ values))) >= cut)
+        yield batch.filter(pa.array(good, pa.bool_()))
+
+
+def good_documents(documents: DataFrame, labels: DataFrame, cut: float = 0.7, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``documents``, with all their columns, whose score is ``cut`` or more. No row moves."""
+    spark = documents.sparkSession
+    weights = train(documents, taught(labels), settings)
+    held = spark.sparkContext.broadcast(weights)
+    return documents.mapInArrow(lambda b: good_rows(b, held, len(weights), cut), documents.schema)
+
+
+def taught(labels: DataFrame) -> DataFrame:
+    """Labels outside the held-out fold as (doc_id, label)."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(~held_out())
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2):
     """Rows kept from training: crc32 of doc_id as text, modulo ``folds``."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -129,6 +152,5 @@ def quality_scores(documents: DataFrame, labels: DataFrame, cut: float = 0.7, se
     alone. Without labels every score is 0.5. Repeated rows and null doc_ids are scored like any others (a null id is
     never held out); other columns are ignored; an empty table gives an empty result.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(~held_out())
-    rows = score(documents, train(documents, known, settings))
+    rows = score(documents, train(documents, taught(labels), settings))
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

@@ -255,14 +255,15 @@ def cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(text[at:start])
                 at = end
             kept = b"".join([*kept, text[at:]])
-            out.append((doc_id, len(text), len(text) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept))
-        kinds = [*[pa.int64()] * 4, pa.string(), pa.binary()]
+            out.append((doc_id, len(text), len(text) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore")))
+        kinds = [*[pa.int64()] * 4, pa.string(), pa.binary(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                                         names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                                         names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
 
 
 def repeated_bytes(documents: DataFrame, window: int = 200, gram: int = GRAM) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (bytes left).
+    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (bytes left),
+    kept_text (the same as text, without what a cut leaves of a character).
 
     A byte of the UTF-8 text is removed if a string of ``window`` bytes that covers it also starts anywhere else, in
     the same document or another. Null texts are empty. Repeated rows are documents of their own and so repeat each
@@ -281,4 +282,4 @@ def repeated_bytes(documents: DataFrame, window: int = 200, gram: int = GRAM) ->
     runs = common.with_notes(texts, places, shares, n, by_row=True).mapInArrow(lambda b: suffix_runs(b, window, gram, blocks, shares), rows)
     spans = common.by_key(runs, n).mapInArrow(lambda b: merged_blocks(b, window, gram, shares), rows)
     return common.with_notes(texts, spans, shares, n, by_row=True).mapInArrow(
-        cut_bytes, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        cut_bytes, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
