@@ -4,25 +4,61 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from formgrain.llm import common, pieces
+from formgrain.llm import classifier, common, decontaminate, near_duplicates, pieces, suffixes
 
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def with_text(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The columns of documents, with the text of ``kept`` (doc_id, text) and its length."""
+    rows = docs.drop("text", "n_chars").join(kept, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be good."""
+    return classifier.good_documents(docs, common.table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id; repeated rows of it once.
+    Rows without a doc_id cannot be named and go."""
+    kept = near_duplicates.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without byte strings that occur more than once; what a cut leaves of a character goes with it."""
+    return with_text(docs, suffixes.repeated_bytes(docs).select("doc_id", F.col("kept_text").alias("text")))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    found = decontaminate.decontaminated(docs, common.table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    return docs.join(found, "doc_id", "left_anti")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and decoded text of what is left."""
     return pieces.encode_and_decode(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("sentencepiece", encode)]
+STAGES = [
+    ("quality_classifier", quality),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", encode),
+]
+#: Neither the classifier nor the encoder can be written in SQL; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read_documents(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.stored(docs, f"pipeline-{name}")
-    return docs
+    """All stages over documents; what each one keeps is written to the shared folder and read by the next."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
