@@ -20,6 +20,8 @@ from formgrain.llm import common
 
 WORDS = re.compile(r"\w+|[^\w\s]+").findall
 
+DOUBLED = 2
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -29,21 +31,23 @@ class Settings:
     learners: int = 8
     epochs: int = 3
     slots: int = 1 << 18
-    alpha: float = 1.0
+    alpha: float = 3.0
     beta: float = 1.0
     l1: float = 1e-4
     l2: float = 1e-6
 
 
 def features(text: str, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and weights of a text; the last slot is the bias."""
+    """Slots and weights of a text; the slot after the last is the offset."""
     codes = common.CODES.of(WORDS(text))
     pairs = codes[:-1] * np.uint64(common.MULTIPLIER) + codes[1:]
-    hashed = (common.mixed(np.concatenate([codes, pairs])) % np.uint64(slots - 1)).astype(np.int64)
+    # A pair of equal words also counts as that, whatever the word.
+    doubled = np.full(int((codes[1:] == codes[:-1]).sum()), DOUBLED, np.uint64)
+    hashed = (common.mixed(np.concatenate([codes, pairs, doubled])) % np.uint64(slots)).astype(np.int64)
     found, counts = np.unique(hashed, return_counts=True)
     values = 1 + np.log(counts)
     values /= max(1e-9, float(np.sqrt((values * values).sum())))
-    return np.append(found, slots - 1), np.append(values, 0.3)
+    return np.append(found, slots), np.append(values, 1.0)
 
 
 def sample_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
@@ -55,7 +59,7 @@ def sample_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.R
         yield common.key_batch(rows)
 
 
-def learned(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+def learned(batches: Iterator[pa.RecordBatch], s: Settings, offset: float) -> Iterator[pa.RecordBatch]:
     """One row for each learner: its weights after FTRL-proximal updates over its rows, in an order drawn by hash."""
     for key, blobs in common.groups(batches):
         order, labels, lengths, at, values = common.joined(blobs)
@@ -68,33 +72,34 @@ def learned(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
 
         for epoch in range(s.epochs):
             for k in np.lexsort((common.mixed(order.astype(np.uint64) + np.uint64(epoch)),)):
-                i, x = at[ends[k] - lengths[k]:ends[k]], values[ends[k] - lengths[k]:ends[k]]
+                i, x = at[ends[k] - lengths[k]:ends[k] - 1], values[ends[k] - lengths[k]:ends[k] - 1]
                 w = weights(i)
-                g = (1 / (1 + np.exp(-(w @ x))) - labels[k]) * x
+                g = (1 / (1 + np.exp(-(offset + w @ x))) - labels[k]) * x
                 z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / s.alpha * w
                 n[i] += g * g
         yield common.key_batch([(key, common.pack(weights(np.arange(s.slots)).astype(np.float32)))])
 
 
 def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> np.ndarray:
-    """Weights from ``labels`` (doc_id, label 0 or 1); without any labelled text all weights are 0."""
+    """Weights from ``labels`` (doc_id, label 0 or 1), and last the offset, the log odds of a good label (kept between
+    1:20 and 20:1), from which learning starts; without any label all are 0."""
     spark = documents.sparkSession
     common.on_workers(spark)
     s = settings
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").cast("byte").alias("label"))
     order = F.xxhash64(F.col("doc_id"), F.lit(3)).bitwiseAND(F.lit((1 << 40) - 1))
     known = known.withColumn("order", order)
-    total = known.count()
+    good, total = known.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    offset = float(np.clip(np.log((good + 0.5) / (total - good + 0.5)), -3, 3))
     if total > s.sample:
         # Slightly fewer than the bound, so that the drawn number stays under it.
         known = known.where(F.col("order") < int((1 << 40) * (s.sample - 3 * s.sample ** 0.5) / total))
     taken = F.broadcast(known) if s.sample <= 1_000_000 else known
     rows = common.texts_of(documents).join(taken, "doc_id").select("text", "label", "order")
     rows = rows.mapInArrow(lambda b: sample_rows(b, s), "key int, note binary")
-    models = common.by_key(rows, s.learners).mapInArrow(lambda b: learned(b, s), "key int, note binary").orderBy("key").collect()
-    if not models:
-        return np.zeros(s.slots, np.float32)
-    return np.mean([common.unpack(m.note)[0] for m in models], axis=0).astype(np.float32)
+    models = common.by_key(rows, s.learners).mapInArrow(lambda b: learned(b, s, offset), "key int, note binary").orderBy("key").collect()
+    weights = np.mean([common.unpack(m.note)[0] for m in models], axis=0) if models else np.zeros(s.slots)
+    return np.append(weights, offset).astype(np.float32)
 
 
 def scored(batches: Iterator[pa.RecordBatch], weights, slots: int) -> Iterator[pa.RecordBatch]:
@@ -112,7 +117,7 @@ def score(documents: DataFrame, weights: np.ndarray) -> DataFrame:
     spark = documents.sparkSession
     common.on_workers(spark)
     held = spark.sparkContext.broadcast(weights)
-    slots = len(weights)
+    slots = len(weights) - 1
     return common.texts_of(documents).mapInArrow(lambda b: scored(b, held, slots), "doc_id long, score double")
 
 
@@ -131,7 +136,7 @@ def good_documents(documents: DataFrame, labels: DataFrame, cut: float = 0.7, se
     spark = documents.sparkSession
     weights = train(documents, taught(labels), settings)
     held = spark.sparkContext.broadcast(weights)
-    return documents.mapInArrow(lambda b: good_rows(b, held, len(weights), cut), documents.schema)
+    return documents.mapInArrow(lambda b: good_rows(b, held, len(weights) - 1, cut), documents.schema)
 
 
 def taught(labels: DataFrame) -> DataFrame:
@@ -148,7 +153,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, cut: float = 0.7, se
     """One row per document: doc_id, held_out, score, predicted (1 if score >= ``cut``).
 
     ``labels``: doc_id and quality; rows in the held-out fold, without an id, or with a quality other than 0 and 1 teach
-    nothing; an id labelled twice counts once, as 1 if either says so. Null and empty texts are scored by the bias
+    nothing; an id labelled twice counts once, as 1 if either says so. Null and empty texts are scored by the offset
     alone. Without labels every score is 0.5. Repeated rows and null doc_ids are scored like any others (a null id is
     never held out); other columns are ignored; an empty table gives an empty result.
     """

@@ -98,7 +98,7 @@ def frequent_lengths(documents: DataFrame, path: str, rows: int = TABLE_ROWS, sa
     """The packed table of at most ``rows`` pre-tokens and their lengths, from about ``sample`` documents."""
     texts = common.texts_of(documents)
     few = texts.sample(min(1.0, sample / max(1, documents.count())), 11).select("text").mapInArrow(counted_pieces, "piece string, n long")
-    top = few.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(rows).select("piece").collect()
+    top = few.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "piece").limit(rows).select("piece").collect()
     empty = Lengths(path, packed([], []))
     pieces = [r.piece for r in top]
     return packed(pieces, [empty[p] for p in pieces])
