@@ -80,11 +80,11 @@ class Index:
         """Postings of the passages' rank-th rarest terms, shifted by the terms' offsets."""
         term = F.col("terms")[rank - 1]
         looked_up = self.passages.where(F.size("terms") >= rank).select(term["term"].alias("term"), term["offset"].alias("offset"), "passage")
-        return self.postings.join(small(looked_up, self.n_passages), "term").withColumn("start", F.col("position") - F.col("offset")).where("start >= 0")
+        return self.postings.join(small(looked_up, self.n_passages), "term").withColumn("start", F.col("position") - F.col("offset"))
 
     def phrases(self) -> DataFrame:
         """Exact matches: (passage, doc_id, start)."""
-        rarest, key = self.starts(1), F.xxhash64("passage")
+        rarest, key = self.starts(1).where("start >= 0"), F.xxhash64("passage")
         second = self.starts(2).select("doc_id", "start", key.alias("of")).distinct()
         both = rarest.where(F.size("passage") > 1).withColumn("of", key)
         same = (both.of == second.of) & (both.start == second.start) & both.doc_id.eqNullSafe(second.doc_id)

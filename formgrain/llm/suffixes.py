@@ -160,7 +160,7 @@ def suffix_runs(batches: Iterator[pa.RecordBatch], window: int, gram: int, block
             held = notes
             owner, number = common.joined(notes) if notes else (NO_IDS, NO_IDS)
             numbers = {k: v[0] for k, v in common.split_by(owner, number)}
-        owners = common.row_ids(ids, texts)
+        owners, texts = common.row_ids(ids, texts), [t or b"" for t in texts]
         for a, b in common.byte_slices(texts, SLICE_BYTES):
             seen: dict[tuple[bytes, bytes], list[tuple[int, int, int, int, int]]] = {}
             for owner, text in zip(owners[a:b].tolist(), texts[a:b], strict=True):
