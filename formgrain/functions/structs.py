@@ -16,7 +16,7 @@ _BUILT: dict[tuple, Any] = {}
 def built_once(make: Callable) -> Callable:
     """Keep the column expressions a function returns, per argument and driver connection.
 
-    Building a large expression takes thousands of small calls into the JVM, and the
+    What was kept for an earlier connection is dropped. Building a large expression takes thousands of small calls into the JVM, and the
     expressions of a family are the same for every query and every micro-batch.
     """
 
@@ -28,6 +28,8 @@ def built_once(make: Callable) -> Callable:
         except TypeError:  # an argument that cannot be a key
             return make(*args)
         if not known:
+            for old in [k for k in _BUILT if k[0] is not SparkContext._gateway]:
+                del _BUILT[old]
             _BUILT[key] = make(*args)
         return _BUILT[key]
 

@@ -59,24 +59,24 @@ def label_values_of_lines(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """The same rule over a line table ``(doc_id, line_no, text)`` and an alias table
     ``(alias, field)``: one row per document and field, the first in reading order.
 
-    The next line is reached by an equi-join on ``(doc_id, line_no)`` rather than a window per
-    document, so a document that holds a large share of all lines is still spread over tasks;
-    only labels that stand alone take part in that join. The last step keeps a running minimum,
-    combined before the shuffle.
+    A label that stands alone takes the next line: the column ``next_text`` if the table has it, as that of
+    ``explode_lines`` does, else an equi-join on ``(doc_id, line_no)``, in which only such labels take part. A document
+    that holds a large share of all lines is spread over tasks either way. The last step keeps a running minimum, combined
+    before the shuffle.
     """
     label, value = _label_and_value(F.col("text"))
-    keyed = lines.select("doc_id", "line_no", label.alias("alias"), value.alias("value"))
+    nested = "next_text" in lines.columns
+    keyed = lines.select("doc_id", "line_no", label.alias("alias"), value.alias("value"), *(["next_text"] if nested else []))
     known = aliases.select(F.upper("alias").alias("alias"), "field").distinct()
-    hits = keyed.join(known, "alias").select("doc_id", "line_no", "field", "value")
-    inline = hits.where(F.col("value").isNotNull())
-    following = lines.select("doc_id", (F.col("line_no") - 1).alias("line_no"), F.col("text").alias("next_text"))
-    below = (
-        hits.where(F.col("value").isNull())
-        .join(following, ["doc_id", "line_no"])
-        .select("doc_id", "line_no", "field", F.col("next_text").alias("value"))
-    )
+    hits = keyed.join(known, "alias").drop("alias")
+    if nested:
+        found = hits.select("doc_id", "line_no", "field", F.coalesce("value", "next_text").alias("value")).where("value IS NOT NULL")
+    else:
+        following = lines.select("doc_id", (F.col("line_no") - 1).alias("line_no"), F.col("text").alias("next_text"))
+        below = hits.where(F.col("value").isNull()).drop("value").join(following, ["doc_id", "line_no"])
+        found = hits.where(F.col("value").isNotNull()).unionByName(below.withColumnRenamed("next_text", "value"))
     return (
-        inline.unionByName(below)
+        found
         .groupBy("doc_id", "field")
         .agg(F.min(F.struct("line_no", "value")).alias("first"))
         .select("doc_id", "field", F.col("first.line_no").alias("line_no"), F.col("first.value").alias("value"))

@@ -65,15 +65,17 @@ def joined_text(rows: Column) -> Column:
 
 
 def explode_lines(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row per line with its 1-based position, plus the kept document columns."""
+    """One row per line with its 1-based position and the text of the next line, plus the kept document columns."""
+    following = lambda r, i: F.struct(r["text"].alias("text"), r["score"].alias("score"), r["box"].alias("box"), F.get("rows", i + 1)["text"].alias("next_text"))
     return (
-        unfold(with_rows(docs), "rows", *(keep or ("doc_id",)), numbered=True)
+        unfold(with_rows(docs), F.transform("rows", following), *(keep or ("doc_id",)), numbered=True)
         .select(
             *(keep or ("doc_id",)),
             (F.col("pos") + 1).alias("line_no"),
             F.col("item.text").alias("text"),
             F.col("item.score").alias("score"),
             bounding_box(F.col("item.box")).alias("bbox"),
+            F.col("item.next_text").alias("next_text"),
         )
     )
 

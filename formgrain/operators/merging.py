@@ -16,7 +16,7 @@ def override_maps(overrides: DataFrame) -> DataFrame:
     however many rows were provided for it.
     """
     order = F.col("seq") if "seq" in overrides.columns else F.lit(0)
-    latest = overrides.groupBy("doc_id", "field").agg(
+    latest = overrides.where("field IS NOT NULL").groupBy("doc_id", "field").agg(
         F.max(F.struct(order.alias("seq"), F.col("value"))).alias("last")
     )
     return latest.groupBy("doc_id").agg(
@@ -27,7 +27,8 @@ def override_maps(overrides: DataFrame) -> DataFrame:
 def apply_overrides(docs: DataFrame, overrides: DataFrame | None) -> DataFrame:
     """Replace the provided fields of the ``fields`` struct; a field that is provided as null becomes null.
 
-    Text fields only take text; list fields take a JSON list.
+    Text fields only take text; list fields take a JSON list. Provided fields that the family does not know are
+    kept as the map ``provided``. An override without a field name says nothing and is left out.
     """
     if overrides is None:
         return docs
@@ -39,7 +40,9 @@ def apply_overrides(docs: DataFrame, overrides: DataFrame | None) -> DataFrame:
             given = F.from_json(given, f.dataType)
         has = F.coalesce(F.map_contains_key("overrides", F.lit(f.name)), F.lit(False))
         merged[f.name] = F.when(has, given).otherwise(F.col("fields")[f.name])
-    return with_fields(joined, merged).drop("overrides")
+    names = F.array(*[F.lit(name) for name in merged])
+    unknown = F.map_filter("overrides", lambda k, _: ~F.array_contains(names, k))
+    return with_fields(joined.withColumn("provided", unknown), merged).drop("overrides")
 
 
 def merge_fields(parsed: DataFrame, provided: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BOUNDS = 64  # keys sampled per pass
-SORTABLE_ROWS = 100_000  # a range this small is sorted to find the key at a position
+from ..session import shared_dir
+
+BOUNDS = 64  # ranges told apart per pass
 
 
 def _below(key: Column, bounds: list) -> Column:
@@ -17,68 +18,82 @@ def _below(key: Column, bounds: list) -> Column:
     return reduce(lambda a, b: a + b, [F.when(key >= F.lit(b), 1).otherwise(0) for b in bounds], F.lit(0))
 
 
-def key_at(df: DataFrame, key: str, position: int) -> object:
-    """The key at a 0-based position of the ascending order, without a global sort.
+def key_at(keys: DataFrame, position: int) -> tuple[object, int]:
+    """The value of ``k`` at a 0-based position of the ascending order, and the position among its equals.
 
-    Each pass counts rows between a few sampled bounds and keeps the range that holds the
-    position; only the key column is read and only counts are shuffled. The last range is
-    small enough to sort. The counts decide, so the sample does not touch exactness.
+    Every pass counts rows between sampled bounds and keeps the range that holds the position, until it holds
+    one value: about log64(n) + 2 passes over one stored column, in which only counts move. The counts
+    decide, so the sample does not touch exactness. No row is ever sorted.
     """
-    keys = df.select(F.col(key).alias("k"))
-    offset = 0
     while True:
-        total = keys.count()
-        if total <= SORTABLE_ROWS:
-            rows = keys.orderBy("k").limit(position - offset + 1).agg(F.max("k").alias("k"))
-            return rows.first()["k"]
-        share = min(1.0, 20.0 * BOUNDS / total)
-        drawn = sorted({r["k"] for r in keys.sample(fraction=share, seed=17).limit(40 * BOUNDS).collect()})
-        if len(drawn) < 2:
-            drawn = [r["k"] for r in keys.agg(F.min("k").alias("k")).collect()] + [
-                r["k"] for r in keys.agg(F.max("k").alias("k")).collect()
-            ]
-        step = max(1, len(drawn) // BOUNDS)
-        bounds = drawn[::step]
+        total, low, high = keys.agg(F.count("*"), F.min("k"), F.max("k")).first()
+        if low == high:
+            return low, position
+        drawn = sorted({r["k"] for r in keys.sample(fraction=min(1.0, 20.0 * BOUNDS / total), seed=17).limit(40 * BOUNDS).collect()} - {low})
+        bounds = sorted({*drawn[::max(1, len(drawn) // BOUNDS)], high})
         counts = {r["b"]: r["n"] for r in keys.groupBy(_below(F.col("k"), bounds).alias("b")).agg(F.count("*").alias("n")).collect()}
-        seen, chosen = offset, 0
-        for b in range(len(bounds) + 1):
-            if position < seen + counts.get(b, 0):
-                chosen = b
-                break
-            seen += counts.get(b, 0)
-        if counts.get(chosen, 0) == total:
-            raise ValueError(f"{key} does not order the rows: one key covers {total} of them")
+        chosen = 0
+        while position >= counts.get(chosen, 0):
+            position -= counts.get(chosen, 0)
+            chosen += 1
         if chosen > 0:
             keys = keys.where(F.col("k") >= F.lit(bounds[chosen - 1]))
         if chosen < len(bounds):
             keys = keys.where(F.col("k") < F.lit(bounds[chosen]))
-        offset = seen
 
 
-def positional_split(samples: DataFrame, order_key: str, train_ratio: float = 0.8) -> DataFrame:
-    """Add ``split``: the first ``int(n * ratio)`` rows in key order are ``train``, the rest ``val``.
+def positional_split(samples: DataFrame, order_key: str, train_ratio: float = 0.8, tie_key: str | None = None) -> DataFrame:
+    """Add ``split``: the first ``int(n * ratio)`` rows in order of ``order_key``, then ``tie_key``, are ``train``, the rest ``val``.
 
-    ``order_key`` must be unique. Once the boundary key is known the split is a plain
+    Null keys come first. Rows that share the key at the boundary need a ``tie_key`` that is never null and tells them apart;
+    without one the split is refused rather than wrong. The key columns are stored once; then the split is a plain
     comparison, so the rows themselves are never sorted or shuffled.
     """
-    total = samples.count()
+    path = shared_dir(samples.sparkSession, "split-keys")
+    samples.select(F.col(order_key).alias("k"), (F.col(tie_key) if tie_key else F.lit(None).cast("string")).alias("t")).write.parquet(path)
+    keys = samples.sparkSession.read.parquet(path)
+    total, known = keys.agg(F.count("*"), F.count("k")).first()
     pivot = math.floor(total * train_ratio)
     if pivot <= 0:
         return samples.withColumn("split", F.lit("val"))
     if pivot >= total:
         return samples.withColumn("split", F.lit("train"))
-    boundary = F.lit(key_at(samples, order_key, pivot))
-    return samples.withColumn("split", F.when(F.col(order_key) < boundary, F.lit("train")).otherwise(F.lit("val")))
+    key, nulls = F.col(order_key), total - known
+    if pivot <= nulls:
+        before, at, equals, rest = F.lit(False), key.isNull(), keys.where("k IS NULL"), pivot
+        if pivot == nulls:
+            before, rest = at, 0
+    else:
+        boundary, rest = key_at(keys.where("k IS NOT NULL").select("k"), pivot - nulls)
+        before, at, equals = key.isNull() | (key < F.lit(boundary)), key == F.lit(boundary), keys.where(F.col("k") == F.lit(boundary))
+    if rest:
+        rows, told, different = equals.agg(F.count("*"), F.count("t"), F.count_distinct("t")).first()
+        if not rows == told == different:
+            raise ValueError(f"{rows} rows share the {order_key} at the boundary; a tie_key must tell them apart")
+        tie, _ = key_at(equals.select(F.col("t").alias("k")), rest)
+        before = before | (at & (F.col(tie_key) < F.lit(tie)))
+    return samples.withColumn("split", F.when(F.coalesce(before, F.lit(False)), F.lit("train")).otherwise(F.lit("val")))
+
+
+def hash_share(key: str, shares: int = 10_000) -> Column:
+    """One of ``shares`` shares of a key's values: the first 32 bits of the MD5 of its text."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % shares
 
 
 def hash_split(samples: DataFrame, key: str, train_ratio: float = 0.8) -> DataFrame:
-    """A split that a row keeps when others come and go; sizes are only approximate."""
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(10_000))
+    """A split that a row keeps when others come and go; sizes are only approximate. A null key goes to ``val``."""
     return samples.withColumn(
-        "split", F.when(bucket < F.lit(int(10_000 * train_ratio)), F.lit("train")).otherwise(F.lit("val"))
+        "split", F.when(hash_share(key) < F.lit(int(10_000 * train_ratio)), F.lit("train")).otherwise(F.lit("val"))
     )
 
 
+def layers(samples: DataFrame, key: str, is_golden: Column, is_hard: Column, train_ratio: float = 0.8) -> DataFrame:
+    """Add ``layer``: golden rows, then hard ones, then train and validation by hash of the key."""
+    split = hash_split(samples, key, train_ratio)
+    layer = F.when(is_golden, F.lit("golden")).when(is_hard, F.lit("hard")).otherwise(F.col("split"))
+    return split.withColumn("layer", layer).drop("split")
+
+
 def hard_share(samples: DataFrame, is_hard: Column, minimum: float = 0.2) -> DataFrame:
     """Share of hard samples per split and whether it reaches the required minimum."""
     return samples.groupBy("split").agg(

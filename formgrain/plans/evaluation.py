@@ -13,23 +13,18 @@ CRITICAL_FIELDS = [
 ]
 
 
-def golden_maps(golden_long: DataFrame) -> DataFrame:
-    """Long golden rows ``(doc_id, field, expected)`` as one map per document; repeats of a field are reduced first."""
-    once = golden_long.groupBy("doc_id", "field").agg(F.max(F.struct("expected")).alias("g"))
-    return once.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("field", F.col("g.expected")))).alias("expected")
-    )
-
-
 def compare(golden: DataFrame, predicted: DataFrame) -> DataFrame:
     """One row per golden document with the outcome of every expected field.
 
     ``golden(doc_id, expected MAP)`` and ``predicted(doc_id, field_values MAP, ...)`` each hold
     one row per document, so a single join on ``doc_id`` is all that moves; fields are compared
-    inside the row, null equal to null, a field that was not predicted being null.
+    inside the row, null equal to null, a field that was not predicted being null. The family is the golden row's,
+    if it names one. A golden document without a prediction counts as not accepted and up for review.
     """
     extra = [c for c in predicted.columns if c not in golden.columns and c != "field_values"]
     joined = golden.join(predicted.select("doc_id", "field_values", *extra), "doc_id", "left")
+    joined = joined.withColumns({
+        name: F.coalesce(name, F.lit(value)) for name, value in (("accepted", False), ("decision", "review")) if name in joined.columns})
     outcome = F.transform(
         F.map_entries("expected"),
         lambda e: F.struct(
@@ -136,7 +131,7 @@ def quality_metrics(compared: DataFrame, critical: list[str] | None = None) -> D
         hit = F.sum(F.size(F.filter("outcome", lambda o: keep(o) & o["matched"])))
         return hit / F.nullif(asked, F.lit(0))
 
-    whole = F.forall("outcome", lambda o: o["matched"])
+    whole = (F.size("outcome") > 0) & F.forall("outcome", lambda o: o["matched"])
     return compared.groupBy("plugin").agg(
         F.count(F.lit(1)).alias("num_documents"),
         rate(lambda o: F.lit(True)).alias("field_exact_match"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import families
 from ..functions.structs import unfold
-from ..functions.text import file_stem
+from ..functions.text import file_stem, message_of
 from ..operators.annotate import annotate
 from ..operators.lines import LINES_TYPE, line_stats
 from ..operators.merging import apply_overrides
@@ -33,19 +33,39 @@ def family_job(results: DataFrame, name: str, overrides: DataFrame | None = None
     """Typed result of one family: ``fields`` struct, ``issues``, ``accepted`` and ``score``."""
     family = families.get(name)
     docs = families.extract(results.where(F.col("plugin") == name), family)
+    if overrides is not None:
+        docs = docs.withColumn("parsed_fields", families.as_text_map(docs))
     return families.validate(apply_overrides(docs, overrides), family, as_of)
 
 
+def unrouted(results: DataFrame) -> DataFrame:
+    """Documents of no registered family in the shape of the job's rows: nothing read, one error, not accepted."""
+    code = F.when(F.col("plugin").isNull(), F.lit("missing_plugin")).otherwise(F.lit("unknown_plugin"))
+    issue = F.struct(F.lit(1).alias("seq"), code.alias("code"), message_of(code).alias("message"), F.lit("error").alias("severity"), F.lit("plugin").alias("field"))
+    count, mean = line_stats(F.col("lines"))
+    nothing = F.create_map().cast("map<string,string>")
+    return unroutable(results).select(
+        "doc_id", "plugin", file_stem(F.col("doc_id").cast("string")).alias("sample_id"), nothing.alias("field_values"), nothing.alias("parsed_fields"),
+        F.array(issue).alias("issues"), F.lit(False).alias("accepted"), F.lit(0.0).alias("score"),
+        F.coalesce("confidence", mean).alias("confidence"), count.alias("num_lines"), "text", "lines",
+    )
+
+
 def process(
     results: DataFrame,
     overrides: DataFrame | None = None,
     as_of: str | None = None,
     only: list[str] | None = None,
+    keep_unrouted: bool = False,
 ) -> DataFrame:
     """All families over one table of recognition results, one row per document.
 
+    ``field_values`` has the provided values in place of parsed ones, also those of fields the family does not know;
+    ``parsed_fields`` has what was read before. ``keep_unrouted`` adds the documents of no registered family as
+    rejected rows, so that every document of the input is in the result.
+
     Each family is a filtered branch of projections; the branches are united. Without overrides
-    nothing is shuffled, and with them the one join is on ``doc_id``. Store the input partitioned by
+    nothing is shuffled; with them each family joins its own documents on ``doc_id``. Store the input partitioned by
     ``plugin`` and every branch reads its own partition only.
     """
     results = with_contract(results)
@@ -53,17 +73,21 @@ def process(
     for name in only or families.names():
         done = family_job(results, name, overrides, as_of)
         count, mean = line_stats(F.col("lines"))
+        values = families.as_text_map(done)
+        given = F.map_concat(values, F.coalesce("provided", F.create_map().cast("map<string,string>"))) if overrides is not None else values
         branches.append(
             done.select(
                 "doc_id", "plugin",
                 file_stem(F.col("doc_id").cast("string")).alias("sample_id"),
-                families.as_text_map(done).alias("field_values"),
+                given.alias("field_values"), (F.col("parsed_fields") if overrides is not None else F.lit(None).cast("map<string,string>")).alias("parsed_fields"),
                 "issues", "accepted", "score",
                 F.coalesce("confidence", mean).alias("confidence"),
                 count.alias("num_lines"),
                 "text", "lines",
             )
         )
+    if keep_unrouted:
+        branches.append(unrouted(results))
     return reduce(DataFrame.unionByName, branches)
 
 
@@ -78,7 +102,8 @@ def decisions(processed: DataFrame) -> DataFrame:
 def dead_letters(processed: DataFrame) -> DataFrame:
     """Documents that were not accepted, with everything needed to look into them."""
     return processed.where(~F.coalesce("accepted", F.lit(False))).select(
-        "doc_id", "plugin", "sample_id", "field_values", "issues", "score", "confidence", "lines"
+        "doc_id", "plugin", "sample_id", "field_values", F.coalesce("parsed_fields", "field_values").alias("parsed_fields"),
+        "issues", "score", "confidence", "text", "lines",
     )
 
 
@@ -88,14 +113,10 @@ def bytes_note(content: Column) -> Column:
 
 
 def write_dead_letters(letters: DataFrame, path: str, run_id: str) -> None:
-    """Store one run's dead letters as JSON by family; running the same run again replaces them."""
+    """Store one run's dead letters as JSON by family; running the same run again replaces all of them."""
     if "content" in letters.columns:
         letters = letters.withColumn("content", bytes_note(F.col("content")))
-    (
-        letters.withColumn("run_id", F.lit(run_id))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id", "plugin").json(path)
-    )
+    letters.write.mode("overwrite").partitionBy("plugin").json(f"{path.rstrip('/')}/run_id={run_id}")
 
 
 def run(
@@ -108,10 +129,11 @@ def run(
 ) -> DataFrame:
     """Process once into a table under ``out`` and derive every other output from that table.
 
-    The written table cuts the lineage: losing executors later does not repeat extraction.
+    The written table cuts the lineage: losing executors later does not repeat extraction. It holds every document;
+    those of no registered family are rejected and end up with the dead letters.
     """
     target = f"{out.rstrip('/')}/processed/run_id={run_id}"
-    process(results, overrides, as_of).write.mode("overwrite").partitionBy("plugin").parquet(target)
+    process(results, overrides, as_of, keep_unrouted=True).write.mode("overwrite").partitionBy("plugin").parquet(target)
     processed = spark.read.parquet(target)
     base = f"{out.rstrip('/')}"
     issue_rows(processed).write.mode("overwrite").parquet(f"{base}/issues/run_id={run_id}")

@@ -10,22 +10,22 @@ from ..operators.lines import line_stats
 
 
 def asset_results(assets: DataFrame, recognised: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Result rows of the assets that were found and error rows of those that were not.
+    """Result rows of the assets that were found and recognised, and error rows of all others:
+    ``missing_file`` or ``not_recognised``.
 
     ``assets`` carries the measured file facts and ``error``; ``recognised(sample_id, text, lines)``
     the recognition results.
     """
     count, mean = line_stats(F.col("lines"))
-    done = (
-        assets.where(F.col("error").isNull())
-        .join(recognised.select("sample_id", "text", "lines"), "sample_id")
-        .select(
-            "sample_id", "category", "kind", "path", F.col("found_bytes").alias("size_bytes"),
-            F.col("found_sha256").alias("sha256"), count.alias("num_lines"), mean.alias("confidence"),
-            F.coalesce(preview(F.col("text")), F.lit("")).alias("text_preview"), F.lit("ok").alias("status"),
-        )
+    seen = recognised.select("sample_id", "text", "lines", F.lit(True).alias("_seen"))
+    joined = assets.join(seen, "sample_id", "left").withColumn(
+        "error", F.coalesce("error", F.when(F.col("_seen").isNull(), F.lit("not_recognised"))))
+    done = joined.where(F.col("error").isNull()).select(
+        "sample_id", "category", "kind", "path", F.col("found_bytes").alias("size_bytes"),
+        F.col("found_sha256").alias("sha256"), count.alias("num_lines"), mean.alias("confidence"),
+        F.coalesce(preview(F.col("text")), F.lit("")).alias("text_preview"), F.lit("ok").alias("status"),
     )
-    return done, assets.where(F.col("error").isNotNull()).select("sample_id", "path", "error")
+    return done, joined.where(F.col("error").isNotNull()).select("sample_id", "path", "error")
 
 
 def summary(results: DataFrame) -> DataFrame:

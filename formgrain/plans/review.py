@@ -23,7 +23,7 @@ CAUSE_PATTERNS = [
     (r"_check_failed$|^checksum_invalid$", "ocr_error"),
     (r"^invalid_", "schema_error"),
     (r"_mismatch$|^same_", "validator_error"),
-    (r"_invalid$", "label_error"),
+    (r"_invalid$", "ocr_error"),
     (r"^(blur|glare|shadow|low_contrast|occlusion)", "quality_error"),
     (r"^(cropped|page_curvature)", "detect_error"),
 ]
@@ -195,7 +195,3 @@ def quality_route(
         .withColumn("passed", F.size("reasons") == 0)
         .drop("_rules")
     )
-
-
-def needs_review(decided: DataFrame) -> DataFrame:
-    return decided.where(F.col("decision").isin("review", "reject") | has_severity(F.col("issues"), "error"))

@@ -139,10 +139,5 @@ QUALITY_RULES = {
 }
 
 # Closed vocabularies.
-SEVERITIES = ["info", "warning", "error"]
 FIELD_SOURCES = ["template_ocr", "mrz", "barcode", "vlm_fallback", "manual"]
 SOURCE_PRIORITY = ["vlm_fallback", "barcode", "template_ocr", "mrz", "manual"]
-ROOT_CAUSES = [
-    "detect_error", "quality_error", "ocr_error", "layout_error",
-    "parser_error", "validator_error", "label_error", "schema_error",
-]

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import blank
-
 SAMPLE_TYPE = (
     "struct<sample_id:string,doc_type:string,image_path:string,"
     "annotation_path:string,split:string,tags:array<string>>"
@@ -26,6 +24,17 @@ def manifest_samples(documents: DataFrame, column: str = "value") -> DataFrame:
     return documents.select(F.explode(F.when(is_list, bare).otherwise(wrapped)).alias("s")).select("s.*")
 
 
+def malformed_manifests(documents: DataFrame, column: str = "value") -> DataFrame:
+    """Manifest texts that give no samples, with the reason: ``not_json``, ``no_samples`` or ``empty_samples``."""
+    parsed = F.try_parse_json(column)
+    listed = F.coalesce(F.try_variant_get(parsed, "$.samples", "array<variant>"), F.try_variant_get(parsed, "$", "array<variant>"))
+    reason = (
+        F.when(parsed.isNull(), F.lit("not_json")).when(listed.isNull(), F.lit("no_samples"))
+        .when(F.size(listed) == 0, F.lit("empty_samples"))
+    )
+    return documents.withColumn("error", reason).where(F.col("error").isNotNull())
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return manifest_samples(spark.read.text(path, wholetext=True))
 
@@ -66,22 +75,33 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return reader.load(path).select("path", F.col("length").alias("size_bytes"), "content")
 
 
-def asset_facts(assets: DataFrame, files: DataFrame) -> DataFrame:
+def path_key(path: Column, root: str | None = None) -> Column:
+    """One spelling of a path: relative ones under ``root``, no ``file:`` scheme, no empty or ``.`` parts."""
+    if root is not None:
+        absolute = path.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)")
+        path = F.when(absolute, path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    plain = F.regexp_replace(path, "^file:/+", "/")
+    return F.regexp_replace(F.regexp_replace(plain, "(?<!:)/(\\./|/)+", "/"), "^\\./", "")
+
+
+def asset_facts(assets: DataFrame, files: DataFrame, root: str | None = None) -> DataFrame:
     """Every asset with the measured size and digest of its file, or error ``missing_file``.
 
-    Digests are taken before the join, so file contents are never shuffled.
+    ``root``: the folder that relative manifest paths start from. Digests are taken before the join, so file contents
+    are never shuffled.
     """
     measured = files.select(
-        "path", F.col("size_bytes").alias("found_bytes"), F.sha2("content", 256).alias("found_sha256")
+        path_key(F.col("path"), root).alias("_key"), F.col("size_bytes").alias("found_bytes"), F.sha2("content", 256).alias("found_sha256")
     )
-    return assets.join(measured, "path", "left").withColumn(
+    return assets.withColumn("_key", path_key(F.col("path"), root)).join(measured, "_key", "left").drop("_key").withColumn(
         "error", F.when(F.col("found_sha256").isNull(), F.lit("missing_file"))
     )
 
 
-def missing_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
+def missing_assets(assets: DataFrame, files: DataFrame, root: str | None = None) -> DataFrame:
+    there = files.select(path_key(F.col("path"), root).alias("_key"))
     return (
-        assets.join(files.select("path"), "path", "left_anti")
+        assets.withColumn("_key", path_key(F.col("path"), root)).join(there, "_key", "left_anti")
         .select("sample_id", "path", F.lit("missing_file").alias("error"))
     )
 
@@ -140,10 +160,3 @@ def intake_verdicts(uploads: DataFrame, known: list[str]) -> DataFrame:
         F.when(plugin.isNull(), F.lit("missing_plugin")).when(~plugin.isin(known), F.lit("unknown_plugin"))
         .when(content.isNull() | (F.octet_length(content) == 0), F.lit("empty_file")),
     )
-
-
-def incomplete_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    bad = F.lit(False)
-    for key in keys:
-        bad = bad | blank(F.col(key))
-    return df.where(bad)

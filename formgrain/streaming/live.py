@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,8 +25,9 @@ def read_results_stream(
 
 
 def process_stream(results: DataFrame, as_of: str | None = None, only: list[str] | None = None) -> DataFrame:
-    """The batch job's projections need no state, so a stream takes them as they are."""
-    return process(results, as_of=as_of, only=only)
+    """The batch job's projections need no state, so a stream takes them as they are. Documents of no registered
+    family come out rejected, unless ``only`` some families are asked for."""
+    return process(results, as_of=as_of, only=only, keep_unrouted=only is None)
 
 
 def drop_repeats(uploads: DataFrame, event_time: str, key: str = "sample_id", within: str = "1 hour") -> DataFrame:
@@ -73,11 +76,13 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, once: bool = False)
     return writer.start()
 
 
-def dead_letter_stream(processed: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Store dead letters per micro-batch. A batch that is replayed replaces its own files."""
+def dead_letter_stream(processed: DataFrame, path: str, checkpoint: str, once: bool = False, stream_id: str | None = None) -> StreamingQuery:
+    """Store dead letters per micro-batch. A batch that is replayed replaces its own files, and no other stream's:
+    they are kept under ``stream_id``, by default a name made from the checkpoint."""
+    stream_id = stream_id or hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        write_dead_letters(dead_letters(batch), path, f"batch-{batch_id}")
+        write_dead_letters(dead_letters(batch), path, f"{stream_id}-batch-{batch_id}")
 
     writer = processed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     if once:

@@ -233,6 +233,9 @@ ASSETS = """
     FROM documents d"""
 
 
+UNROUTED = "'plain/' || doc_id AS doc_id, 'plain' AS plugin"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "ocr_lines": q("textlines", """
@@ -392,6 +395,24 @@ def oracle_sql() -> dict[str, str]:
             SELECT split, count(*) AS num_events, min(ts) AS first_ts, max(ts) AS last_ts FROM (
                 SELECT ts, CASE WHEN row_number() OVER (ORDER BY ts) <= floor(count(*) OVER () * 0.7) THEN 'train' ELSE 'val' END AS split FROM events)
             GROUP BY split""",
+        "positional_split_ties": """
+            SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY CASE WHEN doc_id % 9 <> 0 THEN lang END NULLS FIRST, doc_id) <= floor(count(*) OVER () * 0.6)
+                   THEN 'train' ELSE 'val' END AS split FROM documents""",
+        "hash_split": """
+            SELECT doc_id, CASE WHEN CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 8000 THEN 'train' ELSE 'val' END AS split
+            FROM documents""",
+        "dataset_layers": """
+            SELECT doc_id, CASE WHEN doc_id % 20 = 7 THEN 'golden' WHEN quality = 0 OR toxic = 1 THEN 'hard'
+                   WHEN CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 8000 THEN 'train' ELSE 'val' END AS layer
+            FROM labels""",
+        "malformed_manifests": """
+            SELECT doc_id, ['not_json', 'no_samples', 'empty_samples'][doc_id % 4 + 1] AS error FROM documents WHERE doc_id % 4 < 3""",
+        "label_values_of_foreign_lines": q("books", LABEL_ROWS),
+        "unrecognised_assets": f"""
+            SELECT doc_id AS sample_id, CASE WHEN found THEN 'not_recognised' ELSE 'missing_file' END AS error FROM ({ASSETS}) WHERE NOT found OR doc_id % 5 = 0""",
+        "kept_overrides": "SELECT c_custkey AS doc_id, c_mktsegment AS segment, false AS was_read FROM customer",
+        "rejected_unrouted": q("textlines", """
+            SELECT 'plain/' || doc_id AS doc_id, 'unknown_plugin' AS reason, 'unknown plugin' AS message, CAST(len(l) AS INTEGER) AS num_lines FROM textlines"""),
         "hard_share": """
             WITH s AS (SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'val' END AS split FROM labels)
             SELECT split, count(*) AS num_samples, count(*) FILTER (WHERE quality = 0 OR toxic = 1) AS num_hard,
@@ -404,7 +425,7 @@ def oracle_sql() -> dict[str, str]:
         "failures_by_cause": q("all_issues", """
             SELECT plugin, CASE WHEN code = 'missing_mrz_lines' THEN 'ocr_error' WHEN code LIKE 'missing%' THEN 'parser_error'
                    WHEN code LIKE '%check_failed' OR code = 'checksum_invalid' THEN 'ocr_error' WHEN code LIKE 'invalid%' THEN 'schema_error'
-                   WHEN code LIKE '%mismatch' THEN 'validator_error' ELSE 'label_error' END AS root_cause, code, count(*) AS num_issues
+                   WHEN code LIKE '%mismatch' THEN 'validator_error' ELSE 'ocr_error' END AS root_cause, code, count(*) AS num_issues
             FROM (SELECT plugin, unnest(issues).code AS code FROM all_issues) GROUP BY ALL"""),
         "top_failures": q("all_issues", """
             SELECT period, plugin, code, num_issues, CAST(rank AS INTEGER) AS rank FROM (
@@ -483,6 +504,10 @@ def oracle_sql() -> dict[str, str]:
                    count(*) FILTER (WHERE value >= 10) AS num_accepted, count(*) FILTER (WHERE value < 10 AND value >= 5) AS num_review
             FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""",
         "live_uploads": "SELECT DISTINCT user_id AS sample_id FROM events",
-        "live_decisions": q("judged", "SELECT doc_id, plugin, accepted, score, CAST(num_issues AS INTEGER) AS num_issues FROM judged WHERE plugin IN ('china_id', 'hukou_booklet', 'medical_record', 'passport', 'boarding_pass', 'train_ticket')"),
-        "live_dead_letters": q("judged", "SELECT doc_id, plugin, CAST(num_issues AS INTEGER) AS num_issues FROM judged WHERE NOT accepted"),
+        "live_decisions": q("judged", f"""
+            SELECT doc_id, plugin, accepted, score, CAST(num_issues AS INTEGER) AS num_issues FROM judged
+            UNION ALL SELECT {UNROUTED}, false, 0.0::DOUBLE, 1 FROM documents"""),
+        "live_dead_letters": q("judged", f"""
+            SELECT doc_id, plugin, CAST(num_issues AS INTEGER) AS num_issues FROM judged WHERE NOT accepted
+            UNION ALL SELECT {UNROUTED}, 1 FROM documents"""),
     }

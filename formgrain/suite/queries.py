@@ -440,6 +440,51 @@ def positional_split_events(spark, sf):
     )
 
 
+def positional_split_ties(spark, sf):
+    """Four languages order the documents, the id decides between equals; some rows have no language."""
+    samples = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("lang")).alias("lang"))
+    return splitting.positional_split(samples, "lang", 0.6, "doc_id").select("doc_id", "split")
+
+
+def dataset_layers(spark, sf):
+    samples = table(spark, sf, "labels")
+    return splitting.layers(samples, "doc_id", F.col("doc_id") % 20 == 7, (F.col("quality") == 0) | (F.col("toxic") == 1)).select("doc_id", "layer")
+
+
+def malformed_manifests(spark, sf):
+    k = F.col("doc_id")
+    text = F.get(F.array(F.concat(F.lit('{"samples": '), F.col("text")), F.lit('{"name": "n"}'), F.lit("[]"), F.to_json(F.array(F.struct(F.col("text").alias("sample_id"))))),
+                 (k % 4).cast("int"))
+    return datasets.malformed_manifests(table(spark, sf, "documents").select(k, text.alias("value"))).select("doc_id", "error")
+
+
+def label_values_of_foreign_lines(spark, sf):
+    """The same over a line table that does not know its next lines."""
+    pairs = ", ".join(f"('{a}', '{f}')" for a, f in labels.alias_pairs(rules.BOOKLET_ALIASES))
+    aliases = spark.sql(f"SELECT * FROM VALUES {pairs} AS t(alias, field)")
+    plain = lines.explode_lines(render.booklets(spark, sf)).drop("next_text")
+    return labels.label_values_of_lines(plain, aliases).select("doc_id", "field", "value")
+
+
+def unrecognised_assets(spark, sf):
+    """Every fifth recognition result is missing; paths are spelt in three ways."""
+    assets, k = _assets(spark, sf), F.col("sample_id")
+    spelt = F.when(k % 3 == 0, F.concat(F.lit("file:///data/"), F.col("path"))).when(k % 3 == 1, F.concat(F.lit("./"), F.col("path"))).otherwise(F.col("path"))
+    files = _files(spark, sf).withColumn("path", F.concat(F.lit("file:/data/"), F.col("path")))
+    facts = datasets.asset_facts(assets.withColumn("path", spelt), files, "/data")
+    recognised = render.text_results(spark, sf).withColumnRenamed("doc_id", "sample_id").where(k % 5 != 0)
+    return profile.asset_results(facts, recognised)[1].select("sample_id", "error")
+
+
+def kept_overrides(spark, sf):
+    """Provided fields that the family does not know stay in the result; so does what was read before."""
+    given = render.passport_overrides(spark, sf)
+    extra = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("segment").alias("field"), F.col("c_mktsegment").alias("value"))
+    nameless = extra.withColumn("field", F.lit(None).cast("string"))
+    done = process.process(render.passports(spark, sf), given.select("doc_id", "field", "value").unionByName(extra).unionByName(nameless), render.AS_OF, only=["passport"])
+    return done.select("doc_id", F.try_element_at("field_values", F.lit("segment")).alias("segment"), F.map_contains_key("parsed_fields", F.lit("segment")).alias("was_read"))
+
+
 def hash_split(spark, sf):
     return splitting.hash_split(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.8)
 
@@ -468,6 +513,13 @@ def _decided(spark, sf) -> DataFrame:
     return review.with_decision(process.process(mixed_results(spark, sf), as_of=render.AS_OF))
 
 
+def rejected_unrouted(spark, sf):
+    """The job's rows of documents that belong to no family, as dead letters with their text."""
+    done = process.process(mixed_results(spark, sf), as_of=render.AS_OF, keep_unrouted=True)
+    letters = process.dead_letters(done).where("plugin = 'plain'")
+    return letters.select("doc_id", F.get("issues", 0)["code"].alias("reason"), F.get("issues", 0)["message"].alias("message"), F.size("lines").alias("num_lines"))
+
+
 def processed_documents(spark, sf):
     return _decided(spark, sf).select(
         "doc_id", "plugin", "accepted", "score", F.size("issues").alias("num_issues"), "decision"
@@ -677,7 +729,8 @@ QUERIES = [
     booklet_issues, booklet_scores, record_fields, record_items, record_issues, boarding_fields, boarding_issues, train_fields,
     train_issues, label_values, label_values_of_lines, place_routes, nearest_candidates, merged_fields, field_outcomes,
     document_scores, evaluation_totals, evaluation_report, quality_metrics, dataset_summary, positional_split,
-    positional_split_events, hash_split, hard_share, processed_documents, unroutable_documents, dead_letters, failures_by_cause,
+    positional_split_events, positional_split_ties, hash_split, dataset_layers, malformed_manifests, label_values_of_foreign_lines,
+    unrecognised_assets, kept_overrides, rejected_unrouted, hard_share, processed_documents, unroutable_documents, dead_letters, failures_by_cause,
     top_failures, decisions, review_queue, number_candidates, chosen_numbers, completeness, quality_routes, card_pairs,
     source_selection, tagged_annotations, relation_texts, unknown_sources, decision_rates, first_uploads, live_decisions,
     live_dead_letters, live_rates, live_uploads,

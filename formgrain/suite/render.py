@@ -20,13 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan has fewer splits than there are cores.
-
-    Extraction is heavy per row, and a table of one small file would otherwise keep one core
-    busy. A table of many files is left as it is scanned.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows dealt evenly over the session's shuffle partitions, whatever the table's size: extraction is heavy per row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def line(text: Column | str, score: Column | float = 0.9, box: Column | None = None) -> Column:
