@@ -1,4 +1,4 @@
-"""Golden documents with the field values they must give."""
+"""Golden documents with the field values they must give: fixed vectors."""
 
 
 def box(x1, y1, x2, y2):

@@ -30,6 +30,31 @@ def test_asset_profile_from_files(spark, make_docs, tmp_path):
     assert (totals.num_samples, totals.num_processed, totals.num_errors, totals.status) == (2, 1, 1, "fail")
 
 
+def test_manifest_paths_meet_scanned_files(spark, make_docs, tmp_path):
+    folder = tmp_path / "a b" / "资料"
+    folder.mkdir(parents=True)
+    for name in ("one.png", "two 2.png", "三.png", "left out.png"):
+        (folder / name).write_bytes(name.encode())
+    given = [("1", f"{folder}/one.png"), ("2", "资料/two 2.png"), ("3", "./资料//三.png"), ("4", f"file://{folder}/one.png"), ("5", "资料/none.png")]
+    assets = spark.createDataFrame([(i, "c", "k", p) for i, p in given], "sample_id string, category string, kind string, path string")
+    files = datasets.read_files(spark, str(tmp_path / "a b"))
+    root = str(tmp_path / "a b")
+    facts = {r.sample_id: (r.found_bytes, r.error) for r in datasets.asset_facts(assets, files, root).collect()}
+    assert facts == {"1": (7, None), "2": (9, None), "3": (7, None), "4": (7, None), "5": (None, "missing_file")}
+    assert [r.sample_id for r in datasets.missing_assets(assets, files, root).collect()] == ["5"]
+    seen = make_docs([("1", "x", ["t"])]).withColumnRenamed("doc_id", "sample_id").withColumn("text", F.lit("t"))
+    done, errors = profile.asset_results(datasets.asset_facts(assets, files, root), seen)
+    assert done.count() == 1
+    assert {r.sample_id: r.error for r in errors.collect()} == {"2": "not_recognised", "3": "not_recognised", "4": "not_recognised", "5": "missing_file"}
+
+
+def test_malformed_manifests(spark):
+    texts = ["{broken", '{"name": 1}', '{"samples": []}', "[]", '[{"sample_id": "a"}]', '{"samples": [{"sample_id": "b"}]}', None]
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    got = [(r.value, r.error) for r in datasets.malformed_manifests(df).collect()]
+    assert got == list(zip([*texts[:4], None], ["not_json", "no_samples", "empty_samples", "empty_samples", "not_json"]))
+
+
 def test_candidates_prefer_the_valid_number(make_docs):
     docs = lines.with_rows(make_docs([
         ("a", "p", [("身份证号: 110101199003074515", 0.5), ("110101199003074514", 0.9)]),

@@ -139,20 +139,65 @@ def test_routes_and_nearest_on_line_tables(spark, make_docs):
     assert routes == {"a": ("TAIYUAN", "FUZHOU"), "b": ("FUZHOU", None)}
 
 
-def test_positional_split_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(splitting, "SORTABLE_ROWS", 50)
-    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"))
+def test_positional_split_is_exact(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), "id", F.lit(1).alias("one"))
     for ratio in (0.0, 0.1, 0.5, 0.8, 0.999, 1.0):
         split = splitting.positional_split(df, "k", ratio)
         train = [r.k for r in split.where("split = 'train'").collect()]
         every = sorted(r.k for r in df.collect())
         assert sorted(train) == every[: int(5000 * ratio)]
     with pytest.raises(ValueError):
-        splitting.positional_split(spark.range(500).select(F.lit(1).alias("k")), "k", 0.5)
+        splitting.positional_split(df, "one", 0.5)
+    with pytest.raises(ValueError):
+        splitting.positional_split(df, "one", 0.5, "one")
+    tied = splitting.positional_split(df, "one", 0.5, "id").where("split = 'train'")
+    assert sorted(r.id for r in tied.collect()) == list(range(2500))
     two = splitting.positional_split(spark.createDataFrame([("a",), ("b",)], "k string"), "k", 0.5)
     assert {r.k: r.split for r in two.collect()} == {"a": "train", "b": "val"}
 
 
+@pytest.mark.parametrize("train", range(6))
+def test_positional_split_places_nulls_first_and_ties_by_id(spark, train):
+    rows = [(None, 5), (None, 2), ("a", 9), ("a", 1), ("b", 3)]
+    split = splitting.positional_split(spark.createDataFrame(rows, "k string, i int"), "k", train / 5, "i")
+    order = [2, 5, 1, 9, 3]
+    assert {r.i for r in split.where("split = 'train'").collect()} == set(order[:train])
+
+
+def test_every_document_comes_out_of_the_run(spark, make_docs, tmp_path):
+    docs = make_docs([("a", "passport", ["x"]), ("b", "receipt", "some text"), ("c", None, ["y"])])
+    out = str(tmp_path / "out")
+    done = process.run(spark, docs, out, "r1", as_of=AS_OF)
+    assert {r.doc_id for r in done.collect()} == {"a", "b", "c"}
+    letters = {r.doc_id: r for r in spark.read.json(f"{out}/dead_letters").collect()}
+    assert (letters["b"].issues[0].code, letters["b"].text, letters["c"].issues[0].code) == ("unknown_plugin", "some text", "missing_plugin")
+    process.run(spark, make_docs([("z", "receipt", "t")]), out, "r1", as_of=AS_OF)
+    assert {r.doc_id for r in spark.read.json(f"{out}/dead_letters").collect()} == {"z"}
+
+
+def test_letters_of_streams_stay_apart(spark, make_docs, tmp_path):
+    for name in ("one", "two"):
+        source = str(tmp_path / name)
+        process.with_contract(make_docs([(name, "receipt", "t")])).write.json(source)
+        stream = live.process_stream(live.read_results_stream(spark, source, multi_line=False), as_of=AS_OF)
+        live.dead_letter_stream(stream, str(tmp_path / "dead"), str(tmp_path / f"ck-{name}"), once=True).awaitTermination()
+    assert {r.doc_id for r in spark.read.json(str(tmp_path / "dead")).collect()} == {"one", "two"}
+
+
+def test_unknown_overrides_are_kept(spark, make_docs):
+    docs = make_docs([("d", "passport", GOLDENS["passport_lines"][1])])
+    given = spark.createDataFrame([("d", "surname", "NEW"), ("d", "visa", "V1"), ("d", None, "lost")], "doc_id string, field string, value string")
+    row = process.process(docs, given, AS_OF, only=["passport"]).first()
+    assert (row.field_values["surname"], row.field_values["visa"], row.parsed_fields["surname"]) == ("NEW", "V1", "ERIKSSON")
+
+
+def test_unmatched_golden_keeps_its_family(spark):
+    golden = spark.createDataFrame([("d", "p", {"a": "1"}), ("e", "p", {"a": "1"})], "doc_id string, plugin string, expected map<string,string>")
+    predicted = spark.createDataFrame([("d", "p", {"a": "1"}, True, "accept")], "doc_id string, plugin string, field_values map<string,string>, accepted boolean, decision string")
+    row = evaluation.quality_metrics(evaluation.compare(golden, predicted)).first()
+    assert (row.plugin, row.num_documents, row.document_success_rate, row.review_rate) == ("p", 2, 0.5, 0.5)
+
+
 def test_dataset_summary(spark):
     df = spark.createDataFrame([("china_id",), ("train_ticket",), ("china_id",), (None,)], "doc_type string")
     row = splitting.dataset_summary(df).first()
