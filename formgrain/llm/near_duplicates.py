@@ -1,8 +1,9 @@
 """Near-duplicate documents by MinHash bands, with odd sketches before the exact check.
 
 Documents with one and the same shingle set are one node. A node's MinHash samples give its band keys and its odd
-sketch: every sample flips one bit, so the bits in which two sketches differ tell how many samples differ. Nodes that
-share a band key are candidates. In each band every node meets the band's smallest node; what the exact check on full
+sketch: every sample flips one bit, so the bits in which two sketches differ tell how many samples differ. A second
+sketch of the same kind, over all shingles, differs in no more bits than the sets differ in shingles, which bars pairs
+just below the threshold without a doubt. Nodes that share a band key are candidates. In each band every node meets the band's smallest node; what the exact check on full
 sets confirms is joined to components. Then nodes of one band that are still in different components meet too, if
 their sketches let them be similar; so a link can only go unfound if no band is shared or a sketch is off by five
 deviations.
@@ -35,7 +36,9 @@ class Settings:
     bands: int = 40
     rows: int = 5
     sketch_longs: int = 8
+    set_longs: int = 16
     margin: int = 25
+    tile: int = 4096
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -58,7 +61,7 @@ def samples(prints: np.ndarray, factors: np.ndarray) -> np.ndarray:
     best = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(prints), 512):
         best = np.minimum(best, (prints[at:at + 512, None] * factors[None, :]).min(axis=0))
-    return common.mixed(best)
+    return common.mixed(best) + np.arange(len(best), dtype=np.uint64)
 
 
 def band_keys(found: np.ndarray, s: Settings) -> np.ndarray:
@@ -66,9 +69,9 @@ def band_keys(found: np.ndarray, s: Settings) -> np.ndarray:
     return common.mixed((found.reshape(s.bands, s.rows) * powers[:s.rows]).sum(axis=1, dtype=np.uint64) + powers[s.rows:])
 
 
-def odd_sketch(found: np.ndarray, s: Settings) -> np.ndarray:
-    bits = 64 * s.sketch_longs
-    flips = common.mixed(found + np.arange(len(found), dtype=np.uint64)) % np.uint64(bits)
+def odd_sketch(found: np.ndarray, longs: int) -> np.ndarray:
+    bits = 64 * longs
+    flips = common.mixed(found) % np.uint64(bits)
     return np.packbits(np.bincount(flips.astype(np.int64), minlength=bits) & 1).view(np.int64)
 
 
@@ -85,14 +88,14 @@ def described(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Rec
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             prints = shingles(text or b"", s.words)
             if not len(prints):
-                rows.append((doc_id, 0, None, None, None))
+                rows.append((doc_id, 0, None, None, None, None))
                 continue
             found = samples(prints, factors)
-            rows.append((doc_id, len(prints), node_of(prints), band_keys(found, s).view(np.int64), odd_sketch(found, s)))
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
+            rows.append((doc_id, len(prints), node_of(prints), band_keys(found, s).view(np.int64), odd_sketch(found, s.sketch_longs), odd_sketch(prints, s.set_longs)))
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], longs), pa.array(cols[4], longs)],
-                                         names=["doc_id", "n_shingles", "node", "keys", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], longs), pa.array(cols[4], longs), pa.array(cols[5], longs)],
+                                         names=["doc_id", "n_shingles", "node", "keys", "sketch", "parity"])
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -148,14 +151,77 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stored(tied.distinct(), "edges")
 
 
-def different_bits(a: str, b: str, s: Settings) -> Column:
-    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, s.sketch_longs)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+def different_bits(name: str, longs: int) -> Column:
+    """Bits in which the sketches of both sides of a pair differ."""
+    return sum((F.bit_count(F.col(f"{name}{k}_a").bitwiseXOR(F.col(f"{name}{k}_b"))) for k in range(1, longs)), F.bit_count(F.col(f"{name}0_a").bitwiseXOR(F.col(f"{name}0_b"))))
+
+
+def may_be_similar(s: Settings) -> Column:
+    """What sizes and sketches of the two nodes of a pair leave possible. Sets as similar as asked differ in at most
+    (100 - similar) / (100 + similar) of the sum of their sizes."""
+    sets_allow = different_bits("parity", s.set_longs) * (100 + s.similar) <= (F.col("n_shingles_a") + F.col("n_shingles_b")) * (100 - s.similar)
+    samples_allow = different_bits("sketch", s.sketch_longs) <= most_different_bits(s)
+    return sets_allow & samples_allow
+
+
+def side(nodes: DataFrame, x: str, s: Settings) -> DataFrame:
+    """Nodes as one side of a pair, with the words of their sketches as plain columns."""
+    sketches = [F.col(name)[k].alias(f"{name}{k}_{x}") for name, longs in (("parity", s.set_longs), ("sketch", s.sketch_longs)) for k in range(longs)]
+    return nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_shingles_{x}"), *sketches)
 
 
 def sketched(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     """Pairs whose sketches allow them to be similar enough."""
-    left, right = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").where(different_bits("sketch_a", "sketch_b", s) <= most_different_bits(s)).select("a", "b")
+    return pairs.join(side(nodes, "a", s), "a").join(side(nodes, "b", s), "b").where(may_be_similar(s)).select("a", "b")
+
+
+def tiles(members: DataFrame, s: Settings) -> DataFrame:
+    """Members of bands dealt to tiles: a band of many members is split into shards, and every two shards meet in one tile,
+    so no task holds more than two shards of a band."""
+    shards = F.ceil(F.col("n") / s.tile).cast("int")
+    shard = F.pmod(F.xxhash64("node", F.lit(7)), shards).cast("int")
+    dealt = members.withColumn("shard", shard).withColumn("other", F.explode(F.sequence(F.lit(0), shards - 1)))
+    dealt = dealt.select("key", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j"), "shard", "node", "label", "n_shingles", "keys", "parity", "sketch")
+    return dealt.repartition(common.partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def close_pairs(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """(larger node, smaller node) of the pairs of a tile with different labels that their sketches leave possible.
+    A pair that shares several bands comes out of the first of them only."""
+    held: list[tuple[np.ndarray, ...]] = []
+    tile = None
+    for batch in batches:
+        flat = [np.asarray(batch.column(k)) for k in range(7)]
+        words = [np.asarray(batch.column(k).flatten()).view(np.uint64).reshape(len(batch), -1) for k in (7, 8, 9)]
+        at = np.stack(flat[:3], axis=1)
+        cuts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(axis=1)]) if len(batch) else []
+        for a, b in zip(cuts, [*cuts[1:], len(batch)], strict=True):
+            if held and tuple(at[a]) != tile:
+                yield from pairs_of_tile(tile, held, s)
+                held = []
+            tile = tuple(at[a])
+            held.append(tuple(x[a:b] for x in (*flat[3:], *words)))
+    if held:
+        yield from pairs_of_tile(tile, held, s)
+
+
+def pairs_of_tile(tile: tuple, held: list, s: Settings) -> Iterator[pa.RecordBatch]:
+    shard, node, label, size, keys, parity, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+    left, right = np.flatnonzero(shard == tile[1]), np.flatnonzero(shard == tile[2])
+    for at in range(0, len(left), 256):
+        rows = left[at:at + 256]
+        differ = np.zeros((len(rows), len(right)), np.int32)
+        for k in range(parity.shape[1]):
+            differ += np.bitwise_count(parity[rows, k][:, None] ^ parity[right, k][None, :])
+        able = differ * (100 + s.similar) <= (size[rows][:, None] + size[right][None, :]) * (100 - s.similar)
+        a, b = np.nonzero(able & (label[rows][:, None] != label[right][None, :]))
+        a, b = rows[a], right[b]
+        near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= most_different_bits(s)
+        a, b = a[near], b[near]
+        shared = (keys[a] == keys[b]).argmax(axis=1)
+        here = keys[a, shared] == np.int64(tile[0]).view(np.uint64)
+        a, b = node[a[here]], node[b[here]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
 
 def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -168,9 +234,9 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     s = settings
     spark = documents.sparkSession
     common.on_workers(spark)
-    rows = common.texts_of(documents).mapInArrow(lambda b: described(b, s), "doc_id long, n_shingles long, node long, keys array<long>, sketch array<long>")
+    rows = common.texts_of(documents).mapInArrow(lambda b: described(b, s), "doc_id long, n_shingles long, node long, keys array<long>, sketch array<long>, parity array<long>")
     docs = stored(rows, "described")
-    nodes = stored(docs.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", "keys", "sketch"), "nodes")
+    nodes = stored(docs.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", "n_shingles", "keys", "sketch", "parity"), "nodes")
     banded = nodes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
     met = stored(banded.join(shared.select("key", "center"), "key"), "shared-bands")
@@ -179,20 +245,17 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     labels = components(edges)
 
     placed = met.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    placed = stored(placed.join(mixed, "key").join(nodes.select("node", "sketch"), "node"), "open-bands")
-    left = placed.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("sketch").alias("sketch_a"))
-    right = placed.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"))
-    across = left.join(right, "key").where((F.col("label_a") > F.col("label_b")) & (different_bits("sketch_a", "sketch_b", s) <= most_different_bits(s)))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low != high").select("key", "n")
+    across = tiles(placed.join(mixed, "key").join(nodes, "node"), s).mapInArrow(lambda b: close_pairs(b, s), "a long, b long")
     done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    second = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    second = across.distinct().join(done, ["a", "b"], "left_anti")
     second = stored(second, "second-pairs")
     if not second.isEmpty():
         edges = stored(edges.unionByName(links(documents, docs, second, s)), "links")
         labels = components(edges)
 
-    named = docs.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    out = named.join(smallest, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("smallest")))
+    labelled = docs.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("smallest"))
+    out = labelled.join(smallest, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("smallest")))
     kept = F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

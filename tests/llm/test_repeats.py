@@ -115,8 +115,8 @@ def near(docs):
     return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_near_duplicates(make, seed):
+@pytest.mark.parametrize(("seed", "tile"), [(1, 4096), (2, 4096), (3, 2)])
+def test_near_duplicates(make, seed, tile):
     docs = corpus(seed)
     rng = random.Random(seed)
     base = [f"w{k}" for k in range(200)]
@@ -127,7 +127,7 @@ def test_near_duplicates(make, seed):
         for _ in range(4):
             words[rng.randrange(200)] = f"u{rng.randrange(9)}"
         docs.append((3000 + k, " ".join(words).upper()))
-    found = near_duplicates.near_duplicates(make(docs)).collect()
+    found = near_duplicates.near_duplicates(make(docs), near_duplicates.Settings(tile=tile)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == near(docs)
 
 
@@ -144,10 +144,10 @@ def test_sketches_tell_similarity():
     s = near_duplicates.Settings()
     factors = near_duplicates.multipliers(s.bands * s.rows)
     shingles = common.mixed(np.arange(1, 4000, dtype=np.uint64))
-    base = near_duplicates.odd_sketch(near_duplicates.samples(shingles[:1000], factors), s)
+    base = near_duplicates.odd_sketch(near_duplicates.samples(shingles[:1000], factors), s.sketch_longs)
     bits = []
     for apart in (0, 50, 111, 300, 900):  # similarity 1, 0.9, 0.8, 0.54, 0.05
-        other = near_duplicates.odd_sketch(near_duplicates.samples(shingles[apart:1000 + apart], factors), s)
+        other = near_duplicates.odd_sketch(near_duplicates.samples(shingles[apart:1000 + apart], factors), s.sketch_longs)
         bits.append(sum(int(a ^ b).bit_count() if a ^ b >= 0 else int((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(base.tolist(), other.tolist())))
     assert bits[0] == 0 and bits == sorted(bits) and bits[2] < near_duplicates.most_different_bits(s) < bits[4]
 
