@@ -67,14 +67,16 @@ class Index:
         return ranked.where(F.size("terms") == F.size("passage")).select("passage", "terms")
 
     def _postings(self) -> DataFrame:
-        """(term, doc_id, position, first, near) of the two rarest terms of any passage; near: words from position first on."""
-        terms = self.passages.select(F.explode(F.slice("terms", 1, 2)).alias("t")).select("t.term").distinct()
+        """(term, doc_id, position, first, near) of the two rarest terms of any passage; near: words from position first
+        on, for terms that are the rarest of some passage."""
+        terms = self.passages.select(F.posexplode(F.slice("terms", 1, 2)).alias("rank", "t"))
+        terms = terms.groupBy("t.term").agg((F.min("rank") == 0).alias("rarest"))
         reach = self.window - 1
         placed = self.documents.select("doc_id", "words", F.posexplode("words").alias("position", "word"))
         found = placed.withColumn("term", lower(F.col("word"))).join(small(terms, 2 * self.n_passages), "term")
         first = F.greatest(F.col("position") - reach, F.lit(0))
         around = F.slice("words", first + 1, F.col("position") - first + 1 + reach)
-        return found.select("term", "doc_id", "position", first.alias("first"), F.transform(around, lower).alias("near"))
+        return found.select("term", "doc_id", "position", first.alias("first"), F.when(F.col("rarest"), F.transform(around, lower)).alias("near"))
 
     def starts(self, rank: int) -> DataFrame:
         """Postings of the passages' rank-th rarest terms, shifted by the terms' offsets."""
