@@ -116,16 +116,27 @@ class Tree:
             depth[n] = depth[parent[-1 - n]] + 1 if -1 - n in parent else 0
         self.level = np.minimum(depth // 4, 3).astype(np.int8)
         order = np.argsort(codes)
-        self.codes, self.rank, self.counts = codes[order], order.astype(np.int64), counts[order].astype(np.float64)
+        self.codes, self.rank, self.counts = codes[order], np.minimum(order, k).astype(np.int32), counts[order].astype(np.float64)
         self.k = k
+        # Codes are evenly spread, so their leading bits nearly say where they stand.
+        self.shift = np.uint64(64 - max(1, len(codes)).bit_length())
+        self.first = np.searchsorted(self.codes >> self.shift, np.arange(2 << int(np.uint64(63) - self.shift), dtype=np.uint64))
 
     def look_up(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Leaf (k: escape) and count (-1: not among the common words) of every token."""
+        leaf, count = np.full(len(codes), self.k, np.int32), np.full(len(codes), -1.0)
         if not len(self.codes):
-            return np.zeros(len(codes), np.int64), np.full(len(codes), -1.0)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        known = self.codes[at] == codes
-        return np.where(known, np.minimum(self.rank[at], self.k), self.k), np.where(known, self.counts[at], -1.0)
+            return leaf, count
+        left, at = np.arange(len(codes)), self.first[codes >> self.shift]
+        while len(left):
+            inside = at < len(self.codes)
+            left, at = left[inside], at[inside]
+            here, wanted = self.codes[at], codes[left]
+            hit = here == wanted
+            leaf[left[hit]], count[left[hit]] = self.rank[at[hit]], self.counts[at[hit]]
+            more = here < wanted
+            left, at = left[more], at[more] + 1
+        return leaf, count
 
 
 def stretch(p: np.ndarray) -> np.ndarray:
@@ -133,7 +144,7 @@ def stretch(p: np.ndarray) -> np.ndarray:
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+    return 1 / (1 + np.exp(-np.clip(x, -15, 15)))
 
 
 def steps(tree: Tree, codes: np.ndarray, counts: np.ndarray, leaf: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
@@ -187,7 +198,7 @@ class Tables:
     """Logits and confidences of the hashed tables."""
 
     def __init__(self, rows: list, s: Settings):
-        self.logit = np.zeros((ORDERS, 1 << s.slot_bits), np.float16)
+        self.logit = np.zeros((ORDERS, 1 << s.slot_bits), np.float32)
         self.sure = np.zeros((ORDERS, 1 << s.slot_bits), np.int8)
         part = (1 << s.slot_bits) // PARTS
         for key, blob in rows:
@@ -195,16 +206,15 @@ class Tables:
             self.logit[k, j * part:(j + 1) * part], self.sure[k, j * part:(j + 1) * part] = common.unpack(blob)
 
 
-def inputs(tree: Tree, tables: Tables, node: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of the predictors for every bit, and its gate."""
-    x = np.empty((len(node), ORDERS + 1), np.float32)
-    x[:, 0] = tree.logit[node]
-    gate = tree.level[node].astype(np.int64)
+def inputs(tree: Tree, tables: Tables, node: np.ndarray, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Logits of each predictor for every bit, and the bits' gates."""
+    x = [tree.logit[node]]
+    gate = tree.level[node].astype(np.int32)
     for k in range(ORDERS):
         sure = tables.sure[k][slots[k]]
         # A context that has seen nothing says what the node says.
-        x[:, k + 1] = np.where(sure > 0, tables.logit[k][slots[k]].astype(np.float32), x[:, 0])
-        gate = gate * 4 + sure
+        x.append(np.where(sure > 0, tables.logit[k][slots[k]], x[0]))
+        gate = gate * np.int32(4) + sure
     return x, gate
 
 
@@ -216,30 +226,29 @@ class Mixer:
         self.weights = np.tile(np.array([0.4] + [0.2] * ORDERS, np.float32), (GATES, 1)) if weights is None else weights
         self.refined = refined
 
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return (self.weights[gate] * x).sum(axis=1)
+    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        return sum(self.weights[:, k][gate] * x[k] for k in range(ORDERS + 1))
 
     @staticmethod
     def bucket(logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Slot of the refining table: the mixed logit in steps, for each level of the tree."""
-        step = np.clip(np.floor(logit * 1.5) + REFINED // 2, 0, REFINED - 1).astype(np.int64)
-        return gate // 4 ** ORDERS * REFINED + step
+        step = np.clip(logit * np.float32(1.5) + np.float32(REFINED // 2), 0, REFINED - 1).astype(np.int32)
+        return (gate >> (2 * ORDERS)) * REFINED + step
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, s: Settings) -> np.ndarray:
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, s: Settings) -> np.ndarray:
         """Online steps against the error of every bit, a few bits at a time; returns the logits as they were predicted."""
-        out = np.empty(len(x), np.float32)
-        for at in range(0, len(x), s.batch):
+        out = np.empty(len(gate), np.float32)
+        for at in range(0, len(gate), s.batch):
             part = slice(at, at + s.batch)
-            out[part] = self.mixed(x[part], gate[part])
-            error = (bit[part] - squash(out[part])).astype(np.float32)
-            step = np.zeros_like(self.weights)
-            n = np.bincount(gate[part], minlength=GATES)
+            some, gates = [c[part] for c in x], gate[part]
+            out[part] = self.mixed(some, gates)
+            error = bit[part] - squash(out[part])
+            n = np.sqrt(np.maximum(np.bincount(gates, minlength=GATES), 1))
             for k in range(ORDERS + 1):
-                step[:, k] = np.bincount(gate[part], error * x[part, k], GATES)
-            self.weights += s.rate * step / np.sqrt(np.maximum(n, 1))[:, None]
+                self.weights[:, k] += s.rate * np.bincount(gates, error * some[k], GATES) / n
         return out
 
-    def probability(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    def probability(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         """Of a one."""
         logit = self.mixed(x, gate)
         p = squash(logit)
@@ -313,17 +322,19 @@ def far_sums(batches: Iterator[pa.RecordBatch], shares: int) -> Iterator[pa.Reco
         codes, counts = codes[order], counts[order]
         if not len(codes):
             continue
-        for _, words, document, times, ids in (r for r in rows if r[0][0] == 1):
+        ids, known_tokens, sums = [], [], []
+        for _, words, document, times, owners in (r for r in rows if r[0][0] == 1):
             at = np.minimum(np.searchsorted(codes, words), len(codes) - 1)
             found = codes[at] == words
-            document, n = document[found], times[found].astype(np.float64)
-            if not len(document):
-                continue
-            tokens_of = np.bincount(document, n, len(ids))
-            sums = np.bincount(document, n * (np.log10(counts[at[found]] + 0.5) - np.log10(0.5)), len(ids))
+            n = times[found].astype(np.float64)
+            tokens_of = np.bincount(document[found], n, len(owners))
             has = np.flatnonzero(tokens_of)
-            ids = ids[has]
-            yield common.key_batch([(k, common.pack(*x)) for k, x in common.split_by(common.targets(ids, shares), ids, tokens_of[has].astype(np.int32), sums[has].astype(np.float32))])
+            ids.append(owners[has])
+            known_tokens.append(tokens_of[has].astype(np.int32))
+            sums.append(np.bincount(document[found], n * (np.log10(counts[at[found]] + 0.5) - np.log10(0.5)), len(owners))[has])
+        if ids:
+            ids = np.concatenate(ids)
+            yield common.key_batch([(k, common.pack(*x)) for k, x in common.split_by(common.targets(ids, shares), ids, np.concatenate(known_tokens), np.concatenate(sums))])
 
 
 def scored(batches: Iterator[pa.RecordBatch], model, s: Settings) -> Iterator[pa.RecordBatch]:
@@ -346,7 +357,7 @@ def scored(batches: Iterator[pa.RecordBatch], model, s: Settings) -> Iterator[pa
             token, node, bit, slots = steps(tree, codes, counts, leaf, s)
             x, gate = inputs(tree, m.tables, node, slots)
             p = m.mixer.probability(x, gate)
-            told = np.bincount(row[token], np.log10(np.where(bit == 1, p, 1 - p)), b - a)
+            told = np.bincount(row[token], np.log10(np.where(bit, p, 1 - p)), b - a)
             words = common.row_ids(ids[a:b], texts[a:b])
             at = np.minimum(np.searchsorted(far[0], words), max(0, len(far[0]) - 1))
             has = far[0][at] == words if len(far[0]) else np.zeros(b - a, bool)
@@ -368,6 +379,18 @@ def fold_of(folds: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def common_words(counts: DataFrame, s: Settings) -> DataFrame:
+    """The most frequent words, at most ``common``: those above a count that a histogram on a log scale finds."""
+    size = F.floor(F.log2("n") * 32).cast("int")
+    taken, least = 0, None
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        taken += r.words
+        if taken > s.common:
+            break
+        least = r["size"]
+    return counts.where(size >= (1 << 30 if least is None else least))
+
+
 def train(documents: DataFrame, s: Settings) -> tuple[Model, DataFrame]:
     """The model, and the counts (code, n) of all training tokens."""
     spark = documents.sparkSession
@@ -376,7 +399,7 @@ def train(documents: DataFrame, s: Settings) -> tuple[Model, DataFrame]:
     taught = texts.where(F.col("fold") != s.test)
     counts = stored(taught.select("text").mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "token-counts")
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = counts.orderBy(F.desc("n"), "code").limit(s.common).toPandas()
+    top = common_words(counts, s).toPandas().sort_values(["n", "code"], ascending=[False, True])
     tree = Tree(top["code"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total, distinct, s)
     held = spark.sparkContext.broadcast(tree)
     parts = taught.where(F.col("fold") != s.mixed).select("text").mapInArrow(lambda b: table_counts(b, held, s), "key int, note binary")
@@ -391,7 +414,7 @@ def train(documents: DataFrame, s: Settings) -> tuple[Model, DataFrame]:
         size = GATES * (ORDERS + 1)
         seen, ones = values[size + 1:].reshape(2, -1)
         middle = squash((np.tile(np.arange(REFINED) - REFINED // 2 + 0.5, 4)) / 1.5)
-        mixer = Mixer((values[:size] / values[size]).reshape(GATES, -1).astype(np.float32), (ones + 32 * middle) / (seen + 32))
+        mixer = Mixer((values[:size] / values[size]).reshape(GATES, -1).astype(np.float32), ((ones + 32 * middle) / (seen + 32)).astype(np.float32))
     return Model(tree, tables, mixer), counts
 
 
