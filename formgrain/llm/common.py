@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,6 +178,12 @@ def by_key(rows: DataFrame, n: int, key: str = "key") -> DataFrame:
     return rows.repartition(n, key).sortWithinPartitions(key)
 
 
+def small(texts: pa.Array) -> pa.Array:
+    """Texts compressed one by one, for the way through an exchange."""
+    pack_ = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([None if t is None else pack_(t) for t in texts.to_pylist()], pa.binary())
+
+
 def row_ids(ids: list, texts: list) -> np.ndarray:
     """One number for a row's id and text together; equal rows have the same."""
     return np.array([xxhash.xxh3_64_intdigest(t or b"", (0 if i is None else i + 1) % (1 << 64)) for i, t in zip(ids, texts, strict=True)], np.uint64).astype(np.int64)
@@ -187,7 +194,7 @@ def share_documents(batches: Iterator[pa.RecordBatch], shares: int, by_row: bool
         ids = batch.column(0)
         known = row_ids(ids.to_pylist(), batch.column(1).to_pylist()) if by_row else np.asarray(ids.fill_null(0)).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(targets(known, shares)), pa.array(np.ones(len(batch), np.int8)), ids, batch.column(1), pa.nulls(len(batch), pa.binary())],
+            [pa.array(targets(known, shares)), pa.array(np.ones(len(batch), np.int8)), ids, small(batch.column(1)), pa.nulls(len(batch), pa.binary())],
             names=["key", "kind", "doc_id", "text", "note"],
         )
 
@@ -206,6 +213,7 @@ def with_notes(documents: DataFrame, notes: DataFrame, shares: int, n: int, by_r
 def noted_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list, list]]:
     """(notes of a share, doc_ids, texts) from the rows of ``with_notes``; the documents of a share come in one or more parts."""
     key, notes = None, []
+    full = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         keys, kinds = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])]) if len(keys) else []
@@ -216,7 +224,8 @@ def noted_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[by
             if kinds[a] == 0:
                 notes += part.column(4).to_pylist()
             else:
-                yield notes, part.column(2).to_pylist(), part.column(3).to_pylist()
+                texts = [None if t is None else full(t) for t in part.column(3).to_pylist()]
+                yield notes, part.column(2).to_pylist(), texts
 
 
 class Spans:
