@@ -134,7 +134,8 @@ def content(ratios: np.ndarray) -> np.ndarray:
 
 def main_text(html: str) -> str:
     parser = Lines()
-    parser.feed(html)
+    # A tag that the page's end cuts off is no text.
+    parser.feed(html[:html.rfind("<")] if re.fullmatch(r"<[A-Za-z/!][^>]*", html[html.rfind("<"):]) else html)
     parser.close()
     parser.end_line()
     lines = [x for x in parser.lines if not x[3]]

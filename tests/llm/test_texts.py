@@ -179,7 +179,7 @@ def test_gaussian_and_threshold():
 
 @pytest.mark.parametrize("size", [mixing.Settings(), mixing.Settings(common=50, tree=10, slot_bits=12), mixing.Settings(common=3, tree=3)])
 def test_language_scores(make, size):
-    docs = corpus(6, 120) + [(None, "Rare Words only here")]
+    docs = corpus(6, 90) + [(None, "Rare Words only here")]
     rows = mixing.language_scores(make(docs), size).collect()
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in docs}
     counts: Counter = Counter()
