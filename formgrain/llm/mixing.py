@@ -431,7 +431,8 @@ def language_scores(documents: DataFrame, settings: Settings = Settings()) -> Da
     spark = documents.sparkSession
     common.on_workers(spark)
     n = common.partitions(spark)
-    shares = blocks = 4 * n
+    # A block writes one row per share: few shares keep these rows few where there are many partitions.
+    shares, blocks = 2 * n, 4 * n
     model, counts = train(documents, s)
     tree = spark.sparkContext.broadcast(model.tree)
     held = spark.sparkContext.broadcast(model)
