@@ -2,12 +2,14 @@
 
 The events of the standard library's streaming parser are cut into lines at block elements. A line's ratio is its
 text length over its number of tags; ratios are smoothed with a Gaussian along the page and clustered into content
-and the rest by a threshold. The content lines point out the region of the page that holds them: the element in
-which most of their text lies. All lines of that region are kept, but for the parts that are no article text.
+and the rest by a threshold. The content lines point out the region of the page that holds them: the smallest element
+around all of them, or the article or main element around that. All lines of that region are kept, but for the parts
+that are no article text.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -49,6 +51,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # element, number, no article from here on
         self.count = 0
+        self.kinds: dict[int, str] = {}  # elements of REGIONS
         self.text: list[str] = []
         self.tags = 0
         self.path: tuple[int, ...] = ()
@@ -74,6 +77,8 @@ class Lines(HTMLParser):
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
         out = outer or tag in HIDDEN or tag in OUTSIDE or named or hidden or tag == "header" and not inside_article
         self.count += 1
+        if tag in REGIONS:
+            self.kinds[self.count] = tag
         self.open.append((tag, self.count, out))
 
     def handle_startendtag(self, tag, attrs):
@@ -132,6 +137,17 @@ def content(ratios: np.ndarray) -> np.ndarray:
     return ratios >= min(cut, float(ratios.max()))
 
 
+def region_of(paths: list[tuple[int, ...]], kinds: dict[int, str]) -> int | None:
+    """The smallest region around all lines with these paths; the outermost article around it, or else main, if there is
+    one, and never a table cell alone. None: the whole page."""
+    shared = os.path.commonprefix(paths)
+    for kind in ("article", "main"):
+        for n in shared:
+            if kinds[n] == kind:
+                return n
+    return next((n for n in reversed(shared) if kinds[n] != "td"), None)
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     # A tag that the page's end cuts off is no text.
@@ -141,15 +157,12 @@ def main_text(html: str) -> str:
     lines = [x for x in parser.lines if not x[3]]
     if not lines:
         return ""
-    chosen = content(smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])))
-    total, held, depth = 0, {}, {}
-    for (text, _, path, _), good in zip(lines, chosen, strict=True):
-        if good:
-            total += len(text)
-            for level, n in enumerate(path):
-                held[n] = held.get(n, 0) + len(text)
-                depth[n] = level
-    region = max((n for n, size in held.items() if 2 * size > total), key=lambda n: (depth[n], n), default=None)
+    ratios = np.array([np.log1p(len(text) / max(1, tags)) for text, tags, _, _ in lines])
+    smooth = smoothed(ratios)
+    chosen = content(smooth)
+    # A line that only its neighbours lift may stand just outside of the region.
+    sure = chosen & (ratios >= smooth[chosen].min())
+    region = region_of([path for (_, _, path, _), good in zip(lines, sure if sure.any() else chosen, strict=True) if good], parser.kinds)
     return " ".join(text for text, _, path, _ in lines if region is None or region in path)
 
 

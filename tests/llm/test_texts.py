@@ -171,6 +171,21 @@ def test_page_parts(spark, page, text):
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in pages.main_texts(table).collect()] == [(1, None, text, len(text))]
 
 
+LONG, SHORT = ("long text " * 60).strip(), ("less text " * 40).strip()
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div>u v</div><article><h1>Title</h1><p>lead</p><div class=body><p>{LONG}</p><p>{LONG}</p></div></article><div>w</div>", f"Title lead {LONG} {LONG}"),
+    (f"<article><section><p>{LONG}</section><section><p>{SHORT}</section></article>", f"{LONG} {SHORT}"),
+    (f"<div><a>u</a></div><div><div><p>{LONG}</div><div><p>{SHORT}</div></div>", f"{LONG} {SHORT}"),
+    (f"<main><h1>T</h1><article><p>{LONG}</article><article><p>{SHORT}</article></main>", f"T {LONG} {SHORT}"),
+    (f"<div><a>u</a><a>v</a></div><div><h1>T</h1><p>{SHORT}</p><table><tr><td>{LONG * 20}</table><p>{SHORT}</div>", f"T {SHORT} {LONG * 20} {SHORT}"),
+    (f"<article><p>one</p><table><tr><td>{LONG * 20}</table><p>two</article>", f"one {LONG * 20} two"),
+])
+def test_nested_and_split_articles(page, text):
+    assert pages.main_text(f"<body>{page}</body>").endswith(text)
+
+
 def test_gaussian_and_threshold():
     ratios = np.array([2.0, 1, 1, 90, 80, 5, 95, 2, 1, 1])
     assert pages.content(pages.smoothed(ratios)).tolist() == [False, False, False, True, True, True, True, False, False, False]
