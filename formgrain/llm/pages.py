@@ -35,32 +35,41 @@ CLOSES = {
 }
 ENDS_P = frozenset("""address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header
 hr main menu nav ol p pre section table ul""".split())
-#: Words in class, id and role that name parts which are no article text.
-NOT_ARTICLE = re.compile(r"""(?xi)(?<![a-z])(?:
+#: Words whose whole class, id or role (alone, or with words that only say what they are) names parts which are no article text.
+NAMES = r"""(?:
     ads?|advert\w*|adsense|adbox|adslot|adunit|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|newsletter|subscri\w+|paywall|popup|modal|overlay|
     navigation|nav|navbar|menu|breadcrumbs?|pagination|pager|toc|sidebar|aside|complementary|contentinfo|search|
     footer|header|masthead|comments?|commentlist|disqus|replies|respond|discussion|
     share|sharing|social|related|recommend\w*|widget|login|signup|skip|hidden
-)(?![a-z])""")
+)"""
+PLAIN = r"(?:site|box|slot|unit|bar|block|list|item|area|section|links?|buttons?|posts?|articles?|form|wrapper|container|inner|top|bottom|left|right|\d+)"
+NOT_ARTICLE = re.compile(rf"(?xi)(?:{PLAIN}-)*{NAMES}(?:-(?:{NAMES}|{PLAIN}))*")
+
+
+def not_article(value: str) -> bool:
+    return any(NOT_ARTICLE.fullmatch(name) for name in value.replace("_", "-").split())
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, number of tags, path of open elements; lines of parts that are no article are marked."""
+    """Lines of a page: text, number of tags, path of open regions, open elements whose names say that they are no
+    article; lines that are no article whatever the names are left out."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # element, number, no article from here on
+        self.open: list[tuple[str, int, bool, bool]] = []  # element, number, no article from here on, named as no article
         self.count = 0
         self.kinds: dict[int, str] = {}  # elements of REGIONS
+        self.around: set[int] = set()  # named elements with main inside
         self.text: list[str] = []
         self.tags = 0
         self.path: tuple[int, ...] = ()
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
 
     def end_line(self) -> None:
         line = " ".join("".join(self.text).split())
         if line:
-            self.lines.append((line, self.tags, tuple(n for tag, n, _ in self.open if tag in REGIONS), bool(self.open) and self.open[-1][2]))
+            if not (self.open and self.open[-1][2]):
+                self.lines.append((line, self.tags, tuple(n for tag, n, _, _ in self.open if tag in REGIONS), tuple(n for _, n, _, named in self.open if named)))
             self.tags = 0
         self.text = []
 
@@ -72,14 +81,16 @@ class Lines(HTMLParser):
         if tag in EMPTY:
             return
         outer = self.open[-1][2] if self.open else False
-        inside_article = any(t in ("article", "main") for t, _, _ in self.open)
-        named = tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role") and v and NOT_ARTICLE.search(v.replace("_", "-")) for k, v in attrs)
+        inside_article = any(x[0] in ("article", "main") for x in self.open)
+        named = tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role") and v and not_article(v) for k, v in attrs)
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
-        out = outer or tag in HIDDEN or tag in OUTSIDE or named or hidden or tag == "header" and not inside_article
+        out = outer or tag in HIDDEN or tag in OUTSIDE or hidden or tag == "header" and not inside_article
         self.count += 1
         if tag in REGIONS:
             self.kinds[self.count] = tag
-        self.open.append((tag, self.count, out))
+        if tag == "main" and not out:
+            self.around.update(n for _, n, _, name in self.open if name)
+        self.open.append((tag, self.count, out, named))
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
@@ -148,21 +159,51 @@ def region_of(paths: list[tuple[int, ...]], kinds: dict[int, str]) -> int | None
     return next((n for n in reversed(shared) if kinds[n] != "td"), None)
 
 
+def ratios_of(lines: list[tuple]) -> np.ndarray:
+    return np.array([np.log1p(len(text) / max(1, tags)) for text, tags, _, _ in lines])
+
+
+def sure_content(lines: list[tuple]) -> list[tuple]:
+    """Content lines, but for those that only their neighbours lift: they may stand just outside of the region."""
+    ratios = ratios_of(lines)
+    smooth = smoothed(ratios)
+    chosen = content(smooth)
+    sure = chosen & (ratios >= smooth[chosen].min())
+    return [x for x, good in zip(lines, sure if sure.any() else chosen, strict=True) if good]
+
+
+def kept_lines(parser: Lines) -> list[tuple]:
+    """Lines but for those in elements named as no article. A name says nothing where main stands inside, and, unless
+    an article stands outside of all named elements, where an article or most of the content does."""
+    lines = parser.lines
+    named = {n for x in lines for n in x[3]}
+    if not named:
+        return lines
+    articles = lambda x: [n for n in x[2] if parser.kinds[n] == "article"]
+    lifted = set(parser.around)
+    if not any(articles(x) for x in lines if not x[3]):
+        good = [x for x, high in zip(lines, content(ratios_of(lines)), strict=True) if high]
+        size = sum(len(x[0]) for x in good)
+        for n in sorted(named - lifted, reverse=True):
+            # Outer elements count what the inner ones leave.
+            left = lambda x, n=n: n in x[3] and all(m <= n or m in lifted for m in x[3])
+            held = [x for x in good if left(x)]
+            most = 2 * len(held) > len(good) and 2 * sum(len(x[0]) for x in held) > size
+            if most or any(a > n for x in lines if left(x) for a in articles(x)):
+                lifted.add(n)
+    return [x for x in lines if all(n in lifted for n in x[3])]
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     # A tag that the page's end cuts off is no text.
     parser.feed(html[:html.rfind("<")] if re.fullmatch(r"<[A-Za-z/!][^>]*", html[html.rfind("<"):]) else html)
     parser.close()
     parser.end_line()
-    lines = [x for x in parser.lines if not x[3]]
+    lines = kept_lines(parser)
     if not lines:
         return ""
-    ratios = np.array([np.log1p(len(text) / max(1, tags)) for text, tags, _, _ in lines])
-    smooth = smoothed(ratios)
-    chosen = content(smooth)
-    # A line that only its neighbours lift may stand just outside of the region.
-    sure = chosen & (ratios >= smooth[chosen].min())
-    region = region_of([path for (_, _, path, _), good in zip(lines, sure if sure.any() else chosen, strict=True) if good], parser.kinds)
+    region = region_of([path for _, _, path, _ in sure_content(lines)], parser.kinds)
     return " ".join(text for text, _, path, _ in lines if region is None or region in path)
 
 

@@ -186,6 +186,19 @@ def test_nested_and_split_articles(page, text):
     assert pages.main_text(f"<body>{page}</body>").endswith(text)
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "layout with-sidebar", "content hidden-print", "page-wrapper header-fixed", "elementor-widget-container", "sidebar", "hidden"])
+@pytest.mark.parametrize("inside", ["<article>{}</article>", "<main>{}</main>", "{}"])
+def test_names_of_wrappers(name, inside):
+    body = f"<h1>T</h1><p>{LONG}</p><div class=sidebar><p>side</p></div><p>{SHORT}</p>"
+    page = f"<nav>n</nav><div class='{name}'>{inside.format(body)}</div><div class='ad-box'><p>buy {SHORT}</p></div><footer>f</footer>"
+    assert pages.main_text(f"<body>{page}</body>") == f"T {LONG} {SHORT}"
+
+
+def test_names_beside_an_article():
+    page = f"<article><p>{SHORT}</p></article><section id=comments><article><p>{LONG}</p></article><article><p>{LONG}</p></article></section>"
+    assert pages.main_text(f"<body>{page}</body>") == SHORT
+
+
 def test_gaussian_and_threshold():
     ratios = np.array([2.0, 1, 1, 90, 80, 5, 95, 2, 1, 1])
     assert pages.content(pages.smoothed(ratios)).tolist() == [False, False, False, True, True, True, True, False, False, False]
