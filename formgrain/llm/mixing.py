@@ -1,14 +1,18 @@
 """Language-model scores by online logistic context mixing.
 
 A token is a path in a code tree over the most frequent training words: every step is one bit, told by several
-predictors that look it up in tables of counts: by the tree node alone, by the word before, by the one before that, and
-by both, the last three in hashed slots. The predictions are mixed in the logistic domain with weights chosen by a gate
-(how much the contexts have seen, how deep the node is), which are learned online, bit after bit, on training texts
-that the tables do not hold; a last table refines the mixed probability by what came of it there. Words outside the
-tree leave it by an escape and are told by their training counts. The sum of all bits is the text's total.
-
-Tables, weights and tree are frozen before scoring, so a score depends on the text alone. Their sizes are fixed by
-``Settings``; counts of words are gathered, and looked up for rare words, by shuffles that grow with the corpus.
+predictors: by the tree node alone, and by what training texts had at that node after the same word, the same two and
+the same three words. The predictions are mixed in the logistic domain with weights chosen by a gate (how much the
+contexts have seen, how deep the node is), which are learned online, bit after bit, on training texts that the context
+counts do not hold; a last table refines the mixed probability by what came of it there. Words outside the tree leave
+it by an escape and are told by their training counts. The sum of all bits is the text's total.
+
+Nothing a context has seen is merged with another context or dropped: every token goes by a shuffle to the block of the
+word before it, with the two words before that (those outside the tree as 31 bits of their codes). There the training tokens of a context stand sorted by
+their place in the tree, so that the zeros and ones of a node are the lengths of two ranges. A block tells its tokens'
+bits and sends sums to the documents. Blocks follow the session's partitions. After words that make up over one in
+``SPREAD`` of all tokens, tokens are dealt by the two words before, and the counts after the one word, at most as many
+as such words times leaves, are broadcast. A block learns its own weights; they are frozen before it scores.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +37,18 @@ COUNTED = 400_000
 SLICE_BYTES = 1 << 19
 PARTS = 64
 ORDERS = 3
+SPREAD = 1024
+CHUNK = 1 << 14
 REFINED = 24
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``tree``: words with a path; ``common``: words whose counts every worker has; ``slot_bits``: slots of a hashed
-    table, as a power of two; ``batch``: bits between two steps of the weights; ``folds``, ``test``: which rows teach nothing; ``mixed``: fold whose rows teach
-    the weights and not the tables."""
+    """``tree``: words with a path; ``common``: words whose counts every worker has; ``slot_bits``: slots of
+    ``Tables``, as a power of two; ``batch``: bits between two steps of the weights; ``folds``, ``test``: which rows teach nothing; ``mixed``: fold whose rows teach
+    the weights and not the counts."""
 
-    tree: int = 1 << 15
+    tree: int = 1 << 18
     common: int = 1 << 18
     slot_bits: int = 19
     rate: float = 0.02
@@ -115,6 +122,23 @@ class Tree:
         for n in range(node - 1, -1, -1):
             depth[n] = depth[parent[-1 - n]] + 1 if -1 - n in parent else 0
         self.level = np.minimum(depth // 4, 3).astype(np.int8)
+        # Leaves from left to right: the words below a node are a range, in which the ones start at its middle.
+        self.place, self.middle = np.zeros(k + 1, np.int64), np.zeros(max(1, node), np.int64)
+        width, children = np.ones(node, np.int64), np.zeros((node, 2), np.int64)
+        for child, above in parent.items():
+            children[above, bit[child]] = child
+        width_of = lambda child: int(width[-1 - child]) if child < 0 else 1
+        for n in range(node):
+            width[n] = width_of(children[n, 0]) + width_of(children[n, 1])
+        start = np.zeros(node, np.int64)
+        for n in range(node - 1, -1, -1):
+            self.middle[n] = start[n] + width_of(children[n, 0])
+            for child, at in zip(children[n].tolist(), (start[n], self.middle[n]), strict=True):
+                if child < 0:
+                    start[-1 - child] = at
+                else:
+                    self.place[child] = at
+        self.hot = np.sort(codes[counts * SPREAD > total])
         order = np.argsort(codes)
         self.codes, self.rank, self.counts = codes[order], np.minimum(order, k).astype(np.int32), counts[order].astype(np.float64)
         self.k = k
@@ -147,73 +171,226 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -15, 15)))
 
 
-def steps(tree: Tree, codes: np.ndarray, counts: np.ndarray, leaf: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
-    """All bits of the tokens: token, node, bit, and slot in each hashed table."""
+def path(tree: Tree, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bits of the tokens, from the leaf up: token, node, bit."""
     n = tree.lengths[leaf]
-    token = np.repeat(np.arange(len(codes)), n)
-    inner = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-    at = tree.starts[leaf][token] + inner
-    node, bit = tree.nodes[at], tree.bits[at]
-    first = np.cumsum(counts) - counts
-    one, two = np.r_[np.uint64(0), codes[:-1]], np.r_[np.zeros(2, np.uint64), codes[:-2]][:len(codes)]
-    one[first] = 0
-    two[first] = 0
-    second = first[counts > 1] + 1
-    two[second] = 0
-    contexts = (one, two * np.uint64(3) + np.uint64(1), common.mixed(one + np.uint64(7)) + two)
+    token = np.repeat(np.arange(len(leaf)), n)
+    at = tree.starts[leaf][token] + np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+    return token, tree.nodes[at], tree.bits[at]
+
+
+def contexts(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word before each token, prints of the two and of the three before; before a text stand ends."""
+    before = words_before(codes, counts, END)
+    two = common.mixed(before[0] + np.uint64(7)) + before[1]
+    return before[0], two, common.mixed(two) + before[2]
+
+
+def steps(tree: Tree, codes: np.ndarray, counts: np.ndarray, leaf: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """All bits of the tokens: token, node, bit, and slot in each of ``Tables``."""
+    token, node, bit = path(tree, leaf)
     shift = np.uint64(64 - s.slot_bits)
     by_node = common.mixed(np.arange(1, len(tree.logit) + 1, dtype=np.uint64))
-    slots = [((common.mixed(c)[token] ^ by_node[node]) * np.uint64(common.MULTIPLIER) >> shift).astype(np.int64) for c in contexts]
+    slots = [((common.mixed(c)[token] ^ by_node[node]) * np.uint64(common.MULTIPLIER) >> shift).astype(np.int64) for c in contexts(codes, counts)]
     return token, node, bit, slots
 
 
-def table_counts(batches: Iterator[pa.RecordBatch], tree, s: Settings) -> Iterator[pa.RecordBatch]:
-    """A task's counts of zeros and ones in every slot, as rows (part of a table, counts)."""
-    size = 2 << s.slot_bits
-    totals = np.zeros((ORDERS, size), np.uint32)
+def hot_index(tree: Tree, codes: np.ndarray) -> np.ndarray:
+    """Which of the hot words; -1: none."""
+    if not len(tree.hot):
+        return np.full(len(codes), -1)
+    at = np.minimum(np.searchsorted(tree.hot, codes), len(tree.hot) - 1)
+    return np.where(tree.hot[at] == codes, at, -1)
+
+
+def hot_followers(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
+    """Rows (hot word, places in the tree of the words after it and how often)."""
+    size = tree.value.k + 1
     for batch in batches:
         texts = [t or b"" for t in batch.column(0).to_pylist()]
-        for a, b in common.byte_slices(texts, SLICE_BYTES * 4):
+        for a, b in common.byte_slices(texts, SLICE_BYTES * 16):
             codes, counts = tokens(texts[a:b])
-            _, _, bit, slots = steps(tree.value, codes, counts, tree.value.look_up(codes)[0], s)
-            for k in range(ORDERS):
-                totals[k] += np.bincount(2 * slots[k] + bit, minlength=size).astype(np.uint32)
-    part = size // PARTS
-    yield common.key_batch([(k * PARTS + j, common.pack(totals[k, j * part:(j + 1) * part])) for k in range(ORDERS) for j in range(PARTS) if totals[k, j * part:(j + 1) * part].any()])
+            hot = hot_index(tree.value, contexts(codes, counts)[0])
+            keys, n = np.unique(hot[hot >= 0] * size + tree.value.place[tree.value.look_up(codes[hot >= 0])[0]], return_counts=True)
+            yield common.key_batch([(k, common.pack(p.astype(np.int32), m.astype(np.int64))) for k, (p, m) in common.split_by(keys // size, keys % size, n)])
 
 
-def table_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Summed parts as logits and confidences: 0 for nothing seen, up to 3."""
+def followers_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, blobs in common.groups(batches):
-        total = np.zeros(1, np.int64)
-        for blob in blobs:
-            total = total + common.unpack(blob)[0]
-        zeros, ones = total[0::2], total[1::2]
-        seen = zeros + ones
-        logit = np.where(seen > 0, stretch((ones + 0.2) / (seen + 0.4)), 0)
-        yield common.key_batch([(key, common.pack(logit.astype(np.float16), np.searchsorted([1, 4, 32], seen, "right").astype(np.int8)))])
+        places, n = common.joined(blobs)
+        places, which = np.unique(places, return_inverse=True)
+        yield common.key_batch([(key, common.pack(places, np.bincount(which, n).astype(np.int64)))])
+
+
+class Seen:
+    """Sorted keys (context, place in the tree), and how many training tokens stand before each."""
+
+    def __init__(self, keys: np.ndarray, before: np.ndarray):
+        self.keys, self.before = keys, before
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> Seen:
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        return cls(keys[first], np.r_[first, len(keys)])
+
+    def followed_by(self, other: Seen, shift: int) -> Seen:
+        """With the contexts of another, whose keys are moved behind all of these."""
+        return Seen(np.r_[self.keys, other.keys + shift], np.r_[self.before[:-1], other.before + self.before[-1]])
+
+    def counts(self, tree: Tree, context: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones at every node of the tokens' paths, in the order of ``path``."""
+        n = tree.lengths[leaf]
+        last = np.cumsum(n) - 1
+        zeros, ones = np.zeros(int(n.sum()), np.int64), np.zeros(int(n.sum()), np.int64)
+        base = context * (tree.k + 1)
+        left, right = np.searchsorted(self.keys, base), np.searchsorted(self.keys, base + tree.k + 1)
+        live, depth = np.flatnonzero((left < right) & (n > 0)), 0
+        left, right = left[live], right[live]
+        while len(live):
+            at = tree.starts[leaf[live]] + n[live] - 1 - depth
+            middle = np.searchsorted(self.keys, base[live] + tree.middle[tree.nodes[at]])
+            out = last[live] - depth
+            zeros[out], ones[out] = self.before[middle] - self.before[left], self.before[right] - self.before[middle]
+            one = tree.bits[at] == 1
+            left, right = np.where(one, middle, left), np.where(one, right, middle)
+            depth += 1
+            on = (left < right) & (n[live] > depth)
+            live, left, right = live[on], left[on], right[on]
+        return zeros, ones
+
+
+def pressed(*arrays: np.ndarray) -> bytes:
+    """``common.pack`` with the first bytes of all values together, then the second ones and so on, compressed."""
+    planes = (np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).reshape(-1).view(a.dtype) for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(common.pack(*planes))
+
+
+def unpressed(blob: bytes) -> list[np.ndarray]:
+    arrays = common.unpack(zstandard.ZstdDecompressor().decompress(blob))
+    return [np.ascontiguousarray(a.view(np.uint8).reshape(a.itemsize, len(a)).T).reshape(-1).view(a.dtype) for a in arrays]
+
+
+def short(tree: Tree, codes: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """A word in 32 bits: its leaf, or for words outside the tree 31 bits of its code, the first bit set."""
+    return np.where(leaf < tree.k, leaf.astype(np.uint32), (codes >> np.uint64(9)).astype(np.uint32) | np.uint32(1 << 31))
+
+
+def words_before(words: np.ndarray, counts: np.ndarray, end) -> list[np.ndarray]:
+    """The first, second and third word before each token; before a text stand ends."""
+    inside = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return [np.where(inside >= k, np.r_[np.zeros(k, words.dtype), words][:len(words)], words.dtype.type(end)) for k in (1, 2, 3)]
+
+
+def dealt_tokens(batches: Iterator[pa.RecordBatch], tree, blocks: int, s: Settings) -> Iterator[pa.RecordBatch]:
+    """Rows (block, tokens with their contexts and documents), those of a block sorted by the word before."""
+    for batch in batches:
+        texts = [t or b"" for t in batch.column(1).to_pylist()]
+        ids = common.row_ids(batch.column(0).to_pylist(), texts)
+        folds = np.asarray(batch.column(2))
+        kinds = np.where(folds == s.test, 2, np.where(folds == s.mixed, 1, 0)).astype(np.int8)
+        for a, b in common.byte_slices(texts, SLICE_BYTES * 8):
+            codes, counts = tokens(texts[a:b])
+            leaf = tree.value.look_up(codes)[0]
+            one, two, _ = contexts(codes, counts)
+            hot = hot_index(tree.value, one).astype(np.int16)
+            block = blocks_of(np.where(hot >= 0, two, one), blocks)
+            words = short(tree.value, codes, leaf)
+            before = words_before(words, counts, words[-1])
+            order = np.lexsort((before[0].astype(np.uint64) << np.uint64(32) | before[1], block))
+            owner = np.repeat(np.arange(a, b), counts)[order]
+            cuts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True])
+            columns = [x[order] for x in (*before, leaf, hot)]
+            rows = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                who, which = np.unique(owner[i:j], return_inverse=True)
+                rows.append((int(block[order[i]]), pressed(*(x[i:j] for x in columns), which.astype(np.int32), ids[who], kinds[who])))
+            yield common.key_batch(rows)
+
+
+def block_tokens(blobs: list[bytes], tree: Tree) -> list[np.ndarray]:
+    """The first, second and third word before, leaf, hot word before, document and kind of a block's tokens, in an
+    order that follows from themselves."""
+    parts = [unpressed(blob) for blob in blobs]
+    one, two, three, leaf, hot = (np.concatenate([x[k] for x in parts]) for k in range(5))
+    owner, kind = (np.concatenate([x[k][x[5]] for x in parts]) for k in (6, 7))
+    nearest, rest = (a.astype(np.uint64) << np.uint64(32) | b for a, b in ((one, two), (three, tree.place[leaf].astype(np.uint64))))
+    order = np.lexsort((owner, rest, nearest))
+    return [c[order] for c in (one, two, three, leaf, hot, owner, kind)]
+
+
+def told(batches: Iterator[pa.RecordBatch], tree, hot, shares: int, s: Settings) -> Iterator[pa.RecordBatch]:
+    """Rows (share, documents, tokens, sums of their bits' log10 probabilities) of every block."""
+    t: Tree = tree.value
+    followers: Seen = hot.value
+    for _, blobs in common.groups(batches):
+        one, two, three, leaf, known, owner, kind = block_tokens(blobs, t)
+        changes = np.stack([np.r_[False, x[1:] != x[:-1]] for x in (one, two, three)])
+        group = np.cumsum(np.logical_or.accumulate(changes), axis=1)
+        n_groups = int(group[0, -1]) + 1
+        taught = kind == 0
+        keys = group * (t.k + 1) + t.place[leaf]
+        seen = [Seen.of(keys[0][taught & (known < 0)]).followed_by(followers, n_groups * (t.k + 1))] + [Seen.of(k[taught]) for k in keys[1:]]
+        group[0] = np.where(known < 0, group[0], n_groups + known.astype(np.int64))
+
+        def predicted(some, group=group, leaf=leaf, seen=seen):
+            token, node, bit = path(t, leaf[some])
+            x, gate = gated(t, node, [logits(*seen[k].counts(t, group[k][some], leaf[some])) for k in range(ORDERS)])
+            return token, bit, x, gate
+
+        mixer = learned(predicted, taught_by(kind, owner, three, leaf), s)
+        sums = np.zeros(len(leaf))
+        for at in range(0, len(leaf), CHUNK):
+            some = np.arange(at, min(at + CHUNK, len(leaf)))
+            token, bit, x, gate = predicted(some)
+            p = mixer.probability(x, gate)
+            sums[some] = np.bincount(token, np.log10(np.where(bit, p, 1 - p)), len(some))
+        owner, which = np.unique(owner, return_inverse=True)
+        yield notes_of(owner, np.bincount(which), np.zeros(len(owner), np.int32), np.zeros(len(owner)), np.bincount(which, sums), shares)
+
+
+def taught_by(kind: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Tokens that teach the weights, in an order that has nothing to do with their contexts."""
+    some = np.flatnonzero(kind == 1)
+    mix = np.zeros(len(some), np.uint64)
+    for c in columns:
+        mix = common.mixed(mix + c[some].astype(np.uint64))
+    return some[np.argsort(mix, kind="stable")]
+
+
+def notes_of(ids: np.ndarray, n: np.ndarray, known: np.ndarray, far: np.ndarray, told_: np.ndarray, shares: int) -> pa.RecordBatch:
+    columns = (ids, n.astype(np.int32), known.astype(np.int32), far.astype(np.float64), told_.astype(np.float32))
+    return common.key_batch([(k, pressed(*x)) for k, x in common.split_by(common.targets(ids, shares), *columns)])
+
+
+def logits(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits and confidences: 0 for nothing seen, up to 3."""
+    seen = zeros + ones
+    logit = np.where(seen > 0, stretch((ones + 0.2) / (seen + 0.4)), 0).astype(np.float32)
+    return logit, np.searchsorted([1, 4, 32], seen, "right").astype(np.int8)
 
 
 class Tables:
-    """Logits and confidences of the hashed tables."""
+    """Logits and confidences by slots, for models whose counts come from elsewhere."""
 
     def __init__(self, rows: list, s: Settings):
         self.logit = np.zeros((ORDERS, 1 << s.slot_bits), np.float32)
         self.sure = np.zeros((ORDERS, 1 << s.slot_bits), np.int8)
-        part = (1 << s.slot_bits) // PARTS
-        for key, blob in rows:
-            k, j = divmod(key, PARTS)
-            self.logit[k, j * part:(j + 1) * part], self.sure[k, j * part:(j + 1) * part] = common.unpack(blob)
+        for k, (logit, sure) in enumerate(rows):
+            self.logit[k], self.sure[k] = logit, sure
 
 
 def inputs(tree: Tree, tables: Tables, node: np.ndarray, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Logits of each predictor for every bit, and the bits' gates."""
+    return gated(tree, node, [(tables.logit[k][slots[k]], tables.sure[k][slots[k]]) for k in range(ORDERS)])
+
+
+def gated(tree: Tree, node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Logits of each predictor for every bit, and the bits' gates, from logits and confidences of the contexts."""
     x = [tree.logit[node]]
     gate = tree.level[node].astype(np.int32)
-    for k in range(ORDERS):
-        sure = tables.sure[k][slots[k]]
+    for logit, sure in found:
         # A context that has seen nothing says what the node says.
-        x.append(np.where(sure > 0, tables.logit[k][slots[k]], x[0]))
+        x.append(np.where(sure > 0, logit, x[0]))
         gate = gate * np.int32(4) + sure
     return x, gate
 
@@ -257,28 +434,20 @@ class Mixer:
         return np.clip(p, 1e-6, 1 - 1e-6)
 
 
-def learned(batches: Iterator[pa.RecordBatch], tree, tables, s: Settings) -> Iterator[pa.RecordBatch]:
-    """One row of a task: its weights times the bits it has seen, the bits, and its counts for the refining table."""
-    mixer, seen = Mixer(), 0
-    refine = np.zeros((2, 4 * REFINED))
-    for batch in batches:
-        texts = [t or b"" for t in batch.column(0).to_pylist()]
-        for a, b in common.byte_slices(texts, SLICE_BYTES):
-            codes, counts = tokens(texts[a:b])
-            _, node, bit, slots = steps(tree.value, codes, counts, tree.value.look_up(codes)[0], s)
-            x, gate = inputs(tree.value, tables.value, node, slots)
+def learned(predicted, some: np.ndarray, s: Settings) -> Mixer:
+    """Weights from these tokens, more than once where they are few, and the refining table from the last time."""
+    mixer = Mixer()
+    again = int(np.clip((1 << 17) // max(1, len(some)), 1, 4))
+    for _ in range(again if len(some) else 0):
+        refine = np.zeros((2, 4 * REFINED))
+        for at in range(0, len(some), CHUNK):
+            _, bit, x, gate = predicted(some[at:at + CHUNK])
             slot = Mixer.bucket(mixer.learn(x, gate, bit, s), gate)
             refine += np.stack([np.bincount(slot, minlength=4 * REFINED), np.bincount(slot, bit, 4 * REFINED)])
-            seen += len(bit)
-    values = np.concatenate([mixer.weights.ravel() * seen, [seen], refine.ravel()]) if seen else np.zeros(0)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)).astype(np.int32)), pa.array(values.astype(np.float64))], names=["place", "value"])
-
-
-@dataclass
-class Model:
-    tree: Tree
-    tables: Tables
-    mixer: Mixer
+    if len(some):
+        middle = squash((np.tile(np.arange(REFINED) - REFINED // 2 + 0.5, 4)) / 1.5)
+        mixer.refined = ((refine[1] + 32 * middle) / (refine[0] + 32)).astype(np.float32)
+    return mixer
 
 
 def far_words(batches: Iterator[pa.RecordBatch], tree, blocks: int) -> Iterator[pa.RecordBatch]:
@@ -297,7 +466,7 @@ def far_words(batches: Iterator[pa.RecordBatch], tree, blocks: int) -> Iterator[
             owner, codes = owner[new], codes[new]
             # Documents stand once in a row, words point to them.
             yield common.key_batch([
-                (k, common.pack(np.array([1], np.int8), c, d.astype(np.int32) - a, t, ids[a:b]))
+                (k, pressed(np.array([1], np.int8), c, d.astype(np.int32) - a, t, ids[a:b]))
                 for k, (c, d, t) in common.split_by(blocks_of(codes, blocks), codes, owner, times)])
 
 
@@ -308,13 +477,13 @@ def blocks_of(codes: np.ndarray, blocks: int) -> np.ndarray:
 def far_counts(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes, n = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))
-        yield common.key_batch([(k, common.pack(np.array([0], np.int8), c, m)) for k, (c, m) in common.split_by(blocks_of(codes, blocks), codes, n)])
+        yield common.key_batch([(k, pressed(np.array([0], np.int8), c, m)) for k, (c, m) in common.split_by(blocks_of(codes, blocks), codes, n)])
 
 
 def far_sums(batches: Iterator[pa.RecordBatch], shares: int) -> Iterator[pa.RecordBatch]:
     """Rows (share, documents, known tokens, what their counts add to the sum of log10(c + 0.5) over that of c = 0)."""
     for _, blobs in common.groups(batches):
-        rows = [common.unpack(blob) for blob in blobs]
+        rows = [unpressed(blob) for blob in blobs]
         known = [r for r in rows if r[0][0] == 0]
         codes = np.concatenate([r[1] for r in known]) if known else np.zeros(0, np.uint64)
         counts = np.concatenate([r[2] for r in known]) if known else np.zeros(0, np.int64)
@@ -334,43 +503,40 @@ def far_sums(batches: Iterator[pa.RecordBatch], shares: int) -> Iterator[pa.Reco
             sums.append(np.bincount(document[found], n * (np.log10(counts[at[found]] + 0.5) - np.log10(0.5)), len(owners))[has])
         if ids:
             ids = np.concatenate(ids)
-            yield common.key_batch([(k, common.pack(*x)) for k, x in common.split_by(common.targets(ids, shares), ids, np.concatenate(known_tokens), np.concatenate(sums))])
+            none = np.zeros(len(ids))
+            yield notes_of(ids, none, np.concatenate(known_tokens), np.concatenate(sums), none, shares)
 
 
-def scored(batches: Iterator[pa.RecordBatch], model, s: Settings) -> Iterator[pa.RecordBatch]:
-    m: Model = model.value
-    tree = m.tree
+def scored(batches: Iterator[pa.RecordBatch], held_tree) -> Iterator[pa.RecordBatch]:
+    tree: Tree = held_tree.value
     base = np.log10(tree.total + 0.5 * (tree.distinct + 1))
     outside = np.log10(tree.outside)
-    held, far = None, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    held, ids_known, sums_known = None, None, None
     for notes, ids, texts in common.noted_documents(batches):
         if notes is not held:
             held = notes
-            owner, n, sums = common.joined(notes) if notes else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-            owner, which = np.unique(owner, return_inverse=True)
-            far = (owner, np.bincount(which, n, len(owner)), np.bincount(which, sums, len(owner)))
+            owner, *columns = (np.concatenate(x) for x in zip(*map(unpressed, notes), strict=True))
+            ids_known, which = np.unique(owner, return_inverse=True)
+            sums_known = [np.bincount(which, c, len(ids_known)) for c in columns]
         texts = [t or b"" for t in texts]
         for a, b in common.byte_slices(texts, SLICE_BYTES):
             codes, counts = tokens(texts[a:b])
             row = np.repeat(np.arange(b - a), counts)
             leaf, c = tree.look_up(codes)
-            token, node, bit, slots = steps(tree, codes, counts, leaf, s)
-            x, gate = inputs(tree, m.tables, node, slots)
-            p = m.mixer.probability(x, gate)
-            told = np.bincount(row[token], np.log10(np.where(bit, p, 1 - p)), b - a)
-            words = common.row_ids(ids[a:b], texts[a:b])
-            at = np.minimum(np.searchsorted(far[0], words), max(0, len(far[0]) - 1))
-            has = far[0][at] == words if len(far[0]) else np.zeros(b - a, bool)
-            n_far, far_sum = (np.where(has, f[at] if len(f) else 0, 0) for f in far[1:])
+            at = np.searchsorted(ids_known, common.row_ids(ids[a:b], texts[a:b]))
+            n_told, n_far, far_sum, told_ = (x[at] for x in sums_known)
+            # Equal rows have one sum.
+            copies = n_told / counts
+            n_far, far_sum, told_ = n_far / copies, far_sum / copies, told_ / copies
             logs = np.log10(np.maximum(c, 0) + 0.5)
             total = np.bincount(row, logs, b - a) + far_sum
             escaped = leaf == tree.k
             n_escaped = np.bincount(row[escaped], minlength=b - a)
             escaped_sum = np.bincount(row[escaped], logs[escaped], b - a) + far_sum
-            score = told + escaped_sum - n_escaped * outside
+            score = told_ + escaped_sum - n_escaped * outside
             size = np.array([len(t) for t in texts[a:b]])
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids[a:b], pa.int64()), pa.array(counts), pa.array((np.bincount(row[c > 0], minlength=b - a) + n_far).astype(np.int64)),
+                pa.array(ids[a:b], pa.int64()), pa.array(counts), pa.array((np.bincount(row[c > 0], minlength=b - a) + np.rint(n_far)).astype(np.int64)),
                 pa.array(total - counts * base), pa.array(score), pa.array(-score / np.log10(2) / np.maximum(size, 1)),
             ], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
@@ -391,31 +557,26 @@ def common_words(counts: DataFrame, s: Settings) -> DataFrame:
     return counts.where(size >= (1 << 30 if least is None else least))
 
 
-def train(documents: DataFrame, s: Settings) -> tuple[Model, DataFrame]:
-    """The model, and the counts (code, n) of all training tokens."""
+def train(documents: DataFrame, s: Settings) -> tuple[Tree, Seen, DataFrame]:
+    """The code tree, what stands after hot words, and the counts (code, n) of all training tokens."""
     spark = documents.sparkSession
     n = common.partitions(spark)
-    texts = common.texts_of(documents).withColumn("fold", F.coalesce(fold_of(s.folds), F.lit(s.folds)))
-    taught = texts.where(F.col("fold") != s.test)
+    taught = folded(documents, s).where(F.col("fold") != s.test)
     counts = stored(taught.select("text").mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "token-counts")
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     top = common_words(counts, s).toPandas().sort_values(["n", "code"], ascending=[False, True])
     tree = Tree(top["code"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total, distinct, s)
     held = spark.sparkContext.broadcast(tree)
-    parts = taught.where(F.col("fold") != s.mixed).select("text").mapInArrow(lambda b: table_counts(b, held, s), "key int, note binary")
-    rows = common.by_key(parts, min(n, ORDERS * PARTS)).mapInArrow(table_parts, "key int, note binary").collect()
-    tables = Tables([tuple(r) for r in rows], s)
-    looked_up = spark.sparkContext.broadcast(tables)
-    steps_ = taught.where(F.col("fold") == s.mixed).select("text").mapInArrow(lambda b: learned(b, held, looked_up, s), "place int, value double")
-    sums = {r.place: r.total for r in steps_.groupBy("place").agg(F.sum("value").alias("total")).collect()}
-    mixer = Mixer()
-    if sums:
-        values = np.array([sums[k] for k in range(len(sums))])
-        size = GATES * (ORDERS + 1)
-        seen, ones = values[size + 1:].reshape(2, -1)
-        middle = squash((np.tile(np.arange(REFINED) - REFINED // 2 + 0.5, 4)) / 1.5)
-        mixer = Mixer((values[:size] / values[size]).reshape(GATES, -1).astype(np.float32), ((ones + 32 * middle) / (seen + 32)).astype(np.float32))
-    return Model(tree, tables, mixer), counts
+    rows = "key int, note binary"
+    parts = taught.where(F.col("fold") != s.mixed).select("text").mapInArrow(lambda b: hot_followers(b, held), rows)
+    found = sorted(tuple(r) for r in common.by_key(parts, min(n, max(1, len(tree.hot)))).mapInArrow(followers_joined, rows).collect())
+    blobs = [(k, *common.unpack(blob)) for k, blob in found]
+    keys = np.concatenate([np.zeros(0, np.int64), *(k * (tree.k + 1) + places.astype(np.int64) for k, places, _ in blobs)])
+    return tree, Seen(keys, np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *(m for _, _, m in blobs)]))]), counts
+
+
+def folded(documents: DataFrame, s: Settings) -> DataFrame:
+    return common.texts_of(documents).withColumn("fold", F.coalesce(fold_of(s.folds), F.lit(s.folds)))
 
 
 def language_scores(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -433,15 +594,16 @@ def language_scores(documents: DataFrame, settings: Settings = Settings()) -> Da
     n = common.partitions(spark)
     # A block writes one row per share: few shares keep these rows few where there are many partitions.
     shares, blocks = 2 * n, 4 * n
-    model, counts = train(documents, s)
-    tree = spark.sparkContext.broadcast(model.tree)
-    held = spark.sparkContext.broadcast(model)
+    trained, followers, counts = train(documents, s)
+    tree, hot = spark.sparkContext.broadcast(trained), spark.sparkContext.broadcast(followers)
     texts, rows = common.texts_of(documents), "key int, note binary"
     words = texts.mapInArrow(lambda b: far_words(b, tree, blocks), rows)
     known = counts.mapInArrow(lambda b: far_counts(b, blocks), rows)
     sums = common.by_key(words.unionByName(known), n).mapInArrow(lambda b: far_sums(b, shares), rows)
+    dealt = folded(documents, s).mapInArrow(lambda b: dealt_tokens(b, tree, 2 * blocks, s), rows)
+    sums = sums.unionByName(common.by_key(dealt, n).mapInArrow(lambda b: told(b, tree, hot, shares, s), rows))
     columns = "doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
-    out = common.with_notes(texts, sums, shares, n, by_row=True).mapInArrow(lambda b: scored(b, held, s), columns)
+    out = common.with_notes(texts, sums, shares, n, by_row=True).mapInArrow(lambda b: scored(b, tree), columns)
     return out.select(
         "doc_id", F.coalesce(fold_of(s.folds) == s.test, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
-        F.lit(model.tree.total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
+        F.lit(trained.total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

@@ -227,6 +227,33 @@ def test_language_scores(make, size):
         assert sum(r.score for r in rows if not r.held_out) > sum(r.base_score for r in rows if not r.held_out)
 
 
+def test_contexts_are_not_merged(make):
+    """Scores hang on no number of slots; equal rows have equal scores and counts."""
+    docs = corpus(7, 90) + [(5000, "twice the same row"), (5000, "twice the same row")]
+    wide, narrow = ({(r.doc_id, round(r.score, 6), r.n_known) for r in mixing.language_scores(make(docs), s).collect()} for s in (mixing.Settings(), mixing.Settings(slot_bits=6)))
+    assert wide == narrow and len(wide) == len(docs) - 1
+    once = [r.n_tokens >= r.n_known for r in mixing.language_scores(make(docs), mixing.Settings(common=3, tree=3)).collect()]
+    assert all(once)
+
+
+@pytest.mark.parametrize("hot", [0, 4])
+def test_counts_of_contexts(hot):
+    """Zeros and ones of every node against a plain count, with some contexts from another table."""
+    rng = np.random.default_rng(3)
+    counts = np.sort(rng.integers(1, 900, 40))[::-1].copy()
+    tree = mixing.Tree(common.mixed(np.arange(1, 41, dtype=np.uint64)), counts, int(counts.sum()) + 9, 45, mixing.Settings(tree=30))
+    context, leaf = rng.integers(0, 9, 500), rng.integers(0, tree.k + 1, 500)
+    keys = context * (tree.k + 1) + tree.place[leaf]
+    seen = mixing.Seen.of(keys[context >= hot] - hot * (tree.k + 1)).followed_by(mixing.Seen.of(keys[context < hot]), (9 - hot) * (tree.k + 1))
+    token, node, bit = mixing.path(tree, leaf)
+    plain = Counter(zip(context[token].tolist(), node.tolist(), bit.tolist(), strict=True))
+    asked, ask = rng.integers(0, 10, 200), rng.integers(0, tree.k + 1, 200)
+    token, node, _ = mixing.path(tree, ask)
+    zeros, ones = seen.counts(tree, np.where(asked < hot, asked + 9 - hot, np.where(asked < 9, asked - hot, 20)), ask)
+    assert zeros.tolist() == [plain[asked[t], n, 0] for t, n in zip(token, node, strict=True)]
+    assert ones.tolist() == [plain[asked[t], n, 1] for t, n in zip(token, node, strict=True)]
+
+
 def test_language_scores_of_odd_tables(make):
     assert mixing.language_scores(make([])).collect() == []
     only = [(i, "a b") for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1]
