@@ -66,9 +66,56 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(b) AS component_id, d
 FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id, n
 """
 
+#: crc32 of the decimal doc_id, a bit at a time: each byte is taken in, then eight bits are shifted out.
+CRC = """xor(4294967295::BIGINT, list_reduce(
+  list_concat([4294967295::BIGINT], flatten([[ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(doc_id::VARCHAR, '')])),
+  lambda acc, b: xor(xor(acc, b) >> 1, 3988292384 * (xor(acc, b) & 1))))"""
+#: Factor lengths 1, 2, 4, ... named for op11; a run of period q is proposed by the shortest factor of 8 or more that is no shorter than q.
+FACTORS = 21
+
+
+def op11() -> str:
+    names, proposals = [], []
+    for k in range(FACTORS):
+        width = 1 << k
+        if k:
+            names.append(
+                f"f{k} AS (SELECT doc_id, i, dense_rank() OVER (ORDER BY f, g) AS f FROM "
+                f"(SELECT doc_id, i, f, lead(f, {width // 2}) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM f{k - 1}) WHERE g IS NOT NULL)")
+        if width >= 8:
+            proposals.append(f"SELECT doc_id, i, {width} AS width, lead(i) OVER (PARTITION BY doc_id, f ORDER BY i) - i AS q FROM f{k}")
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, {WORDS}), []) AS w, {CRC} AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS changed, h // 10 % greatest(len(w), 1) AS a, 3 + h // 10 % 8 AS parts FROM d),
+e AS (SELECT *, 1 + (n - a) // parts AS p FROM g),
+words AS (
+  SELECT doc_id, i, w[1 + CASE WHEN changed AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM e)),
+f0 AS (SELECT doc_id, i, dense_rank() OVER (ORDER BY word) AS f FROM words),
+{', '.join(names)},
+proposed AS ({' UNION ALL '.join(proposals)}),
+islands AS (
+  SELECT doc_id, i, width, q, i - row_number() OVER (PARTITION BY doc_id, width, q ORDER BY i) AS island FROM proposed WHERE q <= width),
+runs AS (
+  SELECT DISTINCT doc_id, min(i) AS start, max(i) + q + width - min(i) AS length, q AS period
+  FROM islands GROUP BY doc_id, width, q, island HAVING max(i) + q + width - min(i) >= greatest(24, 3 * q)),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id),
+best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS line FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(line, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 SQL: dict[str, str] = {
     "op3_substring_dedup": OP3,
     "op5_suffix_dedup": OP5,
     "op7_decontamination": OP7,
     "op10_near_duplicates": OP10,
+    "op11_periodic_runs": op11(),
 }
