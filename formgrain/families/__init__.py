@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .base import Family, as_text_map, extract, validate
+from .base import ISSUES_TYPE, Family, Reading, as_text_map, extract, has_severity, issues_of, strict_score, validate
 from .china_id import CHINA_ID
 from .hukou_booklet import HUKOU_BOOKLET
 from .medical_record import MEDICAL_RECORD
@@ -27,4 +27,7 @@ def names() -> list[str]:
 for _family in (CHINA_ID, PASSPORT, HUKOU_BOOKLET, TRAIN_TICKET, BOARDING_PASS, MEDICAL_RECORD):
     register(_family)
 
-__all__ = ["Family", "as_text_map", "extract", "get", "names", "register", "validate"]
+__all__ = [
+    "ISSUES_TYPE", "Family", "Reading", "as_text_map", "extract", "get", "has_severity", "issues_of", "names", "register", "strict_score",
+    "validate",
+]

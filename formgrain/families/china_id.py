@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.checks import id_number_codes
-from ..functions.structs import built_once, with_fields
+from ..functions.structs import built_once
 from ..functions.text import after_mark, blank, compact, contains_any, non_empty, pick, strip
-from .base import Family, issue, issue_list, issues_for_codes
+from .base import Family, Reading, issue, issue_list, issues_for_codes
 
 FIELDS = [
     "document_side", "name", "gender", "ethnicity", "birth_date", "address",
@@ -92,8 +92,12 @@ def _fields() -> dict[str, Column]:
     }
 
 
+def china_id_reading() -> Reading:
+    return Reading([_stages()], _fields())
+
+
 def extract_china_id(docs: DataFrame) -> DataFrame:
-    return with_fields(docs.withColumns(_stages()), _fields()).drop("_lines", "_back")
+    return china_id_reading().of(docs)
 
 
 def id_number_issues(id_number: Column, as_of: Column) -> Column:
@@ -116,4 +120,4 @@ def china_id_side_rules(fields: Column, as_of: Column) -> Column:
     return F.when(fields["document_side"] == "back", back).otherwise(id_number_issues(fields["id_number"], as_of))
 
 
-CHINA_ID = Family("china_id", extract_china_id, china_id_rules, description="resident identity card")
+CHINA_ID = Family("china_id", rules=china_id_rules, description="resident identity card", reading=china_id_reading)

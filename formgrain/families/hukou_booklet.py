@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.checks import birth_date_in_id, birth_digits_in_id, id_number_codes
-from ..functions.structs import built_once, with_fields
+from ..functions.structs import built_once
 from ..functions.text import blank, booklet_gender, contains_any, iso_date, pick_or_keep, strip
 from ..operators.labels import first_value, labelled_values
-from .base import Family, issue, issue_list, issues_for_codes, missing, no_issues
+from .base import Family, Reading, issue, issue_list, issues_for_codes, missing, no_issues
 
 
 def _marked_household_id(rows: Column) -> Column:
@@ -54,10 +54,13 @@ def _fields() -> dict[str, Column]:
     }
 
 
-def extract_hukou_booklet(docs: DataFrame, aliases=None) -> DataFrame:
+def hukou_booklet_reading(aliases=None) -> Reading:
     found, number = _stages(aliases)
-    staged = docs.withColumn("_found", found).withColumn("_id", number)
-    return with_fields(staged, _fields()).drop("_found", "_id")
+    return Reading([{"_found": found}, {"_id": number}], _fields())
+
+
+def extract_hukou_booklet(docs: DataFrame, aliases=None) -> DataFrame:
+    return hukou_booklet_reading(aliases).of(docs)
 
 
 def hukou_booklet_rules(fields: Column, as_of: Column, relations=None) -> Column:
@@ -92,7 +95,7 @@ def hukou_booklet_score(accepted: Column, issues: Column) -> Column:
 
 
 HUKOU_BOOKLET = Family(
-    "hukou_booklet", extract_hukou_booklet, hukou_booklet_rules, hukou_booklet_score,
-    description="household booklet member page",
+    "hukou_booklet", rules=hukou_booklet_rules, score=hukou_booklet_score,
+    description="household booklet member page", reading=hukou_booklet_reading,
     config={"fields": rules.EXPECTED_FIELDS["hukou_booklet"], "quality_rules": rules.QUALITY_RULES["hukou_booklet"]},
 )

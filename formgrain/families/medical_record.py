@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.structs import built_once, with_fields
+from ..functions.structs import built_once
 from ..functions.text import age_text, iso_date, record_gender, split_items
 from ..operators.labels import first_value, labelled_values
 from ..operators.lines import joined_text
-from .base import Family, issue_list, missing
+from .base import Family, Reading, issue_list, missing
 
 
 @built_once
@@ -39,8 +39,12 @@ def _fields() -> dict[str, Column]:
     }
 
 
+def medical_record_reading(aliases=None) -> Reading:
+    return Reading([{"_found": _found(aliases)}], _fields())
+
+
 def extract_medical_record(docs: DataFrame, aliases=None) -> DataFrame:
-    return with_fields(docs.withColumn("_found", _found(aliases)), _fields()).drop("_found")
+    return medical_record_reading(aliases).of(docs)
 
 
 def medical_record_rules(fields: Column, as_of: Column) -> Column:
@@ -52,7 +56,7 @@ def medical_record_score(accepted: Column, issues: Column) -> Column:
 
 
 MEDICAL_RECORD = Family(
-    "medical_record", extract_medical_record, medical_record_rules, medical_record_score,
-    description="outpatient medical record",
+    "medical_record", rules=medical_record_rules, score=medical_record_score,
+    description="outpatient medical record", reading=medical_record_reading,
     config={"fields": rules.EXPECTED_FIELDS["medical_record"], "quality_rules": rules.QUALITY_RULES["medical_record"]},
 )

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.checks import mrz_check_digit, mrz_values
-from ..functions.structs import built_once, with_fields
+from ..functions.structs import built_once
 from ..functions.text import comparable, compact, non_empty
-from .base import Family, issue, issue_list
+from .base import Family, Reading, issue, issue_list
 
 MRZ_FIELDS = [
     "document_code", "issuing_country", "surname", "given_names", "passport_number",
@@ -76,10 +76,13 @@ def _fields() -> dict[str, Column]:
     }
 
 
-def extract_passport(docs: DataFrame) -> DataFrame:
+def passport_reading() -> Reading:
     pair, record = _stages()
-    staged = docs.withColumn("_pair", pair).withColumn("_mrz", record)
-    return with_fields(staged, _fields()).drop("_pair", "_mrz")
+    return Reading([{"_pair": pair}, {"_mrz": record}], _fields())
+
+
+def extract_passport(docs: DataFrame) -> DataFrame:
+    return passport_reading().of(docs)
 
 
 def mrz_codes(first: Column, second: Column) -> Column:
@@ -122,4 +125,4 @@ def passport_rules(fields: Column, as_of: Column) -> Column:
     return F.concat(F.coalesce(zone, no_zone), visible)
 
 
-PASSPORT = Family("passport", extract_passport, passport_rules, description="passport with machine-readable zone")
+PASSPORT = Family("passport", rules=passport_rules, description="passport with machine-readable zone", reading=passport_reading)

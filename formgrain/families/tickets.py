@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.structs import built_once, with_fields
+from ..functions.structs import built_once
 from ..functions.text import contains_any, pick
 from ..operators.lines import joined_text
 from ..operators.places import anchor_box, line_tokens, nearest_name, places_in_order
-from .base import Family, issue, issue_list, missing
+from .base import Family, Reading, issue, issue_list, missing
 
 
 def _absent() -> Column:
@@ -42,11 +42,13 @@ def _boarding_fields(airports: tuple[str, ...]) -> dict[str, Column]:
     }
 
 
-def extract_boarding_pass(docs: DataFrame, airports=None) -> DataFrame:
+def boarding_pass_reading(airports=None) -> Reading:
     airports = tuple(airports or rules.AIRPORTS)
-    for stage in _boarding_stages(airports):
-        docs = docs.withColumns(stage)
-    return with_fields(docs, _boarding_fields(airports)).drop("_tokens", "_text", "_places", "_anchor")
+    return Reading(_boarding_stages(airports), _boarding_fields(airports))
+
+
+def extract_boarding_pass(docs: DataFrame, airports=None) -> DataFrame:
+    return boarding_pass_reading(airports).of(docs)
 
 
 def _train_number(rows: Column) -> Column:
@@ -90,13 +92,13 @@ def _train_fields(stations: tuple[str, ...], airports: tuple[str, ...]) -> dict[
     }
 
 
-def extract_train_ticket(docs: DataFrame, stations=None, airports=None) -> DataFrame:
+def train_ticket_reading(stations=None, airports=None) -> Reading:
     stations, airports = tuple(stations or rules.TRAIN_STATIONS), tuple(airports or rules.AIRPORTS)
-    for stage in _train_stages(stations, airports):
-        docs = docs.withColumns(stage)
-    return with_fields(docs, _train_fields(stations, airports)).drop(
-        "_text", "_tokens", "_flying", "_places", "_anchor"
-    )
+    return Reading(_train_stages(stations, airports), _train_fields(stations, airports))
+
+
+def extract_train_ticket(docs: DataFrame, stations=None, airports=None) -> DataFrame:
+    return train_ticket_reading(stations, airports).of(docs)
 
 
 def boarding_pass_rules(fields: Column, as_of: Column) -> Column:
@@ -115,10 +117,10 @@ def train_ticket_rules(fields: Column, as_of: Column) -> Column:
 
 
 BOARDING_PASS = Family(
-    "boarding_pass", extract_boarding_pass, boarding_pass_rules, description="boarding pass",
+    "boarding_pass", rules=boarding_pass_rules, description="boarding pass", reading=boarding_pass_reading,
     config={"fields": rules.EXPECTED_FIELDS["boarding_pass"], "quality_rules": rules.QUALITY_RULES["boarding_pass"]},
 )
 TRAIN_TICKET = Family(
-    "train_ticket", extract_train_ticket, train_ticket_rules, description="train ticket",
+    "train_ticket", rules=train_ticket_rules, description="train ticket", reading=train_ticket_reading,
     config={"fields": rules.EXPECTED_FIELDS["train_ticket"], "quality_rules": rules.QUALITY_RULES["train_ticket"]},
 )

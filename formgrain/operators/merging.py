@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.structs import with_fields
+from ..functions.structs import pinned
 
 
 def override_maps(overrides: DataFrame) -> DataFrame:
@@ -24,25 +24,32 @@ def override_maps(overrides: DataFrame) -> DataFrame:
     )
 
 
-def apply_overrides(docs: DataFrame, overrides: DataFrame | None) -> DataFrame:
-    """Replace the provided fields of the ``fields`` struct; a field that is provided as null becomes null.
+def merged_struct(docs: DataFrame, fields: str) -> tuple[Column, Column]:
+    """The struct column ``fields`` with the values of the map ``overrides`` in place of its own, and the provided
+    values that the struct has no field for.
 
-    Text fields only take text; list fields take a JSON list. Provided fields that the family does not know are
-    kept as the map ``provided``. An override without a field name says nothing and is left out.
+    Text fields only take text; list fields take a JSON list. A field that is provided as null becomes null.
     """
-    if overrides is None:
-        return docs
-    joined = docs.join(override_maps(overrides), "doc_id", "left")
-    merged = {}
-    for f in docs.schema["fields"].dataType.fields:
+    merged = []
+    for f in docs.schema[fields].dataType.fields:
         given = F.try_element_at("overrides", F.lit(f.name))
         if f.dataType.typeName() != "string":
             given = F.from_json(given, f.dataType)
         has = F.coalesce(F.map_contains_key("overrides", F.lit(f.name)), F.lit(False))
-        merged[f.name] = F.when(has, given).otherwise(F.col("fields")[f.name])
-    names = F.array(*[F.lit(name) for name in merged])
-    unknown = F.map_filter("overrides", lambda k, _: ~F.array_contains(names, k))
-    return with_fields(joined.withColumn("provided", unknown), merged).drop("overrides")
+        merged.append(F.when(has, given).otherwise(F.col(fields)[f.name]).alias(f.name))
+    names = F.array(*[F.lit(f.name) for f in docs.schema[fields].dataType.fields])
+    return F.struct(*merged), F.map_filter("overrides", lambda k, _: ~F.array_contains(names, k))
+
+
+def apply_overrides(docs: DataFrame, overrides: DataFrame | None) -> DataFrame:
+    """Replace the provided fields of the ``fields`` struct; provided fields that the family does not know are kept as
+    the map ``provided``. An override without a field name says nothing and is left out.
+    """
+    if overrides is None:
+        return docs
+    joined = docs.join(override_maps(overrides), "doc_id", "left")
+    merged, unknown = merged_struct(joined, "fields")
+    return pinned(joined.withColumn("provided", unknown), {"fields": merged}).drop("overrides")
 
 
 def merge_fields(parsed: DataFrame, provided: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -24,6 +25,15 @@ def get_session(app_name: str = "formgrain", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Python workers find this package where the driver has it (clusters have it installed or in --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which every executor can reach.
 

@@ -109,26 +109,29 @@ def _entry(text: Column, **known: Column) -> Column:
     )
 
 
-def flatten_layout(df: DataFrame, payload: str = "payload", max_depth: int | None = None) -> DataFrame:
+def nodes_of(payload: Column) -> Column:
+    """All nodes of a JSON text in pre-order, whatever its nesting; null if the text is no JSON.
+
+    The tree is opened inside the row, one level at a time and as often as its own brackets are nested: every open node
+    is replaced in place by itself, closed, and its children. No other row's depth matters and nothing is cut off.
+    """
+    root = F.array(_node(payload, F.try_parse_json(payload), True)).cast(f"array<{NODE_TYPE}>")
+
+    def opened(nodes: Column, _: Column) -> Column:
+        inside = lambda n: F.concat(F.array(_node(n["raw"], n["node"], False)), _children(n))
+        return F.flatten(F.transform(nodes, lambda n: F.when(n["open"], inside(n)).otherwise(F.array(n)))).cast(f"array<{NODE_TYPE}>")
+
+    levels = F.sequence(F.lit(1), F.greatest(nesting_depth(payload), F.lit(1)))
+    return F.aggregate(levels, root, opened)
+
+
+def flatten_layout(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``text``, ``layout``, ``kv`` and ``confidence`` read from a JSON payload of any nesting.
 
-    The tree is opened one level at a time inside the row: every open node is replaced in place
-    by itself and its children, which leaves the array in pre-order. Without ``max_depth`` the
-    depth is measured over the data first; with it (needed on streams), ``complete`` tells
-    whether the whole payload was opened.
+    Row by row, on tables and streams alike: nothing is measured first, exploded or shuffled. ``complete`` is false
+    for a payload that is null or no JSON; it gives an empty text, no entries and no pairs.
     """
-    if max_depth is None:
-        measured = df.agg(F.max(nesting_depth(F.col(payload))).alias("d")).first()["d"]
-        max_depth = max(measured or 1, 1)
-    root = F.try_parse_json(F.col(payload))
-    out = pinned(df, {"_nodes": F.array(_node(F.col(payload), root, True))})
-    for _ in range(max_depth):
-        opened = F.transform(
-            "_nodes",
-            lambda n: F.when(n["open"], F.concat(F.array(_node(n["raw"], n["node"], False)), _children(n)))
-            .otherwise(F.array(n)),
-        )
-        out = pinned(out, {"_nodes": F.flatten(opened)})
+    out = pinned(df, {"_nodes": nodes_of(F.col(payload))})
 
     def facts(n: Column) -> Column:
         node = n["node"]
@@ -179,10 +182,6 @@ def flatten_layout(df: DataFrame, payload: str = "payload", max_depth: int | Non
         .withColumn("layout", layout)
         .withColumn("kv", kv)
         .withColumn("confidence", F.when(F.size(scored) > 0, total / F.size(scored)).otherwise(F.lit(0.0)))
-        # A node left open may hide content only if it is a list or an object.
-        .withColumn(
-            "complete",
-            ~F.exists("_nodes", lambda n: n["open"] & F.regexp_like(_kind(n["node"]), F.lit("^(ARRAY|OBJECT)"))),
-        )
+        .withColumn("complete", F.coalesce(F.get("_nodes", 0)["node"].isNotNull(), F.lit(False)))
         .drop("_nodes", "_facts")
     )

@@ -233,6 +233,20 @@ ASSETS = """
     FROM documents d"""
 
 
+IMAGES = """
+    SELECT page_id AS k, url, CASE WHEN page_id % 2 = 0 THEN 'passport' ELSE 'china_id' END AS plugin,
+           CASE WHEN page_id % 10 = 4 THEN 'ValueError: empty content' WHEN page_id % 7 = 3 THEN 'ValueError: unreadable ' || page_id
+                WHEN page_id % 7 = 5 THEN 'TypeError: ''int'' object is not iterable' END AS error
+    FROM pages"""
+RAW_RESULTS = """
+    SELECT k, CASE k % 10 WHEN 3 THEN substr(whole, 1, length(whole) - 8) WHEN 6 THEN '{"doc_id":"o' || k || '","confidence":"high"}' ELSE whole END AS raw, text, confidence
+    FROM (SELECT o_orderkey AS k, o_orderpriority AS text, (o_orderkey % 5) / 4.0::DOUBLE AS confidence,
+                 CASE WHEN o_orderkey % 10 <> 8 THEN '{"doc_id":"o' || o_orderkey || '",' ELSE '{' END || '"plugin":"plain","text":"' || o_orderpriority
+                 || '","confidence":' || (o_orderkey % 5) / 4.0::DOUBLE || '}' AS whole FROM orders)"""
+MALFORMED = f"""
+    SELECT CASE WHEN k % 10 = 6 THEN 'o' || k END AS doc_id, CASE WHEN k % 10 = 8 THEN 'plain' END AS plugin,
+           CASE WHEN k % 10 = 8 THEN 'missing_doc_id' ELSE 'malformed_json' END AS error, raw FROM ({RAW_RESULTS}) WHERE k % 10 IN (3, 6, 8)"""
+
 UNROUTED = "'plain/' || doc_id AS doc_id, 'plain' AS plugin"
 
 
@@ -510,4 +524,33 @@ def oracle_sql() -> dict[str, str]:
         "live_dead_letters": q("judged", f"""
             SELECT doc_id, plugin, CAST(num_issues AS INTEGER) AS num_issues FROM judged WHERE NOT accepted
             UNION ALL SELECT {UNROUTED}, 1 FROM documents"""),
+        "layout_trees": f"""
+            WITH c AS (SELECT conv_id, turn, role, trim(text, {WS}) AS t, (turn % 4) * 0.25::DOUBLE AS s, turn % 11 <> 10 AS ok FROM conversations),
+            d AS (SELECT *, trim(role || chr(10) || repeat(CASE WHEN t = '' THEN '' ELSE t || chr(10) END, 2) || 'block' || chr(10) || 'again' || chr(10) || 'again' || chr(10) || 'who', {WS}) AS whole,
+                    CASE WHEN ok THEN unnest(CASE WHEN ok THEN [1, 2] ELSE [0] END) END AS e FROM c)
+            SELECT conv_id, turn, CASE WHEN ok THEN whole ELSE '' END AS document_text, CASE WHEN ok THEN '{{"who":"{{\\"is\\":[' || conv_id || ']}}"}}' ELSE '{{}}' END AS pairs,
+                   CASE WHEN ok THEN (s + 0.5) / 2 ELSE 0.0 END AS confidence, ok AS complete, CAST(e - 1 AS INTEGER) AS entry_no,
+                   CASE e WHEN 1 THEN t WHEN 2 THEN 'again' END AS text, CASE e WHEN 1 THEN s WHEN 2 THEN 0.5 END AS score,
+                   CASE e WHEN 1 THEN '[0,' || turn || ']' END AS bbox, CASE e WHEN 2 THEN '[1,' || turn || ']' END AS box, CASE e WHEN 1 THEN 'block' END AS type
+            FROM d""",
+        "engine_results": f"""
+            SELECT '' || k AS doc_id, plugin, 'reader' AS engine, url AS text,
+                   '[{{"text":"' || k || '","score":0.25}},{{"text":"' || url || '"}}]' AS lines, (k % 5) / 4.0::DOUBLE AS confidence
+            FROM ({IMAGES}) WHERE error IS NULL""",
+        "engine_letters": f"SELECT '' || k AS doc_id, 'reader' AS engine, error, 'r1' AS run_id, plugin FROM ({IMAGES}) WHERE error IS NOT NULL",
+        "engine_layouts": f"""
+            SELECT '' || k AS doc_id, CASE WHEN e IS NULL THEN url || chr(10) || url || chr(10) || 'no ' || k || chr(10) || 'no ' || k ELSE '' END AS text,
+                   CASE WHEN e IS NULL THEN 2 ELSE 0 END AS num_entries, CASE WHEN e IS NULL THEN 0.75 ELSE 0.0 END::DOUBLE AS confidence, e IS NULL AS complete, e AS error
+            FROM (SELECT *, CASE WHEN error NOT LIKE 'TypeError%' THEN error END AS e FROM ({IMAGES}))""",
+        "wellformed_results": f"SELECT 'o' || k AS doc_id, 'plain' AS plugin, text, confidence FROM ({RAW_RESULTS}) WHERE k % 10 NOT IN (3, 6, 8)",
+        "malformed_results": MALFORMED,
+        "live_malformed": MALFORMED,
+        "live_intake": """
+            WITH u AS (SELECT page_id, ['china_id','passport','driver_licence',NULL][page_id % 4 + 1] AS plugin, CASE WHEN page_id % 5 = 0 THEN '' ELSE html END AS content FROM pages),
+            v AS (SELECT *, CASE WHEN plugin IS NULL THEN 422 WHEN plugin = 'driver_licence' THEN 404 WHEN content = '' THEN 400 ELSE 200 END AS status FROM u)
+            SELECT page_id, plugin, status, CASE status WHEN 422 THEN 'missing_plugin' WHEN 404 THEN 'unknown_plugin' WHEN 400 THEN 'empty_file' END AS reason,
+                   strlen(content) AS size_bytes, CASE WHEN status = 200 THEN sha256(content) END AS sha256 FROM v""",
+        "live_latest_uploads": """
+            SELECT user_id AS sample_id, ts, event_id, event_type, value FROM (
+                SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC, value DESC) AS rn FROM events) WHERE rn = 1""",
     }

@@ -86,6 +86,95 @@ def layout_fields(spark, sf):
     )
 
 
+def layout_trees(spark, sf):
+    """Entries and pairs of nested payloads: a titled block, a list entry and a pair under 1 to 19 more brackets."""
+    turn, text = F.col("turn"), F.col("text")
+    number = lambda c: F.to_json(F.array(c))
+    inner = F.concat(
+        F.lit('{"role":'), F.regexp_replace(number(F.col("role")), r"^\[|\]$", ""), F.lit(',"blocks":[{"zone":[],"text":'),
+        F.regexp_replace(number(text), r"^\[|\]$", ""), F.lit(',"score":'), ((turn % 4) * F.lit(0.25)).cast("string"), F.lit(',"bbox":[0,'), turn.cast("string"),
+        F.lit('],"type":"block"},[[1,'), turn.cast("string"), F.lit('],"again",0.5],{"pair":{"field":"who","value":{"is":['), F.col("conv_id").cast("string"), F.lit("]}}}]}"),
+    )
+    depth = (turn % 7 * 3 + 1).cast("int")
+    payload = F.when(turn % 11 != 10, F.concat(F.repeat(F.lit("["), depth), inner, F.repeat(F.lit("]"), depth))).otherwise(F.lit("{no json"))
+    turns = render.spread(table(spark, sf, "conversations")).select("conv_id", "turn", payload.alias("payload"))
+    done = layout.flatten_layout(turns).select("conv_id", "turn", "layout", F.col("text").alias("document_text"), F.to_json("kv").alias("pairs"), "confidence", "complete")
+    return done.select("*", F.posexplode_outer("layout").alias("entry_no", "e")).select(
+        "conv_id", "turn", "document_text", "pairs", "confidence", "complete", "entry_no",
+        F.col("e.text").alias("text"), F.col("e.score").alias("score"), F.col("e.bbox").alias("bbox"), F.col("e.box").alias("box"), F.col("e.type").alias("type"),
+    )
+
+
+def _images(spark, sf) -> DataFrame:
+    """Pages as images of their number and address; some are empty."""
+    k = F.col("page_id")
+    content = F.when(k % 10 != 4, F.concat_ws("|", k, "url")).otherwise(F.lit(""))
+    return table(spark, sf, "pages").select(k.alias("doc_id"), render.choose(["passport", "china_id"], k).alias("plugin"), content.cast("binary").alias("content"))
+
+
+def _reader():
+    """An engine that reads numbered images, fails on some and returns nonsense for others."""
+
+    def infer(content: bytes) -> dict:
+        number, url = content.decode().split("|")
+        if int(number) % 7 == 3:
+            raise ValueError(f"unreadable {number}")
+        if int(number) % 7 == 5:
+            return {"lines": 7}
+        return {"text": url, "lines": [{"text": number, "score": 0.25}, {"text": url}], "confidence": int(number) % 5 / 4}
+
+    return infer
+
+
+def _layout_reader():
+    def infer(content: bytes):
+        number, url = content.decode().split("|")
+        if int(number) % 7 == 3:
+            raise ValueError(f"unreadable {number}")
+        return {"page": [{"text": url, "score": 0.5}, [None, f"no {number}", 1.0]]}
+
+    return infer
+
+
+def engine_results(spark, sf):
+    results = process.recognise(_images(spark, sf), _reader, shared_dir(spark, "engine"), "r1", "reader")
+    return results.select("doc_id", "plugin", "engine", "text", F.to_json("lines").alias("lines"), "confidence")
+
+
+def engine_letters(spark, sf):
+    """The stored letters of the images on which the engine failed."""
+    out = shared_dir(spark, "engine")
+    process.recognise(_images(spark, sf), _reader, out, "r1", "reader")
+    return spark.read.schema("doc_id string, engine string, error string, run_id string, plugin string").json(f"{out}/recognition_letters")
+
+
+def engine_layouts(spark, sf):
+    """Layouts straight from an engine, beside its errors."""
+    read = ocr.run_layout_engine(_images(spark, sf), _layout_reader, "layout")
+    return layout.flatten_layout(read).select("doc_id", "text", F.size("layout").alias("num_entries"), "confidence", "complete", "error")
+
+
+def _raw_results(spark, sf) -> str:
+    """Result lines as JSON, one in ten cut short, one with text for a number, one without a document; three files."""
+    k = F.col("o_orderkey")
+    name = F.when(k % 10 != 8, F.concat(F.lit("o"), k))
+    whole = F.to_json(F.struct(name.alias("doc_id"), F.lit("plain").alias("plugin"), F.col("o_orderpriority").alias("text"), ((k % 5) / F.lit(4.0)).alias("confidence")))
+    text = F.when(k % 10 == 3, F.substr(whole, F.lit(1), F.length(whole) - 8)).when(k % 10 == 6, F.concat(F.lit('{"doc_id":"o'), k, F.lit('","confidence":"high"}'))).otherwise(whole)
+    path = f"{shared_dir(spark, 'raw-results')}/lines"
+    table(spark, sf, "orders").select(text.alias("value")).repartition(3, "value").write.text(path)
+    return path
+
+
+def wellformed_results(spark, sf):
+    read = ocr.read_results(spark, _raw_results(spark, sf), "json", multi_line=False, keep_malformed=True)
+    return ocr.split_malformed(read)[0].select("doc_id", "plugin", "text", "confidence")
+
+
+def malformed_results(spark, sf):
+    read = ocr.read_results(spark, _raw_results(spark, sf), "json", multi_line=False, keep_malformed=True)
+    return ocr.split_malformed(read)[1]
+
+
 def _manifest(spark, sf) -> DataFrame:
     k = F.col("doc_id")
     name = F.concat(F.lit("doc-"), k.cast("string"))
@@ -722,6 +811,45 @@ def live_uploads(spark, sf):
     return _finished(spark, live.drop_repeats(uploads, "ts"), "live-uploads").select("sample_id")
 
 
+def live_malformed(spark, sf):
+    """Letters of a stream of result lines, over several micro-batches."""
+    stream = live.read_results_stream(spark, _raw_results(spark, sf), "json", files_per_trigger=1, multi_line=False, keep_malformed=True)
+    return _finished(spark, ocr.split_malformed(stream)[1], "live-malformed")
+
+
+def _parts(spark, rows: DataFrame, purpose: str, files: int) -> str:
+    """Rows in so many files, dealt without regard to their order."""
+    path = f"{shared_dir(spark, purpose)}/rows"
+    rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(path)
+    return path
+
+
+def live_intake(spark, sf):
+    """Uploads judged as they arrive, from both sinks."""
+    k, known = F.col("page_id"), families.names()
+    uploads = table(spark, sf, "pages").select(
+        "page_id", F.get(F.array(F.lit("china_id"), F.lit("passport"), F.lit("driver_licence"), F.lit(None)), (k % 4).cast("int")).alias("plugin"),
+        F.when(k % 5 == 0, F.lit("")).otherwise(F.col("html")).cast("binary").alias("content"),
+    )
+    path, base = _parts(spark, uploads, "uploads", 4), shared_dir(spark, "live-intake")
+    stream = spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    live.intake_stream(stream, known, f"{base}/accepted", f"{base}/rejected", f"{base}/state", once=True).awaitTermination()
+    note = "content struct<type:string,size:int>"
+    good = spark.read.schema(uploads.schema).option("recursiveFileLookup", True).parquet(f"{base}/accepted")
+    bad = spark.read.schema(f"page_id long, plugin string, {note}, status int, reason string").option("recursiveFileLookup", True).parquet(f"{base}/rejected")
+    good = good.select("page_id", "plugin", F.lit(200).alias("status"), F.lit(None).cast("string").alias("reason"), F.octet_length("content").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    return good.unionByName(bad.select("page_id", "plugin", "status", "reason", F.col("content.size").alias("size_bytes"), F.lit(None).cast("string").alias("sha256")))
+
+
+def live_latest_uploads(spark, sf):
+    """Uploads replace earlier ones of their user; many arrive late."""
+    uploads = table(spark, sf, "events").select(F.col("user_id").alias("sample_id"), "ts", "event_id", "event_type", "value")
+    path, base = _parts(spark, uploads, "events", 6), shared_dir(spark, "live-latest")
+    stream = spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    live.latest_upload_stream(stream, "ts", f"{base}/versions", f"{base}/state", once=True).awaitTermination()
+    return live.read_latest(spark, f"{base}/versions", uploads.schema, "ts")
+
+
 QUERIES = [
     ocr_lines, line_profile, payload_lines, payload_documents, layout_fields, manifest_samples, manifest_errors, asset_facts,
     missing_assets, asset_summary, asset_totals, golden_rows, label_studio_rows, intake_verdicts, annotation_fields, date_texts,
@@ -733,7 +861,8 @@ QUERIES = [
     unrecognised_assets, kept_overrides, rejected_unrouted, hard_share, processed_documents, unroutable_documents, dead_letters, failures_by_cause,
     top_failures, decisions, review_queue, number_candidates, chosen_numbers, completeness, quality_routes, card_pairs,
     source_selection, tagged_annotations, relation_texts, unknown_sources, decision_rates, first_uploads, live_decisions,
-    live_dead_letters, live_rates, live_uploads,
+    live_dead_letters, live_rates, live_uploads, layout_trees, engine_results, engine_letters, engine_layouts, wellformed_results,
+    malformed_results, live_malformed, live_intake, live_latest_uploads,
 ]
 
 

@@ -265,3 +265,44 @@ def test_plans(spark, golden_docs):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan(process.process(golden_docs, as_of=AS_OF))
     assert "EvalPython" not in plan(process.process(golden_docs, as_of=AS_OF))
+
+
+def test_mixed_documents_are_scanned_once(spark, make_docs, golden_docs, tmp_path):
+    """One scan for all families and the unrouted; with overrides one join; the rows are those of family after family."""
+    more = make_docs([("x", "receipt", ["x"]), ("y", None, "text"), ("z", "passport", None)])
+    golden_docs.unionByName(more).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    whole = process.process(docs, as_of=AS_OF, keep_unrouted=True)
+    assert (plan(whole).count("FileScan"), plan(whole).count("Exchange"), plan(whole).count("Union")) == (1, 0, 0)
+    given = spark.createDataFrame([("id_front", "name", "X"), ("id_front", "extra", "1"), ("x", "name", "kept"), ("medical_inline", "diagnosis", '["D"]'), ("z", "surname", None)],
+                                  "doc_id string, field string, value string")
+    given.write.parquet(str(tmp_path / "given"))
+    merged = process.process(docs, spark.read.parquet(str(tmp_path / "given")), AS_OF, keep_unrouted=True)
+    assert (plan(merged).count("FileScan"), plan(merged).count("Join "), plan(merged).count("Union")) == (2, 1, 0)
+    for overrides, rows in ((None, whole), (given, merged)):
+        found = {r.doc_id: r for r in rows.collect()}
+        assert len(found) == len(GOLDENS) + 3
+        for name in families.names():
+            apart = process.family_job(process.with_contract(docs), name, overrides, AS_OF)
+            apart = apart.select("doc_id", "issues", "accepted", "score", families.as_text_map(apart).alias("field_values")).collect()
+            for r in apart:
+                values = {k: v for k, v in found[r.doc_id].field_values.items() if k != "extra"}
+                assert (r.issues, r.accepted, r.score, r.field_values) == (found[r.doc_id].issues, found[r.doc_id].accepted, found[r.doc_id].score, values)
+        assert [i.code for k in "xy" for i in found[k].issues] == ["unknown_plugin", "missing_plugin"]
+    assert found["id_front"].field_values["name"] == "X" and found["id_front"].field_values["extra"] == "1" and found["id_front"].parsed_fields["name"] == "张三"
+    assert found["x"].field_values == {"name": "kept"} and found["z"].parsed_fields["surname"] is None
+
+
+def test_families_read_by_a_function_keep_their_rows_apart(make_docs):
+    docs = make_docs([("d", "receipt", ["total 5"]), ("e", "china_id", ["x"]), ("f", "other", ["x"])])
+    read = lambda rows: rows.withColumn("fields", F.struct(F.get("rows", 0)["text"].alias("line")))
+    families.register(families.Family("receipt", read))
+    try:
+        rows = {r.doc_id: r for r in process.process(docs, keep_unrouted=True).collect()}
+        assert rows.keys() == {"d", "e", "f"} and rows["d"].accepted and rows["d"].field_values == {"line": "total 5"}
+        some = process.process(docs, only=["receipt"], keep_unrouted=True).collect()
+        assert sorted(r.doc_id for r in some) == ["d", "f"]
+        assert [r.doc_id for r in process.process(docs, only=["receipt"]).collect()] == ["d"]
+    finally:
+        families._FAMILIES.pop("receipt")
