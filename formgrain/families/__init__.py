@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from .base import ISSUES_TYPE, Family, Reading, as_text_map, extract, has_severity, issues_of, strict_score, validate
 from .china_id import CHINA_ID
 from .hukou_booklet import HUKOU_BOOKLET
@@ -16,6 +18,16 @@ def register(family: Family) -> None:
     _FAMILIES[family.name] = family
 
 
+def unregister(name: str) -> None:
+    _FAMILIES.pop(name, None)
+
+
+def registered(spark: SparkSession) -> DataFrame:
+    """The registered families as a table, to join with what came in."""
+    rows = [(f.name, f.version, f.description, list(f.backbones), list(f.tags), f.config.get("fields")) for f in map(get, names())]
+    return spark.createDataFrame(rows, "name string, version string, description string, backbones array<string>, tags array<string>, fields array<string>")
+
+
 def get(name: str) -> Family:
     return _FAMILIES[name]
 
@@ -28,6 +40,6 @@ for _family in (CHINA_ID, PASSPORT, HUKOU_BOOKLET, TRAIN_TICKET, BOARDING_PASS,
     register(_family)
 
 __all__ = [
-    "ISSUES_TYPE", "Family", "Reading", "as_text_map", "extract", "get", "has_severity", "issues_of", "names", "register", "strict_score",
-    "validate",
+    "ISSUES_TYPE", "Family", "Reading", "as_text_map", "extract", "get", "has_severity", "issues_of", "names", "register", "registered", "strict_score",
+    "unregister", "validate",
 ]

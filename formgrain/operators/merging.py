@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +88,13 @@ def unknown_values(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     return df.where(~F.col(column).isin(allowed) | F.col(column).isNull())
 
 
+def vocabulary_violations(df: DataFrame, allowed: Mapping[str, Sequence]) -> DataFrame:
+    """Add ``violations``: the names of the columns whose value is null or outside its closed vocabulary. Rows that keep
+    to all of them have none, so both sides of the check come out of one pass."""
+    broken = [F.when(F.col(c).isNull() | ~F.col(c).isin(list(values)), F.lit(c)) for c, values in allowed.items()]
+    return df.withColumn("violations", F.filter(F.array(*broken), lambda c: c.isNotNull()))
+
+
 def pair_sides(cards: DataFrame) -> DataFrame:
     """One row per card from its sides ``(case_id, doc_id, fields)``.
 

@@ -107,21 +107,21 @@ def job(results: DataFrame, names: list[str], overrides: DataFrame | None, as_of
     return docs.withColumn("score", F.coalesce(score, F.lit(0.0))).withColumn("field_values", F.map_concat(F.coalesce(texts(docs), nothing), "provided"))
 
 
-def job_columns(done: DataFrame) -> DataFrame:
+def job_columns(done: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     count, mean = line_stats(F.col("lines"))
     return done.select(
-        "doc_id", "plugin", file_stem(F.col("doc_id").cast("string")).alias("sample_id"), "field_values", "parsed_fields", "issues", "accepted", "score",
+        *keep, "doc_id", "plugin", file_stem(F.col("doc_id").cast("string")).alias("sample_id"), "field_values", "parsed_fields", "issues", "accepted", "score",
         F.coalesce("confidence", mean).alias("confidence"), count.alias("num_lines"), "text", "lines",
     )
 
 
-def branch(results: DataFrame, name: str, overrides: DataFrame | None, as_of: str | None) -> DataFrame:
+def branch(results: DataFrame, name: str, overrides: DataFrame | None, as_of: str | None, keep: tuple[str, ...]) -> DataFrame:
     """The job's rows of one family that is read by a function over whole tables."""
     done, nothing = family_job(results, name, overrides, as_of), F.create_map().cast(NO_VALUES)
     values = families.as_text_map(done)
     if overrides is None:
-        return job_columns(done.withColumn("field_values", values).withColumn("parsed_fields", F.lit(None).cast(NO_VALUES)))
-    return job_columns(done.withColumn("field_values", F.map_concat(values, F.coalesce("provided", nothing))))
+        return job_columns(done.withColumn("field_values", values).withColumn("parsed_fields", F.lit(None).cast(NO_VALUES)), keep)
+    return job_columns(done.withColumn("field_values", F.map_concat(values, F.coalesce("provided", nothing))), keep)
 
 
 def process(
@@ -130,8 +130,9 @@ def process(
     as_of: str | None = None,
     only: list[str] | None = None,
     keep_unrouted: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """All families over one table of recognition results, one row per document.
+    """All families over one table of recognition results, one row per document, with the columns ``keep`` of the input.
 
     ``field_values`` has the provided values in place of parsed ones, also those of fields the family does not know;
     ``parsed_fields`` has what was read before. ``keep_unrouted`` adds the documents of no registered family as
@@ -149,8 +150,8 @@ def process(
     elsewhere = [name for name in families.names() if name not in together]
     if keep_unrouted and elsewhere:
         rest = results.where(F.col("plugin").isNull() | ~F.col("plugin").isin(elsewhere))
-    branches = [job_columns(job(rest, together, overrides, as_of, keep_unrouted))] if together or keep_unrouted else []
-    return reduce(DataFrame.unionByName, branches + [branch(results, name, overrides, as_of) for name in apart])
+    branches = [job_columns(job(rest, together, overrides, as_of, keep_unrouted), keep)] if together or keep_unrouted else []
+    return reduce(DataFrame.unionByName, branches + [branch(results, name, overrides, as_of, keep) for name in apart])
 
 
 def issue_rows(processed: DataFrame) -> DataFrame:

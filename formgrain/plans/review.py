@@ -26,7 +26,9 @@ CAUSE_PATTERNS = [
     (r"_invalid$", "ocr_error"),
     (r"^(blur|glare|shadow|low_contrast|occlusion)", "quality_error"),
     (r"^(cropped|page_curvature)", "detect_error"),
+    (r"^(layout|region|reading_order)_", "layout_error"),
 ]
+UNCLASSIFIED = "unclassified"
 
 
 def is_conflict(code: Column) -> Column:
@@ -77,14 +79,36 @@ def root_cause(code: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for pattern, cause in CAUSE_PATTERNS:
         out = out.when(F.regexp_like(code, F.lit(pattern)), F.lit(cause))
-    return out.otherwise(F.lit("validator_error"))
+    return out.otherwise(F.lit(UNCLASSIFIED))
 
 
-def failures_by_cause(issues: DataFrame) -> DataFrame:
-    """Issue counts per root cause, family and code."""
-    return issues.groupBy("plugin", root_cause(F.col("code")).alias("root_cause"), "code").agg(
-        F.count(F.lit(1)).alias("num_issues")
-    )
+def failures_by_cause(issues: DataFrame, causes: DataFrame | None = None) -> DataFrame:
+    """Issue counts per root cause, family and code.
+
+    ``causes(code, root_cause[, plugin])`` names causes by code, for one family or (null) for all; the patterns cover the
+    codes it does not list, and what nobody knows is ``unclassified``. Issues are counted before they meet the table.
+    """
+    counts = issues.groupBy("plugin", "code").agg(F.count(F.lit(1)).alias("num_issues"))
+    cause = root_cause(F.col("code"))
+    if causes is not None:
+        known = causes if "plugin" in causes.columns else causes.withColumn("plugin", F.lit(None).cast("string"))
+        own = known.where("plugin IS NOT NULL").groupBy("plugin", "code").agg(F.min("root_cause").alias("_own"))
+        shared = known.where("plugin IS NULL").groupBy("code").agg(F.min("root_cause").alias("_shared"))
+        counts = counts.join(own, ["plugin", "code"], "left").join(shared, "code", "left")
+        cause = F.coalesce("_own", "_shared", cause)
+    return counts.select("plugin", cause.alias("root_cause"), "code", "num_issues")
+
+
+def with_candidates(queue: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The review queue with what else was found: ``candidates``, per field the ranked values and their evidence.
+
+    ``ranked``: as of ``operators.candidates.ranked``, a few rows per document and field. Documents without any get an
+    empty list.
+    """
+    shown = F.struct("field", "rank", "value", "score", "anchored", "valid", "line_no", "bbox")
+    per_document = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(shown)).alias("candidates"))
+    joined = queue.join(per_document, "doc_id", "left")
+    return joined.withColumn("candidates", F.coalesce("candidates", F.array().cast(per_document.schema["candidates"].dataType)))
 
 
 def top_failures(issues: DataFrame, k: int = 10, period: Column | None = None) -> DataFrame:

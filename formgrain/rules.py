@@ -140,4 +140,6 @@ QUALITY_RULES = {
 
 # Closed vocabularies.
 FIELD_SOURCES = ["template_ocr", "mrz", "barcode", "vlm_fallback", "manual"]
+SEVERITIES = ["info", "warning", "error"]
+ANGLES = [0, 90, 180, 270]
 SOURCE_PRIORITY = ["vlm_fallback", "barcode", "template_ocr", "mrz", "manual"]

@@ -247,6 +247,45 @@ MALFORMED = f"""
     SELECT CASE WHEN k % 10 = 6 THEN 'o' || k END AS doc_id, CASE WHEN k % 10 = 8 THEN 'plain' END AS plugin,
            CASE WHEN k % 10 = 8 THEN 'missing_doc_id' ELSE 'malformed_json' END AS error, raw FROM ({RAW_RESULTS}) WHERE k % 10 IN (3, 6, 8)"""
 
+AIRPORT_LIST = "('TAIYUAN','FUZHOU','SHANGHAI','HANGZHOU','BEIJING','GUANGZHOU')"
+SHEETS = f"""
+    WITH sheet AS (SELECT k, body || good AS fixed, idn, k % 7 < 5 AND k % 11 <> 4 AS good_place, DATE '2024-01-01' + CAST(k % 500 AS INTEGER) AS day,
+        list_filter([
+            CASE WHEN k % 4 <> 1 THEN {{'n': 'anchored_name', 't': 'Passenger: ' || {NAMES}[k % 5 + 1]}} END, {{'n': 'name', 't': {NAMES}[(k + 1) % 5 + 1] || ' checked in'}},
+            CASE WHEN k % 17 <> 9 THEN {{'n': 'anchored_number', 't': 'ID No: ' || lower(idn)}} END, {{'n': 'number', 't': 'no ' || body || good}},
+            CASE WHEN k % 3 = 0 THEN {{'n': 'label', 't': 'Date'}} END,
+            CASE WHEN k % 3 = 0 THEN {{'n': 'date', 't': year(DATE '2024-01-01' + CAST(k % 500 AS INTEGER)) || '年' || month(DATE '2024-01-01' + CAST(k % 500 AS INTEGER)) || '月' || day(DATE '2024-01-01' + CAST(k % 500 AS INTEGER)) || '日'}} END,
+            {{'n': 'printed', 't': CASE WHEN k % 6 = 0 THEN 'printed 2020-02-30' ELSE 'printed 2020/1/9' END}},
+            CASE WHEN k % 5 <> 2 THEN {{'n': 'route', 't': {STATIONS}[k % 7 + 1] || ' - ' || {STATIONS}[(k + 3) % 7 + 1]}} END,
+            CASE WHEN k % 5 <= 2 THEN {{'n': 'via', 't': 'via ' || {STATIONS}[(k + 1) % 7 + 1] || ' → ' || {STATIONS}[(k + 2) % 7 + 1]}} END],
+            lambda x: x IS NOT NULL) AS ls FROM ids),
+    told AS (SELECT k, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls).n AS n, fixed, idn, good_place, day FROM sheet),
+    hits AS (
+        SELECT k, 'name' AS field, {NAMES}[k % 5 + 1] AS value, 0.4 + 0.4 + 0.1 + 0.12 AS score, true AS anchored, true AS valid, line_no FROM told WHERE n = 'anchored_name'
+        UNION ALL SELECT k, 'name', {NAMES}[(k + 1) % 5 + 1], 0.4 + CASE WHEN k % 4 <> 1 THEN 0.1::DOUBLE / (1 + 300 / 50.0::DOUBLE) ELSE 0.0 END + 0.18, false, true, line_no FROM told WHERE n = 'name'
+        UNION ALL SELECT k, 'number', idn, 0.4 + CASE WHEN good_place AND idn = fixed THEN 0.4 ELSE 0.0 END + 0.1, true, good_place AND idn = fixed, line_no FROM told WHERE n = 'anchored_number'
+        UNION ALL SELECT k, 'number', fixed, CASE WHEN good_place THEN 0.4 ELSE 0.0 END + 0.18, false, good_place, line_no FROM told WHERE n = 'number'
+        UNION ALL SELECT k, 'date', strftime(day, '%Y-%m-%d'), 0.4 + 0.4 + 0.14, true, true, line_no FROM told WHERE n = 'date'
+        UNION ALL SELECT k, 'date', CASE WHEN k % 6 = 0 THEN '2020-02-30' ELSE '2020-01-09' END, CASE WHEN k % 6 = 0 THEN 0.19 ELSE 0.46 END, false, k % 6 <> 0, line_no FROM told WHERE n = 'printed'
+        UNION ALL SELECT k, 'route', {STATIONS}[k % 7 + 1] || '-' || {STATIONS}[(k + 3) % 7 + 1], 0.56, false, true, line_no FROM told WHERE n = 'route'
+        UNION ALL SELECT k, 'route', {STATIONS}[(k + 1) % 7 + 1] || '-' || {STATIONS}[(k + 2) % 7 + 1], 0.48, false, true, line_no FROM told WHERE n = 'via'),
+    best AS (SELECT k, field, value, max(score)::DOUBLE AS score, arg_max(anchored, score) AS anchored, arg_max(valid, score) AS valid, arg_max(line_no, score) AS line_no FROM hits GROUP BY k, field, value),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY k, field ORDER BY score DESC, value DESC) AS rank FROM best)
+"""
+TWO_FAMILIES = """
+    WITH p AS (SELECT 'p/' || k AS doc_id, 'passport' AS plugin, k, unnest([
+            {'f': 'mrz_lines', 'm': CAST(k % 9 = 4 OR k % 6 NOT IN (1, 2) AS INTEGER), 'g': 1},
+            {'f': 'passport_number', 'm': CAST(k % 9 <> 4 AS INTEGER), 'g': CAST(k % 9 <> 4 AS INTEGER)}, {'f': 'surname', 'm': CAST(k % 9 <> 4 AS INTEGER), 'g': CAST(k % 9 <> 4 AS INTEGER)}]) AS x FROM cust),
+    b AS (SELECT 'b/' || k AS doc_id, 'hukou_booklet' AS plugin, k, unnest([
+            {'f': 'member_name', 'm': CAST(member_name IS NOT NULL AS INTEGER), 'g': CAST(member_name IS NOT NULL AS INTEGER)},
+            {'f': 'birth_date', 'm': CAST(birth_date IS NOT NULL AS INTEGER), 'g': CAST(birth_date IS NOT NULL AS INTEGER)}]) AS x FROM books),
+    judged AS (SELECT 'b/' || doc_id AS doc_id, accepted, decision FROM book_judged
+        UNION ALL SELECT 'p/' || k, k % 9 <> 4 AND k % 6 NOT IN (1, 2), CASE WHEN k % 9 <> 4 AND k % 6 NOT IN (1, 2) THEN 'accept' ELSE 'reject' END FROM cust),
+    fields AS (SELECT doc_id, plugin, x.f AS field, x.m AS m, x.g AS given FROM p UNION ALL SELECT doc_id, plugin, x.f, x.m, x.g FROM b),
+    pairs AS (SELECT f.*, accepted, decision, min(m) OVER (PARTITION BY doc_id) AS whole, row_number() OVER (PARTITION BY doc_id ORDER BY field) = 1 AS first
+             FROM fields f JOIN judged USING (doc_id))
+"""
+
 UNROUTED = "'plain/' || doc_id AS doc_id, 'plain' AS plugin"
 
 
@@ -553,4 +592,88 @@ def oracle_sql() -> dict[str, str]:
         "live_latest_uploads": """
             SELECT user_id AS sample_id, ts, event_id, event_type, value FROM (
                 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC, value DESC) AS rn FROM events) WHERE rn = 1""",
+        "working_set": """
+            WITH l AS (SELECT doc_id, coalesce(quality = 0 OR toxic = 1, false) AS hard, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM labels),
+            n AS (SELECT count(*) // 2 AS size, count(*) FILTER (WHERE hard) AS nh, count(*) FILTER (WHERE NOT hard) AS ne FROM l),
+            q AS (SELECT *, least(nh, greatest(CAST(ceil(size * 0.2) AS BIGINT), size - ne)) AS th FROM n),
+            r AS (SELECT *, row_number() OVER (PARTITION BY hard ORDER BY h) AS rn FROM l)
+            SELECT doc_id, hard FROM r, q WHERE rn <= CASE WHEN hard THEN th ELSE least(ne, size - th, th * 4) END""",
+        "field_candidates": q("ids", SHEETS + """
+            SELECT k AS doc_id, field, value, round(score, 9) AS score, anchored, valid, CAST(line_no AS INTEGER) AS line_no, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5"""),
+        "chosen_fields": q("ids", SHEETS + """
+            SELECT k AS doc_id, field, value, round(score, 9) AS score, round(score - next, 9) AS lead
+            FROM (SELECT *, lead(score) OVER (PARTITION BY k, field ORDER BY rank) AS next FROM ranked) WHERE rank = 1"""),
+        "review_candidates": q("ids", SHEETS + """
+            SELECT k AS doc_id, best, 'unknown_plugin' AS errors, array_to_string(list_filter(list_transform(ls, lambda x: x.t), lambda t: t IS NOT NULL), '|') AS lines
+            FROM sheet JOIN (SELECT k, string_agg(field || '=' || value, '; ' ORDER BY field) AS best FROM ranked WHERE rank = 1 GROUP BY k) USING (k)"""),
+        "review_evidence": q("cust", """
+            WITH queue AS (SELECT k, segment, 1 + CAST(k % 4 = 0 AS INTEGER) + 1 AS first_line FROM cust WHERE k % 8 = 3 AND k % 9 <> 4 AND k % 6 NOT IN (1, 2))
+            SELECT k AS doc_id, f.field AS field, f.value AS value, f.line_nos AS line_nos FROM (SELECT k, unnest([
+                {'field': 'passport_number', 'value': 'X' || lpad(CAST(k AS VARCHAR), 7, '0'), 'line_nos': CAST([] AS INTEGER[])},
+                {'field': 'surname', 'value': 'CUSTOMER', 'line_nos': CAST([] AS INTEGER[])},
+                {'field': 'personal_number', 'value': 'ZE' || lpad(CAST(k AS VARCHAR), 9, '0'), 'line_nos': [first_line + 2]}]) AS f FROM queue)"""),
+        "kind_documents": q("pass_plain", """
+            SELECT k AS doc_id, kind, CASE kind WHEN 'passport' THEN 1 WHEN 'visa_page' THEN 2 WHEN 'ghost' THEN 1 END AS kind_version,
+                   CASE WHEN kind IN ('passport', 'visa_page') THEN 'passport' END AS plugin, kind IN ('passport', 'visa_page') AND len(issues) = 0 AS accepted,
+                   CASE WHEN kind IN ('passport', 'visa_page') THEN issues[1].code ELSE 'missing_plugin' END AS first_issue
+            FROM (SELECT *, ['passport','visa_page','old_card','ghost','stranger'][k % 5 + 1] AS kind FROM pass_plain)"""),
+        "kind_completeness": q("cust", """
+            SELECT kind, field, count(*) AS num_documents, count(*) FILTER (WHERE k % 9 <> 4 AND field <> 'seal') AS num_present,
+                   round(1 - count(*) FILTER (WHERE k % 9 <> 4 AND field <> 'seal') / count(*), 9) AS missing_rate
+            FROM (SELECT k, 'passport' AS kind, unnest(['passport_number', 'surname', 'expiry_date']) AS field FROM cust WHERE k % 5 = 0
+                  UNION ALL SELECT k, 'visa_page', unnest(['passport_number', 'personal_number', 'seal']) FROM cust WHERE k % 5 = 1) GROUP BY ALL"""),
+        "kind_quality": """
+            WITH s AS (SELECT ['passport','visa_page','old_card','ghost'][l_linenumber % 4 + 1] AS plugin, l_discount * 10 AS blur, l_tax * 10 AS glare FROM lineitem),
+            r AS (SELECT plugin, CASE plugin WHEN 'passport' THEN [CASE WHEN blur >= 0.3 THEN 'blur' END]
+                                             WHEN 'visa_page' THEN [CASE WHEN blur >= 0.5 THEN 'blur' END, CASE WHEN glare >= 0.2 THEN 'glare' END] ELSE ['no_rules'] END AS reasons,
+                         CASE plugin WHEN 'passport' THEN blur >= 0.6 WHEN 'visa_page' THEN blur >= 0.9 OR glare >= 0.4 ELSE true END AS review FROM s),
+            t AS (SELECT plugin, review, list_filter(reasons, lambda x: x IS NOT NULL) AS reasons FROM r)
+            SELECT plugin, CASE WHEN review THEN 'review' WHEN len(reasons) > 0 THEN 'enhanced' ELSE 'normal' END AS route, len(reasons) = 0 AS passed,
+                   array_to_string(reasons, ',') AS reasons, count(*) AS num_images FROM t GROUP BY ALL""",
+        "family_metrics": q("cust books book_judged", TWO_FAMILIES + """
+            SELECT plugin, count(DISTINCT doc_id) AS num_documents, round(avg(m), 9) AS field_exact_match,
+                   round(avg(m) FILTER (WHERE field IN ('mrz_lines', 'passport_number')), 9) AS critical_field_exact_match,
+                   round(avg(m) FILTER (WHERE field = 'mrz_lines'), 9) AS mrz_line_exact_match,
+                   round(avg(m) FILTER (WHERE field LIKE '%date%'), 9) AS date_exact_match, round(avg(m) FILTER (WHERE field LIKE '%number'), 9) AS number_exact_match,
+                   round(avg(whole) FILTER (WHERE first), 9) AS document_success_rate, round(avg(CAST(decision = 'review' AS INTEGER)) FILTER (WHERE first), 9) AS review_rate,
+                   round(count(*) FILTER (WHERE first AND accepted AND whole = 0) / nullif(count(*) FILTER (WHERE first AND accepted), 0), 9) AS false_accept_rate
+            FROM pairs GROUP BY plugin"""),
+        "family_report": q("cust books book_judged", TWO_FAMILIES + """
+            SELECT plugin, field, round(avg(m), 9) AS exact_match, round(2.0 * sum(m) / nullif(count(*) + sum(given), 0), 9) AS f1, count(*) AS support,
+                   CASE WHEN grouping(field) = 1 THEN round(avg(whole) FILTER (WHERE first), 9) END AS document_success_rate,
+                   CASE WHEN grouping(field) = 1 THEN round(avg(CAST(NOT accepted AS INTEGER)) FILTER (WHERE first), 9) END AS review_rate
+            FROM pairs GROUP BY GROUPING SETS ((plugin, field), (plugin))"""),
+        "stored_report": q("scored", """
+            SELECT '0.2.0' AS schema_version, 'booklets' AS report_name, '2026-01-01T00:00:00Z' AS generated_at, 'rendered' AS ocr_backend,
+                   count(*) AS num_fixtures, count(*) FILTER (WHERE status = 'pass') AS num_passed, CAST(sum(num_matched_fields) AS BIGINT) AS num_matched_fields,
+                   CASE WHEN bool_and(status = 'pass') THEN 'pass' ELSE 'fail' END AS status, count(*) AS num_results,
+                   count(*) FILTER (WHERE status = 'pass') AS num_passed_results, CAST(sum(num_matched_fields) AS BIGINT) AS num_matched_results FROM scored"""),
+        "cause_classes": """
+            WITH i AS (SELECT ['passport','train_ticket'][l_linenumber % 2 + 1] AS plugin, l_partkey % 13 + 1 AS c FROM lineitem)
+            SELECT plugin, CASE WHEN c = 9 AND plugin = 'train_ticket' THEN 'scanner_error' ELSE
+                   ['ocr_error','parser_error','ocr_error','ocr_error','schema_error','validator_error','ocr_error','quality_error','detect_error','layout_error','validator_error',
+                    'policy_error','unclassified'][c] END AS root_cause,
+                   ['missing_mrz_lines','missing_name','length_invalid','checksum_invalid','invalid_gender','birth_date_mismatch','region_code_invalid','blur_high','cropped_edge',
+                    'layout_overlap','same_departure_arrival','house_rule','odd_code'][c] AS code, count(*) AS num_issues
+            FROM i GROUP BY ALL""",
+        "vocabulary_checks": """
+            SELECT concat_ws(',', CASE WHEN o_orderkey % 6 = 5 THEN 'source' END, CASE WHEN o_orderkey % 4 = 3 THEN 'severity' END, CASE WHEN o_orderkey % 5 = 4 THEN 'angle' END) AS violations,
+                   count(*) AS num_rows FROM orders GROUP BY ALL""",
+        "train_variants": q("trains", f"""
+            SELECT k AS doc_id, CASE WHEN k % 4 IN (1, 2) THEN 'boarding_pass_like' ELSE 'train_ticket' END AS document_variant,
+                   CASE k % 4 WHEN 1 THEN 'CA' || (1000 + k % 9000) WHEN 2 THEN 'CZ3099' ELSE train_number END AS train_number,
+                   CASE WHEN k % 4 IN (1, 2) THEN CASE WHEN {STATIONS}[k % 7 + 1] IN {AIRPORT_LIST} THEN {STATIONS}[k % 7 + 1] WHEN {STATIONS}[(k + 3) % 7 + 1] IN {AIRPORT_LIST} THEN {STATIONS}[(k + 3) % 7 + 1] END
+                        ELSE departure_station END AS departure_station FROM trains"""),
+        "id_side_issues": q("id_issues", """
+            SELECT -k AS doc_id, CAST(seq AS INTEGER) AS seq, i.code AS code, i.severity AS severity, i.field AS field
+            FROM (SELECT k, unnest(range(1, len(issues) + 1)) AS seq, unnest(issues) AS i FROM id_issues)
+            UNION ALL SELECT s_suppkey, 1, 'missing_valid_from', 'error', 'valid_from' FROM supplier WHERE s_suppkey % 7 = 3
+            UNION ALL SELECT s_suppkey, 2, 'missing_valid_to', 'error', 'valid_to' FROM supplier WHERE s_suppkey % 7 = 3"""),
+        "plain_family": """
+            SELECT doc_id, 'plain' AS plugin, '{"doc_type":"plain"}' AS field_values, true AS accepted, 1.0::DOUBLE AS score, 0 AS num_issues FROM documents""",
+        "family_registry": """
+            SELECT name, '0.1.0' AS version, description, 'document-plugin' AS tags, num_documents FROM (
+                SELECT unnest(['boarding_pass','china_id','hukou_booklet','medical_record','passport','train_ticket']) AS name,
+                       unnest(['boarding pass','resident identity card','household booklet member page','outpatient medical record','passport with machine-readable zone','train ticket']) AS description,
+                       unnest([(SELECT count(*) FROM orders), (SELECT count(*) FROM customer), (SELECT count(*) FROM customer), (SELECT count(*) FROM part), (SELECT count(*) FROM customer), (SELECT count(*) FROM orders)]) AS num_documents)""",
     }

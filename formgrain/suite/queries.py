@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import families, rules
-from ..families import passport
+from ..families import china_id, passport
 from ..functions.geometry import bounding_box
 from ..functions.structs import unfold
 from ..functions.text import file_stem, iso_date
 from ..operators import annotate as annotating
-from ..operators import labels, lines, merging, places, splitting
-from ..plans import evaluation, process, profile, review
+from ..operators import candidates, labels, lines, merging, places, splitting
+from ..plans import evaluation, process, profile, registry, review
 from ..session import shared_dir
 from ..sources import datasets, layout, ocr
 from ..streaming import live
@@ -850,6 +850,178 @@ def live_latest_uploads(spark, sf):
     return live.read_latest(spark, f"{base}/versions", uploads.schema, "ts")
 
 
+def working_set(spark, sf):
+    """Half of the labelled documents, with a fifth of hard ones at least."""
+    labelled = table(spark, sf, "labels")
+    hard = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return splitting.working_set(labelled, "doc_id", hard, labelled.count() // 2, 0.2).select("doc_id", hard.alias("hard"))
+
+
+def _sheet_candidates(spark, sf) -> DataFrame:
+    found = spark.createDataFrame([("itinerary", *r) for r in render.ITINERARY_RULES], candidates.RULE_SCHEMA)
+    return candidates.candidates(lines.with_rows(render.itineraries(spark, sf)), found, as_of())
+
+
+def field_candidates(spark, sf):
+    return candidates.ranked(_sheet_candidates(spark, sf)).select(
+        "doc_id", "field", "value", F.round("score", 9).alias("score"), "anchored", "valid", "line_no", "rank")
+
+
+def chosen_fields(spark, sf):
+    return candidates.chosen(_sheet_candidates(spark, sf)).select("doc_id", "field", "value", F.round("score", 9).alias("score"), F.round("lead", 9).alias("lead"))
+
+
+def review_candidates(spark, sf):
+    """The queue of a kind nobody can read yet, with its candidates beside each document."""
+    sheets = process.process(render.itineraries(spark, sf), as_of=render.AS_OF, keep_unrouted=True)
+    queue = review.review_queue(sheets.withColumn("decision", F.lit("review")))
+    shown = review.with_candidates(queue, candidates.ranked(_sheet_candidates(spark, sf), 1))
+    return shown.select(
+        "doc_id", F.array_join(F.transform("candidates", lambda c: F.concat_ws("=", c["field"], c["value"])), "; ").alias("best"),
+        F.array_join(F.transform("errors", lambda e: e["code"]), ",").alias("errors"), F.array_join(F.transform("lines", lambda r: r["text"]), "|").alias("lines"))
+
+
+def review_evidence(spark, sf):
+    """Queued passports: each value with the lines it stands in."""
+    done = process.process(render.passports(spark, sf), render.passport_overrides(spark, sf), render.AS_OF, only=["passport"])
+    queue = unfold(review.review_queue(review.with_decision(done)), "evidence", "doc_id").select("doc_id", "item.*")
+    return queue.where(F.col("field").isin("passport_number", "surname", "personal_number")).select(
+        "doc_id", "field", "value", F.transform("candidates", lambda c: c["line_no"]).alias("line_nos"))
+
+
+#: Kinds by version: a kind read by another family's reader, one whose last version is withdrawn, one with no reader.
+KINDS = [
+    ("passport", 1, True, None, ["passport_number", "surname", "expiry_date"], [("blur", 0.3, 0.6)]),
+    ("visa_page", 1, False, "booklet", ["never"], []),
+    ("visa_page", 2, True, "passport", ["passport_number", "personal_number", "seal"], [("blur", 0.5, 0.9), ("glare", 0.2, 0.4)]),
+    ("old_card", 1, True, "passport", ["surname"], [("blur", 0.5, 0.8)]),
+    ("old_card", 2, False, "passport", ["surname"], [("blur", 0.5, 0.8)]),
+    ("ghost", 1, True, "nobody", ["surname"], []),
+]
+
+
+def _kinds(spark) -> DataFrame:
+    return spark.createDataFrame(KINDS, registry.KIND_SCHEMA)
+
+
+def _of_kinds(spark, sf) -> DataFrame:
+    docs = render.passports(spark, sf).withColumn("plugin", render.choose(["passport", "visa_page", "old_card", "ghost", "stranger"], F.col("doc_id")))
+    return registry.process_kinds(docs, _kinds(spark), as_of=render.AS_OF)
+
+
+def kind_documents(spark, sf):
+    return _of_kinds(spark, sf).select("doc_id", "kind", "kind_version", "plugin", "accepted", F.get("issues", 0)["code"].alias("first_issue"))
+
+
+def kind_completeness(spark, sf):
+    return registry.completeness(_of_kinds(spark, sf), _kinds(spark)).withColumn("missing_rate", F.round("missing_rate", 9))
+
+
+def kind_quality(spark, sf):
+    defects = F.create_map(F.lit("blur"), F.col("l_discount") * 10, F.lit("glare"), F.col("l_tax") * 10)
+    scores = table(spark, sf, "lineitem").select(render.choose(["passport", "visa_page", "old_card", "ghost"], F.col("l_linenumber")).alias("plugin"), defects.alias("quality"))
+    return registry.quality_route(scores, _kinds(spark)).groupBy("plugin", "route", "passed", F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("num_images"))
+
+
+def _two_families(spark, sf) -> DataFrame:
+    """Golden passports with their right zone, and golden booklets, against one run of the job over both."""
+    k = F.col("doc_id")
+    right = F.col("right_lines")
+    zone = render.passports(spark, sf).select("doc_id", F.transform("lines", lambda l: l["text"]).alias("right_lines"))
+    pair = F.filter(right, lambda t: F.length(t) >= 44)
+    second = F.element_at(right, -1)
+    number = F.concat(F.lit("C"), render.digits(k % 10000000, 7))
+    passports = zone.select(
+        F.concat(F.lit("p/"), k.cast("string")).alias("doc_id"),
+        F.create_map(
+            F.lit("passport_number"), number, F.lit("surname"), F.lit("CUSTOMER"),
+            F.lit("mrz_lines"), F.when((k % 9 != 4) & ~(k % 6).isin(1, 2), F.to_json(F.array(F.upper(F.translate(F.translate(F.element_at(pair, -2), "«", "<"), " ", "")), second)))
+            .otherwise(F.lit("[]")).cast("string"),
+        ).alias("expected"),
+    )
+    booklets = render.numbered_customers(spark, sf).select(
+        F.concat(F.lit("b/"), k.cast("string")).alias("doc_id"),
+        F.create_map(F.lit("member_name"), F.concat(F.lit("M"), k.cast("string")), F.lit("birth_date"), F.date_format(render.birth_day(k), "yyyy-MM-dd")).alias("expected"))
+    named = lambda docs, prefix: docs.select(F.concat(F.lit(prefix), F.col("doc_id").cast("string")).alias("doc_id"), "plugin", "lines")
+    both = named(render.passports(spark, sf), "p/").unionByName(named(render.booklets(spark, sf), "b/"))
+    done = review.with_decision(process.process(both, as_of=render.AS_OF)).select("doc_id", "plugin", "field_values", "accepted", "decision")
+    return evaluation.compare(passports.unionByName(booklets), done)
+
+
+def family_metrics(spark, sf):
+    metrics = evaluation.quality_metrics(_two_families(spark, sf))
+    return _rounded(metrics, *[c for c in metrics.columns if c not in ("plugin", "num_documents")])
+
+
+def family_report(spark, sf):
+    return _rounded(evaluation.evaluation_report(_two_families(spark, sf), ~F.col("accepted")), "exact_match", "f1", "document_success_rate", "review_rate")
+
+
+def stored_report(spark, sf):
+    """The report as written: its header and how many result lines stand beside it."""
+    scored, path = evaluation.document_scores(_compared(spark, sf)), shared_dir(spark, "report")
+    evaluation.write_report("booklets", evaluation.totals(scored), scored, path, F.lit("2026-01-01").cast("timestamp"), ocr_backend="rendered")
+    head = spark.read.schema("schema_version string, report_name string, generated_at string, runner struct<ocr_backend:string>, totals struct<num_fixtures:long,num_passed:long,num_matched_fields:long,status:string>").json(f"{path}/header")
+    results = spark.read.schema("doc_id long, status string, num_matched_fields int").json(f"{path}/results")
+    stored = results.agg(F.count(F.lit(1)).alias("num_results"), F.count(F.when(F.col("status") == "pass", 1)).alias("num_passed_results"), F.sum("num_matched_fields").alias("num_matched_results"))
+    return head.select("schema_version", "report_name", "generated_at", "runner.ocr_backend", "totals.*").join(stored.withColumn("report_name", F.lit("booklets")), "report_name")
+
+
+CODES = ["missing_mrz_lines", "missing_name", "length_invalid", "checksum_invalid", "invalid_gender", "birth_date_mismatch", "region_code_invalid", "blur_high", "cropped_edge",
+         "layout_overlap", "same_departure_arrival", "house_rule", "odd_code"]
+
+
+def cause_classes(spark, sf):
+    """Issues of every class, two of them named by a table of causes, one by nobody."""
+    issues = table(spark, sf, "lineitem").select(render.choose(["passport", "train_ticket"], F.col("l_linenumber")).alias("plugin"), render.choose(CODES, F.col("l_partkey")).alias("code"))
+    causes = spark.createDataFrame([("house_rule", "policy_error", None), ("cropped_edge", "scanner_error", "train_ticket")], "code string, root_cause string, plugin string")
+    return review.failures_by_cause(issues, causes)
+
+
+def vocabulary_checks(spark, sf):
+    """Values of closed vocabularies, the good rows and the broken ones by what is wrong with them."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(
+        render.choose([*rules.FIELD_SOURCES, "guess"], k).alias("source"), F.get(F.array(*[F.lit(v) for v in rules.SEVERITIES], F.lit(None)), (k % 4).cast("int")).alias("severity"),
+        F.get(F.array(*[F.lit(v) for v in [*rules.ANGLES, 45]]), (k % 5).cast("int")).alias("angle"))
+    checked = merging.vocabulary_violations(rows, {"source": rules.FIELD_SOURCES, "severity": rules.SEVERITIES, "angle": rules.ANGLES})
+    return checked.groupBy(F.array_join("violations", ",").alias("violations")).agg(F.count(F.lit(1)).alias("num_rows"))
+
+
+def train_variants(spark, sf):
+    """Train tickets that turn out to be boarding passes: the airline's marks change what the number and the places are."""
+    k = F.col("doc_id")
+    marked = render.train_tickets(spark, sf).withColumn(
+        "lines", F.when(k % 4 == 1, F.concat(F.array(render.line("flight", 0.9), render.line(F.concat(F.lit("CA "), (1000 + k % 9000).cast("string")), 0.9)), F.col("lines")))
+        .when(k % 4 == 2, F.concat(F.array(render.line("登机牌 CZ3099", 0.9)), F.col("lines"))).otherwise(F.col("lines")))
+    return _fields(marked, "train_ticket", "document_variant", "train_number", "departure_station")
+
+
+def id_side_issues(spark, sf):
+    """Both sides of cards under the rules that judge a back side by its authority and dates."""
+    cards = families.Family("china_id", rules=china_id.china_id_side_rules, reading=china_id.china_id_reading)
+    back = render.id_backs(spark, sf).withColumn("lines", F.when(F.col("doc_id") % 7 == 3, F.slice("lines", 1, 2)).otherwise(F.col("lines")))
+    front = render.id_cards(spark, sf).select((-F.col("doc_id")).alias("doc_id"), "plugin", "lines")
+    judged = families.validate(families.extract(front.unionByName(back), cards), cards, render.AS_OF)
+    return process.issue_rows(judged).select("doc_id", "seq", "code", "severity", "field")
+
+
+def plain_family(spark, sf):
+    """Documents of a family with neither parser nor rules: registered, read as nothing, accepted."""
+    families.register(families.Family("plain"))
+    try:
+        done = process.process(render.text_results(spark, sf), as_of=render.AS_OF, only=["plain"])
+        return done.select("doc_id", "plugin", F.to_json("field_values").alias("field_values"), "accepted", "score", F.size("issues").alias("num_issues"))
+    finally:
+        families.unregister("plain")
+
+
+def family_registry(spark, sf):
+    """What is registered, beside how many mixed documents each family has."""
+    counts = mixed_results(spark, sf).groupBy("plugin").agg(F.count(F.lit(1)).alias("num_documents"))
+    return families.registered(spark).join(counts, F.col("name") == F.col("plugin"), "left").select("name", "version", "description", F.array_join("tags", ",").alias("tags"), "num_documents")
+
+
 QUERIES = [
     ocr_lines, line_profile, payload_lines, payload_documents, layout_fields, manifest_samples, manifest_errors, asset_facts,
     missing_assets, asset_summary, asset_totals, golden_rows, label_studio_rows, intake_verdicts, annotation_fields, date_texts,
@@ -862,7 +1034,9 @@ QUERIES = [
     top_failures, decisions, review_queue, number_candidates, chosen_numbers, completeness, quality_routes, card_pairs,
     source_selection, tagged_annotations, relation_texts, unknown_sources, decision_rates, first_uploads, live_decisions,
     live_dead_letters, live_rates, live_uploads, layout_trees, engine_results, engine_letters, engine_layouts, wellformed_results,
-    malformed_results, live_malformed, live_intake, live_latest_uploads,
+    malformed_results, live_malformed, live_intake, live_latest_uploads, working_set, field_candidates, chosen_fields,
+    review_candidates, review_evidence, kind_documents, kind_completeness, kind_quality, family_metrics, family_report, stored_report,
+    cause_classes, vocabulary_checks, train_variants, id_side_issues, plain_family, family_registry,
 ]
 
 

@@ -324,6 +324,38 @@ def train_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "orders")).select(*_train_tickets_columns())
 
 
+def itineraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Travel sheets on which each value stands twice: under a label in a weak line, and loose in a strong one."""
+    k = F.col("doc_id")
+    near = lambda x, y: quad(F.lit(x), F.lit(y))
+    return numbered_customers(spark, sf_dir).select(
+        "doc_id", F.lit("itinerary").alias("plugin"),
+        lines(
+            F.when(k % 4 != 1, line(F.concat(F.lit("Passenger: "), choose(NAMES, k)), 0.6, near(0, 0))),
+            line(F.concat(choose(NAMES, k + 1), F.lit(" checked in")), 0.9, near(300, 0)),
+            F.when(k % 17 != 9, line(F.concat(F.lit("ID No: "), F.lower("idn")), 0.5)),
+            line(F.concat(F.lit("no "), F.col("right_idn")), 0.9),
+            F.when(k % 3 == 0, line("Date", 0.7)),
+            F.when(k % 3 == 0, line(F.date_format(days_from("2024-01-01", k % 500), "yyyy年M月d日"), 0.7)),
+            F.when(k % 6 == 0, line("printed 2020-02-30", 0.95)).otherwise(line("printed 2020/1/9", 0.3)),
+            F.when(k % 5 != 2, line(F.concat(choose(STATIONS, k), F.lit(" - "), choose(STATIONS, k + 3)), 0.8)),
+            F.when(k % 5 <= 2, line(F.concat(F.lit("via "), choose(STATIONS, k + 1), F.lit(" → "), choose(STATIONS, k + 2)), 0.4)),
+        ).alias("lines"),
+    )
+
+
+#: Rules for travel sheets: (field, anchor, pattern, normal form, check, weight of the anchor, weight of standing near it).
+ITINERARY_RULES = [
+    ("name", "Passenger", r"[A-Z]+ [A-Z]+", "text", "none", 0.4, 0.1),
+    ("name", None, r"^[A-Z]+ [A-Z]+(?= checked in)", "text", "none", 0.0, 0.1),
+    ("number", "ID No", r"[0-9]{17}[0-9Xx]", "upper", "id_number", 0.4, 0.0),
+    ("number", None, r"[0-9]{17}[0-9Xx]", "upper", "id_number", 0.0, 0.0),
+    ("date", "Date", r".+", "date", "date", 0.4, 0.0),
+    ("date", None, r"[0-9]{4}[-/年][0-9]{1,2}[-/月][0-9]{1,2}日?", "date", "date", 0.0, 0.0),
+    ("route", None, r"[A-Z]{4,} ?[-→] ?[A-Z]{4,}", "route", "route", 0.0, 0.0),
+]
+
+
 # --- texts -----------------------------------------------------------------------------------
 
 
