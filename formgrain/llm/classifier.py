@@ -95,7 +95,8 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
         # Slightly fewer than the bound, so that the drawn number stays under it.
         known = known.where(F.col("order") < int((1 << 40) * (s.sample - 3 * s.sample ** 0.5) / total))
     taken = F.broadcast(known) if s.sample <= 1_000_000 else known
-    rows = common.texts_of(documents).join(taken, "doc_id").select("text", "label", "order")
+    # Of several texts under one labelled id the smallest teaches, so the bound holds for rows as well as for labels.
+    rows = common.texts_of(documents).join(taken, "doc_id").groupBy("doc_id", "label", "order").agg(F.min("text").alias("text")).select("text", "label", "order")
     rows = rows.mapInArrow(lambda b: sample_rows(b, s), "key int, note binary")
     models = common.by_key(rows, s.learners).mapInArrow(lambda b: learned(b, s, offset), "key int, note binary").orderBy("key").collect()
     weights = np.mean([common.unpack(m.note)[0] for m in models], axis=0) if models else np.zeros(s.slots)

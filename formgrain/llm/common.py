@@ -16,7 +16,7 @@ from formgrain.session import shared_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 MULTIPLIER = 0x9E3779B97F4A7C15
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,13 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key():
+    """A column that tells rows of documents apart by doc_id and text together; equal rows have the same. It is the same
+    in every pass over a table, and unlike the doc_id it is never null."""
+    text = F.col("text").cast("string").cast("binary")
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.coalesce(text, F.lit(b"")), text.isNull())
+
+
 def texts_of(documents: DataFrame) -> DataFrame:
     """doc_id (long) and text as UTF-8 bytes; all other columns are left out, whatever they are called."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))

@@ -85,17 +85,17 @@ def described(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Rec
     factors = multipliers(s.bands * s.rows)
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc_id, text, row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             prints = shingles(text or b"", s.words)
             if not len(prints):
-                rows.append((doc_id, 0, None, None, None, None))
+                rows.append((row, doc_id, 0, None, None, None, None))
                 continue
             found = samples(prints, factors)
-            rows.append((doc_id, len(prints), node_of(prints), band_keys(found, s).view(np.int64), odd_sketch(found, s.sketch_longs), odd_sketch(prints, s.set_longs)))
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], longs), pa.array(cols[4], longs), pa.array(cols[5], longs)],
-                                         names=["doc_id", "n_shingles", "node", "keys", "sketch", "parity"])
+            rows.append((row, doc_id, len(prints), node_of(prints), band_keys(found, s).view(np.int64), odd_sketch(found, s.sketch_longs), odd_sketch(prints, s.set_longs)))
+        cols = list(zip(*rows, strict=True)) or [[]] * 7
+        kinds = [*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                                         names=["row", "doc_id", "n_shingles", "node", "keys", "sketch", "parity"])
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -120,11 +120,16 @@ def confirmed(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.Re
         yield batch.select([0, 1]).filter(keep)
 
 
+def rows_of(documents: DataFrame) -> DataFrame:
+    """doc_id, text and the key of each row."""
+    return common.texts_of(documents).withColumn("row", common.row_key())
+
+
 def links(documents: DataFrame, described_documents: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    owners = described_documents.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
-    texts = common.texts_of(documents).join(owners, "doc_id").select("node", "text")
+    owners = described_documents.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row")).join(wanted, "node")
+    texts = rows_of(documents).join(owners, "row").select("node", "text")
     sets = stored(texts.mapInArrow(lambda b: sets_of(b, s.words), "node long, prints binary").dropDuplicates(["node"]), "shingle-sets")
     sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("prints").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("prints").alias("right")), "b")
     return sized.select("a", "b", "left", "right").mapInArrow(lambda b: confirmed(b, s.similar), "a long, b long")
@@ -224,18 +229,14 @@ def pairs_of_tile(tile: tuple, held: list, s: Settings) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
 
-def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
-
-    Null and empty texts have no shingles and are linked with nothing. Repeated rows have one set and so one component.
-    Rows without a doc_id are linked like any others; they are kept only if no row of their component has an id, and
-    such a component has a null id. A set that only rows without id hold is linked with its equals alone. Other columns are ignored; an empty table gives an empty result.
-    """
+def grouped(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row per document: row (``common.row_key``), doc_id, n_shingles, label: rows of one component have one label,
+    documents without shingles none."""
     s = settings
     spark = documents.sparkSession
     common.on_workers(spark)
-    rows = common.texts_of(documents).mapInArrow(lambda b: described(b, s), "doc_id long, n_shingles long, node long, keys array<long>, sketch array<long>, parity array<long>")
-    docs = stored(rows, "described")
+    kinds = "row long, doc_id long, n_shingles long, node long, keys array<long>, sketch array<long>, parity array<long>"
+    docs = stored(rows_of(documents).mapInArrow(lambda b: described(b, s), kinds), "described")
     nodes = stored(docs.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", "n_shingles", "keys", "sketch", "parity"), "nodes")
     banded = nodes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
@@ -253,9 +254,31 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     if not second.isEmpty():
         edges = stored(edges.unionByName(links(documents, docs, second, s)), "links")
         labels = components(edges)
+    return docs.select("row", "doc_id", "n_shingles", "node").join(labels, "node", "left").select("row", "doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
+
 
-    labelled = docs.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
+
+    Null and empty texts have no shingles and are linked with nothing. Repeated rows have one set and so one component.
+    Rows without a doc_id are linked like any others, and different texts under one id each by their own; such rows are
+    kept only if no row of their component has an id, and that component has a null id. Other columns are ignored; an
+    empty table gives an empty result.
+    """
+    labelled = grouped(documents, settings)
     smallest = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("smallest"))
     out = labelled.join(smallest, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("smallest")))
     kept = F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def representatives(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that stand for their component: the one with the smallest
+    doc_id (no id comes last), of several texts under it the one with the smallest key; a repeated row once. Rows without
+    shingles are linked with nothing and stay, a repeated one once."""
+    labelled = grouped(documents, settings)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    best = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    kept = best.unionByName(labelled.where("label IS NULL").select("row")).distinct()
+    keyed = documents.withColumn("_row", common.row_key())
+    return keyed.join(kept.withColumnRenamed("row", "_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*documents.columns)

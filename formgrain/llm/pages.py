@@ -9,10 +9,11 @@ that are no article text.
 
 from __future__ import annotations
 
-import os
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,11 @@ REGIONS = frozenset("article main section div body td".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title textarea select option button svg math canvas iframe object audio video".split())
 OUTSIDE = frozenset("nav aside footer form menu dialog".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+LISTS = frozenset("ul ol dl table".split())
+CONTROLS = frozenset("input select textarea button".split())
+#: A form is around the content, and not a form to fill in, if it has more characters than this for each of its controls.
+CHARACTERS_A_CONTROL = 40
 #: What closes without an end tag: a new element ends an open one of these, up to the nearest region.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -50,81 +56,130 @@ def not_article(value: str) -> bool:
     return any(NOT_ARTICLE.fullmatch(name) for name in value.replace("_", "-").split())
 
 
+class Line(NamedTuple):
+    """A line of a page; elements are told by their numbers, which rise in page order (0: none)."""
+
+    text: str
+    tags: int
+    at: int  # innermost element
+    named: int  # innermost element that seems to be no article
+    article: int  # innermost article
+
+
 class Lines(HTMLParser):
-    """Lines of a page: text, number of tags, path of open regions, open elements whose names say that they are no
-    article; lines that are no article whatever the names are left out."""
+    """Lines of a page. Elements whose tags, names or roles say that they are no article text are noted, as it takes the
+    whole page to tell whether that holds; lines in hidden ones are left out. An element holds the numbers from its own
+    to that of the last one inside, so no line lists the elements around it and deep pages cost no more than flat ones."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool]] = []  # element, number, no article from here on, named as no article
-        self.count = 0
+        self.open: list[tuple[str, int, bool, int, int]] = []  # element, number, hidden, innermost named, innermost article
+        self.open_at: dict[str, list[int]] = defaultdict(list)  # places of a tag in ``open``
+        self.barriers: list[int] = []  # places of regions and lists in ``open``
+        self.parents, self.last = [0], [0]
         self.kinds: dict[int, str] = {}  # elements of REGIONS
+        self.outer_named: dict[int, int] = {}  # named elements with the named one around
         self.around: set[int] = set()  # named elements with main inside
+        self.kept_out: set[int] = set()  # named elements that most of the content being inside does not lift
+        self.controls: Counter[int] = Counter()  # controls by innermost named element
         self.text: list[str] = []
         self.tags = 0
-        self.path: tuple[int, ...] = ()
-        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
+        self.lines: list[Line] = []
 
     def end_line(self) -> None:
         line = " ".join("".join(self.text).split())
         if line:
-            if not (self.open and self.open[-1][2]):
-                self.lines.append((line, self.tags, tuple(n for tag, n, _, _ in self.open if tag in REGIONS), tuple(n for _, n, _, named in self.open if named)))
+            _, at, hidden, named, article = self.open[-1] if self.open else ("", 0, False, 0, 0)
+            if not hidden:
+                self.lines.append(Line(line, self.tags, at, named, article))
             self.tags = 0
         self.text = []
 
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in BLOCKS:
             self.end_line()
-        self.close_implied(tag)
+        if tag in ENDS_P:
+            self.pop({"p"})
+        if tag in CLOSES:
+            self.pop(CLOSES[tag])
         self.tags += 1
+        if tag in CONTROLS and self.open:
+            self.controls[self.open[-1][3]] += 1
         if tag in EMPTY:
             return
-        outer = self.open[-1][2] if self.open else False
-        inside_article = any(x[0] in ("article", "main") for x in self.open)
-        named = tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role") and v and not_article(v) for k, v in attrs)
+        _, parent, outer, named, article = self.open[-1] if self.open else ("", 0, False, 0, 0)
+        number = len(self.parents)
+        self.parents.append(parent)
+        self.last.append(0)
+        told = tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role") and v and not_article(v) for k, v in attrs)
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
-        out = outer or tag in HIDDEN or tag in OUTSIDE or hidden or tag == "header" and not inside_article
-        self.count += 1
+        in_article = article or self.open_at["main"]
+        if told or tag in OUTSIDE or tag == "header" and not in_article:
+            self.outer_named[number] = named
+            named = number
+            if not told and tag != "form":
+                self.kept_out.add(number)
+        out = outer or tag in HIDDEN or hidden
         if tag in REGIONS:
-            self.kinds[self.count] = tag
+            self.kinds[number] = tag
+        if tag == "article":
+            article = number
         if tag == "main" and not out:
-            self.around.update(n for _, n, _, name in self.open if name)
-        self.open.append((tag, self.count, out, named))
+            n = named
+            while n and n not in self.around:
+                self.around.add(n)
+                n = self.outer_named[n]
+        if tag in REGIONS or tag in LISTS:
+            self.barriers.append(len(self.open))
+        self.open_at[tag].append(len(self.open))
+        self.open.append((tag, number, out, named, article))
 
     def handle_startendtag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
 
-    def close_implied(self, tag):
-        if tag in ENDS_P:
-            self.pop({"p"})
-        if tag in CLOSES:
-            self.pop(CLOSES[tag])
+    def close_from(self, k: int) -> None:
+        """Ends the k-th open element and all inside."""
+        while len(self.open) > k:
+            tag, number, _, _, _ = self.open.pop()
+            self.last[number] = len(self.parents) - 1
+            self.open_at[tag].pop()
+        while self.barriers and self.barriers[-1] >= k:
+            self.barriers.pop()
+
+    def end_head(self) -> None:
+        """What cannot stand in a head ends it, as its end tag may be left out."""
+        if self.open and self.open[-1][0] == "head":
+            self.end_line()
+            self.close_from(len(self.open) - 1)
 
     def pop(self, tags) -> None:
         """Ends the innermost open element of these, unless a region or a list lies between."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in tags:
-                del self.open[k:]
-                return
-            if self.open[k][0] in REGIONS or self.open[k][0] in ("ul", "ol", "dl", "table"):
-                return
+        k = max((self.open_at[t][-1] for t in tags if self.open_at[t]), default=-1)
+        if k >= 0 and (not self.barriers or k >= self.barriers[-1]):
+            self.close_from(k)
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                break
+        if self.open_at[tag]:
+            self.close_from(self.open_at[tag][-1])
 
     def handle_data(self, data):
+        if not data.isspace():
+            self.end_head()
         if not (self.open and self.open[-1][0] in HIDDEN):
             self.text.append(data)
 
+    def holds(self, n: int, line: Line) -> bool:
+        return not n or n <= line.at <= self.last[n]
+
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Gaussian mean along the page; lines beyond its ends count for nothing."""
@@ -148,22 +203,27 @@ def content(ratios: np.ndarray) -> np.ndarray:
     return ratios >= min(cut, float(ratios.max()))
 
 
-def region_of(paths: list[tuple[int, ...]], kinds: dict[int, str]) -> int | None:
-    """The smallest region around all lines with these paths; the outermost article around it, or else main, if there is
-    one, and never a table cell alone. None: the whole page."""
-    shared = os.path.commonprefix(paths)
+def region_of(parser: Lines, lines: list[Line]) -> int:
+    """The smallest region around all these lines; the outermost article around it, or else main, if there is one, and
+    never a table cell alone. 0: the whole page."""
+    first, last = min(x.at for x in lines), max(x.at for x in lines)
+    shared, n = [], first
+    while n:
+        if parser.last[n] >= last and n in parser.kinds:
+            shared.append(n)
+        n = parser.parents[n]
     for kind in ("article", "main"):
-        for n in shared:
-            if kinds[n] == kind:
+        for n in reversed(shared):
+            if parser.kinds[n] == kind:
                 return n
-    return next((n for n in reversed(shared) if kinds[n] != "td"), None)
+    return next((n for n in shared if parser.kinds[n] != "td"), 0)
 
 
-def ratios_of(lines: list[tuple]) -> np.ndarray:
-    return np.array([np.log1p(len(text) / max(1, tags)) for text, tags, _, _ in lines])
+def ratios_of(lines: list[Line]) -> np.ndarray:
+    return np.log1p(np.array([len(x.text) for x in lines]) / np.maximum(1, [x.tags for x in lines]))
 
 
-def sure_content(lines: list[tuple]) -> list[tuple]:
+def sure_content(lines: list[Line]) -> list[Line]:
     """Content lines, but for those that only their neighbours lift: they may stand just outside of the region."""
     ratios = ratios_of(lines)
     smooth = smoothed(ratios)
@@ -172,26 +232,35 @@ def sure_content(lines: list[tuple]) -> list[tuple]:
     return [x for x, good in zip(lines, sure if sure.any() else chosen, strict=True) if good]
 
 
-def kept_lines(parser: Lines) -> list[tuple]:
-    """Lines but for those in elements named as no article. A name says nothing where main stands inside, and, unless
-    an article stands outside of all named elements, where an article or most of the content does."""
+def kept_lines(parser: Lines) -> list[Line]:
+    """Lines but for those in elements noted as no article. A note says nothing where main stands inside, and, unless
+    an article stands outside of all noted elements, where an article does, or most of the content in an element noted
+    for its name or a form with few controls."""
     lines = parser.lines
-    named = {n for x in lines for n in x[3]}
-    if not named:
+    if not any(x.named for x in lines):
         return lines
-    articles = lambda x: [n for n in x[2] if parser.kinds[n] == "article"]
     lifted = set(parser.around)
-    if not any(articles(x) for x in lines if not x[3]):
-        good = [x for x, high in zip(lines, content(ratios_of(lines)), strict=True) if high]
-        size = sum(len(x[0]) for x in good)
-        for n in sorted(named - lifted, reverse=True):
-            # Outer elements count what the inner ones leave.
-            left = lambda x, n=n: n in x[3] and all(m <= n or m in lifted for m in x[3])
-            held = [x for x in good if left(x)]
-            most = 2 * len(held) > len(good) and 2 * sum(len(x[0]) for x in held) > size
-            if most or any(a > n for x in lines if left(x) for a in articles(x)):
+    if not any(x.article and not x.named for x in lines):
+        good = content(ratios_of(lines))
+        total, size = int(good.sum()), sum(len(x.text) for x, high in zip(lines, good, strict=True) if high)
+        # Content lines, their characters and the innermost article of each noted element, with what lifted ones inside leave.
+        held: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
+        controls = parser.controls.copy()
+        for x, high in zip(lines, good, strict=True):
+            own = held[x.named]
+            held[x.named] = [own[0] + bool(high), own[1] + len(x.text) * bool(high), max(own[2], x.article)]
+        for n in sorted(parser.outer_named, reverse=True):
+            own = held[n]
+            controls[parser.outer_named[n]] += controls[n]
+            most = 2 * own[0] > total and 2 * own[1] > size and own[1] > CHARACTERS_A_CONTROL * controls[n]
+            if n in lifted or most and n not in parser.kept_out or own[2] > n:
                 lifted.add(n)
-    return [x for x in lines if all(n in lifted for n in x[3])]
+                outer = held[parser.outer_named[n]]
+                held[parser.outer_named[n]] = [outer[0] + own[0], outer[1] + own[1], max(outer[2], own[2])]
+    clear = {0: True}
+    for n in sorted(parser.outer_named):
+        clear[n] = n in lifted and clear[parser.outer_named[n]]
+    return [x for x in lines if clear[x.named]]
 
 
 def main_text(html: str) -> str:
@@ -200,11 +269,12 @@ def main_text(html: str) -> str:
     parser.feed(html[:html.rfind("<")] if re.fullmatch(r"<[A-Za-z/!][^>]*", html[html.rfind("<"):]) else html)
     parser.close()
     parser.end_line()
+    parser.close_from(0)
     lines = kept_lines(parser)
     if not lines:
         return ""
-    region = region_of([path for _, _, path, _ in sure_content(lines)], parser.kinds)
-    return " ".join(text for text, _, path, _ in lines if region is None or region in path)
+    region = region_of(parser, sure_content(lines))
+    return " ".join(x.text for x in lines if parser.holds(region, x))
 
 
 def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

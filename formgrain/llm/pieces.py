@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from formgrain.llm import common
 
 MARK = "▁"
-CACHED_PARTS = 500_000
+CACHED_PARTS = 150_000
 LONGEST_CACHED = 48
 NEVER = float("inf")
 SLICE_BYTES = 2 << 20
@@ -61,10 +61,11 @@ class Model:
         mixed = re.compile(f"[{letters}][^{letters}{MARK}]|[^{letters}{MARK}][{letters}]").fullmatch
         self.cut = re.compile(f"{MARK}+[^{MARK}]*" if any(map(mixed, met)) else f"{MARK}*[{letters}]+|{MARK}*[^{letters}{MARK}]+|{MARK}+").findall
         self.automaton = automaton
+        self.longest = max(map(len, self.ranks))
         self.parts: dict[str, str] = {}
         self.prefixes: dict[str, str] = {}
         self.histories: dict[str, list[tuple[float, str, str]]] = {}
-        self.survives = lru_cache(1 << 18)(self._survives)
+        self.survives = lru_cache(1 << 16)(self._survives)
 
     def merges(self, text: str) -> list[tuple[float, str, str]]:
         """Merging by rank, leftmost first among equals: before the first and after each merge, its rank with the first
@@ -125,18 +126,20 @@ class Model:
     def backtracked(self, text: str) -> list[str]:
         """Pieces of a text whose characters are all pieces."""
         longest, survives, taken = self.automaton.iter_long, self.survives, []
-        failed, at, last, piece = 0, 0, "", text[:next(longest(text))[1]]
+        # The automaton sees no more than the longest piece can reach, so each step costs the same however long the text is.
+        first = lambda at: text[at:at + next(longest(text[at:at + self.longest]))[1]]
+        failed, at, last, piece = bytearray((len(text) >> 3) + 1), 0, "", first(0)
         while True:
             end = at + len(piece)
-            if not failed >> end & 1 and survives(last, piece):
+            if not failed[end >> 3] >> (end & 7) & 1 and survives(last, piece):
                 taken.append(piece)
                 if end == len(text):
                     return taken
-                at, last, piece = end, piece, text[end:end + next(longest(text, end))[1]]
+                at, last, piece = end, piece, first(end)
                 continue
             piece = self.shorter(piece)
             while not piece:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 piece = taken.pop()
                 at -= len(piece)
                 last = taken[-1] if taken else ""

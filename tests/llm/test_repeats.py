@@ -94,11 +94,11 @@ def test_merge_knows_prefixes(k):
     assert out == sorted(x for run in runs for x in run)
 
 
-def near(docs):
+def near(docs, width=4):
     sets = {}
     for i, t in docs:
         w = [x.lower() for x in (t or "").encode().split()]
-        sets[i] = {tuple(w[k:k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+        sets[i] = {tuple(w[k:k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
     label = {i: i for i in sets}
 
     def root(i):
@@ -140,6 +140,26 @@ def test_near_duplicates_of_odd_rows(make):
     assert near_duplicates.near_duplicates(make([])).collect() == []
 
 
+def test_rows_without_an_id_are_linked(make):
+    base = [f"w{k}" for k in range(60)]
+    text, close, closer = " ".join(base), " ".join(["x", *base[1:]]), " ".join([*base[:-1], "x"])
+    found = near_duplicates.near_duplicates(make([(None, text), (None, close), (8, "lone row of words"), (None, None), (None, "")])).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in found if r.n_shingles == 57) == [("None", 57, None, True)] * 2
+    found = near_duplicates.near_duplicates(make([(None, text), (9, close), (9, closer), (5, "other words " * 9)])).collect()
+    assert sorted((str(r.doc_id), r.component_id, r.kept) for r in found) == [("5", 5, True), ("9", 9, True), ("9", 9, True), ("None", 9, False)]
+
+
+def test_representatives_keep_one_row_of_each_group(make):
+    base = [f"w{k}" for k in range(60)]
+    text, close, closer = " ".join(base), " ".join(["x", *base[1:]]), " ".join([*base[:-1], "x"])
+    rows = [(None, text), (9, close), (9, closer), (9, closer), (12, text), (5, "other words here"), (5, None), (5, ""), (None, None), (None, None), (None, "alone all by itself"), (None, "alone all by itself")]
+    kept = near_duplicates.representatives(make(rows))
+    assert kept.columns == make(rows).columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert len([f for f in found if f[0] == 9]) == 1 and found[0][0] in (5, 9)
+    assert sorted((f for f in found if f[0] != 9), key=str) == sorted([(5, "other words here"), (5, None), (5, ""), (None, None), (None, "alone all by itself")], key=str)
+
+
 def test_sketches_tell_similarity():
     s = near_duplicates.Settings()
     factors = near_duplicates.multipliers(s.bands * s.rows)
@@ -178,9 +198,9 @@ def hits(docs, items, window=10):
     return out
 
 
-@pytest.mark.parametrize(("seed", "broadcast"), [(1, 200_000), (2, 0)])
+@pytest.mark.parametrize(("seed", "broadcast"), [(1, 16 << 20), (2, 0)])
 def test_decontamination(spark, make, monkeypatch, seed, broadcast):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
     docs = corpus(seed)
     words = docs[0][1].split()
     items = [(k, " ".join(docs[k][1].split()[:25]).upper()) for k in range(5)] + [
@@ -202,6 +222,32 @@ def test_decontamination_of_odd_rows(spark, make):
     assert [r.contaminated for r in decontaminate.decontaminated(make([(1, text)]), empty).collect()] == [False]
 
 
+def test_decontamination_judges_each_row(spark, make):
+    """Rows without an id, and different texts under one id, keep apart."""
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "p q r")], "item_id long, text string")
+    rows = [(None, "x a b c d e f g h i j y"), (None, "clean text"), (None, None), (7, "p q r p q r"), (7, "one"), (7, "one"), (7, "")]
+    found = decontaminate.decontaminated(make(rows), bench).collect()
+    assert sorted(((str(r.doc_id), r.n_words, r.n_hit, r.n_items) for r in found)) == sorted(
+        [("None", 12, 10, 1), ("None", 2, 0, 0), ("None", 0, 0, 0), ("7", 6, 6, 1), ("7", 1, 0, 0), ("7", 1, 0, 0), ("7", 0, 0, 0)])
+    clean = decontaminate.clean_documents(make(rows), bench)
+    assert clean.columns == make(rows).columns
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([(None, "clean text"), (None, None), (7, "one"), (7, "one"), (7, "")], key=str)
+
+
+def test_no_words_but_terms_are_exchanged_before_the_hits(spark, make, monkeypatch):
+    """With nothing broadcast, postings are joined without the documents' words."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    index = decontaminate.Index(make([(1, "a b c d e f g h i j k l")]), spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index._postings()._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"Join Inner", plan) and "words" not in plan.split("Generate")[0]
+        assert {(r.row, r.start) for r in index.phrases().collect()} == {(index.documents.first().row, 0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_proximity_matches(spark, make):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
     docs = make([(1, "gamma so alpha and delta epsilon beta"), (2, "alpha beta"), (3, "x alpha beta gamma delta epsilon")])

@@ -7,6 +7,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -297,7 +298,7 @@ def test_pipeline(spark, make, sf_dir):
     scores = {r.doc_id: r.predicted for r in classifier.quality_scores(common.table(spark, sf_dir, "documents"), labels).collect()}
     assert {r.doc_id for r in after} == {r.doc_id for r in before if scores[r.doc_id]}
     before, after = stages["near_dedup"]
-    groups = near([(r.doc_id, r.text) for r in before])
+    groups = near([(r.doc_id, r.text) for r in before], 5)
     assert sorted(r.doc_id for r in after) == sorted(i for i, g in groups.items() if g[2])
     before, after = stages["suffix_dedup"]
     plain = {x[0]: x for x in byte_strings([(r.doc_id, r.text) for r in before], 200)}
@@ -315,3 +316,50 @@ def test_pipeline(spark, make, sf_dir):
     assert {r.doc_id: r.ids for r in after} == {r.doc_id: " ".join(map(str, library.encode(r.text, add_eos=True))) for r in before}
     final = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted(final) == sorted(after)
+
+
+def test_pipeline_stages_keep_odd_rows(spark, make):
+    """Rows without an id, different texts under one id, repeated rows and null texts: none is lost or crossed."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{k}" for k in range(80))
+    rows = [(None, "first " + long), (None, "second text"), (3, long + " third"), (3, "short"), (3, "short"), (4, None), (4, ""), (None, None)]
+    cut = corpus_pipeline.suffix_dedup(spark, make(rows), "")
+    assert cut.columns == make(rows).columns
+    found = cut.collect()
+    assert sorted(((r.doc_id, r.text and r.text.strip()) for r in found), key=str) == sorted(
+        [(None, "first"), (None, "second text"), (3, "third"), (3, "short"), (3, "short"), (4, None), (4, ""), (None, None)], key=str)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in found)
+
+
+def test_pages_without_a_head_s_end():
+    body = f"<h1>T</h1><p>{LONG}</p><p>{LONG}</p>"
+    assert pages.main_text(f"<html><head><title>x</title><meta charset=u>{body}") == f"T {LONG} {LONG}"
+    assert pages.main_text(f"<head><title>x</title>{LONG}<p>{LONG}</p>") == f"{LONG} {LONG}"
+    assert pages.main_text(f"<head><script>var a;</script><style>p</style></head>{body}") == f"T {LONG} {LONG}"
+
+
+def test_page_wide_forms_and_tags_hide_no_article():
+    footer = "<footer><p>Imprint</p></footer>"
+    assert pages.main_text(f"<body><form action=x><input><div><p>{LONG}</p><p>{LONG}</p></div></form>{footer}</body>") == f"{LONG} {LONG}"
+    assert pages.main_text(f"<body><form><nav><a>Home</a></nav><article><h1>T</h1><p>{LONG}</p></article></form>{footer}</body>") == f"T {LONG}"
+    assert pages.main_text(f"<body><main><p>{LONG}</p><form><p>Your name</p></form></main><form><p>Search here</p></form></body>") == LONG
+    assert pages.main_text(f"<body><article><p>{LONG}</p></article><aside><article><p>{LONG} other</p></article></aside></body>") == LONG
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "section", "form", "p", "li"])
+def test_deep_pages_are_linear(tag):
+    began = time.perf_counter()
+    page = f"<{tag}>line " * 20_000 + LONG + f"</{tag}></i>" * 20_000
+    assert LONG in pages.main_text(f"<body>{page}</body>")
+    assert time.perf_counter() - began < 3
+
+
+def test_long_words_are_linear():
+    model, rng = pieces.model_of(PIECES), random.Random(3)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000)), "a" * 100_000):
+        began = time.perf_counter()
+        ids = model.encode(text)
+        assert time.perf_counter() - began < 4
+        assert ids == " ".join(map(str, library.encode(text, add_eos=True)))
