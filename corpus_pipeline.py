@@ -11,37 +11,37 @@ from formgrain.llm import classifier, common, decontaminate, near_duplicates, pi
 TOKENIZER = "piece_bpe_32k.model"
 
 
-def with_text(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The columns of documents, with the text of ``kept`` (doc_id, text) and its length."""
-    rows = docs.drop("text", "n_chars").join(kept, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good."""
+    """Documents that the quality classifier predicts to be good. Each row is judged by its own text: null and empty ones by
+    the offset alone, repeated ones alike, rows without a doc_id like any others."""
     return classifier.good_documents(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id; repeated rows of it once.
-    Rows without a doc_id cannot be named and go."""
-    kept = near_duplicates.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates (sets of five-word shingles, as for any stage without a contract of
+    its own): the one with the smallest doc_id, one without an id only if none has; of different texts under one id one
+    of their group; a repeated row once. Null, empty and blank texts are near to nothing and stay, a repeated row once."""
+    return near_duplicates.representatives(docs, near_duplicates.Settings(words=5))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without byte strings that occur more than once; what a cut leaves of a character goes with it."""
-    return with_text(docs, suffixes.repeated_bytes(docs).select("doc_id", F.col("kept_text").alias("text")))
+    """Texts without byte strings that occur more than once; what a cut leaves of a character goes with it. All rows stay,
+    each with its own text, whatever their doc_ids; repeated rows repeat each other and are cut alike, null texts stay
+    null, and n_chars follows the text."""
+    keyed = docs.withColumn("_row", common.row_key())
+    cut = suffixes.repeated_bytes(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "kept_text").dropDuplicates(["_row"])
+    rows = keyed.withColumn("_null", F.col("text").isNull()).drop("text", "n_chars").join(cut, "_row")
+    rows = rows.withColumn("text", F.when(~F.col("_null"), F.col("kept_text"))).withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = decontaminate.decontaminated(docs, common.table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti")
+    """Documents without a benchmark passage, each row judged by its own text; null and empty ones have none and stay."""
+    return decontaminate.clean_documents(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and decoded text of what is left."""
+    """Token ids and decoded text of what is left, row by row; null and empty texts have the end id alone."""
     return pieces.encode_and_decode(docs, public_tokenizers.path(TOKENIZER))
 
 
