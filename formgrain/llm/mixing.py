@@ -1,17 +1,19 @@
 """Language-model scores by online logistic context mixing.
 
-A token is a path in a code tree over the most frequent training words: every step is one bit, told by several
-predictors: by the tree node alone, and by what training texts had at that node after the same word, the same two and
-the same three words. The predictions are mixed in the logistic domain with weights chosen by a gate (how much the
-contexts have seen, how deep the node is), which are learned online, bit after bit, on training texts that the context
-counts do not hold; a last table refines the mixed probability by what came of it there. Words outside the tree leave
-it by an escape and are told by their training counts. The sum of all bits is the text's total.
+A token is a path in a code tree over the most frequent training words and buckets of all others: every step is one bit,
+told by several predictors: by the tree node alone, and by what training texts had at that node after the same word, the
+same two and the same three words. The predictions are mixed in the logistic domain with weights chosen by a gate (how
+much the contexts have seen, how deep the node is), which are learned online, bit after bit, on one fold of the training
+texts with the counts of the others; a last table refines the mixed probability by what came of it there. Scores then
+take the counts of all training texts. Words outside the tree have a path to their bucket, so contexts tell these too,
+and are told within it by their training counts. The sum of all bits is the text's total.
 
 Nothing a context has seen is merged with another context or dropped: every token goes by a shuffle to the block of the
-word before it, with the two words before that (those outside the tree as 31 bits of their codes). There the training tokens of a context stand sorted by
-their place in the tree, so that the zeros and ones of a node are the lengths of two ranges. A block tells its tokens'
-bits and sends sums to the documents. Blocks follow the session's partitions. After words that make up over one in
-``SPREAD`` of all tokens, tokens are dealt by the two words before, and the counts after the one word, at most as many
+word before it, with the two words before that (those outside the tree as 31 bits of their codes). There the training
+tokens of a context stand sorted by their place in the tree, so that the zeros and ones of a node are the lengths of two
+ranges. A block tells its tokens' bits and sends sums to the documents. Texts are cut into tokens once for all of this
+and never go through an exchange themselves. Blocks follow the session's partitions. After words that make up over one
+in ``SPREAD`` of all tokens, tokens are dealt by the two words before, and the counts after the one word, at most as many
 as such words times leaves, are broadcast. A block learns its own weights; they are frozen before it scores.
 """
 
@@ -44,12 +46,15 @@ REFINED = 24
 
 @dataclass(frozen=True)
 class Settings:
-    """``tree``: words with a path; ``common``: words whose counts every worker has; ``slot_bits``: slots of
-    ``Tables``, as a power of two; ``batch``: bits between two steps of the weights; ``folds``, ``test``: which rows teach nothing; ``mixed``: fold whose rows teach
-    the weights and not the counts."""
+    """``tree``: words with a path of their own; ``common``: words whose counts every worker has; ``buckets``: most
+    buckets for the words without one, about ``in_bucket`` in each; ``slot_bits`` is kept for callers and changes nothing;
+    ``batch``: bits between two steps of the weights; ``folds``, ``test``: which rows teach nothing; ``mixed``: fold whose
+    rows teach the weights from the counts of the others."""
 
     tree: int = 1 << 18
     common: int = 1 << 18
+    buckets: int = 1 << 14
+    in_bucket: int = 16
     slot_bits: int = 19
     rate: float = 0.02
     batch: int = 2048
@@ -87,70 +92,99 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(counts)
 
 
+def huffman_lengths(weights: np.ndarray) -> np.ndarray:
+    """Code lengths of the leaves: the two lightest nodes are joined until one is left, leaves before joined ones."""
+    n = len(weights)
+    if n < 2:
+        return np.zeros(n, np.int64)
+    order = np.argsort(weights, kind="stable")
+    leaves, joined, parent = weights[order].tolist(), [], np.zeros(2 * n - 1, np.int64)
+    i = j = 0
+    for new in range(n, 2 * n - 1):
+        total = 0.0
+        for _ in range(2):
+            if j >= len(joined) or i < n and leaves[i] <= joined[j]:
+                total, parent[i], i = total + leaves[i], new, i + 1
+            else:
+                total, parent[n + j], j = total + joined[j], new, j + 1
+        joined.append(total)
+    depth = [0] * (2 * n - 1)
+    for k, above in zip(range(2 * n - 3, -1, -1), parent[2 * n - 3::-1].tolist(), strict=True):
+        depth[k] = depth[above] + 1
+    out = np.empty(n, np.int64)
+    out[order] = depth[:n]
+    return out
+
+
+def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of words that have no leaf of their own."""
+    return (common.mixed(codes ^ np.uint64(common.MULTIPLIER)) % np.uint64(buckets)).astype(np.int64)
+
+
 class Tree:
-    """Huffman paths of the most frequent words and of the escape, and the counts of the common words."""
+    """A canonical Huffman code of the most frequent words and of the buckets of all others, and the counts of the common
+    words. Only words, counts and code lengths travel; a worker builds the rest once."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, total: int, distinct: int, s: Settings):
-        """Codes and counts by falling count; ``total`` and ``distinct``: of all training tokens."""
-        self.total, self.distinct = total, distinct
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, total: int, distinct: int, s: Settings, rare: np.ndarray | None = None):
+        """Codes and counts by falling count; ``total`` and ``distinct``: of all training tokens. ``rare``: for each
+        bucket the sum of count + 0.5 over the training words that are not among ``codes``; without it there is one."""
         k = min(s.tree, len(codes))
-        self.outside = float(total - counts[:k].sum()) + 0.5 * (distinct - k + 1)
-        weights = [*(float(c) for c in counts[:k]), self.outside]
-        heap = [(w, i) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent, bit = {}, {}
-        p_one = []
-        node = 0
-        while len(heap) > 1:
-            zero, one = heapq.heappop(heap), heapq.heappop(heap)
-            for b, (_, child) in enumerate((zero, one)):
-                parent[child], bit[child] = node, b
-            p_one.append((one[0] + 0.1) / (zero[0] + one[0] + 0.2))
-            heapq.heappush(heap, (zero[0] + one[0], -1 - node))
-            node += 1
-        self.logit = stretch(np.array(p_one, np.float64)).astype(np.float32)
-        nodes, bits, lengths = [], [], []
-        for leaf in range(k + 1):
-            at, n = leaf, 0
-            while at in parent:
-                nodes.append(parent[at]), bits.append(bit[at])
-                at, n = -1 - parent[at], n + 1
-            lengths.append(n)
-        self.nodes, self.bits, self.lengths = np.array(nodes, np.int32), np.array(bits, np.int8), np.array(lengths, np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        depth = np.zeros(max(1, node), np.int64)
-        for n in range(node - 1, -1, -1):
-            depth[n] = depth[parent[-1 - n]] + 1 if -1 - n in parent else 0
+        rare = np.array([float(total - counts.sum()) + 0.5 * (distinct - len(codes))]) if rare is None else rare
+        own = np.bincount(bucket_of(codes[k:], len(rare)), counts[k:] + 0.5, len(rare))
+        self.total, self.distinct, self.k = total, distinct, k
+        #: What the probabilities within a bucket are taken of, half a count for words never seen included.
+        self.outside = rare + own + 0.5
+        self.words, self.counted = codes, counts
+        self.lengths = huffman_lengths(np.append(counts[:k].astype(np.float64), self.outside))
+        self.build()
+
+    def __reduce__(self):
+        return rebuilt, (self.total, self.distinct, self.k, self.outside, self.words, self.counted, self.lengths.astype(np.int8))
+
+    def build(self) -> None:
+        weights = np.append(self.counted[:self.k].astype(np.float64), self.outside)
+        self.leaves, most = len(weights), int(self.lengths.max(initial=0))
+        # Shorter codes come first, so the leaves from left to right are sorted by length.
+        order = np.argsort(self.lengths, kind="stable")
+        self.place = np.empty(self.leaves, np.int64)
+        self.place[order] = np.arange(self.leaves)
+        at_depth = np.bincount(self.lengths, minlength=most + 1)
+        first = np.zeros(most + 1, np.uint64)
+        for d in range(1, most + 1):
+            first[d] = (first[d - 1] + np.uint64(at_depth[d - 1])) << np.uint64(1)
+        rank = np.arange(self.leaves) - np.r_[0, np.cumsum(at_depth)][self.lengths[order]]
+        self.code = np.empty(self.leaves, np.uint64)
+        self.code[order] = first[self.lengths[order]] + rank.astype(np.uint64)
+        # Inner nodes of a depth stand to the right of its leaves, and are numbered from the root down.
+        inner = np.zeros(most + 1, np.int64)
+        nodes = 1
+        for d in range(most + 1):
+            inner[d] = nodes - at_depth[d]
+            nodes = 2 * inner[d]
+        self.leftmost = first + at_depth.astype(np.uint64)
+        self.base = np.cumsum(inner) - inner
+        depth = np.repeat(np.arange(most + 1), inner)
+        prefix = self.leftmost[depth] + (np.arange(len(depth)) - self.base[depth]).astype(np.uint64)
+        shift = (most - depth).astype(np.uint64)
+        ends = (self.code << (most - self.lengths).astype(np.uint64))[order]
+        half = np.uint64(1) << np.maximum(shift, np.uint64(1)) - np.uint64(1)
+        start, self.middle = np.searchsorted(ends, prefix << shift), np.searchsorted(ends, (prefix << shift) + half)
+        stop = np.searchsorted(ends, (prefix << shift) + half + half - np.uint64(1), "right")
+        below = np.r_[0.0, np.cumsum(weights[order])]
+        ones, all_ = below[stop] - below[self.middle], below[stop] - below[start]
+        self.logit = stretch((ones + 0.1) / (all_ + 0.2)).astype(np.float32)
         self.level = np.minimum(depth // 4, 3).astype(np.int8)
-        # Leaves from left to right: the words below a node are a range, in which the ones start at its middle.
-        self.place, self.middle = np.zeros(k + 1, np.int64), np.zeros(max(1, node), np.int64)
-        width, children = np.ones(node, np.int64), np.zeros((node, 2), np.int64)
-        for child, above in parent.items():
-            children[above, bit[child]] = child
-        width_of = lambda child: int(width[-1 - child]) if child < 0 else 1
-        for n in range(node):
-            width[n] = width_of(children[n, 0]) + width_of(children[n, 1])
-        start = np.zeros(node, np.int64)
-        for n in range(node - 1, -1, -1):
-            self.middle[n] = start[n] + width_of(children[n, 0])
-            for child, at in zip(children[n].tolist(), (start[n], self.middle[n]), strict=True):
-                if child < 0:
-                    start[-1 - child] = at
-                else:
-                    self.place[child] = at
-        self.hot = np.sort(codes[counts * SPREAD > total])
-        order = np.argsort(codes)
-        self.codes, self.rank, self.counts = codes[order], np.minimum(order, k).astype(np.int32), counts[order].astype(np.float64)
-        self.k = k
+        self.hot = np.sort(self.words[self.counted * SPREAD > self.total])
+        order = np.argsort(self.words)
+        self.codes, self.counts = self.words[order], self.counted[order].astype(np.float64)
+        self.rank = np.where(order < self.k, order, self.k + bucket_of(self.codes, len(self.outside))).astype(np.int32)
         # Codes are evenly spread, so their leading bits nearly say where they stand.
-        self.shift = np.uint64(64 - max(1, len(codes)).bit_length())
+        self.shift = np.uint64(64 - max(1, len(self.codes)).bit_length())
         self.first = np.searchsorted(self.codes >> self.shift, np.arange(2 << int(np.uint64(63) - self.shift), dtype=np.uint64))
 
     def look_up(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf (k: escape) and count (-1: not among the common words) of every token."""
-        leaf, count = np.full(len(codes), self.k, np.int32), np.full(len(codes), -1.0)
-        if not len(self.codes):
-            return leaf, count
+        """Leaf (from k on: a bucket) and count (-1: not among the common words) of every token."""
+        leaf, count = np.full(len(codes), -1, np.int32), np.full(len(codes), -1.0)
         left, at = np.arange(len(codes)), self.first[codes >> self.shift]
         while len(left):
             inside = at < len(self.codes)
@@ -160,9 +194,19 @@ class Tree:
             leaf[left[hit]], count[left[hit]] = self.rank[at[hit]], self.counts[at[hit]]
             more = here < wanted
             left, at = left[more], at[more] + 1
+        far = leaf < 0
+        leaf[far] = self.k + bucket_of(codes[far], len(self.outside))
         return leaf, count
 
 
+def rebuilt(total, distinct, k, outside, words, counted_, lengths) -> Tree:
+    tree = Tree.__new__(Tree)
+    tree.total, tree.distinct, tree.k, tree.outside = total, distinct, k, outside
+    tree.words, tree.counted, tree.lengths = words, counted_, lengths.astype(np.int64)
+    tree.build()
+    return tree
+
+
 def stretch(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
@@ -172,11 +216,14 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 def path(tree: Tree, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All bits of the tokens, from the leaf up: token, node, bit."""
+    """All bits of the tokens, from the root down: token, node, bit."""
     n = tree.lengths[leaf]
     token = np.repeat(np.arange(len(leaf)), n)
-    at = tree.starts[leaf][token] + np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-    return token, tree.nodes[at], tree.bits[at]
+    depth = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+    left = (n[token] - depth).astype(np.uint64)
+    code = tree.code[leaf][token]
+    node = tree.base[depth] + ((code >> left) - tree.leftmost[depth]).astype(np.int64)
+    return token, node, (code >> (left - np.uint64(1)) & np.uint64(1)).astype(np.int8)
 
 
 def contexts(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,15 +233,6 @@ def contexts(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return before[0], two, common.mixed(two) + before[2]
 
 
-def steps(tree: Tree, codes: np.ndarray, counts: np.ndarray, leaf: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
-    """All bits of the tokens: token, node, bit, and slot in each of ``Tables``."""
-    token, node, bit = path(tree, leaf)
-    shift = np.uint64(64 - s.slot_bits)
-    by_node = common.mixed(np.arange(1, len(tree.logit) + 1, dtype=np.uint64))
-    slots = [((common.mixed(c)[token] ^ by_node[node]) * np.uint64(common.MULTIPLIER) >> shift).astype(np.int64) for c in contexts(codes, counts)]
-    return token, node, bit, slots
-
-
 def hot_index(tree: Tree, codes: np.ndarray) -> np.ndarray:
     """Which of the hot words; -1: none."""
     if not len(tree.hot):
@@ -205,7 +243,7 @@ def hot_index(tree: Tree, codes: np.ndarray) -> np.ndarray:
 
 def hot_followers(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
     """Rows (hot word, places in the tree of the words after it and how often)."""
-    size = tree.value.k + 1
+    size = tree.value.leaves
     for batch in batches:
         texts = [t or b"" for t in batch.column(0).to_pylist()]
         for a, b in common.byte_slices(texts, SLICE_BYTES * 16):
@@ -241,18 +279,20 @@ class Seen:
     def counts(self, tree: Tree, context: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Zeros and ones at every node of the tokens' paths, in the order of ``path``."""
         n = tree.lengths[leaf]
-        last = np.cumsum(n) - 1
+        first = np.cumsum(n) - n
         zeros, ones = np.zeros(int(n.sum()), np.int64), np.zeros(int(n.sum()), np.int64)
-        base = context * (tree.k + 1)
-        left, right = np.searchsorted(self.keys, base), np.searchsorted(self.keys, base + tree.k + 1)
+        base = context * tree.leaves
+        left, right = np.searchsorted(self.keys, base), np.searchsorted(self.keys, base + tree.leaves)
         live, depth = np.flatnonzero((left < right) & (n > 0)), 0
         left, right = left[live], right[live]
         while len(live):
-            at = tree.starts[leaf[live]] + n[live] - 1 - depth
-            middle = np.searchsorted(self.keys, base[live] + tree.middle[tree.nodes[at]])
-            out = last[live] - depth
+            below = (n[live] - depth).astype(np.uint64)
+            code = tree.code[leaf[live]]
+            node = tree.base[depth] + ((code >> below) - tree.leftmost[depth]).astype(np.int64)
+            middle = np.searchsorted(self.keys, base[live] + tree.middle[node])
+            out = first[live] + depth
             zeros[out], ones[out] = self.before[middle] - self.before[left], self.before[right] - self.before[middle]
-            one = tree.bits[at] == 1
+            one = (code >> (below - np.uint64(1)) & np.uint64(1)).astype(bool)
             left, right = np.where(one, middle, left), np.where(one, right, middle)
             depth += 1
             on = (left < right) & (n[live] > depth)
@@ -282,36 +322,67 @@ def words_before(words: np.ndarray, counts: np.ndarray, end) -> list[np.ndarray]
     return [np.where(inside >= k, np.r_[np.zeros(k, words.dtype), words][:len(words)], words.dtype.type(end)) for k in (1, 2, 3)]
 
 
-def dealt_tokens(batches: Iterator[pa.RecordBatch], tree, blocks: int, s: Settings) -> Iterator[pa.RecordBatch]:
-    """Rows (block, tokens with their contexts and documents), those of a block sorted by the word before."""
+TOKENS, FAR, KNOWN, DOCUMENTS, SUMS = b"T", b"F", b"K", b"D", b"S"
+
+
+def cut_texts(batches: Iterator[pa.RecordBatch], tree, blocks: int, s: Settings) -> Iterator[pa.RecordBatch]:
+    """All that is made of texts, in one pass, as rows (block, kind and note): tokens with their contexts and documents,
+    those of a block sorted by the word before; words outside the common ones, with how often they stand in which
+    document; and the documents with what the common words alone say."""
+    t: Tree = tree.value
     for batch in batches:
-        texts = [t or b"" for t in batch.column(1).to_pylist()]
-        ids = common.row_ids(batch.column(0).to_pylist(), texts)
+        texts, doc_ids = [x or b"" for x in batch.column(1).to_pylist()], batch.column(0)
+        ids = common.row_ids(doc_ids.to_pylist(), texts)
         folds = np.asarray(batch.column(2))
         kinds = np.where(folds == s.test, 2, np.where(folds == s.mixed, 1, 0)).astype(np.int8)
-        for a, b in common.byte_slices(texts, SLICE_BYTES * 8):
+        for a, b in common.byte_slices(texts, SLICE_BYTES * 16):
             codes, counts = tokens(texts[a:b])
-            leaf = tree.value.look_up(codes)[0]
-            one, two, _ = contexts(codes, counts)
-            hot = hot_index(tree.value, one).astype(np.int16)
-            block = blocks_of(np.where(hot >= 0, two, one), blocks)
-            words = short(tree.value, codes, leaf)
-            before = words_before(words, counts, words[-1])
-            order = np.lexsort((before[0].astype(np.uint64) << np.uint64(32) | before[1], block))
-            owner = np.repeat(np.arange(a, b), counts)[order]
-            cuts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True])
-            columns = [x[order] for x in (*before, leaf, hot)]
-            rows = []
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                who, which = np.unique(owner[i:j], return_inverse=True)
-                rows.append((int(block[order[i]]), pressed(*(x[i:j] for x in columns), which.astype(np.int32), ids[who], kinds[who])))
+            leaf, known = t.look_up(codes)
+            row = np.repeat(np.arange(b - a), counts)
+            rows = [(block, TOKENS + note) for block, note in dealt_tokens(t, codes, counts, leaf, row, ids[a:b], kinds[a:b], blocks)]
+            far = known < 0
+            rows += [(block, FAR + note) for block, note in far_words(codes[far], row[far], ids[a:b], blocks)]
+            logs = np.log10(np.maximum(known, 0) + 0.5)
+            escaped = leaf >= t.k
+            within = logs[escaped] - np.log10(t.outside[leaf[escaped] - t.k])
+            nameless = np.asarray(doc_ids.slice(a, b - a).is_null())
+            note = pressed(
+                ids[a:b], np.asarray(doc_ids.slice(a, b - a).fill_null(0)).astype(np.int64), nameless.astype(np.int8), counts.astype(np.int32),
+                np.bincount(row[known > 0], minlength=b - a).astype(np.int32), np.bincount(row, logs, b - a), np.bincount(row[escaped], within, b - a),
+                np.array([len(x) for x in texts[a:b]], np.int64))
+            rows.append((int(ids[a] % blocks), DOCUMENTS + note))
             yield common.key_batch(rows)
 
 
-def block_tokens(blobs: list[bytes], tree: Tree) -> list[np.ndarray]:
+def dealt_tokens(tree: Tree, codes, counts, leaf, row, ids, kinds, blocks: int) -> Iterator[tuple[int, bytes]]:
+    one, two, _ = contexts(codes, counts)
+    hot = hot_index(tree, one).astype(np.int16)
+    block = blocks_of(np.where(hot >= 0, two, one), blocks)
+    words = short(tree, codes, leaf)
+    before = words_before(words, counts, short(tree, np.array([END], np.uint64), tree.look_up(np.array([END], np.uint64))[0])[0])
+    order = np.lexsort((before[0].astype(np.uint64) << np.uint64(32) | before[1], block))
+    cuts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True])
+    columns, owner = [x[order] for x in (*before, leaf, hot)], row[order]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        who, which = np.unique(owner[i:j], return_inverse=True)
+        yield int(block[order[i]]), pressed(*(x[i:j] for x in columns), which.astype(np.int32), ids[who], kinds[who])
+
+
+def far_words(codes, row, ids, blocks: int) -> Iterator[tuple[int, bytes]]:
+    """Documents stand once in a note, words point to them."""
+    order = np.lexsort((codes, row))
+    row, codes = row[order], codes[order]
+    new = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])]) if len(codes) else np.zeros(0, int)
+    times = np.diff(np.r_[new, len(codes)]).astype(np.int32)
+    for block, (c, d, n) in common.split_by(blocks_of(codes[new], blocks), codes[new], row[new], times):
+        who, which = np.unique(d, return_inverse=True)
+        yield block, pressed(c, which.astype(np.int32), n, ids[who])
+
+
+def block_tokens(notes: list[bytes], tree: Tree) -> list[np.ndarray]:
     """The first, second and third word before, leaf, hot word before, document and kind of a block's tokens, in an
     order that follows from themselves."""
-    parts = [unpressed(blob) for blob in blobs]
+    parts = [unpressed(note) for note in notes]
     one, two, three, leaf, hot = (np.concatenate([x[k] for x in parts]) for k in range(5))
     owner, kind = (np.concatenate([x[k][x[5]] for x in parts]) for k in (6, 7))
     nearest, rest = (a.astype(np.uint64) << np.uint64(32) | b for a, b in ((one, two), (three, tree.place[leaf].astype(np.uint64))))
@@ -319,34 +390,63 @@ def block_tokens(blobs: list[bytes], tree: Tree) -> list[np.ndarray]:
     return [c[order] for c in (one, two, three, leaf, hot, owner, kind)]
 
 
+class Block:
+    """Tokens of a block with what training texts have after their contexts."""
+
+    def __init__(self, tree: Tree, followers: Seen, one, two, three, leaf, known, owner, kind):
+        self.tree, self.leaf, self.owner, self.kind, self.three = tree, leaf, owner, kind, three
+        changes = np.stack([np.r_[False, x[1:] != x[:-1]] for x in (one, two, three)])
+        self.group = np.cumsum(np.logical_or.accumulate(changes), axis=1)
+        n_groups = int(self.group[0, -1]) + 1
+        keys = self.group * tree.leaves + tree.place[leaf]
+
+        def seen(taught: np.ndarray) -> list[Seen]:
+            return [Seen.of(keys[0][taught & (known < 0)]).followed_by(followers, n_groups * tree.leaves)] + [Seen.of(k[taught]) for k in keys[1:]]
+
+        #: Of all training texts, and of those whose fold does not teach the weights.
+        self.seen, self.others = seen(kind < 2), seen(kind == 0)
+        self.group[0] = np.where(known < 0, self.group[0], n_groups + known.astype(np.int64))
+
+    def predicted(self, some: np.ndarray, counts: list[Seen], leaf: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Token, bit, inputs and gate of all bits of these tokens (or of other leaves in their contexts)."""
+        leaf = self.leaf[some] if leaf is None else leaf
+        token, node, bit = path(self.tree, leaf)
+        x, gate = gated(self.tree, node, [logits(*counts[k].counts(self.tree, self.group[k][some], leaf)) for k in range(ORDERS)])
+        return token, bit, x, gate
+
+    def mixer(self, s: Settings) -> Mixer:
+        return learned(lambda some: self.predicted(some, self.others), taught_by(self.kind, self.owner, self.three, self.leaf), s)
+
+    def log10(self, mixer: Mixer, some: np.ndarray, leaf: np.ndarray | None = None) -> np.ndarray:
+        token, bit, x, gate = self.predicted(some, self.seen, leaf)
+        p = mixer.probability(x, gate)
+        return np.bincount(token, np.log10(np.where(bit, p, 1 - p)), len(some))
+
+
 def told(batches: Iterator[pa.RecordBatch], tree, hot, shares: int, s: Settings) -> Iterator[pa.RecordBatch]:
-    """Rows (share, documents, tokens, sums of their bits' log10 probabilities) of every block."""
-    t: Tree = tree.value
-    followers: Seen = hot.value
+    """Rows (share, kind and note) of every block: the documents as they came, and for those with tokens or far words in
+    the block the number of tokens, sums of their bits' log10 probabilities, and what the far words' counts add."""
+    t, followers = tree.value, hot.value
     for _, blobs in common.groups(batches):
-        one, two, three, leaf, known, owner, kind = block_tokens(blobs, t)
-        changes = np.stack([np.r_[False, x[1:] != x[:-1]] for x in (one, two, three)])
-        group = np.cumsum(np.logical_or.accumulate(changes), axis=1)
-        n_groups = int(group[0, -1]) + 1
-        taught = kind == 0
-        keys = group * (t.k + 1) + t.place[leaf]
-        seen = [Seen.of(keys[0][taught & (known < 0)]).followed_by(followers, n_groups * (t.k + 1))] + [Seen.of(k[taught]) for k in keys[1:]]
-        group[0] = np.where(known < 0, group[0], n_groups + known.astype(np.int64))
-
-        def predicted(some, group=group, leaf=leaf, seen=seen):
-            token, node, bit = path(t, leaf[some])
-            x, gate = gated(t, node, [logits(*seen[k].counts(t, group[k][some], leaf[some])) for k in range(ORDERS)])
-            return token, bit, x, gate
-
-        mixer = learned(predicted, taught_by(kind, owner, three, leaf), s)
-        sums = np.zeros(len(leaf))
-        for at in range(0, len(leaf), CHUNK):
-            some = np.arange(at, min(at + CHUNK, len(leaf)))
-            token, bit, x, gate = predicted(some)
-            p = mixer.probability(x, gate)
-            sums[some] = np.bincount(token, np.log10(np.where(bit, p, 1 - p)), len(some))
-        owner, which = np.unique(owner, return_inverse=True)
-        yield notes_of(owner, np.bincount(which), np.zeros(len(owner), np.int32), np.zeros(len(owner)), np.bincount(which, sums), shares)
+        notes = {kind: [x[1:] for x in blobs if x[:1] == kind] for kind in (TOKENS, FAR, KNOWN, DOCUMENTS)}
+        for note in notes[DOCUMENTS]:
+            columns = unpressed(note)
+            yield common.key_batch([(k, DOCUMENTS + pressed(*x)) for k, x in common.split_by(common.targets(columns[0], shares), *columns)])
+        if notes[TOKENS]:
+            block = Block(t, followers, *block_tokens(notes[TOKENS], t))
+            mixer, sums = block.mixer(s), np.zeros(len(block.leaf))
+            for at in range(0, len(sums), CHUNK):
+                some = np.arange(at, min(at + CHUNK, len(sums)))
+                sums[some] = block.log10(mixer, some)
+            owner, which = np.unique(block.owner, return_inverse=True)
+            yield sums_of(owner, np.bincount(which), np.zeros(len(owner)), np.zeros(len(owner)), np.bincount(which, sums), shares)
+        if notes[FAR] and notes[KNOWN]:
+            yield from far_sums(notes[FAR], notes[KNOWN], shares)
+
+
+def sums_of(ids: np.ndarray, n: np.ndarray, known: np.ndarray, far: np.ndarray, told_: np.ndarray, shares: int) -> pa.RecordBatch:
+    columns = (ids, n.astype(np.int32), known.astype(np.int32), far.astype(np.float64), told_.astype(np.float64))
+    return common.key_batch([(k, SUMS + pressed(*x)) for k, x in common.split_by(common.targets(ids, shares), *columns)])
 
 
 def taught_by(kind: np.ndarray, *columns: np.ndarray) -> np.ndarray:
@@ -358,11 +458,6 @@ def taught_by(kind: np.ndarray, *columns: np.ndarray) -> np.ndarray:
     return some[np.argsort(mix, kind="stable")]
 
 
-def notes_of(ids: np.ndarray, n: np.ndarray, known: np.ndarray, far: np.ndarray, told_: np.ndarray, shares: int) -> pa.RecordBatch:
-    columns = (ids, n.astype(np.int32), known.astype(np.int32), far.astype(np.float64), told_.astype(np.float32))
-    return common.key_batch([(k, pressed(*x)) for k, x in common.split_by(common.targets(ids, shares), *columns)])
-
-
 def logits(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Logits and confidences: 0 for nothing seen, up to 3."""
     seen = zeros + ones
@@ -370,20 +465,6 @@ def logits(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return logit, np.searchsorted([1, 4, 32], seen, "right").astype(np.int8)
 
 
-class Tables:
-    """Logits and confidences by slots, for models whose counts come from elsewhere."""
-
-    def __init__(self, rows: list, s: Settings):
-        self.logit = np.zeros((ORDERS, 1 << s.slot_bits), np.float32)
-        self.sure = np.zeros((ORDERS, 1 << s.slot_bits), np.int8)
-        for k, (logit, sure) in enumerate(rows):
-            self.logit[k], self.sure[k] = logit, sure
-
-
-def inputs(tree: Tree, tables: Tables, node: np.ndarray, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    return gated(tree, node, [(tables.logit[k][slots[k]], tables.sure[k][slots[k]]) for k in range(ORDERS)])
-
-
 def gated(tree: Tree, node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
     """Logits of each predictor for every bit, and the bits' gates, from logits and confidences of the contexts."""
     x = [tree.logit[node]]
@@ -450,26 +531,6 @@ def learned(predicted, some: np.ndarray, s: Settings) -> Mixer:
     return mixer
 
 
-def far_words(batches: Iterator[pa.RecordBatch], tree, blocks: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, words outside the common ones with their documents and how often they stand there)."""
-    for batch in batches:
-        texts = [t or b"" for t in batch.column(1).to_pylist()]
-        ids = common.row_ids(batch.column(0).to_pylist(), texts)
-        for a, b in common.byte_slices(texts, SLICE_BYTES * 8):
-            codes, counts = tokens(texts[a:b])
-            far = tree.value.look_up(codes)[1] < 0
-            owner = np.repeat(np.arange(a, b), counts)[far]
-            order = np.lexsort((codes[far], owner))
-            owner, codes = owner[order], codes[far][order]
-            new = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])]) if len(codes) else np.zeros(0, int)
-            times = np.diff(np.r_[new, len(codes)]).astype(np.int32)
-            owner, codes = owner[new], codes[new]
-            # Documents stand once in a row, words point to them.
-            yield common.key_batch([
-                (k, pressed(np.array([1], np.int8), c, d.astype(np.int32) - a, t, ids[a:b]))
-                for k, (c, d, t) in common.split_by(blocks_of(codes, blocks), codes, owner, times)])
-
-
 def blocks_of(codes: np.ndarray, blocks: int) -> np.ndarray:
     return (common.mixed(codes) % np.uint64(blocks)).astype(np.int32)
 
@@ -477,67 +538,46 @@ def blocks_of(codes: np.ndarray, blocks: int) -> np.ndarray:
 def far_counts(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes, n = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))
-        yield common.key_batch([(k, pressed(np.array([0], np.int8), c, m)) for k, (c, m) in common.split_by(blocks_of(codes, blocks), codes, n)])
-
-
-def far_sums(batches: Iterator[pa.RecordBatch], shares: int) -> Iterator[pa.RecordBatch]:
-    """Rows (share, documents, known tokens, what their counts add to the sum of log10(c + 0.5) over that of c = 0)."""
+        yield common.key_batch([(k, KNOWN + pressed(c, m)) for k, (c, m) in common.split_by(blocks_of(codes, blocks), codes, n)])
+
+
+def far_sums(far: list[bytes], known: list[bytes], shares: int) -> Iterator[pa.RecordBatch]:
+    """Per document the known ones of its far words, and what their counts add to the sum of log10(c + 0.5) over that of c = 0."""
+    codes, counts = (np.concatenate(x) for x in zip(*map(unpressed, known), strict=True))
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
+    ids, known_tokens, sums = [], [], []
+    for words, document, times, owners in map(unpressed, far):
+        at = np.minimum(np.searchsorted(codes, words), len(codes) - 1)
+        found = codes[at] == words
+        n = times[found].astype(np.float64)
+        tokens_of = np.bincount(document[found], n, len(owners))
+        has = np.flatnonzero(tokens_of)
+        ids.append(owners[has])
+        known_tokens.append(tokens_of[has])
+        sums.append(np.bincount(document[found], n * (np.log10(counts[at[found]] + 0.5) - np.log10(0.5)), len(owners))[has])
+    ids, which = np.unique(np.concatenate(ids), return_inverse=True)
+    if len(ids):
+        none = np.zeros(len(ids))
+        yield sums_of(ids, none, np.bincount(which, np.concatenate(known_tokens)), np.bincount(which, np.concatenate(sums)), none, shares)
+
+
+def scored(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
+    """Documents of a share with the sums of all blocks."""
+    base = np.log10(total + 0.5 * (distinct + 1))
     for _, blobs in common.groups(batches):
-        rows = [unpressed(blob) for blob in blobs]
-        known = [r for r in rows if r[0][0] == 0]
-        codes = np.concatenate([r[1] for r in known]) if known else np.zeros(0, np.uint64)
-        counts = np.concatenate([r[2] for r in known]) if known else np.zeros(0, np.int64)
-        order = np.argsort(codes)
-        codes, counts = codes[order], counts[order]
-        if not len(codes):
-            continue
-        ids, known_tokens, sums = [], [], []
-        for _, words, document, times, owners in (r for r in rows if r[0][0] == 1):
-            at = np.minimum(np.searchsorted(codes, words), len(codes) - 1)
-            found = codes[at] == words
-            n = times[found].astype(np.float64)
-            tokens_of = np.bincount(document[found], n, len(owners))
-            has = np.flatnonzero(tokens_of)
-            ids.append(owners[has])
-            known_tokens.append(tokens_of[has].astype(np.int32))
-            sums.append(np.bincount(document[found], n * (np.log10(counts[at[found]] + 0.5) - np.log10(0.5)), len(owners))[has])
-        if ids:
-            ids = np.concatenate(ids)
-            none = np.zeros(len(ids))
-            yield notes_of(ids, none, np.concatenate(known_tokens), np.concatenate(sums), none, shares)
-
-
-def scored(batches: Iterator[pa.RecordBatch], held_tree) -> Iterator[pa.RecordBatch]:
-    tree: Tree = held_tree.value
-    base = np.log10(tree.total + 0.5 * (tree.distinct + 1))
-    outside = np.log10(tree.outside)
-    held, ids_known, sums_known = None, None, None
-    for notes, ids, texts in common.noted_documents(batches):
-        if notes is not held:
-            held = notes
-            owner, *columns = (np.concatenate(x) for x in zip(*map(unpressed, notes), strict=True))
-            ids_known, which = np.unique(owner, return_inverse=True)
-            sums_known = [np.bincount(which, c, len(ids_known)) for c in columns]
-        texts = [t or b"" for t in texts]
-        for a, b in common.byte_slices(texts, SLICE_BYTES):
-            codes, counts = tokens(texts[a:b])
-            row = np.repeat(np.arange(b - a), counts)
-            leaf, c = tree.look_up(codes)
-            at = np.searchsorted(ids_known, common.row_ids(ids[a:b], texts[a:b]))
-            n_told, n_far, far_sum, told_ = (x[at] for x in sums_known)
+        owner, *columns = (np.concatenate(x) for x in zip(*(unpressed(x[1:]) for x in blobs if x[:1] == SUMS), strict=True))
+        known_ids, which = np.unique(owner, return_inverse=True)
+        n_told, n_far, far, told_ = (np.bincount(which, c, len(known_ids)) for c in columns)
+        for note in (x[1:] for x in blobs if x[:1] == DOCUMENTS):
+            ids, doc_ids, nameless, n, n_known, logs, within, size = unpressed(note)
+            at = np.searchsorted(known_ids, ids)
             # Equal rows have one sum.
-            copies = n_told / counts
-            n_far, far_sum, told_ = n_far / copies, far_sum / copies, told_ / copies
-            logs = np.log10(np.maximum(c, 0) + 0.5)
-            total = np.bincount(row, logs, b - a) + far_sum
-            escaped = leaf == tree.k
-            n_escaped = np.bincount(row[escaped], minlength=b - a)
-            escaped_sum = np.bincount(row[escaped], logs[escaped], b - a) + far_sum
-            score = told_ + escaped_sum - n_escaped * outside
-            size = np.array([len(t) for t in texts[a:b]])
+            copies = n_told[at] / n
+            score = told_[at] / copies + within + far[at] / copies
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids[a:b], pa.int64()), pa.array(counts), pa.array((np.bincount(row[c > 0], minlength=b - a) + np.rint(n_far)).astype(np.int64)),
-                pa.array(total - counts * base), pa.array(score), pa.array(-score / np.log10(2) / np.maximum(size, 1)),
+                pa.array(doc_ids, mask=nameless.astype(bool)), pa.array(n.astype(np.int64)), pa.array((n_known + np.rint(n_far[at] / copies)).astype(np.int64)),
+                pa.array(logs + far[at] / copies - n * base), pa.array(score), pa.array(-score / np.log10(2) / np.maximum(size, 1)),
             ], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
 
@@ -557,6 +597,22 @@ def common_words(counts: DataFrame, s: Settings) -> DataFrame:
     return counts.where(size >= (1 << 30 if least is None else least))
 
 
+def buckets_of(counts: DataFrame, taken: DataFrame, buckets: int) -> np.ndarray:
+    """For each bucket the sum of count + 0.5 over the words of ``counts`` that are not among ``taken``."""
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(buckets)
+        for batch in batches:
+            sums += np.bincount(bucket_of(np.asarray(batch.column(0)).view(np.uint64), buckets), np.asarray(batch.column(1)) + 0.5, buckets)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["bucket", "n"])
+
+    rest = counts.join(taken.select("code"), "code", "left_anti").select("code", "n").mapInArrow(summed, "bucket int, n double")
+    out = np.zeros(buckets)
+    for r in rest.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r.bucket] = r.n
+    return out
+
+
 def train(documents: DataFrame, s: Settings) -> tuple[Tree, Seen, DataFrame]:
     """The code tree, what stands after hot words, and the counts (code, n) of all training tokens."""
     spark = documents.sparkSession
@@ -564,14 +620,17 @@ def train(documents: DataFrame, s: Settings) -> tuple[Tree, Seen, DataFrame]:
     taught = folded(documents, s).where(F.col("fold") != s.test)
     counts = stored(taught.select("text").mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "token-counts")
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = common_words(counts, s).toPandas().sort_values(["n", "code"], ascending=[False, True])
-    tree = Tree(top["code"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total, distinct, s)
+    taken = common_words(counts, s)
+    top = taken.toPandas().sort_values(["n", "code"], ascending=[False, True])
+    buckets = int(np.clip((distinct - min(s.tree, len(top))) // s.in_bucket, 1, s.buckets))
+    codes, found = top["code"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    tree = Tree(codes, found, total, distinct, s, buckets_of(counts, taken, buckets))
     held = spark.sparkContext.broadcast(tree)
     rows = "key int, note binary"
-    parts = taught.where(F.col("fold") != s.mixed).select("text").mapInArrow(lambda b: hot_followers(b, held), rows)
+    parts = taught.select("text").mapInArrow(lambda b: hot_followers(b, held), rows)
     found = sorted(tuple(r) for r in common.by_key(parts, min(n, max(1, len(tree.hot)))).mapInArrow(followers_joined, rows).collect())
     blobs = [(k, *common.unpack(blob)) for k, blob in found]
-    keys = np.concatenate([np.zeros(0, np.int64), *(k * (tree.k + 1) + places.astype(np.int64) for k, places, _ in blobs)])
+    keys = np.concatenate([np.zeros(0, np.int64), *(k * tree.leaves + places.astype(np.int64) for k, places, _ in blobs)])
     return tree, Seen(keys, np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *(m for _, _, m in blobs)]))]), counts
 
 
@@ -593,17 +652,15 @@ def language_scores(documents: DataFrame, settings: Settings = Settings()) -> Da
     common.on_workers(spark)
     n = common.partitions(spark)
     # A block writes one row per share: few shares keep these rows few where there are many partitions.
-    shares, blocks = 2 * n, 4 * n
+    shares, blocks = 2 * n, 8 * n
     trained, followers, counts = train(documents, s)
     tree, hot = spark.sparkContext.broadcast(trained), spark.sparkContext.broadcast(followers)
-    texts, rows = common.texts_of(documents), "key int, note binary"
-    words = texts.mapInArrow(lambda b: far_words(b, tree, blocks), rows)
+    total, distinct, rows = trained.total, trained.distinct, "key int, note binary"
+    cut = folded(documents, s).mapInArrow(lambda b: cut_texts(b, tree, blocks, s), rows)
     known = counts.mapInArrow(lambda b: far_counts(b, blocks), rows)
-    sums = common.by_key(words.unionByName(known), n).mapInArrow(lambda b: far_sums(b, shares), rows)
-    dealt = folded(documents, s).mapInArrow(lambda b: dealt_tokens(b, tree, 2 * blocks, s), rows)
-    sums = sums.unionByName(common.by_key(dealt, n).mapInArrow(lambda b: told(b, tree, hot, shares, s), rows))
+    sums = common.by_key(cut.unionByName(known), n).mapInArrow(lambda b: told(b, tree, hot, shares, s), rows)
     columns = "doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
-    out = common.with_notes(texts, sums, shares, n, by_row=True).mapInArrow(lambda b: scored(b, tree), columns)
+    out = common.by_key(sums, n).mapInArrow(lambda b: scored(b, total, distinct), columns)
     return out.select(
         "doc_id", F.coalesce(fold_of(s.folds) == s.test, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
         F.lit(trained.total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

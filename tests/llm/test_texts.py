@@ -261,23 +261,83 @@ def test_language_scores_of_odd_tables(make):
     assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in mixing.language_scores(make(only)).collect()} == {(0, 0, 0.0, 0.0)}
 
 
+def block_of(rng, tree, n=400):
+    """Tokens in few contexts, sorted as a block holds them."""
+    one, two, three = (rng.integers(0, 3, n).astype(np.uint32) for _ in range(3))
+    leaf, owner, kind = rng.integers(0, tree.leaves, n).astype(np.int32), rng.integers(0, 20, n), rng.integers(0, 3, n).astype(np.int8)
+    known = np.where(one == 2, 0, -1).astype(np.int16)
+    order = np.lexsort((owner, tree.place[leaf], three, two, one))
+    followers = mixing.Seen.of(tree.place[leaf[(known == 0) & (kind < 2)]].astype(np.int64))
+    return mixing.Block(tree, followers, *(x[order] for x in (one, two, three, leaf, known, owner, kind))), [x[order] for x in (one, two, three, leaf, kind)]
+
+
+def code_tree(rng, buckets=4):
+    codes = common.mixed(np.arange(1, 60, dtype=np.uint64))
+    return mixing.Tree(codes, np.sort(rng.integers(1, 900, 59))[::-1].copy(), 40_000, 70, mixing.Settings(tree=40), rng.uniform(1, 300, buckets))
+
+
 def test_model_probabilities_sum_to_one():
-    """Over all leaves of the tree, in any context."""
+    """Over all leaves of the tree, in any context, by the predictor that scores."""
     rng = np.random.default_rng(2)
-    s = mixing.Settings(slot_bits=10, tree=40)
-    codes = common.mixed(np.arange(1, 60, dtype=np.uint64))
-    tree = mixing.Tree(codes, np.sort(rng.integers(1, 900, 59))[::-1].copy(), 40_000, 70, s)
-    tables = mixing.Tables([], s)
-    tables.logit[:], tables.sure[:] = rng.normal(size=tables.logit.shape), rng.integers(0, 4, tables.sure.shape)
-    mixer = mixing.Mixer(refined=rng.uniform(0.1, 0.9, 4 * mixing.REFINED))
-    total = 0.0
-    for leaf in range(tree.k + 1):
-        line = np.array([codes[5], codes[7], codes[min(leaf, 58)]])
-        token, node, bit, slots = mixing.steps(tree, line, np.array([3]), np.array([5, 7, leaf]), s)
-        x, gate = mixing.inputs(tree, tables, node, slots)
-        p = mixer.probability(x, gate)
-        total += float(np.prod(np.where(bit == 1, p, 1 - p)[token == 2]))
-    assert abs(total - 1) < 1e-4
+    tree = code_tree(rng)
+    block, _ = block_of(rng, tree)
+    mixer = block.mixer(mixing.Settings(batch=64))
+    for token in rng.integers(0, 400, 12):
+        each = block.log10(mixer, np.full(tree.leaves, token), np.arange(tree.leaves))
+        assert abs((10 ** each).sum() - 1) < 1e-4
+    assert np.isclose(2.0 ** -tree.lengths.astype(float) @ np.ones(tree.leaves), 1) and len(set(tree.place.tolist())) == tree.leaves
+
+
+def test_predictor_against_plain_counts():
+    """Bit for bit: counts of the same context among training tokens, logits, gate, weights and refining."""
+    rng = np.random.default_rng(5)
+    tree = code_tree(rng)
+    block, (one, two, three, leaf, kind) = block_of(rng, tree)
+    mixer = block.mixer(mixing.Settings(batch=64))
+    weights, refined = mixer.weights.astype(float), mixer.refined.astype(float)
+    way = {i: [(int(n), int(b)) for n, b in zip(*(x.tolist() for x in mixing.path(tree, np.array([i]))[1:]), strict=True)] for i in range(tree.leaves)}
+    for token in rng.integers(0, 400, 25).tolist():
+        total = 0.0
+        for depth, (node, bit) in enumerate(way[int(leaf[token])]):
+            x, gate = [float(tree.logit[node])], min(depth // 4, 3)
+            for order in range(3):
+                same = [j for j in range(400) if kind[j] < 2 and all(c[j] == c[token] for c in (one, two, three)[:order + 1])]
+                met = [b for j in same for n, b in way[int(leaf[j])] if n == node]
+                x.append(math.log((sum(met) + 0.2) / (len(met) - sum(met) + 0.2)) if met else x[0])
+                gate = gate * 4 + sum(len(met) >= m for m in (1, 4, 32))
+            logit = float(weights[gate] @ x)
+            slot = min(depth // 4, 3) * mixing.REFINED + int(np.clip(logit * 1.5 + mixing.REFINED // 2, 0, mixing.REFINED - 1))
+            p = min(max((1 / (1 + math.exp(-logit)) + refined[slot]) / 2, 1e-6), 1 - 1e-6)
+            total += math.log10(p if bit else 1 - p)
+        assert abs(total - block.log10(mixer, np.array([token]))[0]) < 1e-3
+
+
+def test_tree_travels_as_lengths():
+    import pickle
+
+    rng = np.random.default_rng(8)
+    tree = code_tree(rng, 16)
+    copy = pickle.loads(pickle.dumps(tree))
+    for name in ("code", "place", "middle", "base", "leftmost", "logit", "rank", "first"):
+        assert np.array_equal(getattr(tree, name), getattr(copy, name))
+    words = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    leaf, count = tree.look_up(words)
+    assert (leaf >= tree.k).all() and (leaf < tree.leaves).all() and (count < 0).all()
+    large = mixing.Tree(common.mixed(np.arange(200_000, dtype=np.uint64)), np.arange(200_000, 0, -1), 1 << 40, 300_000, mixing.Settings(), np.ones(4096))
+    assert len(pickle.dumps(large)) < 6_000_000
+
+
+def test_rare_words_have_probabilities(make):
+    """With a tree of few words and many buckets, the words of a bucket share what the bucket has."""
+    docs = corpus(9, 120)
+    s = mixing.Settings(tree=30, common=60, in_bucket=4)
+    rows = {r.doc_id: r for r in mixing.language_scores(make(docs), s).collect()}
+    plain = {r.doc_id: r for r in mixing.language_scores(make(docs), mixing.Settings(tree=30, common=60, in_bucket=10_000)).collect()}
+    assert rows.keys() == plain.keys()
+    learned = [i for i, r in rows.items() if not r.held_out]
+    # Contexts tell rare words as well.
+    assert sum(rows[i].score for i in learned) > sum(plain[i].score for i in learned)
+    assert all(rows[i].base_score == pytest.approx(plain[i].base_score) for i in rows)
 
 
 def test_pipeline(spark, make, sf_dir):
