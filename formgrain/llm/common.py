@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formgrain.session import shared_dir
+from formgrain.session import remove_dir, shared_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -40,8 +41,41 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there and nothing is computed twice."""
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
+    for made in _MADE:
+        made.append(path)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_.stored_at = path
+    return table_
+
+
+#: Folders written since each open ``scratch``.
+_MADE: list[list[str]] = []
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what ``stored`` wrote for a table that nothing reads any more."""
+    remove_dir(df.sparkSession, df.stored_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside are removed at the end, on errors too, but for those handed to the function it gives."""
+    made: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.stored_at)
+        return df
+
+    _MADE.append(made)
+    try:
+        yield keep
+    finally:
+        _MADE.remove(made)
+        for path in made:
+            if path not in kept:
+                remove_dir(spark, path)
 
 
 def row_key():

@@ -132,28 +132,35 @@ def links(documents: DataFrame, described_documents: DataFrame, pairs: DataFrame
     texts = rows_of(documents).join(owners, "row").select("node", "text")
     sets = stored(texts.mapInArrow(lambda b: sets_of(b, s.words), "node long, prints binary").dropDuplicates(["node"]), "shingle-sets")
     sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("prints").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("prints").alias("right")), "b")
-    return sized.select("a", "b", "left", "right").mapInArrow(lambda b: confirmed(b, s.similar), "a long, b long")
+    found = stored(sized.select("a", "b", "left", "right").mapInArrow(lambda b: confirmed(b, s.similar), "a long, b long"), "links")
+    common.discard(sets)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): each node of the edges (a, b) with the smallest node of its component.
 
     Alternating star operations: all neighbours of a node are tied to the smallest one, first the larger, then the
-    smaller neighbours, until nothing changes. Every round is written down, so no lineage grows.
+    smaller neighbours, until nothing changes. Every round is written down, so no lineage grows, and removed once the
+    next one is.
     """
     state, edges = None, stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     while True:
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(found) == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            labels.stored_at = edges.stored_at
+            return labels
         state = tuple(found)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "edges")
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        tied = edges.join(least, "a")
+        large = stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "edges")
+        common.discard(edges)
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        tied = large.join(least, "a")
         tied = tied.select("a", F.col("m").alias("b")).unionByName(tied.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         edges = stored(tied.distinct(), "edges")
+        common.discard(large)
 
 
 def different_bits(name: str, longs: int) -> Column:
@@ -242,7 +249,7 @@ def grouped(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     shared = banded.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
     met = stored(banded.join(shared.select("key", "center"), "key"), "shared-bands")
     first = stored(sketched(met.where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), nodes, s), "first-pairs")
-    edges = stored(links(documents, docs, first, s), "links")
+    edges = links(documents, docs, first, s)
     labels = components(edges)
 
     placed = met.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -252,8 +259,12 @@ def grouped(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     second = across.distinct().join(done, ["a", "b"], "left_anti")
     second = stored(second, "second-pairs")
     if not second.isEmpty():
-        edges = stored(edges.unionByName(links(documents, docs, second, s)), "links")
-        labels = components(edges)
+        more, before = links(documents, docs, second, s), labels
+        labels = components(edges.unionByName(more))
+        for table in (more, before):
+            common.discard(table)
+    for table in (nodes, met, first, second, edges):
+        common.discard(table)
     return docs.select("row", "doc_id", "n_shingles", "node").join(labels, "node", "left").select("row", "doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
 
 

@@ -2,9 +2,11 @@
 
 The letters of the parse are prints of ``window`` consecutive words. A print is dealt to a block by the smallest
 ``gram``-word print inside its window, so equal windows always meet in one block, and neighbouring windows mostly
-travel together. A block indexes all of its runs in reading order (doc_id, then position); every run is factored
-greedily into the longest pieces that occur earlier in the block. A factor of m letters is a repeated passage of
-m + window - 1 words; the letters at factor boundaries are looked up one by one, so no window is missed.
+travel together. A block indexes all of its runs in reading order (doc_id, then position) by the order of their suffixes; every
+run is factored greedily, left to right, into the longest pieces that start earlier in the block. A factor of m letters
+is a repeated passage of m + window - 1 words, so the shortest one, of one letter, is as long as a passage must be.
+Where a factor ends, the letter at its boundary is looked up afresh: it starts the next factor, or, if it occurs nowhere
+earlier, stands between factors; so no window is missed.
 """
 
 from __future__ import annotations
@@ -38,18 +40,93 @@ def firsts(prints: np.ndarray) -> np.ndarray:
     return first[which]
 
 
-def factors(references: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors: maximal runs of letters whose earlier places (or -1) also follow one another.
-
-    ``linked``: the letter continues the one before it in the same document.
+def suffix_order(prints: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Letters by what follows from them on, up to the ends of their runs; equal ones by index. Ranks of 1, 2, 4, ...
+    letters are joined until no more letters are told apart."""
+    _, rank = np.unique(prints, return_inverse=True)
+    n, width, here = len(prints), 1, np.arange(len(prints))
+    rank, distinct = rank.astype(np.int64) + 1, 0
+    while True:
+        there = here + width
+        second = np.where(there < ends, rank[np.minimum(there, n - 1)], 0)
+        found, rank = np.unique(rank * (n + 2) + second, return_inverse=True)
+        rank = rank.astype(np.int64) + 1
+        if len(found) in (distinct, n):
+            return np.argsort(rank, kind="stable")
+        width, distinct = 2 * width, len(found)
+
+
+def neighbours(order: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each letter the nearest one before it and after it in suffix order that has an earlier place, or -1. One of the
+    two starts the longest match among all letters with earlier places."""
+    before, after = np.full(len(order), -1), np.full(len(order), -1)
+    for out, way in ((before, order.tolist()), (after, order[::-1].tolist())):
+        held: list[int] = []
+        place = places.tolist()
+        for k in way:
+            while held and place[held[-1]] >= place[k]:
+                held.pop()
+            if held:
+                out[k] = held[-1]
+            held.append(k)
+    return before, after
+
+
+def matching(prints: np.ndarray, a: int, b: int, most: int) -> int:
+    """How many letters from ``a`` on equal those from ``b`` on."""
+    done, step = 0, 32
+    while done < most:
+        size = min(step, most - done)
+        differ = np.flatnonzero(prints[a + done:a + done + size] != prints[b + done:b + done + size])
+        if len(differ):
+            return done + int(differ[0])
+        done, step = done + size, 2 * step
+    return done
+
+
+def numbered(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places (document, position) as numbers in reading order; equal places have one number."""
+    order = np.lexsort((at, ids))
+    new = np.r_[False, (ids[order[1:]] != ids[order[:-1]]) | (at[order[1:]] != at[order[:-1]])] if len(ids) else np.zeros(0, bool)
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def factors(prints: np.ndarray, places: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and sources of the greedy factors: at each letter that occurs at an earlier place, the longest piece of
+    its run that starts at any earlier place; then on from the piece's end.
+
+    ``places``: as of ``numbered``; ``linked``: the letter continues the one before it in the same document.
     """
-    found = references >= 0
-    if not len(found):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    goes_on = found[1:] & found[:-1] & linked[1:] & (references[1:] == references[:-1] + 1)
-    starts = np.flatnonzero(found & np.r_[True, ~goes_on])
-    ends = np.flatnonzero(found & np.r_[~goes_on, True]) + 1
-    return starts, ends
+    _, which, counts = np.unique(prints, return_inverse=True, return_counts=True)
+    # Letters that occur once are in no factor and no source.
+    some = np.flatnonzero(counts[which] > 1)
+    if not len(some):
+        return (np.zeros(0, np.int64),) * 3
+    prints, places = prints[some], places[some]
+    begins = np.r_[True, ~(linked[some[1:]] & (np.diff(some) == 1))]
+    ends = np.append(np.flatnonzero(begins)[1:], len(some))[np.cumsum(begins) - 1]
+    before, after = neighbours(suffix_order(prints, ends), places)
+    sources = np.stack([before, after], axis=1)
+    # A neighbour in suffix order need not share a letter.
+    sources = np.where(prints[sources] == prints[:, None], sources, -1)
+    starts, stops, origins = [], [], []
+    at = 0
+    known = np.flatnonzero((sources >= 0).any(axis=1))
+    while True:
+        k = np.searchsorted(known, at)
+        if k == len(known):
+            break
+        at = int(known[k])
+        most = int(ends[at]) - at
+        length, origin = max((matching(prints, at, a, min(most, int(ends[a]) - a)), -a) for a in sources[at].tolist() if a >= 0)
+        starts.append(at)
+        stops.append(at + length)
+        origins.append(-origin)
+        at += length
+    first, last = np.array(starts, np.int64), np.array(stops, np.int64)
+    return some[first], some[last - 1] + 1, some[np.array(origins, np.int64)]
 
 
 def earlier(prints: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -117,7 +194,7 @@ def parsed_blocks(batches: Iterator[pa.RecordBatch], window: int, shares: int) -
         prints = prints[np.repeat(begins[order], n) + inner]
         ids, at = np.repeat(docs[order], n), np.repeat(places[order].astype(np.int64), n) + inner
         linked = np.r_[False, (ids[1:] == ids[:-1]) & (at[1:] == at[:-1] + 1)] if len(ids) else np.zeros(0, bool)
-        start, end = factors(earlier(prints, ids, at), linked)
+        start, end, _ = factors(prints, numbered(ids, at), linked)
         if len(start):
             yield common.key_batch(common.span_rows(ids[start], at[start], at[end - 1] + window, shares))
 

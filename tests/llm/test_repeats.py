@@ -37,6 +37,49 @@ def test_passages(make, seed, window, gram):
     assert all(sha(r.kept.encode()) == r.kept_sha256 for r in found)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_factors_are_greedy_and_longest(seed):
+    """Against a parse that tries every earlier place letter by letter, with repeated places and run ends."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 120))
+    prints = rng.integers(0, rng.integers(2, 6), n).astype(np.uint64)
+    if seed % 3 == 0:
+        prints = np.concatenate([prints, prints[::2], prints])[:200]
+    n = len(prints)
+    linked = np.r_[False, rng.random(n - 1) < 0.85]
+    places = np.cumsum(np.r_[False, linked[1:] | (rng.random(n - 1) < 0.8)])
+    stop = [next((j for j in range(i + 1, n) if not linked[j]), n) for i in range(n)]
+    expected, at = [], 0
+    while at < n:
+        lengths = []
+        for a in (a for a in range(n) if places[a] < places[at]):
+            m = 0
+            while at + m < stop[at] and a + m < stop[a] and prints[a + m] == prints[at + m]:
+                m += 1
+            lengths.append(m)
+        if max(lengths, default=0):
+            expected.append((at, at + max(lengths)))
+        at += max(1, max(lengths, default=0))
+    start, end, source = substrings.factors(prints, places, linked)
+    assert list(zip(start.tolist(), end.tolist())) == expected
+    for a, b, c in zip(start, end, source):
+        assert places[c] < places[a] and (prints[a:b] == prints[c:c + b - a]).all()
+
+
+def test_factors_of_one_letter_and_of_many_copies():
+    import time
+
+    began = time.perf_counter()
+    one = np.zeros(100_000, np.uint64)
+    start, end, _ = substrings.factors(one, np.arange(100_000), np.r_[False, np.ones(99_999, bool)])
+    assert list(zip(start.tolist(), end.tolist())) == [(1, 100_000)]
+    passage = np.tile(np.arange(50, dtype=np.uint64), 2_000)
+    linked = np.arange(100_000) % 50 > 0
+    start, end, source = substrings.factors(passage, np.arange(100_000), linked)
+    assert len(start) == 1_999 and (end - start == 50).all()
+    assert time.perf_counter() - began < 20
+
+
 def test_passages_of_rows_without_or_with_repeated_ids(make):
     text = " ".join(f"w{k}" for k in range(30))
     rows = [(None, text), (None, text), (5, text), (5, text), (7, text)]
@@ -260,3 +303,38 @@ def test_decontamination_plan_has_no_python(spark, make):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     plan = decontaminate.decontaminated(make([(1, "a b c")]), bench)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_scratch_is_removed(spark, make, tmp_path):
+    """What a block of work stored is gone after it, but for what it keeps; on errors too."""
+    import os
+
+    with common.scratch(spark) as keep:
+        kept, other = keep(common.stored(make([(1, "a")]), "kept")), common.stored(make([(2, "b")]), "other")
+        with common.scratch(spark):
+            inner = common.stored(make([(3, "c")]), "inner")
+    there = lambda df: os.path.exists(df.stored_at.removeprefix("file:"))
+    assert (there(kept), there(other), there(inner)) == (True, False, False) and kept.count() == 1
+    with pytest.raises(ZeroDivisionError), common.scratch(spark):
+        other = common.stored(make([(2, "b")]), "other")
+        1 / 0
+    assert not there(other)
+    common.discard(kept)
+    common.discard(kept)
+    assert not there(kept)
+
+
+def test_near_duplicates_leave_little_behind(spark, make):
+    """Of all that is written only the described documents and the labels are still read afterwards."""
+    import os
+
+    text = " ".join(f"w{k}" for k in range(40))
+    made: list[str] = []
+    common._MADE.append(made)
+    try:
+        found = near_duplicates.near_duplicates(make([(1, text), (2, text + " x"), (3, "y " + text), (4, "z")]))
+    finally:
+        common._MADE.remove(made)
+    left = [p for p in made if os.path.exists(p.removeprefix("file:"))]
+    assert len(made) > 8 and len(left) == 2
+    assert {r.doc_id for r in found.where("kept").collect()} == {1, 4}
