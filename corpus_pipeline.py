@@ -57,8 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each one keeps is written to the shared folder and read by the next."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over documents; what each one keeps is written to the shared folder and read by the next. What a stage
+    writes for itself, and what it read, is removed once its result stands."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with common.scratch(spark) as keep:
+            docs = keep(common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if before is not None:
+            common.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
