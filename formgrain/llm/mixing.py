@@ -20,7 +20,7 @@ as such words times leaves, are broadcast. A block learns its own weights; they
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -323,38 +323,62 @@ def words_before(words: np.ndarray, counts: np.ndarray, end) -> list[np.ndarray]
 
 
 TOKENS, FAR, KNOWN, DOCUMENTS, SUMS = b"T", b"F", b"K", b"D", b"S"
+#: Sums of so many documents are held by a task before they are sent on.
+HELD = 4_000_000
+
+
+def framed(notes: list[tuple[bytes, bytes]]) -> bytes:
+    """Notes (kind, content) in one value."""
+    return b"".join(kind + len(content).to_bytes(8, "little") + content for kind, content in notes)
+
+
+def unframed(blobs: list[bytes]) -> dict[bytes, list[bytes]]:
+    notes: dict[bytes, list[bytes]] = {kind: [] for kind in (TOKENS, FAR, KNOWN, DOCUMENTS, SUMS)}
+    for blob in blobs:
+        at = 0
+        while at < len(blob):
+            end = at + 9 + int.from_bytes(blob[at + 1:at + 9], "little")
+            notes[blob[at:at + 1]].append(blob[at + 9:end])
+            at = end
+    return notes
 
 
 def cut_texts(batches: Iterator[pa.RecordBatch], tree, blocks: int, s: Settings) -> Iterator[pa.RecordBatch]:
-    """All that is made of texts, in one pass, as rows (block, kind and note): tokens with their contexts and documents,
-    those of a block sorted by the word before; words outside the common ones, with how often they stand in which
-    document; and the documents with what the common words alone say."""
+    """All that is made of texts, in one pass, as one row per block and slice of documents: tokens with their contexts and
+    documents, sorted by the word before; words outside the common ones, with how often they stand in which document;
+    and, once, the documents with what the common words alone say.
+
+    A document is told by its slice, named by its rows, and its number there; those that teach come before those that
+    are held out.
+    """
     t: Tree = tree.value
     for batch in batches:
-        texts, doc_ids = [x or b"" for x in batch.column(1).to_pylist()], batch.column(0)
-        ids = common.row_ids(doc_ids.to_pylist(), texts)
+        texts = [x or b"" for x in batch.column(1).to_pylist()]
         folds = np.asarray(batch.column(2))
         kinds = np.where(folds == s.test, 2, np.where(folds == s.mixed, 1, 0)).astype(np.int8)
-        for a, b in common.byte_slices(texts, SLICE_BYTES * 16):
-            codes, counts = tokens(texts[a:b])
+        for a, b in common.byte_slices(texts, SLICE_BYTES * 8):
+            order = np.argsort(kinds[a:b], kind="stable")
+            part, doc_ids = [texts[a + k] for k in order.tolist()], batch.column(0).slice(a, b - a).take(pa.array(order))
+            name = np.array([xxhash.xxh3_64_intdigest(common.row_ids(doc_ids.to_pylist(), part).tobytes())], np.uint64).view(np.int64)
+            upto = np.searchsorted(kinds[a:b][order], [1, 2]).astype(np.int32)
+            codes, counts = tokens(part)
             leaf, known = t.look_up(codes)
-            row = np.repeat(np.arange(b - a), counts)
-            rows = [(block, TOKENS + note) for block, note in dealt_tokens(t, codes, counts, leaf, row, ids[a:b], kinds[a:b], blocks)]
-            far = known < 0
-            rows += [(block, FAR + note) for block, note in far_words(codes[far], row[far], ids[a:b], blocks)]
-            logs = np.log10(np.maximum(known, 0) + 0.5)
-            escaped = leaf >= t.k
+            row = np.repeat(np.arange(len(part), dtype=np.int32), counts)
+            notes: dict[int, list[tuple[bytes, bytes]]] = defaultdict(list)
+            for block, columns in dealt_tokens(t, codes, counts, leaf, row, blocks):
+                notes[block].append((TOKENS, pressed(*columns, name, upto)))
+            for block, columns in far_words(codes[known < 0], row[known < 0], blocks):
+                notes[block].append((FAR, pressed(*columns, name)))
+            logs, escaped = np.log10(np.maximum(known, 0) + 0.5), leaf >= t.k
             within = logs[escaped] - np.log10(t.outside[leaf[escaped] - t.k])
-            nameless = np.asarray(doc_ids.slice(a, b - a).is_null())
-            note = pressed(
-                ids[a:b], np.asarray(doc_ids.slice(a, b - a).fill_null(0)).astype(np.int64), nameless.astype(np.int8), counts.astype(np.int32),
-                np.bincount(row[known > 0], minlength=b - a).astype(np.int32), np.bincount(row, logs, b - a), np.bincount(row[escaped], within, b - a),
-                np.array([len(x) for x in texts[a:b]], np.int64))
-            rows.append((int(ids[a] % blocks), DOCUMENTS + note))
-            yield common.key_batch(rows)
+            per = lambda rows, weights=None, n=len(part): np.bincount(rows, weights, n)
+            notes[int(name[0] % blocks)].append((DOCUMENTS, pressed(
+                np.asarray(doc_ids.fill_null(0)).astype(np.int64), np.asarray(doc_ids.is_null()).astype(np.int8), counts.astype(np.int32),
+                per(row[known > 0]).astype(np.int32), per(row, logs), per(row[escaped], within), np.array([len(x) for x in part], np.int64), name)))
+            yield common.key_batch([(block, framed(found)) for block, found in notes.items()])
 
 
-def dealt_tokens(tree: Tree, codes, counts, leaf, row, ids, kinds, blocks: int) -> Iterator[tuple[int, bytes]]:
+def dealt_tokens(tree: Tree, codes, counts, leaf, row, blocks: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     one, two, _ = contexts(codes, counts)
     hot = hot_index(tree, one).astype(np.int16)
     block = blocks_of(np.where(hot >= 0, two, one), blocks)
@@ -362,32 +386,30 @@ def dealt_tokens(tree: Tree, codes, counts, leaf, row, ids, kinds, blocks: int)
     before = words_before(words, counts, short(tree, np.array([END], np.uint64), tree.look_up(np.array([END], np.uint64))[0])[0])
     order = np.lexsort((before[0].astype(np.uint64) << np.uint64(32) | before[1], block))
     cuts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True])
-    columns, owner = [x[order] for x in (*before, leaf, hot)], row[order]
+    columns = [x[order] for x in (*before, leaf, hot, row)]
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        who, which = np.unique(owner[i:j], return_inverse=True)
-        yield int(block[order[i]]), pressed(*(x[i:j] for x in columns), which.astype(np.int32), ids[who], kinds[who])
+        yield int(block[order[i]]), [x[i:j] for x in columns]
 
 
-def far_words(codes, row, ids, blocks: int) -> Iterator[tuple[int, bytes]]:
-    """Documents stand once in a note, words point to them."""
-    order = np.lexsort((codes, row))
+def far_words(codes, row, blocks: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Words, documents and how often a word stands in one."""
+    order = np.lexsort((row, codes))
     row, codes = row[order], codes[order]
     new = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])]) if len(codes) else np.zeros(0, int)
     times = np.diff(np.r_[new, len(codes)]).astype(np.int32)
-    for block, (c, d, n) in common.split_by(blocks_of(codes[new], blocks), codes[new], row[new], times):
-        who, which = np.unique(d, return_inverse=True)
-        yield block, pressed(c, which.astype(np.int32), n, ids[who])
+    yield from common.split_by(blocks_of(codes[new], blocks), codes[new], row[new], times)
 
 
 def block_tokens(notes: list[bytes], tree: Tree) -> list[np.ndarray]:
     """The first, second and third word before, leaf, hot word before, document and kind of a block's tokens, in an
-    order that follows from themselves."""
-    parts = [unpressed(note) for note in notes]
+    order that follows from themselves, and the names of the slices. A document is slice number << 32 | its number there."""
+    parts = sorted(map(unpressed, notes), key=lambda x: int(x[6][0]))
     one, two, three, leaf, hot = (np.concatenate([x[k] for x in parts]) for k in range(5))
-    owner, kind = (np.concatenate([x[k][x[5]] for x in parts]) for k in (6, 7))
+    owner = np.concatenate([x[5].astype(np.int64) | k << 32 for k, x in enumerate(parts)])
+    kind = np.concatenate([np.searchsorted(x[7], x[5], "right") for x in parts]).astype(np.int8)
     nearest, rest = (a.astype(np.uint64) << np.uint64(32) | b for a, b in ((one, two), (three, tree.place[leaf].astype(np.uint64))))
     order = np.lexsort((owner, rest, nearest))
-    return [c[order] for c in (one, two, three, leaf, hot, owner, kind)]
+    return [c[order] for c in (one, two, three, leaf, hot, owner, kind)] + [np.array([x[6][0] for x in parts], np.int64)]
 
 
 class Block:
@@ -423,30 +445,57 @@ class Block:
         return np.bincount(token, np.log10(np.where(bit, p, 1 - p)), len(some))
 
 
+class Sums:
+    """Sums per document of the blocks of a task: tokens, known far words, what these add, log10 probabilities."""
+
+    def __init__(self, shares: int):
+        self.shares, self.held, self.size = shares, [], 0
+
+    def add(self, names: np.ndarray, numbers: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((names, numbers.astype(np.int64), *columns))
+        self.size += len(names)
+        if self.size > HELD:
+            yield from self.sent()
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        names, numbers, *columns = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((numbers, names))
+        names, numbers = names[order], numbers[order]
+        new = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (numbers[1:] != numbers[:-1])])
+        n, known, far, told_ = (np.add.reduceat(c[order], new) for c in columns)
+        names, numbers = names[new], numbers[new].astype(np.int32)
+        rows = []
+        for share, part in common.split_by(common.targets(names, self.shares), names, numbers, n.astype(np.int32), known.astype(np.int32), far, told_):
+            first = np.flatnonzero(np.r_[True, part[0][1:] != part[0][:-1]])
+            # A slice is named once, with how many of its documents follow.
+            rows.append((share, framed([(SUMS, pressed(part[0][first], np.diff(np.r_[first, len(part[0])]), *part[1:]))])))
+        yield common.key_batch(rows)
+        self.held, self.size = [], 0
+
+
 def told(batches: Iterator[pa.RecordBatch], tree, hot, shares: int, s: Settings) -> Iterator[pa.RecordBatch]:
-    """Rows (share, kind and note) of every block: the documents as they came, and for those with tokens or far words in
-    the block the number of tokens, sums of their bits' log10 probabilities, and what the far words' counts add."""
-    t, followers = tree.value, hot.value
+    """Rows (share, notes): the documents as they came, and for those with tokens or far words in the task's blocks the
+    number of tokens, sums of their bits' log10 probabilities, and what the far words' counts add."""
+    t, followers, sums = tree.value, hot.value, Sums(shares)
     for _, blobs in common.groups(batches):
-        notes = {kind: [x[1:] for x in blobs if x[:1] == kind] for kind in (TOKENS, FAR, KNOWN, DOCUMENTS)}
+        notes = unframed(blobs)
         for note in notes[DOCUMENTS]:
-            columns = unpressed(note)
-            yield common.key_batch([(k, DOCUMENTS + pressed(*x)) for k, x in common.split_by(common.targets(columns[0], shares), *columns)])
+            yield common.key_batch([(int(common.targets(unpressed(note)[-1], shares)[0]), framed([(DOCUMENTS, note)]))])
         if notes[TOKENS]:
-            block = Block(t, followers, *block_tokens(notes[TOKENS], t))
-            mixer, sums = block.mixer(s), np.zeros(len(block.leaf))
-            for at in range(0, len(sums), CHUNK):
-                some = np.arange(at, min(at + CHUNK, len(sums)))
-                sums[some] = block.log10(mixer, some)
+            *columns, names = block_tokens(notes[TOKENS], t)
+            block = Block(t, followers, *columns)
+            mixer, logs = block.mixer(s), np.zeros(len(block.leaf))
+            for at in range(0, len(logs), CHUNK):
+                some = np.arange(at, min(at + CHUNK, len(logs)))
+                logs[some] = block.log10(mixer, some)
             owner, which = np.unique(block.owner, return_inverse=True)
-            yield sums_of(owner, np.bincount(which), np.zeros(len(owner)), np.zeros(len(owner)), np.bincount(which, sums), shares)
+            none = np.zeros(len(owner))
+            yield from sums.add(names[owner >> 32], owner & 0xFFFFFFFF, np.bincount(which), none, none, np.bincount(which, logs))
         if notes[FAR] and notes[KNOWN]:
-            yield from far_sums(notes[FAR], notes[KNOWN], shares)
-
-
-def sums_of(ids: np.ndarray, n: np.ndarray, known: np.ndarray, far: np.ndarray, told_: np.ndarray, shares: int) -> pa.RecordBatch:
-    columns = (ids, n.astype(np.int32), known.astype(np.int32), far.astype(np.float64), told_.astype(np.float64))
-    return common.key_batch([(k, SUMS + pressed(*x)) for k, x in common.split_by(common.targets(ids, shares), *columns)])
+            yield from far_sums(notes[FAR], notes[KNOWN], sums)
+    yield from sums.sent()
 
 
 def taught_by(kind: np.ndarray, *columns: np.ndarray) -> np.ndarray:
@@ -538,47 +587,50 @@ def blocks_of(codes: np.ndarray, blocks: int) -> np.ndarray:
 def far_counts(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes, n = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))
-        yield common.key_batch([(k, KNOWN + pressed(c, m)) for k, (c, m) in common.split_by(blocks_of(codes, blocks), codes, n)])
+        yield common.key_batch([(k, framed([(KNOWN, pressed(c, m))])) for k, (c, m) in common.split_by(blocks_of(codes, blocks), codes, n)])
 
 
-def far_sums(far: list[bytes], known: list[bytes], shares: int) -> Iterator[pa.RecordBatch]:
+def far_sums(far: list[bytes], known: list[bytes], sums: Sums) -> Iterator[pa.RecordBatch]:
     """Per document the known ones of its far words, and what their counts add to the sum of log10(c + 0.5) over that of c = 0."""
     codes, counts = (np.concatenate(x) for x in zip(*map(unpressed, known), strict=True))
     order = np.argsort(codes)
     codes, counts = codes[order], counts[order]
-    ids, known_tokens, sums = [], [], []
-    for words, document, times, owners in map(unpressed, far):
+    for words, document, times, name in map(unpressed, far):
         at = np.minimum(np.searchsorted(codes, words), len(codes) - 1)
         found = codes[at] == words
         n = times[found].astype(np.float64)
-        tokens_of = np.bincount(document[found], n, len(owners))
-        has = np.flatnonzero(tokens_of)
-        ids.append(owners[has])
-        known_tokens.append(tokens_of[has])
-        sums.append(np.bincount(document[found], n * (np.log10(counts[at[found]] + 0.5) - np.log10(0.5)), len(owners))[has])
-    ids, which = np.unique(np.concatenate(ids), return_inverse=True)
-    if len(ids):
-        none = np.zeros(len(ids))
-        yield sums_of(ids, none, np.bincount(which, np.concatenate(known_tokens)), np.bincount(which, np.concatenate(sums)), none, shares)
+        which, tokens_of = np.unique(document[found], return_inverse=True)
+        none = np.zeros(len(which))
+        added = np.bincount(tokens_of, n * (np.log10(counts[at[found]] + 0.5) - np.log10(0.5)), len(which))
+        yield from sums.add(np.repeat(name, len(which)), which, none, np.bincount(tokens_of, n, len(which)), added, none)
 
 
 def scored(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
     """Documents of a share with the sums of all blocks."""
     base = np.log10(total + 0.5 * (distinct + 1))
     for _, blobs in common.groups(batches):
-        owner, *columns = (np.concatenate(x) for x in zip(*(unpressed(x[1:]) for x in blobs if x[:1] == SUMS), strict=True))
-        known_ids, which = np.unique(owner, return_inverse=True)
-        n_told, n_far, far, told_ = (np.bincount(which, c, len(known_ids)) for c in columns)
-        for note in (x[1:] for x in blobs if x[:1] == DOCUMENTS):
-            ids, doc_ids, nameless, n, n_known, logs, within, size = unpressed(note)
-            at = np.searchsorted(known_ids, ids)
-            # Equal rows have one sum.
-            copies = n_told[at] / n
-            score = told_[at] / copies + within + far[at] / copies
-            yield pa.RecordBatch.from_arrays([
-                pa.array(doc_ids, mask=nameless.astype(bool)), pa.array(n.astype(np.int64)), pa.array((n_known + np.rint(n_far[at] / copies)).astype(np.int64)),
-                pa.array(logs + far[at] / copies - n * base), pa.array(score), pa.array(-score / np.log10(2) / np.maximum(size, 1)),
-            ], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
+        notes = unframed(blobs)
+        documents: dict[int, list[bytes]] = defaultdict(list)
+        for note in notes[DOCUMENTS]:
+            documents[int(unpressed(note)[-1][0])].append(note)
+        parts: dict[int, list] = defaultdict(list)
+        for names, lengths, *columns in map(unpressed, notes[SUMS]):
+            ends = np.cumsum(lengths)
+            for name, a, b in zip(names.tolist(), ends - lengths, ends, strict=True):
+                parts[name].append([c[a:b] for c in columns])
+        for name, same in documents.items():
+            number, *columns = (np.concatenate(x) for x in zip(*parts[name], strict=True))
+            doc_ids, nameless, n, n_known, logs, within, size, _ = unpressed(same[0])
+            n_told, n_far, far, told_ = (np.bincount(number, c, len(n)) for c in columns)
+            # Slices with the same rows have one sum.
+            if (n_told != n * len(same)).any():
+                raise RuntimeError("a slice of documents changed between two attempts: write the documents to a table first")
+            score = told_ / len(same) + within + far / len(same)
+            for _ in same:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(doc_ids, mask=nameless.astype(bool)), pa.array(n.astype(np.int64)), pa.array((n_known + np.rint(n_far / len(same))).astype(np.int64)),
+                    pa.array(logs + far / len(same) - n * base), pa.array(score), pa.array(-score / np.log10(2) / np.maximum(size, 1)),
+                ], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
 
 def fold_of(folds: int):
@@ -651,8 +703,8 @@ def language_scores(documents: DataFrame, settings: Settings = Settings()) -> Da
     spark = documents.sparkSession
     common.on_workers(spark)
     n = common.partitions(spark)
-    # A block writes one row per share: few shares keep these rows few where there are many partitions.
-    shares, blocks = 2 * n, 8 * n
+    # A slice writes one row per block, and a task one per share: few of both keep rows few where there are many partitions.
+    shares, blocks = max(1, n // 4), 4 * n
     trained, followers, counts = train(documents, s)
     tree, hot = spark.sparkContext.broadcast(trained), spark.sparkContext.broadcast(followers)
     total, distinct, rows = trained.total, trained.distinct, "key int, note binary"
