@@ -85,9 +85,10 @@ class Index:
 
     def at_home(self, found: DataFrame, *columns: str) -> DataFrame:
         """Rows of documents with what was found in each, as the array ``found`` of ``columns``: as many entries as the
-        document has places that may match, and each document once."""
-        gathered = found.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("found"))
-        return self.documents.join(gathered, "row")
+        document has places that may match, and each document once. Only the words of such documents are exchanged."""
+        gathered = stored(found.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("found")), "places")
+        rows = gathered.select("row")
+        return self.documents.join(small(rows, 64 * rows.count()), "row", "left_semi").join(gathered, "row")
 
     def phrases(self) -> DataFrame:
         """Exact matches: (passage, row, start)."""
