@@ -272,31 +272,50 @@ class Seen:
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         return cls(keys[first], np.r_[first, len(keys)])
 
-    def followed_by(self, other: Seen, shift: int) -> Seen:
-        """With the contexts of another, whose keys are moved behind all of these."""
-        return Seen(np.r_[self.keys, other.keys + shift], np.r_[self.before[:-1], other.before + self.before[-1]])
-
     def counts(self, tree: Tree, context: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Zeros and ones at every node of the tokens' paths, in the order of ``path``."""
+        """Zeros and ones at every node of the tokens' paths, in the order of ``path``. A negative context has seen nothing."""
+        n = tree.lengths[leaf]
+        size = int(n.sum())
+        asked = np.flatnonzero((context >= 0) & (n > 0))
+        if not len(asked) or not len(self.keys):
+            return np.zeros(size, np.int64), np.zeros(size, np.int64)
+        # Tokens with one context and leaf have the same counts, and neighbours look into the same few keys.
+        pair, which = np.unique(context[asked] * tree.leaves + leaf[asked], return_inverse=True)
+        contexts_, leaves = np.divmod(pair, tree.leaves)
+        low, high = np.searchsorted(self.keys, [contexts_[0] * tree.leaves, (contexts_[-1] + 1) * tree.leaves])
+        zeros, ones = self.between(tree, contexts_, leaves, int(low), int(high))
+        length = n[asked]
+        inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        first = np.cumsum(tree.lengths[leaves]) - tree.lengths[leaves]
+        at = np.repeat(first[which], length) + inside
+        if len(asked) == len(n):
+            return zeros[at], ones[at]
+        out = np.repeat((np.cumsum(n) - n)[asked], length) + inside
+        all_zeros, all_ones = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        all_zeros[out], all_ones[out] = zeros[at], ones[at]
+        return all_zeros, all_ones
+
+    def between(self, tree: Tree, context: np.ndarray, leaf: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for sorted pairs of context and leaf, whose keys stand between two places."""
+        keys, before = self.keys[low:high], self.before[low:high + 1]
         n = tree.lengths[leaf]
         first = np.cumsum(n) - n
         zeros, ones = np.zeros(int(n.sum()), np.int64), np.zeros(int(n.sum()), np.int64)
         base = context * tree.leaves
-        left, right = np.searchsorted(self.keys, base), np.searchsorted(self.keys, base + tree.leaves)
-        live, depth = np.flatnonzero((left < right) & (n > 0)), 0
-        left, right = left[live], right[live]
+        left, right = np.searchsorted(keys, base), np.searchsorted(keys, base + tree.leaves)
+        live, depth = np.flatnonzero(left < right), 0
+        left, right, base = left[live], right[live], base[live]
+        code, length, out = tree.code[leaf[live]], n[live], first[live]
         while len(live):
-            below = (n[live] - depth).astype(np.uint64)
-            code = tree.code[leaf[live]]
+            below = (length - depth).astype(np.uint64)
             node = tree.base[depth] + ((code >> below) - tree.leftmost[depth]).astype(np.int64)
-            middle = np.searchsorted(self.keys, base[live] + tree.middle[node])
-            out = first[live] + depth
-            zeros[out], ones[out] = self.before[middle] - self.before[left], self.before[right] - self.before[middle]
+            middle = np.searchsorted(keys, base + tree.middle[node])
+            zeros[out + depth], ones[out + depth] = before[middle] - before[left], before[right] - before[middle]
             one = (code >> (below - np.uint64(1)) & np.uint64(1)).astype(bool)
             left, right = np.where(one, middle, left), np.where(one, right, middle)
             depth += 1
-            on = (left < right) & (n[live] > depth)
-            live, left, right = live[on], left[on], right[on]
+            on = (left < right) & (length > depth)
+            live, left, right, base, code, length, out = (x[on] for x in (live, left, right, base, code, length, out))
         return zeros, ones
 
 
@@ -419,21 +438,30 @@ class Block:
         self.tree, self.leaf, self.owner, self.kind, self.three = tree, leaf, owner, kind, three
         changes = np.stack([np.r_[False, x[1:] != x[:-1]] for x in (one, two, three)])
         self.group = np.cumsum(np.logical_or.accumulate(changes), axis=1)
-        n_groups = int(self.group[0, -1]) + 1
-        keys = self.group * tree.leaves + tree.place[leaf]
+        self.followers, self.known = followers, known.astype(np.int64)
 
         def seen(taught: np.ndarray) -> list[Seen]:
-            return [Seen.of(keys[0][taught & (known < 0)]).followed_by(followers, n_groups * tree.leaves)] + [Seen.of(k[taught]) for k in keys[1:]]
+            place = tree.place[leaf]
+            return [Seen.of((self.group[k] * tree.leaves + place)[taught & (known < 0) if k == 0 else taught]) for k in range(ORDERS)]
 
         #: Of all training texts, and of those whose fold does not teach the weights.
         self.seen, self.others = seen(kind < 2), seen(kind == 0)
-        self.group[0] = np.where(known < 0, self.group[0], n_groups + known.astype(np.int64))
 
     def predicted(self, some: np.ndarray, counts: list[Seen], leaf: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """Token, bit, inputs and gate of all bits of these tokens (or of other leaves in their contexts)."""
         leaf = self.leaf[some] if leaf is None else leaf
         token, node, bit = path(self.tree, leaf)
-        x, gate = gated(self.tree, node, [logits(*counts[k].counts(self.tree, self.group[k][some], leaf)) for k in range(ORDERS)])
+        hot = self.known[some]
+        found = []
+        for k in range(ORDERS):
+            context = self.group[k][some]
+            zeros, ones = counts[k].counts(self.tree, np.where(hot < 0, context, -1) if k == 0 else context, leaf)
+            if k == 0 and (hot >= 0).any():
+                # After a hot word the counts come from the broadcast table.
+                more = self.followers.counts(self.tree, hot, leaf)
+                zeros, ones = zeros + more[0], ones + more[1]
+            found.append(logits(zeros, ones))
+        x, gate = gated(self.tree, node, found)
         return token, bit, x, gate
 
     def mixer(self, s: Settings) -> Mixer:
@@ -498,13 +526,13 @@ def told(batches: Iterator[pa.RecordBatch], tree, hot, shares: int, s: Settings)
     yield from sums.sent()
 
 
-def taught_by(kind: np.ndarray, *columns: np.ndarray) -> np.ndarray:
-    """Tokens that teach the weights, in an order that has nothing to do with their contexts."""
+def taught_by(kind: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Tokens that teach the weights: neighbours together, as they look into the same counts, in parts of ``CHUNK`` whose
+    order has nothing to do with their contexts."""
     some = np.flatnonzero(kind == 1)
-    mix = np.zeros(len(some), np.uint64)
-    for c in columns:
-        mix = common.mixed(mix + c[some].astype(np.uint64))
-    return some[np.argsort(mix, kind="stable")]
+    parts = [some[at:at + CHUNK] for at in range(0, len(some), CHUNK)]
+    drawn = [int(common.mixed(np.array([np.add.reduce(common.mixed(columns[0][p].astype(np.uint64)))]))[0]) for p in parts]
+    return [parts[k] for k in np.argsort(np.array(drawn, np.uint64), kind="stable").tolist()]
 
 
 def logits(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -564,17 +592,18 @@ class Mixer:
         return np.clip(p, 1e-6, 1 - 1e-6)
 
 
-def learned(predicted, some: np.ndarray, s: Settings) -> Mixer:
-    """Weights from these tokens, more than once where they are few, and the refining table from the last time."""
+def learned(predicted, parts: list[np.ndarray], s: Settings) -> Mixer:
+    """Weights from these parts, more than once where they are few, and the refining table from the last time."""
     mixer = Mixer()
-    again = int(np.clip((1 << 17) // max(1, len(some)), 1, 4))
-    for _ in range(again if len(some) else 0):
+    size = sum(map(len, parts))
+    again = int(np.clip((1 << 17) // max(1, size), 1, 4))
+    for _ in range(again if size else 0):
         refine = np.zeros((2, 4 * REFINED))
-        for at in range(0, len(some), CHUNK):
-            _, bit, x, gate = predicted(some[at:at + CHUNK])
+        for part in parts:
+            _, bit, x, gate = predicted(part)
             slot = Mixer.bucket(mixer.learn(x, gate, bit, s), gate)
             refine += np.stack([np.bincount(slot, minlength=4 * REFINED), np.bincount(slot, bit, 4 * REFINED)])
-    if len(some):
+    if size:
         middle = squash((np.tile(np.arange(REFINED) - REFINED // 2 + 0.5, 4)) / 1.5)
         mixer.refined = ((refine[1] + 32 * middle) / (refine[0] + 32)).astype(np.float32)
     return mixer

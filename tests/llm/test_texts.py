@@ -245,12 +245,12 @@ def test_counts_of_contexts(hot):
     tree = mixing.Tree(common.mixed(np.arange(1, 41, dtype=np.uint64)), counts, int(counts.sum()) + 9, 45, mixing.Settings(tree=30))
     context, leaf = rng.integers(0, 9, 500), rng.integers(0, tree.k + 1, 500)
     keys = context * (tree.k + 1) + tree.place[leaf]
-    seen = mixing.Seen.of(keys[context >= hot] - hot * (tree.k + 1)).followed_by(mixing.Seen.of(keys[context < hot]), (9 - hot) * (tree.k + 1))
+    own, other = mixing.Seen.of(keys[context >= hot]), mixing.Seen.of(keys[context < hot])
     token, node, bit = mixing.path(tree, leaf)
     plain = Counter(zip(context[token].tolist(), node.tolist(), bit.tolist(), strict=True))
     asked, ask = rng.integers(0, 10, 200), rng.integers(0, tree.k + 1, 200)
     token, node, _ = mixing.path(tree, ask)
-    zeros, ones = seen.counts(tree, np.where(asked < hot, asked + 9 - hot, np.where(asked < 9, asked - hot, 20)), ask)
+    zeros, ones = (a + b for a, b in zip(own.counts(tree, np.where(asked < hot, -1, asked), ask), other.counts(tree, np.where(asked < hot, asked, -1), ask), strict=True))
     assert zeros.tolist() == [plain[asked[t], n, 0] for t, n in zip(token, node, strict=True)]
     assert ones.tolist() == [plain[asked[t], n, 1] for t, n in zip(token, node, strict=True)]
 
