@@ -23,6 +23,7 @@ import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -270,7 +271,7 @@ class Seen:
     def of(cls, keys: np.ndarray) -> Seen:
         keys = np.sort(keys)
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        return cls(keys[first], np.r_[first, len(keys)])
+        return cls(keys[first], np.r_[first, len(keys)].astype(np.int32 if len(keys) < 1 << 31 else np.int64))
 
     def counts(self, tree: Tree, context: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Zeros and ones at every node of the tokens' paths, in the order of ``path``. A negative context has seen nothing."""
@@ -437,15 +438,18 @@ class Block:
     def __init__(self, tree: Tree, followers: Seen, one, two, three, leaf, known, owner, kind):
         self.tree, self.leaf, self.owner, self.kind, self.three = tree, leaf, owner, kind, three
         changes = np.stack([np.r_[False, x[1:] != x[:-1]] for x in (one, two, three)])
-        self.group = np.cumsum(np.logical_or.accumulate(changes), axis=1)
+        self.group = np.cumsum(np.logical_or.accumulate(changes), axis=1, dtype=np.int32)
         self.followers, self.known = followers, known.astype(np.int64)
 
-        def seen(taught: np.ndarray) -> list[Seen]:
-            place = tree.place[leaf]
-            return [Seen.of((self.group[k] * tree.leaves + place)[taught & (known < 0) if k == 0 else taught]) for k in range(ORDERS)]
+    def counted(self, taught: np.ndarray) -> list[Seen]:
+        """What these tokens have after the contexts of each order."""
+        teaches = [taught & (self.known < 0), *[taught] * (ORDERS - 1)]
+        return [Seen.of(group[some].astype(np.int64) * self.tree.leaves + self.tree.place[self.leaf[some]]) for group, some in zip(self.group, teaches, strict=True)]
 
-        #: Of all training texts, and of those whose fold does not teach the weights.
-        self.seen, self.others = seen(kind < 2), seen(kind == 0)
+    @cached_property
+    def seen(self) -> list[Seen]:
+        """Of all training texts."""
+        return self.counted(self.kind < 2)
 
     def predicted(self, some: np.ndarray, counts: list[Seen], leaf: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """Token, bit, inputs and gate of all bits of these tokens (or of other leaves in their contexts)."""
@@ -454,7 +458,7 @@ class Block:
         hot = self.known[some]
         found = []
         for k in range(ORDERS):
-            context = self.group[k][some]
+            context = self.group[k][some].astype(np.int64)
             zeros, ones = counts[k].counts(self.tree, np.where(hot < 0, context, -1) if k == 0 else context, leaf)
             if k == 0 and (hot >= 0).any():
                 # After a hot word the counts come from the broadcast table.
@@ -465,7 +469,9 @@ class Block:
         return token, bit, x, gate
 
     def mixer(self, s: Settings) -> Mixer:
-        return learned(lambda some: self.predicted(some, self.others), taught_by(self.kind, self.owner, self.three, self.leaf), s)
+        # The counts without the fold that teaches are held only as long as it does.
+        others = self.counted(self.kind == 0)
+        return learned(lambda some: self.predicted(some, others), taught_by(self.kind, self.three), s)
 
     def log10(self, mixer: Mixer, some: np.ndarray, leaf: np.ndarray | None = None) -> np.ndarray:
         token, bit, x, gate = self.predicted(some, self.seen, leaf)
@@ -526,12 +532,12 @@ def told(batches: Iterator[pa.RecordBatch], tree, hot, shares: int, s: Settings)
     yield from sums.sent()
 
 
-def taught_by(kind: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+def taught_by(kind: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
     """Tokens that teach the weights: neighbours together, as they look into the same counts, in parts of ``CHUNK`` whose
     order has nothing to do with their contexts."""
     some = np.flatnonzero(kind == 1)
     parts = [some[at:at + CHUNK] for at in range(0, len(some), CHUNK)]
-    drawn = [int(common.mixed(np.array([np.add.reduce(common.mixed(columns[0][p].astype(np.uint64)))]))[0]) for p in parts]
+    drawn = [int(common.mixed(np.array([np.add.reduce(common.mixed(words[p].astype(np.uint64)))]))[0]) for p in parts]
     return [parts[k] for k in np.argsort(np.array(drawn, np.uint64), kind="stable").tolist()]
 
 
@@ -733,7 +739,7 @@ def language_scores(documents: DataFrame, settings: Settings = Settings()) -> Da
     common.on_workers(spark)
     n = common.partitions(spark)
     # A slice writes one row per block, and a task one per share: few of both keep rows few where there are many partitions.
-    shares, blocks = max(1, n // 4), 4 * n
+    shares, blocks = max(1, n // 4), 5 * n
     trained, followers, counts = train(documents, s)
     tree, hot = spark.sparkContext.broadcast(trained), spark.sparkContext.broadcast(followers)
     total, distinct, rows = trained.total, trained.distinct, "key int, note binary"
