@@ -169,6 +169,7 @@ class Tree:
         shift = (most - depth).astype(np.uint64)
         ends = (self.code << (most - self.lengths).astype(np.uint64))[order]
         half = np.uint64(1) << np.maximum(shift, np.uint64(1)) - np.uint64(1)
+        self.ends, self.aligned, self.most = ends, self.code << (most - self.lengths).astype(np.uint64), most
         start, self.middle = np.searchsorted(ends, prefix << shift), np.searchsorted(ends, (prefix << shift) + half)
         stop = np.searchsorted(ends, (prefix << shift) + half + half - np.uint64(1), "right")
         below = np.r_[0.0, np.cumsum(weights[order])]
@@ -304,10 +305,17 @@ class Seen:
         zeros, ones = np.zeros(int(n.sum()), np.int64), np.zeros(int(n.sum()), np.int64)
         base = context * tree.leaves
         left, right = np.searchsorted(keys, base), np.searchsorted(keys, base + tree.leaves)
-        live, depth = np.flatnonzero(left < right), 0
+        live, depth, alone = np.flatnonzero(left < right), 0, []
         left, right, base = left[live], right[live], base[live]
         code, length, out = tree.code[leaf[live]], n[live], first[live]
         while len(live):
+            single = right - left == 1
+            if single.any():
+                some = np.flatnonzero(single)
+                at = left[some]
+                alone.append((keys[at] - base[some], before[at + 1] - before[at], leaf[live[some]], out[some], np.full(len(some), depth)))
+                some = np.flatnonzero(~single)
+                live, left, right, base, code, length, out = (x[some] for x in (live, left, right, base, code, length, out))
             below = (length - depth).astype(np.uint64)
             node = tree.base[depth] + ((code >> below) - tree.leftmost[depth]).astype(np.int64)
             middle = np.searchsorted(keys, base + tree.middle[node])
@@ -315,10 +323,28 @@ class Seen:
             one = (code >> (below - np.uint64(1)) & np.uint64(1)).astype(bool)
             left, right = np.where(one, middle, left), np.where(one, right, middle)
             depth += 1
-            on = (left < right) & (length > depth)
+            on = np.flatnonzero((left < right) & (length > depth))
             live, left, right, base, code, length, out = (x[on] for x in (live, left, right, base, code, length, out))
+        if alone:
+            self.only(tree, *(np.concatenate(x) for x in zip(*alone, strict=True)), zeros, ones)
         return zeros, ones
 
+    @staticmethod
+    def only(tree: Tree, place, times, leaf, out, depth, zeros: np.ndarray, ones: np.ndarray) -> None:
+        """What is left of paths below a node where training tokens went to one leaf only: they go along with the path as far
+        as the two codes agree, and where they part for the first time stand on the other side."""
+        length = tree.lengths[leaf]
+        apart = tree.ends[place] ^ tree.aligned[leaf]
+        agree = np.where(apart > 0, tree.most - np.frexp(apart.astype(np.float64))[1], length)
+        n = np.minimum(agree + 1, length) - depth
+        token = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(token)) - (np.cumsum(n) - n)[token]
+        bit = (tree.code[leaf] << (64 + depth - length).astype(np.uint64))[token] << step.astype(np.uint64)
+        one = (bit >> np.uint64(63) == 1) != (step == (agree - depth)[token])
+        where, seen = (out + depth)[token] + step, times[token]
+        ones[where] = seen * one
+        zeros[where] = seen - ones[where]
+
 
 def pressed(*arrays: np.ndarray) -> bytes:
     """``common.pack`` with the first bytes of all values together, then the second ones and so on, compressed."""
@@ -376,7 +402,7 @@ def cut_texts(batches: Iterator[pa.RecordBatch], tree, blocks: int, s: Settings)
         texts = [x or b"" for x in batch.column(1).to_pylist()]
         folds = np.asarray(batch.column(2))
         kinds = np.where(folds == s.test, 2, np.where(folds == s.mixed, 1, 0)).astype(np.int8)
-        for a, b in common.byte_slices(texts, SLICE_BYTES * 8):
+        for a, b in common.byte_slices(texts, SLICE_BYTES * 4):
             order = np.argsort(kinds[a:b], kind="stable")
             part, doc_ids = [texts[a + k] for k in order.tolist()], batch.column(0).slice(a, b - a).take(pa.array(order))
             name = np.array([xxhash.xxh3_64_intdigest(common.row_ids(doc_ids.to_pylist(), part).tobytes())], np.uint64).view(np.int64)
@@ -541,11 +567,22 @@ def taught_by(kind: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
     return [parts[k] for k in np.argsort(np.array(drawn, np.uint64), kind="stable").tolist()]
 
 
+#: Logarithms of the counts that most nodes have.
+LOGS = np.log(np.arange(1 << 12) + 0.2).astype(np.float32)
+
+
+def logs_of(counts: np.ndarray) -> np.ndarray:
+    out = LOGS[np.minimum(counts, len(LOGS) - 1)]
+    large = np.flatnonzero(counts >= len(LOGS))
+    out[large] = np.log(counts[large] + 0.2)
+    return out
+
+
 def logits(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logits and confidences: 0 for nothing seen, up to 3."""
+    """Logits of (ones + 0.2) / (seen + 0.4) and confidences: 0 for nothing seen, up to 3."""
     seen = zeros + ones
-    logit = np.where(seen > 0, stretch((ones + 0.2) / (seen + 0.4)), 0).astype(np.float32)
-    return logit, np.searchsorted([1, 4, 32], seen, "right").astype(np.int8)
+    sure = (seen >= 1).astype(np.int8) + (seen >= 4) + (seen >= 32)
+    return logs_of(ones) - logs_of(zeros), sure.astype(np.int8)
 
 
 def gated(tree: Tree, node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
