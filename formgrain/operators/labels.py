@@ -60,9 +60,9 @@ def label_values_of_lines(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     ``(alias, field)``: one row per document and field, the first in reading order.
 
     A label that stands alone takes the next line: the column ``next_text`` if the table has it, as that of
-    ``explode_lines`` does, else an equi-join on ``(doc_id, line_no)``, in which only such labels take part. A document
-    that holds a large share of all lines is spread over tasks either way. The last step keeps a running minimum, combined
-    before the shuffle.
+    ``explode_lines`` does, else an equi-join on ``(doc_id, line_no)``, in which only such labels take part and no side is
+    broadcast. A document that holds a large share of all lines is spread over tasks either way. The last step keeps a
+    running minimum, combined before the shuffle.
     """
     label, value = _label_and_value(F.col("text"))
     nested = "next_text" in lines.columns
@@ -73,7 +73,8 @@ def label_values_of_lines(lines: DataFrame, aliases: DataFrame) -> DataFrame:
         found = hits.select("doc_id", "line_no", "field", F.coalesce("value", "next_text").alias("value")).where("value IS NOT NULL")
     else:
         following = lines.select("doc_id", (F.col("line_no") - 1).alias("line_no"), F.col("text").alias("next_text"))
-        below = hits.where(F.col("value").isNull()).drop("value").join(following, ["doc_id", "line_no"])
+        # Lines unfolded from documents count as no larger than these, so their size says nothing against a broadcast.
+        below = hits.where(F.col("value").isNull()).drop("value").join(following.hint("merge"), ["doc_id", "line_no"])
         found = hits.where(F.col("value").isNotNull()).unionByName(below.withColumnRenamed("next_text", "value"))
     return (
         found

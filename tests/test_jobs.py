@@ -125,6 +125,16 @@ def test_line_table_operators_match_the_nested_ones(spark, make_docs):
     assert flat == nested and flat[("c", "member_name")] == "x" and ("c", "household_id") not in flat
 
 
+def test_foreign_lines_are_not_broadcast(spark, make_docs):
+    from formgrain import rules
+    docs = make_docs([("a", "p", ["姓名", "Li", "户号: 1"]), ("b", "p", ["户号", "2"]), ("c", "p", ["姓名"])])
+    aliases = spark.createDataFrame(labels.alias_pairs(rules.BOOKLET_ALIASES), "alias string, field string")
+    done = labels.label_values_of_lines(lines.explode_lines(docs).drop("next_text"), aliases)
+    assert {tuple(r) for r in done.select("doc_id", "field", "value").collect()} == {("a", "member_name", "Li"), ("a", "household_id", "1"), ("b", "household_id", "2")}
+    planned = done._jdf.queryExecution().sparkPlan().toString()
+    assert any("SortMergeJoin" in line and "doc_id" in line for line in planned.splitlines())
+
+
 def test_aliases_must_be_unambiguous():
     with pytest.raises(ValueError):
         labels.alias_pairs({"a": ["x"], "b": ["X"]})
