@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,18 +12,16 @@ from .text import let
 
 def bounding_box(quad: Column) -> Column:
     """Axis-aligned box around four corner points; null for anything else."""
-    axis = lambda j: F.array_compact(F.transform(quad, lambda p: F.get(p, j)))
-    box = let(
-        F.struct(axis(0).alias("xs"), axis(1).alias("ys")),
-        lambda a: F.when(
-            (F.size(a["xs"]) == 4) & (F.size(a["ys"]) == 4),
-            F.struct(
-                F.array_min(a["xs"]).alias("x1"), F.array_min(a["ys"]).alias("y1"),
-                F.array_max(a["xs"]).alias("x2"), F.array_max(a["ys"]).alias("y2"),
-            ),
-        ),
-    )
-    return F.when(F.size(quad) == 4, box)
+
+    def around(q: Column) -> Column:
+        xs, ys = ([F.get(F.get(q, i), j) for i in range(4)] for j in (0, 1))
+        whole = reduce(Column.__and__, [v.isNotNull() for v in xs + ys], F.size(q) == 4)
+        return F.when(
+            whole,
+            F.struct(F.least(*xs).alias("x1"), F.least(*ys).alias("y1"), F.greatest(*xs).alias("x2"), F.greatest(*ys).alias("y2")),
+        )
+
+    return let(quad, around)
 
 
 def centre_distance(a: Column, b: Column) -> Column:

@@ -33,20 +33,20 @@ def anchor_box(rows: Column, tokens: Column, anchors: Sequence[str] = tuple(rule
 def name_candidates(rows: Column, anchor: Column, excluded: Sequence[str]) -> Column:
     """Lines that read like a Latin person name, as (distance to anchor, negative score, text)."""
     latin = F.filter(rows, lambda r: F.regexp_like(F.upper(r["text"]), F.lit(rules.LATIN_LINE)))
-    shaped = F.transform(
-        latin,
-        lambda r: F.struct(
-            centre_distance(bounding_box(r["box"]), anchor).alias("distance"),
-            (-r["score"]).alias("penalty"),
-            squeeze_upper(r["text"]).alias("text"),
-        ),
-    )
-    return F.filter(
+    shaped = F.transform(latin, lambda r: F.struct(squeeze_upper(r["text"]).alias("text"), r["score"].alias("score"), r["box"].alias("box")))
+    named = F.filter(
         shaped,
         lambda c: (F.length(c["text"]) <= rules.NAME_MAX_LENGTH)
-        & F.regexp_like(c["text"], F.lit(rules.PERSON_NAME))
         & ~c["text"].isin(list(excluded))
-        & ~contains_any(c["text"], rules.NAME_EXCLUDED_PARTS),
+        & ~contains_any(c["text"], rules.NAME_EXCLUDED_PARTS)
+        & F.regexp_like(c["text"], F.lit(rules.PERSON_NAME)),
+    )
+    # Places are compared for the few lines that the text leaves.
+    return F.transform(
+        named,
+        lambda c: F.struct(
+            centre_distance(bounding_box(c["box"]), anchor).alias("distance"), (-c["score"]).alias("penalty"), c["text"].alias("text"),
+        ),
     )
 
 
