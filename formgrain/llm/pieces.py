@@ -10,7 +10,7 @@ all survive re-merging is the one that merging the whole part gives.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -22,11 +22,26 @@ from formgrain.llm import common
 
 MARK = "▁"
 CACHED_PARTS = 150_000
+CACHED_PAIRS = 1 << 18
 LONGEST_CACHED = 48
 NEVER = float("inf")
 SLICE_BYTES = 2 << 20
 
 
+class Parts(dict):
+    """Ids of a cut part; the first CACHED_PARTS different short ones are remembered."""
+
+    def __init__(self, encode: Callable[[str], str]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, part: str) -> str:
+        ids = self.encode(part)
+        if len(self) < CACHED_PARTS and len(part) <= LONGEST_CACHED:
+            self[part] = ids
+        return ids
+
+
 class Model:
     """Pieces and ranks of a model file, with the encoder and the decoder."""
 
@@ -62,10 +77,10 @@ class Model:
         self.cut = re.compile(f"{MARK}+[^{MARK}]*" if any(map(mixed, met)) else f"{MARK}*[{letters}]+|{MARK}*[^{letters}{MARK}]+|{MARK}+").findall
         self.automaton = automaton
         self.longest = max(map(len, self.ranks))
-        self.parts: dict[str, str] = {}
+        self.parts = Parts(self.encode_part)
         self.prefixes: dict[str, str] = {}
         self.histories: dict[str, list[tuple[float, str, str]]] = {}
-        self.survives = lru_cache(1 << 16)(self._survives)
+        self.survives = lru_cache(CACHED_PAIRS)(self._survives)
 
     def merges(self, text: str) -> list[tuple[float, str, str]]:
         """Merging by rank, leftmost first among equals: before the first and after each merge, its rank with the first
@@ -125,10 +140,19 @@ class Model:
 
     def backtracked(self, text: str) -> list[str]:
         """Pieces of a text whose characters are all pieces."""
-        longest, survives, taken = self.automaton.iter_long, self.survives, []
+        longest, survives, taken, at, last = self.automaton.iter_long, self.survives, [], 0, ""
+        # Most texts are what the longest pieces make of them, one after the other, in one pass of the automaton.
+        for end, _ in longest(text):
+            piece = text[at:end + 1]
+            if not survives(last, piece):
+                break
+            taken.append(piece)
+            at, last = end + 1, piece
+        else:
+            return taken
         # The automaton sees no more than the longest piece can reach, so each step costs the same however long the text is.
         first = lambda at: text[at:at + next(longest(text[at:at + self.longest]))[1]]
-        failed, at, last, piece = bytearray((len(text) >> 3) + 1), 0, "", first(0)
+        failed = bytearray((len(text) >> 3) + 1)
         while True:
             end = at + len(piece)
             if not failed[end >> 3] >> (end & 7) & 1 and survives(last, piece):
@@ -150,24 +174,17 @@ class Model:
         ids: list[str] = []
         for known, unknown in self.runs(part):
             if known:
-                ids += [self.ids[p] for p in self.backtracked(known)]
-            ids += [self.bytes[b] for b in unknown.encode()]
+                ids += map(self.ids.__getitem__, self.backtracked(known))
+            else:
+                ids += [self.bytes[b] for b in unknown.encode()]
         return " ".join(ids)
 
-    def cached(self, part: str) -> str:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.encode_part(part)
-            if len(self.parts) < CACHED_PARTS and len(part) <= LONGEST_CACHED:
-                self.parts[part] = ids
-        return ids
-
     def encode(self, text: str, end: bool = True) -> str:
         """Decimal ids joined by one space, as the library gives them."""
         parts: list[str] = []
         if text:
             marked = MARK + text.replace(" ", MARK)
-            parts = list(map(self.cached, self.cut(marked)))
+            parts = list(map(self.parts.__getitem__, self.cut(marked)))
         if end:
             parts.append(str(self.end))
         return " ".join(parts)
