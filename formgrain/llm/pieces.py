@@ -9,6 +9,7 @@ all survive re-merging is the one that merging the whole part gives.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -27,6 +28,9 @@ LONGEST_CACHED = 48
 NEVER = float("inf")
 SLICE_BYTES = 2 << 20
 
+# The library puts one replacement character for every byte it cannot read; "replace" puts one for several.
+codecs.register_error("replace_each_byte", lambda e: ("\ufffd", e.start + 1))
+
 
 class Parts(dict):
     """Ids of a cut part; the first CACHED_PARTS different short ones are remembered."""
@@ -196,7 +200,7 @@ class Model:
             known = known[1:]
         text = b"".join(map(self.surfaces.__getitem__, known))
         text = text[1:] if text[:1] == b" " and self.surfaces[known[0]] != " ⁇ ".encode() else text
-        return text.decode("utf-8", "replace").encode()
+        return text.decode("utf-8", "replace_each_byte").encode()
 
 
 @lru_cache(2)

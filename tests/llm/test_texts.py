@@ -450,3 +450,11 @@ def test_longest_pieces_are_found_in_one_pass(monkeypatch):
             assert passes == [word]
         passes.clear()
     assert any(len(model.backtracked(w)) > 1 for w in whole) and model.survives.cache_info().maxsize == pieces.CACHED_PAIRS
+
+
+def test_each_unreadable_byte_is_replaced():
+    library, mine = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.model_of(PIECES)
+    of = {value: int(i) for value, i in enumerate(mine.bytes)}
+    for run in (b"\xe1\x80", b"\xf0\x90\x80", b"\xe1\x80a", b"\xed\xa0\x80", b"\xc3\xe1\x80\x80", b"\xf4\x90\x80\x80"):
+        ids = [of[b] for b in run]
+        assert mine.decode(" ".join(map(str, ids))).decode() == library.decode(ids)
