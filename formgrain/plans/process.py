@@ -175,11 +175,17 @@ def bytes_note(content: Column) -> Column:
     return F.struct(F.lit("bytes").alias("type"), F.length(content).alias("size"))
 
 
-def write_dead_letters(letters: DataFrame, path: str, run_id: str) -> None:
-    """Store one run's dead letters as JSON by family; running the same run again replaces all of them."""
+def write_dead_letters(letters: DataFrame, path: str, run_id: str, compression: str = "gzip") -> None:
+    """Store one run's dead letters as JSON by family; running the same run again replaces all of them.
+
+    As plain text, letters take many times the room of the results they tell of: names, numbers of boxes and texts recur.
+    They are compressed at the codec's fastest level. Spark's JSON reader opens such files by their name;
+    ``compression="none"`` writes plain text for readers that do not.
+    """
     if "content" in letters.columns:
         letters = letters.withColumn("content", bytes_note(F.col("content")))
-    letters.write.mode("overwrite").partitionBy("plugin").json(f"{path.rstrip('/')}/run_id={run_id}")
+    writer = letters.write.mode("overwrite").partitionBy("plugin").option("zlib.compress.level", "BEST_SPEED")
+    writer.json(f"{path.rstrip('/')}/run_id={run_id}", compression=compression)
 
 
 def run(

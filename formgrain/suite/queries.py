@@ -15,7 +15,7 @@ from ..functions.text import file_stem, iso_date
 from ..operators import annotate as annotating
 from ..operators import candidates, labels, lines, merging, places, splitting
 from ..plans import evaluation, process, profile, registry, review
-from ..session import shared_dir
+from ..session import remove_dir, shared_dir
 from ..sources import datasets, layout, ocr
 from ..streaming import live
 from . import render
@@ -787,9 +787,10 @@ def live_decisions(spark, sf):
 
 
 def live_dead_letters(spark, sf):
-    stream = live.read_results_stream(spark, _stored_results(spark, sf), "parquet")
-    base = shared_dir(spark, "live-letters")
+    intake, base = _stored_results(spark, sf), shared_dir(spark, "live-letters")
+    stream = live.read_results_stream(spark, intake, "parquet")
     live.dead_letter_stream(live.process_stream(stream, as_of=render.AS_OF), f"{base}/out", f"{base}/state", once=True).awaitTermination()
+    remove_dir(spark, intake)  # the letters hold all that is read from here on
     stored = spark.read.schema(
         "doc_id string, issues array<struct<code:string>>, run_id string, plugin string"
     ).json(f"{base}/out")

@@ -1,4 +1,5 @@
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,32 @@ def test_bytes_are_noted_not_stored(spark, tmp_path):
     assert (row.content.type, row.content.size) == ("bytes", 3)
 
 
+def test_letters_take_a_fraction_of_their_text(spark, make_docs, tmp_path):
+    docs = make_docs([(f"d{i}", ["receipt", "passport"][i % 2], [(f"line {i * j}", 0.9, box(i, j, i + 60, j + 10)) for j in range(9)]) for i in range(400)])
+    letters = process.dead_letters(process.process(docs, as_of=AS_OF, keep_unrouted=True)).cache()
+    process.write_dead_letters(letters, str(tmp_path / "out"), "r")
+    files = list((tmp_path / "out").rglob("part-*"))
+    text = letters.drop("plugin").select(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 1)).first()[0]
+    assert letters.count() == 400 and 0 < sum(f.stat().st_size for f in files) < text / 4
+    stored = spark.read.schema(letters.schema).json(str(tmp_path / "out"))
+    assert stored.select(*letters.columns).orderBy("doc_id").collect() == letters.orderBy("doc_id").collect()
+    process.write_dead_letters(letters, str(tmp_path / "out"), "r", compression="none")
+    plain = list((tmp_path / "out").rglob("part-*"))
+    assert sum(f.stat().st_size for f in plain) == text and all(f.suffix == ".json" for f in plain)
+
+
+def test_letters_outlive_the_intake(spark, sf_dir):
+    from formgrain.session import shared_dir
+    from formgrain.suite import queries
+    scratch = pathlib.Path(shared_dir(spark, "x")).parent
+    left = set(scratch.glob("intake-*/results"))
+    letters = queries.live_dead_letters(spark, sf_dir)
+    assert set(scratch.glob("intake-*/results")) == left
+    wanted = queries.process.dead_letters(queries.process.process(queries.mixed_results(spark, sf_dir), as_of=AS_OF, keep_unrouted=True))
+    wanted = wanted.select("doc_id", "plugin", F.size("issues").alias("num_issues"))
+    assert letters.count() > 0 and letters.exceptAll(wanted).count() == 0 and wanted.exceptAll(letters).count() == 0
+
+
 def test_overrides_win_even_when_null(spark, make_docs):
     docs = make_docs([("d", "passport", GOLDENS["passport_lines"][1]), ("e", "passport", GOLDENS["passport_lines"][1])])
     given = spark.createDataFrame([("d", "passport_number", "OLD", 1), ("d", "passport_number", "X", 2), ("d", "surname", None, 1),
